@@ -16,21 +16,28 @@ _shipped: set[str] = set()
 _own_folder: list[str] = []
 
 
+def _scratch() -> str:
+    """A folder of the driver's own, removed at exit."""
+    if not _own_folder:
+        _own_folder.append(os.path.realpath(tempfile.mkdtemp(prefix="tidewatch-")))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return _own_folder[0]
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a Spark application."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, f"{os.path.basename(top)}_{uuid.uuid4().hex}.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for d, _, names in os.walk(top):
-                for x in names:
-                    if x.endswith(".py"):
-                        full = os.path.join(d, x)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        spark.sparkContext.addPyFile(path)
+    path = os.path.join(_scratch(), f"{os.path.basename(top)}_{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(top):
+            for x in names:
+                if x.endswith(".py"):
+                    full = os.path.join(d, x)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)  # executors fetch it from the driver while the application runs
     _shipped.add(app)
 
 
@@ -39,10 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="tidewatch-"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return "file://" + _own_folder[0]
+    return "file://" + _scratch()
 
 
 def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
