@@ -17,8 +17,6 @@ An empty table gives an empty result.  Input columns named like a result are rep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     after = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     # lambda if exactly the sources before this one are at their cap
     by = by.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    by = by.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+    by = by.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     by = by.withColumn("target", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))))
     return by.select("source", "source_size", "n_docs", "target")
 
@@ -123,6 +121,10 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 _FLOWN = "source string, source_null boolean, key binary, size long, p double, final boolean"
 
 
+def _flyer(landing: bool):
+    return lambda pdf: _fly(pdf, landing)
+
+
 def _fly(pdf: pd.DataFrame, landing: bool) -> pd.DataFrame:
     pdf = pdf.sort_values(["key"], kind="stable").reset_index(drop=True)
     size = pdf["size"].to_numpy(np.float64)
@@ -153,11 +155,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     groups = F.ceil(F.col("n_docs") / F.lit(GROUP_ROWS))
     fly = open_.select("source", F.col("source").isNull().alias("source_null"), "key", "size", "p", F.pmod(F.xxhash64("key"), groups).alias("group"))
     settled = []
-    fan = groups
     number = full.agg(F.max(groups)).first()[0] or 1
     while True:
         last = number <= 1
-        got = stored(fly.groupBy("source", "source_null", "group").applyInPandas(lambda pdf, last=last: _fly(pdf, last), _FLOWN), "mix-flight")
+        got = stored(fly.groupBy("source", "source_null", "group").applyInPandas(_flyer(last), _FLOWN), "mix-flight")
         settled.append(got.filter("final").select("source", "key", "size", "p"))
         if last:
             break
