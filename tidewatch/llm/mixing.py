@@ -126,7 +126,8 @@ def _flyer(landing: bool):
 
 
 def _fly(pdf: pd.DataFrame, landing: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["key"], kind="stable").reset_index(drop=True)
+    # Long documents settle first, so that short ones are left for the landing.
+    pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
     size = pdf["size"].to_numpy(np.float64)
     p = flight(pdf["p"].to_numpy(), np.stack([size / max(size.max(), 1.0), np.ones(len(size))]))
     if landing:
