@@ -38,6 +38,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 6
 SKETCH_BITS = 512
 THRESHOLD = 85
+#: Ids of documents in pairs are sent to every task up to this many (some MB); more are joined by a shuffle.
+SENT_IDS = 400_000
 #: A sketch passes a pair if its estimate of the similarity is this much below the threshold at most.
 SKETCH_SLACK = 0.15
 
@@ -156,15 +158,17 @@ def _sets(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirm(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
     """Those of (a, b) whose full sets pass; the sets are made again, of documents in pairs only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "neardup-ids")
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
     sets = stored(_sets(slim, "text", "doc_id", size), "neardup-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     # 100 i >= t (total - i)  <=>  (100 + t) i >= t total
-    return both.filter(common * (100 + threshold) >= F.lit(threshold) * total).select("a", "b").distinct()
+    return both.filter(common * (100 + threshold) >= F.lit(threshold) * total).select("a", "b")
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -187,7 +191,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
         return near.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)).select("a", "b")
 
     stars = stored(near(posted.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "neardup-stars")
-    links = stored(_confirm(stars, slim, docs, text, doc_id, size, threshold), "neardup-links")
+    links = stored(_confirm(stars, docs, text, doc_id, size, threshold), "neardup-links")
     first = stored(components(links, "a", "b"), "neardup-first")
 
     # Buckets of several components: members across components.
@@ -200,7 +204,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     across = x.join(y, (x["band"] == y["band"]) & fits).select("a", "b").distinct()
     across = stored(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "neardup-candidates")
     if across.head(1):
-        links = links.unionByName(_confirm(across, slim, docs, text, doc_id, size, threshold))
+        links = links.unionByName(_confirm(across, docs, text, doc_id, size, threshold))
     # A doc_id on several rows with different sets is one node.
     member = full.join(reps.select(*same, F.col("doc_id").alias("rep"), "copies"), same).select("doc_id", "rep", "copies")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
