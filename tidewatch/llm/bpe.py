@@ -1,7 +1,7 @@
 """BPE encoding and decoding by speculation and verification.
 
-A text is cut into white-space chunks and those into pre-tokens; equal chunks are encoded once per
-worker.  For a pre-token, greedy longest match *proposes* pieces.  A sequence of pieces is the one that merging
+A text is normalised and split into pre-tokens; a worker encodes equal pre-tokens once while it remembers
+them.  For a pre-token, greedy longest match *proposes* pieces.  A sequence of pieces is the one that merging
 by rank gives if and only if every two neighbours, encoded together, stay as they are; all
 neighbouring pairs of a batch's proposals are checked at once against a table of pairs already judged
 (sorted 64-bit keys), and pairs not yet judged are judged once, by merging the two alone.  Only pre-tokens with a failing
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import ship
 from tidewatch.llm.textvec import pieces
 
-#: Chunks a worker remembers; then it forgets those met in one batch only (all, if that isn't enough).
-MEMORY_CHUNKS = 400_000
+#: Pre-tokens a worker remembers; then it forgets those met in one batch only (all, if that isn't enough).
+MEMORY_WORDS = 500_000
 PAIRS_MEMORY = 2_000_000
 LONGEST_REMEMBERED = 64
 
@@ -67,7 +67,6 @@ class SpeculativeBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.white = regex.compile(r"[\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.symbol = _byte_symbols()
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         #: Only pieces that merging can make (or single symbols) may be proposed.
@@ -77,9 +76,8 @@ class SpeculativeBpe:
         self.longest = max(map(len, made))
         self.good = np.zeros(0, np.uint64)
         self.bad = np.zeros(0, np.uint64)
-        self.chunks: dict[str, tuple[str, int, str]] = {}
         self.once: set[str] = set()
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
 
     # -- exact merging -------------------------------------------------------------------------
     def merge(self, ids: list[int]) -> list[int]:
@@ -157,27 +155,12 @@ class SpeculativeBpe:
             found[k] = self.merge([*(self.vocab[c] for c in w[:-1]), self.vocab[w[-1] + self.suffix]])
         return found
 
-    def learn(self, chunks: list[str]) -> dict[str, tuple[str, int, str]]:
-        """(ids as text, their number, decoded text) of each new white-space chunk."""
-        find, norm = self.split.findall, unicodedata.normalize
-        cut = [find(c.lower() if c.isascii() else "".join([x.lower() for x in norm("NFC", c)])) for c in chunks]
-        if len(self.words) > MEMORY_CHUNKS // 2:
-            self.words = {}
-        words = self.words
-        new = list({w for row in cut for w in row if w not in words})
-        symbol = self.symbol.__getitem__
-        made = self.encode_words([w if w.isalpha() and w.isascii() else "".join(map(symbol, w.encode())) for w in new])
-        name = self.text_of.__getitem__
-        for w, ids in zip(new, made, strict=True):
-            words[w] = (" ".join(map(str, ids)), len(ids), " ".join(map(name, ids)))
-        out = {}
-        for c, row in zip(chunks, cut, strict=True):
-            if len(row) == 1:
-                out[c] = words[row[0]]
-            else:
-                got = [words[w] for w in row]
-                out[c] = (" ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got]))
-        return out
+    def learn(self, words: list[str]) -> None:
+        """Remember (ids as text, decoded text) of each new pre-token."""
+        symbol, name, known = self.symbol.__getitem__, self.text_of.__getitem__, self.words
+        made = self.encode_words([w if w.isalpha() and w.isascii() else "".join(map(symbol, w.encode())) for w in words])
+        for w, ids in zip(words, made, strict=True):
+            known[w] = (" ".join(map(str, ids)), " ".join(map(name, ids)))
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is an added token, text), in order."""
@@ -193,41 +176,47 @@ class SpeculativeBpe:
         if at < len(text):
             yield False, text[at:]
 
-    def white_chunks(self, text: str) -> list[str]:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [x for x in self.white.split(text) if x]
-        return text.split()
+    def pre_tokens(self, text: str) -> list[str]:
+        """Normalised (NFC, lower case letter by letter) and split; white space is dropped."""
+        if not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
+            # Only the capital sigma's lower case depends on its place in a whole string.
+            text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+        else:
+            text = text.lower()
+        return self.split.findall(text)
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         """(ids joined by spaces, number of ids, decoded text) of each text."""
-        cut = [[(special, [s] if special else self.white_chunks(s)) for special, s in self.segments(t or "")] for t in texts]
+        cut = [[(special, [s] if special else self.pre_tokens(s)) for special, s in self.segments(t or "")] for t in texts]
         met: set[str] = set()
         for row in cut:
-            for special, cs in row:
+            for special, ws in row:
                 if not special:
-                    met.update(cs)
+                    met.update(ws)
         self.once -= met
-        todo = [c for c in met if c not in self.chunks]
-        if len(self.chunks) + len(todo) > MEMORY_CHUNKS:
-            for c in self.once:
-                del self.chunks[c]
-            if len(self.chunks) > MEMORY_CHUNKS // 2:
-                self.chunks, todo = {}, list(met)
+        known = self.words
+        todo = [w for w in met if w not in known]
+        if len(known) + len(todo) > MEMORY_WORDS:
+            for w in self.once:
+                del known[w]
+            if len(known) > MEMORY_WORDS // 2:
+                known.clear()
+                todo = list(met)
             self.once = set()
-        known = self.chunks
-        known.update(self.learn(todo))
+        self.learn(todo)
         self.once.update(todo)
         out = []
         for row in cut:
-            if len(row) == 1 and not row[0][0]:
-                got = [known[c] for c in row[0][1]]
+            got = [(str(self.added[w]), w) if special else known[w] for special, ws in row for w in ws] if len(row) > 1 or row[0][0] else [known[w] for w in row[0][1]]
+            if got:
+                ids, names = zip(*got, strict=True)
+                ids = " ".join(ids)
+                out.append((ids, ids.count(" ") + 1, " ".join(names)))
             else:
-                got = [(str(self.added[cs[0]]), 1, cs[0]) if special else known[c] for special, cs in row for c in (cs if not special else cs[:1])]
-            got = [g for g in got if g[1]]
-            out.append((" ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])))
-        for c in [c for c in todo if len(c) > LONGEST_REMEMBERED]:
-            del known[c]
-            self.once.discard(c)
+                out.append(("", 0, ""))
+        for w in [w for w in todo if len(w) > LONGEST_REMEMBERED]:
+            del known[w]
+            self.once.discard(w)
         return out
 
 
