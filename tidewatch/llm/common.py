@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -65,3 +65,16 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def sample_by(rows: DataFrame, group: str, most: int, doc_id: str = "doc_id") -> DataFrame:
+    """At most `most` rows of each group, those whose hashed ids are smallest (repeated ids count each).
+
+    A threshold on the hash, from the groups' counts, leaves about that many before they are ranked, so that a hot group
+    isn't sorted whole.
+    """
+    share = rows.groupBy(group).agg((F.lit(1.2 * most + 50) / F.count(F.lit(1))).alias("share_"))
+    hashed = rows.withColumn("u_", F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    near = hashed.join(share, group).filter("u_ <= share_")
+    ranked = near.withColumn("rank_", F.row_number().over(Window.partitionBy(group).orderBy("u_", doc_id)))
+    return ranked.filter(F.col("rank_") <= most).drop("u_", "share_", "rank_")

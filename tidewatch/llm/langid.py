@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import load, remainder, ship, stored
+from tidewatch.llm.common import load, remainder, sample_by, ship, stored
 from tidewatch.llm.textvec import _BASE, _BASE_INV, LETTERS, HashIndex, hash_bytes, mix, pieces, sums, words_of
 
 DOCS_PER_LANGUAGE = 1_500
@@ -143,9 +143,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter((remainder("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= DOCS_PER_LANGUAGE).select("doc_id").distinct()
-    chosen = stored(chosen, "language-sample")
+    chosen = stored(sample_by(rows.select("doc_id", "lang"), "lang", DOCS_PER_LANGUAGE).select("doc_id").distinct(), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):

@@ -25,10 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import load, remainder, ship, stored
+from tidewatch.llm.common import load, remainder, sample_by, ship, stored
 from tidewatch.llm.textvec import ALNUM, HashIndex, Words, pieces, words_of
 
 LABELLED_ROWS = 12_000
@@ -151,8 +151,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit a Model on docs (doc_id, text) joined with labels (doc_id, toxic)."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marked = marked.filter(remainder("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = stored(marked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= LABELLED_ROWS).select("doc_id", "toxic"), "toxicity-labelled", 1)
+    chosen = stored(sample_by(marked, "toxic", LABELLED_ROWS).select("doc_id", "toxic"), "toxicity-labelled", 1)
     # At most 2 * LABELLED_ROWS ids: a bounded broadcast.
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-texts")
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
