@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.common import load, remainder, sample_by, ship, stored
 from tidewatch.llm.textvec import _BASE, _BASE_INV, LETTERS, HashIndex, hash_bytes, mix, pieces, sums, words_of
@@ -219,19 +220,20 @@ class WordScores:
         return out
 
 
-SCHEMA = "doc_id long, lang_pred string, score double, n_words long"
+RESULTS = "lang_pred string, score double, n_words long"
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Best language of every row and its posterior, tempered by the square root of the number of words."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, then the best language of every row and its posterior, tempered by the square root of the number of words."""
     ship(docs.sparkSession)
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "n_words"))
     languages, p = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(HashIndex(np.array([hash_bytes(v) for v in vocabulary()], np.uint64)), p) if languages else None
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, text):
             n = part.num_rows
-            low = _lowered(part)
+            low = _lowered(part, text)
             words = words_of(low, LETTERS, lower=False, hashed=False)
             start, end, first = _stretches(words)
             count = np.diff(first)
@@ -250,9 +252,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 has = (count > 0) & ascii_letter
                 pred[has], sure[has] = best[has], (odds.max(axis=1) / odds.sum(axis=1))[has]
             names = np.array([*languages, "und"], object)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[pred].tolist(), pa.string()), pa.array(sure), pa.array(count.astype(np.int64))], names=["doc_id", "lang_pred", "score", "n_words"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names[pred].tolist(), pa.string()), pa.array(sure), pa.array(count.astype(np.int64))], names=[*keep, "lang_pred", "score", "n_words"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(RESULTS).fields)
+    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

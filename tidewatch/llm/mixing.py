@@ -29,6 +29,8 @@ GROUP_ROWS = 4_000
 #: Remainders of a later flight, about.
 FAN_IN = 500
 WEIGHTS = (5, 2, 1)
+#: Copies by row are sent to every task up to this many rows (some tens of MB); more are joined by a shuffle.
+SENT_ROWS = 400_000
 MOST_TIMES = 3
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -137,11 +139,17 @@ def _fly(pdf: pd.DataFrame, landing: bool) -> pd.DataFrame:
     return pdf[["source", "source_null", "key", "size", "p", "final"]]
 
 
+def _row_key(doc_id: str, text: str, source: str) -> Column:
+    """Equal for rows equal in id, text and source; those are told apart by a running number where it matters."""
+    part = lambda c: F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part(doc_id), part(text), part(source)).cast("binary")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_TIMES, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of every row: what the mix takes."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit("\0"))).alias("digest"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), _row_key(doc_id, text, source).alias("key"))
     rows = stored(rows, "mix-sizes")
     by = targets(rows, weights, share, most)
     # The table of sources goes to every task only if the planner finds it small.
@@ -149,8 +157,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     m = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     full = full.withColumn("m", F.when(F.abs(m - F.round(m)) < 1e-12, F.round(m)).otherwise(m))
     full = full.withColumn("whole", F.floor("m").cast("long")).withColumn("p", F.col("m") - F.floor("m"))
-    # Equal (doc_id, text) rows get the same key; they are told apart by a number within their group.
-    full = full.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "digest"))))
     full = stored(full.select("doc_id", "source", "size", "source_size", "n_docs", "target", "whole", "p", "key"), "mix-rows")
     open_ = full.filter((F.col("p") > _EPS) & (F.col("size") > 0))
     groups = F.ceil(F.col("n_docs") / F.lit(GROUP_ROWS))
@@ -183,6 +189,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     return joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "key")
 
 
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, columns unchanged."""
+    columns = docs.columns
+    plan = stored(mix(docs, text=text, source=source, doc_id=doc_id, **options).select("key", "copies"), "mix-plan")
+    keyed = docs.withColumn("key_", _row_key(doc_id, text, source))
+    once = plan.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    once = stored(once.filter("copies > 0").select(F.col("key").alias("key_"), "rows", "copies"), "mix-copies")
+    if once.count() <= SENT_ROWS:
+        once = F.broadcast(once)
+    got = keyed.join(once, "key_")
+    # Rows that share a key share its copies: each takes the whole part, the first ones one more.
+    single = got.filter("rows = 1")
+    shared = got.filter("rows > 1")
+    order = Window.partitionBy("key_").orderBy(*[F.col(c) for c in columns if c != text])
+    shared = shared.withColumn("k_", F.row_number().over(order)).withColumn("copies", F.floor(F.col("copies") / F.col("rows")).cast("long") + (F.col("k_") <= F.col("copies") % F.col("rows")).cast("long")).drop("k_").filter("copies > 0")
+    out = single.unionByName(shared)
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: sizes, targets and taken words of every document."""
     return mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import load, ship, stored
@@ -217,6 +217,23 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """One row of each group of near-duplicates, columns unchanged: the row whose id is the group's smallest."""
+    found = stored(link(docs, text, doc_id, **options).select("doc_id", "kept"), "neardup-kept")
+    away = stored(found.filter("NOT kept").select("doc_id").distinct(), "neardup-away")
+    again = stored(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "neardup-again")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    on = lambda ids: docs[doc_id].cast("long") == ids["doc_id"]
+    rest = docs.join(small(away), on(away), "left_anti")
+    if not again.head(1):
+        return rest
+    # Rows that repeat an id: the first of them stays.
+    order = Window.partitionBy(F.col(doc_id)).orderBy(F.xxhash64(F.col(text)), *[F.col(c) for c in docs.columns if c != text])
+    twice = rest.join(small(again), rest[doc_id].cast("long") == again["doc_id"], "left_semi")
+    first = twice.withColumn("k_", F.row_number().over(order)).filter("k_ = 1").drop("k_")
+    return rest.join(small(again), rest[doc_id].cast("long") == again["doc_id"], "left_anti").unionByName(first)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: component of every document."""
     return link(load(spark, sf_dir, "documents").select("doc_id", "text"))

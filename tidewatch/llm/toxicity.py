@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.common import load, remainder, sample_by, ship, stored
 from tidewatch.llm.textvec import ALNUM, HashIndex, Words, pieces, words_of
@@ -225,18 +226,19 @@ def _statistics(model: Model):
     return run
 
 
-SCHEMA = "doc_id long, score double, predicted int, n_words long, bits double, passages array<struct<start_word:long,end_word:long,e_value:double>>"
+RESULTS = "score double, predicted int, n_words long, bits double, passages array<struct<start_word:long,end_word:long,e_value:double>>"
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Probability, prediction and significant passages of every row."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, then probability, prediction and significant passages of every row."""
     ship(docs.sparkSession)
+    keep = tuple(c for c in keep if c not in ("score", "predicted", "n_words", "bits", "passages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = HashIndex(model.keys)
         kind = pa.list_(pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("e_value", pa.float64())]))
-        for part in pieces(batches, "text"):
-            words = words_of(part.column("text"), ALNUM)
+        for part in pieces(batches, text):
+            words = words_of(part.column(text), ALNUM)
             n = words.counts
             bits, passages = np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
             for d, segments in segments_of(words, index, model):
@@ -244,11 +246,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
                 passages[d] = [{"start_word": s, "end_word": e, "e_value": v} for s, e, v in kept]
             p = model.probability(bits, n)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(p), pa.array((p >= CUT).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(bits), pa.array(passages, kind)],
-                names=["doc_id", "score", "predicted", "n_words", "bits", "passages"],
+                [*(part.column(c) for c in keep), pa.array(p), pa.array((p >= CUT).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(bits), pa.array(passages, kind)],
+                names=[*keep, "score", "predicted", "n_words", "bits", "passages"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(RESULTS).fields)
+    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
