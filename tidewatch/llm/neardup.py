@@ -1,19 +1,20 @@
 """MinHash near-duplicates with odd sketches.
 
 Texts with equal shingle sets are one *representative* from the start.  Each representative has
-``BANDS * ROWS`` MinHash values; bands of ROWS of them are bucket keys.  The MinHash sample is also folded into an
+SAMPLES MinHash values; bands of ROWS of them are bucket keys.  The MinHash sample is also folded into an
 odd sketch, a parity bitmap: the population count of two sketches' XOR estimates how many samples differ,
 most precisely where the similarity is high, and so judges a bucket's pairs without their sets.  What
 passes is confirmed on full shingle sets.
 
-1. In each bucket every member is compared with the bucket's smallest one (linear in the bucket).  Confirmed links give
-   first components.
+1. In each bucket every member is compared with the bucket's most central one, whose buckets are the fullest (linear in
+   the bucket).  Confirmed links give first components.
 2. Buckets that still hold several components compare members *across* components, by a join whose
    condition is the sketch test, so that only promising pairs leave it and Spark may split hot buckets.
    Confirmed links are added.  Pairs within a component need no look: they are connected already.
 
 So no bucket is capped and no link that shares a band is lost.  A pair at similarity 0.85 shares none of the bands
-with probability (1 - 0.85**6)**24 = 1e-5, and the sketch rejects it with probability below 1e-6.
+with probability (1 - 0.85**6)**24 = 1e-5, and the sketch, whose estimate has a standard error of 0.023 there, rejects it with
+probability 5e-5.
 
 Contract of ``link``: a text's words are parted by white space after A-Z are lower-cased; its
 set holds distinct runs of SHINGLE words (the whole sequence where there are fewer).  Null and empty texts have
@@ -36,14 +37,16 @@ from tidewatch.llm.textvec import Words, mix, pieces, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
-SKETCH_BITS = 512
+#: MinHash values in all: those of the bands, and more for the sketch alone.
+SAMPLES = 256
+SKETCH_BITS = 1024
 THRESHOLD = 85
 #: Ids of documents in pairs are sent to every task up to this many (some MB); more are joined by a shuffle.
 SENT_IDS = 400_000
 #: A sketch passes a pair if its estimate of the similarity is this much below the threshold at most.
-SKETCH_SLACK = 0.15
+SKETCH_SLACK = 0.09
 
-_MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_MULTIPLIERS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _M32 = (_MULTIPLIERS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _A32 = _MULTIPLIERS.astype(np.uint32)
 
@@ -74,13 +77,13 @@ def shingle_hashes(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 
 def minhashes(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(BANDS * ROWS) x texts of 32-bit minima; texts with empty sets get the largest value."""
+    """SAMPLES x texts of 32-bit minima; texts with empty sets get the largest value."""
     low, n = sets.astype(np.uint32) ^ (sets >> np.uint64(32)).astype(np.uint32), len(first) - 1
-    out = np.full((BANDS * ROWS, n), 0xFFFFFFFF, np.uint32)
+    out = np.full((SAMPLES, n), 0xFFFFFFFF, np.uint32)
     filled = np.flatnonzero(first[1:] > first[:-1])
     if len(filled):
         starts, step = first[filled], np.empty(len(low), np.uint32)
-        for k in range(BANDS * ROWS):
+        for k in range(SAMPLES):
             np.multiply(low, _M32[k], out=step)
             step += _A32[k]
             step ^= step >> np.uint32(15)
@@ -99,7 +102,7 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 
 def sketch_limit(threshold: int = THRESHOLD) -> int:
     """Most differing bits of two sketches that may still belong to a link."""
-    differ = 2 * BANDS * ROWS * (1 - threshold / 100 + SKETCH_SLACK)
+    differ = 2 * SAMPLES * (1 - threshold / 100 + SKETCH_SLACK)
     return int(SKETCH_BITS / 2 * (1 - np.exp(-2 * differ / SKETCH_BITS))) + 4
 
 
@@ -112,7 +115,7 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
             sets, first = shingle_hashes(words_of(part.column("text")), size)
             n = part.num_rows
             samples = minhashes(sets, first)
-            banded = samples.reshape(BANDS, ROWS, n).astype(np.uint64)
+            banded = samples[: BANDS * ROWS].reshape(BANDS, ROWS, n).astype(np.uint64)
             keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[:, None], (BANDS, n)).copy()
             for r in range(ROWS):
                 keys = mix(keys * np.uint64(0x100000001B3) + banded[:, r])
@@ -179,8 +182,12 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     # Equal sets: the smallest id stands for all.
     reps = stored(full.groupBy(*same).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"), F.count(F.lit(1)).alias("copies")).select(*same, "copies", "x.doc_id", "x.bands", "x.sketch"), "neardup-representatives")
     posted = reps.select("doc_id", F.explode("bands").alias("band"))
-    led = posted.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader <> last").select("band", "leader")
-    posted = stored(posted.join(led, "band"), "neardup-buckets")
+    sizes = posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    posted = stored(posted.join(sizes, "band"), "neardup-buckets")
+    # The most central member leads: its buckets are the fullest, so that most near copies of one text link with it.
+    weight = posted.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    leaders = posted.join(weight, "doc_id").groupBy("band").agg(F.max(F.struct(F.col("weight"), -F.col("doc_id"))).alias("top")).select("band", (-F.col("top.col2")).alias("leader"))
+    posted = posted.select("band", "doc_id")
     slim = reps.select("doc_id", "n_shingles", "sketch")
     limit = sketch_limit(threshold)
 
@@ -190,7 +197,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
         near = near.join(slim.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb")), "b")
         return near.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)).select("a", "b")
 
-    stars = stored(near(posted.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "neardup-stars")
+    stars = stored(near(posted.join(leaders, "band").filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "neardup-stars")
     links = stored(_confirm(stars, docs, text, doc_id, size, threshold), "neardup-links")
     first = stored(components(links, "a", "b"), "neardup-first")
 
