@@ -1,11 +1,490 @@
-"""Registry of the engine's queries and their SQL twins."""
+"""Registry of the engine's queries and their SQL twins.
+
+A query takes (spark, sf_dir).  Doubles are rounded alike on both sides.  SEED windows of each series seed its baseline.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewatch.config import FEATURES, Settings
+from tidewatch.functions import scalars
+from tidewatch.operators import baseline, correlate, evaluate, features, mitigate, packets, rules, scan, simulate
+from tidewatch.plans import detector, twins
+from tidewatch.plans.twins import FLOWS, LONG, ORDER_FLOWS, RULE_EVENTS, build, rounded
+from tidewatch.sources import telemetry
+from tidewatch.sources.adapters import event_flows, micros, order_flows, table
+
+#: Hourly windows; thresholds fit the sparse event table.
+S = Settings().scaled(3600.0, incomplete_per_source=4, incomplete_per_subnet=12, slow_tiny=2, slow_many=4, rate_start=0.0005, agents_least_flows=20, burst_sources=10, timing_sources=8, timing_cv=0.5, tau_z=2.0, theta=2.0)
+#: Monthly windows over order lines.
+O = Settings().scaled(2_592_000.0)
+SEED = 48
+KEYS = ["stream_id", "wid"]
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
+
+
+BASE = build(FLOWS)
+FEATS = (FLOWS, twins.features(S))
+DET = (*FEATS, LONG, twins.seed(SEED), twins.detected(S, SEED))
+RULES_SQL = (*FEATS, twins.rules(S), twins.spikes(S), RULE_EVENTS)
+FULL = (*DET, twins.rules(S), twins.spikes(S), RULE_EVENTS, twins.weights(S), "live AS MATERIALIZED (SELECT DISTINCT stream_id, wid FROM det)", "all_events AS MATERIALIZED (SELECT stream_id, wid, feature AS feature_id, ord, least(abs(z) / 5.0::DOUBLE, 1) AS confidence FROM det WHERE accumulator > %s UNION ALL SELECT e.* FROM rule_events e JOIN live USING (stream_id, wid))" % S.theta)
+#: A score series of its own for the state machines: a slow wave with jitter, exact in both engines.
+WAVE = "wave AS (SELECT stream_id, wid, least(abs((wid % 80) - 40) / 40.0::DOUBLE + (n % 5) / 50.0::DOUBLE, 1) AS score FROM (SELECT stream_id, wid, count(*) AS n FROM flows GROUP BY ALL))"
+
+
+def _flows(spark: SparkSession, d: str) -> DataFrame:
+    return event_flows(spark, d)
+
+
+def _feats(spark: SparkSession, d: str) -> DataFrame:
+    return features.features(_flows(spark, d), S)
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    return features.long_form(_feats(spark, d))
+
+
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    return detector.deviations(_feats(spark, d), S, SEED)
+
+
+def _wave(spark: SparkSession, d: str) -> DataFrame:
+    by = _flows(spark, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return by.select(*KEYS, F.least(F.abs(F.col("wid") % 80 - 40) / 40.0 + F.col("n") % 5 / 50.0, F.lit(1.0)).alias("score"))
+
+
+# -- features ---------------------------------------------------------------------------------------
+
+
+@_query("features_window", build(*FEATS) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES)} FROM feats")
+def _(spark, d):
+    return _round(_feats(spark, d), *FEATURES)
+
+
+@_query("features_orders", build(ORDER_FLOWS, twins.features(O)) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES)} FROM feats")
+def _(spark, d):
+    return _round(features.features(order_flows(spark, d), O), *FEATURES)
+
+
+@_query("feature_entropy", BASE + "SELECT stream_id, wid, round(-sum(c / n * log2(c / n)) + 0, 6) AS entropy FROM (SELECT stream_id, wid, c, sum(c) OVER (PARTITION BY stream_id, wid) AS n FROM (SELECT stream_id, wid, country_code, count(*) AS c FROM flows GROUP BY ALL)) GROUP BY ALL")
+def _(spark, d):
+    return _round(features.entropy(_flows(spark, d), KEYS, F.col("country_code")), "entropy")
+
+
+@_query("feature_spine_zero_fill", build(*FEATS, "spine AS (SELECT DISTINCT f.stream_id, g.wid FROM feats f, (SELECT DISTINCT wid FROM feats) g)") + f"SELECT s.stream_id, s.wid, coalesce(n_flows, 0) AS n_flows, {', '.join(f'round(CAST(coalesce({f}, 0) AS DOUBLE), 6) AS {f}' for f in FEATURES)} FROM spine s LEFT JOIN feats USING (stream_id, wid)")
+def _(spark, d):
+    found = _feats(spark, d)
+    streams = found.groupBy().agg(F.collect_set("stream_id").alias("s"))  # a few names
+    spine = found.select("wid").distinct().join(F.broadcast(streams)).select(F.explode("s").alias("stream_id"), "wid")
+    return _round(features.on_spine(found, spine), *FEATURES)
+
+
+@_query("geo_shift_lag", build(*FEATS) + f"SELECT stream_id, wid, {rounded(['geographic_entropy', 'geo_distribution_shift_rate'])} FROM feats")
+def _(spark, d):
+    return _round(_feats(spark, d).select(*KEYS, "geographic_entropy", "geo_distribution_shift_rate"), "geographic_entropy", "geo_distribution_shift_rate")
+
+
+@_query("feature_long_form", build(*FEATS, LONG) + "SELECT stream_id, wid, feature, CAST(ord AS INTEGER) AS ord, round(value, 6) AS value FROM long")
+def _(spark, d):
+    return _round(_long(spark, d), "value")
+
+
+# -- rules ------------------------------------------------------------------------------------------
+
+
+@_query("rule_connection_exhaustion", build(*FEATS, twins.rules(S)) + "SELECT * FROM exhausted")
+def _(spark, d):
+    return rules.connection_exhaustion(_flows(spark, d), S)
+
+
+@_query("rule_slowloris", build(*FEATS, twins.rules(S)) + "SELECT * FROM slow")
+def _(spark, d):
+    return rules.slow_requests(_flows(spark, d), S)
+
+
+@_query("rule_ua_homogeneity", build(*FEATS, twins.rules(S)) + "SELECT * FROM agents")
+def _(spark, d):
+    return rules.agent_homogeneity(_flows(spark, d), S)
+
+
+@_query("rule_distributed", build(*FEATS, twins.rules(S)) + "SELECT stream_id, wid, max_sources, n_sources, round(cv, 6) AS cv, burst, synchronised FROM many")
+def _(spark, d):
+    return _round(rules.distributed(_flows(spark, d), S), "cv")
+
+
+@_query("rule_http_flood_state", build(*FEATS, twins.spikes(S), recursive=True) + "SELECT stream_id, wid, round(rate_baseline, 9) AS rate_baseline, fired FROM spike")
+def _(spark, d):
+    return _round(rules.request_spike(_flows(spark, d), S), "rate_baseline", digits=9)
+
+
+@_query("rule_events", build(*RULES_SQL, recursive=True) + "SELECT stream_id, wid, feature_id, CAST(ord AS INTEGER) AS ord, confidence FROM rule_events")
+def _(spark, d):
+    return rules.rule_events(_flows(spark, d), S)
+
+
+# -- baselines and scans ------------------------------------------------------------------------------
+
+
+@_query("baseline_seed_stats", build(*FEATS, LONG, twins.seed(SEED)) + "SELECT stream_id, feature, round(seed_mean, 6) AS seed_mean, round(seed_var, 6) AS seed_var, seed_n FROM seed")
+def _(spark, d):
+    return _round(baseline.seed_statistics(_long(spark, d), SEED), "seed_mean", "seed_var")
+
+
+_HOURLY = "obs AS MATERIALIZED (SELECT 'all' AS stream_id, event_type AS feature, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS dow, event_id, value FROM events)"
+_CONTEXTS = """ranked_obs AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY stream_id, feature, hour, dow) AS n FROM obs WINDOW w AS (PARTITION BY stream_id, feature, hour, dow ORDER BY value)),
+quart AS (SELECT stream_id, feature, hour, dow, n, max(CASE WHEN rn = n // 4 + 1 THEN value END) AS q1, max(CASE WHEN rn = n // 2 + 1 THEN value END) AS q2, max(CASE WHEN rn = (3 * n) // 4 + 1 THEN value END) AS q3 FROM ranked_obs WHERE n >= 5 GROUP BY ALL),
+contexts AS MATERIALIZED (SELECT stream_id, feature, hour, dow, avg(value) AS mean, var_pop(value) AS variance, count(*) AS n FROM obs JOIN quart USING (stream_id, feature, hour, dow) WHERE value BETWEEN q2 - 1.5 * (q3 - q1) AND q2 + 1.5 * (q3 - q1) GROUP BY ALL),
+overall AS (SELECT stream_id, feature, avg(mean) AS mean, avg(variance) AS variance, sum(n) AS n FROM contexts GROUP BY ALL)"""
+
+
+def _observations(spark, d) -> DataFrame:
+    hour, dow = scalars.context("ts")
+    return table(spark, d, "events").select(F.lit("all").alias("stream_id"), F.col("event_type").alias("feature"), hour.alias("hour"), dow.alias("dow"), "event_id", "value")
+
+
+@_query("baseline_iqr_context", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, hour, dow, round(mean, 6) AS mean, round(variance, 6) AS variance, n FROM contexts")
+def _(spark, d):
+    return _round(baseline.learned_contexts(_observations(spark, d), 5), "mean", "variance")
+
+
+@_query("baseline_global", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, round(mean, 6) AS mean, round(variance, 6) AS variance, CAST(n AS BIGINT) AS n FROM overall")
+def _(spark, d):
+    return _round(baseline.learned_overall(baseline.learned_contexts(_observations(spark, d), 5)), "mean", "variance")
+
+
+@_query("baseline_fallback_join", build(_HOURLY, _CONTEXTS) + "SELECT event_id, round(coalesce(c.mean, o.mean, 0), 6) AS mean, round((value - coalesce(c.mean, o.mean, 0)) / greatest(sqrt(greatest(coalesce(c.variance, o.variance, 1), 0)), 1e-9), 6) AS z FROM obs LEFT JOIN contexts c USING (stream_id, feature, hour, dow) LEFT JOIN overall o USING (stream_id, feature)")
+def _(spark, d):
+    rows = _observations(spark, d)
+    contexts = baseline.learned_contexts(rows, 5)
+    return _round(baseline.looked_up(rows, contexts, baseline.learned_overall(contexts), S), "mean", "z").select("event_id", "mean", "z")
+
+
+_DAILY = "daily AS (SELECT event_type AS key, epoch_us(ts) // 86400000000 AS t, CAST(sum(value) AS DOUBLE) AS x FROM events GROUP BY ALL), dr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) AS rn FROM daily)"
+
+
+def _daily(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_type").alias("key"), F.floor(micros() / 86_400_000_000).cast("long").alias("t"), "value").groupBy("key", "t").agg(F.sum("value").alias("x"))
+
+
+@_query("ewma_post_zscore", build(_DAILY, "e AS (SELECT key, t, rn, x, x AS mean, 0.0::DOUBLE AS variance, 0.0::DOUBLE AS z FROM dr WHERE rn = 1 UNION ALL SELECT key, t, rn, x, mean, variance, CASE WHEN variance > 0 THEN (x - mean) / sqrt(variance) ELSE 0 END FROM (SELECT key, t, rn, x, mean, 0.3::DOUBLE * power(x - mean, 2) + 0.7::DOUBLE * pv AS variance FROM (SELECT d.key, d.t, d.rn, d.x, 0.3::DOUBLE * d.x + 0.7::DOUBLE * e.mean AS mean, e.variance AS pv FROM e JOIN dr d ON d.key = e.key AND d.rn = e.rn + 1)))", recursive=True) + f"SELECT key, t, {rounded(['x', 'mean', 'variance', 'z'], 4)} FROM e")
+def _(spark, d):
+    return _round(scan.ewma_native(_daily(spark, d), ["key"], "t", "x", 0.3), "x", "mean", "variance", "z", digits=4).drop("n")
+
+
+@_query("ewma_zscore", build(*DET, recursive=True) + "SELECT stream_id, wid, feature, round(value, 6) AS value, round(mean, 6) AS mean, round(variance, 6) AS variance, round(z, 5) AS z FROM det")
+def _(spark, d):
+    out = _round(_detected(spark, d), "value", "mean", "variance")
+    return _round(out, "z", digits=5).drop("ord", "accumulator", "confirmed")
+
+
+@_query("leaky_accumulator", build(*DET, recursive=True) + f"SELECT stream_id, wid, feature, round(accumulator, 4) AS accumulator, accumulator > {S.theta} AS confirmed FROM det")
+def _(spark, d):
+    return _round(_detected(spark, d).select(*KEYS, "feature", "accumulator", "confirmed"), "accumulator", digits=4)
+
+
+@_query("leaky_native", build(_DAILY, "zs AS MATERIALIZED (SELECT key, t, rn, (x - avg(x) OVER (PARTITION BY key)) / stddev_pop(x) OVER (PARTITION BY key) AS z FROM dr), l AS (SELECT key, t, rn, z, CASE WHEN abs(z) > 1 THEN abs(z) - 1 ELSE 0 END AS a FROM zs WHERE rn = 1 UNION ALL SELECT q.key, q.t, q.rn, q.z, CASE WHEN abs(q.z) > 1 THEN l.a + (abs(q.z) - 1) ELSE l.a * 0.8::DOUBLE END FROM l JOIN zs q ON q.key = l.key AND q.rn = l.rn + 1)", recursive=True) + "SELECT key, t, round(a, 5) AS accumulator, a > 1.5 AS confirmed FROM l")
+def _(spark, d):
+    w = Window.partitionBy("key")
+    z = _daily(spark, d).withColumn("z", (F.col("x") - F.avg("x").over(w)) / F.stddev_pop("x").over(w))
+    return _round(scan.leaky_native(z, ["key"], "t", "z", Settings(tau_z=1.0, theta=1.5)), "accumulator", digits=5).drop("z")
+
+
+# -- correlation ----------------------------------------------------------------------------------------
+
+
+@_query("anomaly_events", build(*DET, recursive=True) + f"SELECT stream_id, wid, feature AS feature_id, CAST(ord AS INTEGER) AS ord, round(least(abs(z) / 5.0::DOUBLE, 1), 5) AS confidence FROM det WHERE accumulator > {S.theta}")
+def _(spark, d):
+    return _round(correlate.anomaly_events(_detected(spark, d)), "confidence", digits=5)
+
+
+@_query("weights_left_join", build(*RULES_SQL, twins.weights(S), recursive=True) + f"SELECT stream_id, wid, feature_id, coalesce(weight, {S.default_weight}::DOUBLE) AS weight FROM (SELECT stream_id, wid, CASE WHEN ord = 19 THEN 'unlisted' ELSE feature_id END AS feature_id FROM rule_events) LEFT JOIN weights USING (feature_id)")
+def _(spark, d):
+    e = rules.rule_events(_flows(spark, d), S).withColumn("feature_id", F.when(F.col("ord") == 19, "unlisted").otherwise(F.col("feature_id")))
+    return correlate.weighted(e, S).select(*KEYS, "feature_id", "weight")
+
+
+@_query("correlation_score", build(*FULL, twins.scored(S, "all_events"), recursive=True) + f"SELECT stream_id, wid, round(score, 5) AS score, boosted, {twins.tier('score', S)} AS tier FROM scored JOIN live USING (stream_id, wid)")
+def _(spark, d):
+    return _round(detector.run(_flows(spark, d), S, SEED).scored, "score", digits=5)
+
+
+@_query("template_boost", build(*RULES_SQL, twins.weights(S), twins.scored(S, "rule_events"), recursive=True) + "SELECT stream_id, wid, round(score, 6) AS score, boosted FROM scored")
+def _(spark, d):
+    flows = _flows(spark, d)
+    spine = flows.select(*KEYS).distinct()
+    return _round(correlate.scores(rules.rule_events(flows, S), spine, S), "score").drop("tier")
+
+
+@_query("tier_case", build(FLOWS, WAVE) + f"SELECT stream_id, wid, round(score, 6) AS score, {twins.tier('score', S)} AS tier FROM wave")
+def _(spark, d):
+    return _round(_wave(spark, d).withColumn("tier", scalars.tier_of("score", S)), "score")
+
+
+@_query("action_text", build(FLOWS, WAVE) + "SELECT stream_id, wid, CASE WHEN score < 0.5 THEN 'Monitoring' WHEN score < 0.7 THEN 'ALERT: Score ' || printf('%.3f', score) || ' - manual review recommended' WHEN score < 0.85 THEN 'TIER-1: Rate limiting ' || n || ' sources to 2x baseline' WHEN score < 0.9 THEN 'TIER-2: Aggressive limiting + challenges for ' || n || ' sources' ELSE 'TIER-3: BLOCKING ' || n || ' top sources (5-min expiry)' END AS action FROM wave JOIN (SELECT stream_id, wid, count(DISTINCT src_ip) AS n FROM flows GROUP BY ALL) USING (stream_id, wid)")
+def _(spark, d):
+    n = features.source_totals(_flows(spark, d)).select(*KEYS, "n_sources")
+    return _wave(spark, d).join(n, KEYS).select(*KEYS, scalars.action_text("score", "n_sources", S).alias("action"))
+
+
+@_query("top_anomaly", build(*FULL, recursive=True) + "SELECT stream_id, wid, coalesce(r.f, a.f) AS top_anomaly FROM (SELECT stream_id, wid, arg_max(feature, accumulator * 1e6 - ord * 1e-3) AS f FROM det WHERE accumulator > 0 GROUP BY ALL) a FULL JOIN (SELECT stream_id, wid, arg_min(feature_id, ord) AS f FROM rule_events JOIN live USING (stream_id, wid) GROUP BY ALL) r USING (stream_id, wid)")
+def _(spark, d):
+    run = detector.run(_flows(spark, d), S, SEED)
+    return correlate.top_anomaly(run.detected, run.rules)
+
+
+@_query("affected_sources", BASE + "SELECT stream_id, wid, count(*) AS n_sources, array_to_string(list(src_ip ORDER BY src_ip)[1:100], ',') AS sources FROM (SELECT DISTINCT stream_id, wid, src_ip FROM flows) GROUP BY ALL")
+def _(spark, d):
+    return correlate.affected_sources(_flows(spark, d)).withColumn("sources", F.concat_ws(",", "sources"))
+
+
+@_query("detection_steps")
+def _(spark, d):
+    return detector.results(_flows(spark, d), S, SEED)
+
+
+# -- response ---------------------------------------------------------------------------------------------
+
+
+@_query("mitigation_fsm", build(FLOWS, WAVE, twins.machine(S, "wave"), recursive=True) + "SELECT stream_id, wid, round(score, 6) AS score, CAST(tier AS INTEGER) AS current_tier FROM fsm")
+def _(spark, d):
+    return _round(mitigate.respond(_wave(spark, d), S), "score")
+
+
+@_query("alert_cooldown", build(FLOWS, WAVE, f"line AS MATERIALIZED (SELECT *, wid * {S.dt}::DOUBLE AS t, row_number() OVER (PARTITION BY stream_id ORDER BY wid) AS rn FROM wave), c AS (SELECT stream_id, wid, rn, score, score >= {S.tier1} AND t + {200 * S.dt / 5}::DOUBLE > {S.cooldown} AS counted, CASE WHEN score >= {S.tier1} AND t + {200 * S.dt / 5}::DOUBLE > {S.cooldown} THEN t ELSE -{200 * S.dt / 5}::DOUBLE END AS last FROM line WHERE rn = 1 UNION ALL SELECT l.stream_id, l.wid, l.rn, l.score, l.score >= {S.tier1} AND l.t - last > {S.cooldown}, CASE WHEN l.score >= {S.tier1} AND l.t - last > {S.cooldown} THEN l.t ELSE last END FROM c JOIN line l ON l.stream_id = c.stream_id AND l.rn = c.rn + 1)", recursive=True) + "SELECT stream_id, wid, round(score, 6) AS score, counted FROM c")
+def _(spark, d):
+    return _round(mitigate.counted_alerts(_wave(spark, d), S), "score")
+
+
+@_query("legacy_tier_latch", build(FLOWS, WAVE, "line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY wid) AS rn FROM wave), c AS (SELECT stream_id, wid, rn, score, CASE WHEN score >= 0.9 THEN 3 WHEN score >= 0.85 THEN 2 WHEN score >= 0.7 THEN 1 ELSE 0 END AS tier FROM line WHERE rn = 1 UNION ALL SELECT l.stream_id, l.wid, l.rn, l.score, CASE WHEN l.score >= 0.9 THEN 3 WHEN l.score >= 0.85 THEN greatest(tier, 2) WHEN l.score >= 0.7 THEN greatest(tier, 1) WHEN l.score < 0.6 THEN 0 ELSE tier END FROM c JOIN line l ON l.stream_id = c.stream_id AND l.rn = c.rn + 1)", recursive=True) + "SELECT stream_id, wid, round(score, 6) AS score, CAST(tier AS INTEGER) AS tier FROM c")
+def _(spark, d):
+    return _round(mitigate.latched_tier(_wave(spark, d), S), "score")
+
+
+@_query("first_detection", build(FLOWS, WAVE) + f"SELECT stream_id, min(wid * {S.dt}::DOUBLE) FILTER (wid * {S.dt} >= 1.705e9 AND score >= 0.7) AS detected_at, min(wid * {S.dt}::DOUBLE) FILTER (wid * {S.dt} >= 1.705e9 AND score >= 0.7) - 1.705e9::DOUBLE AS latency, round(max(score), 6) AS peak_score, round(min(score) FILTER (wid * {S.dt} >= 1.705e9), 6) AS min_attack_score FROM wave GROUP BY ALL")
+def _(spark, d):
+    return _round(mitigate.first_detection(_wave(spark, d), 1.705e9, S), "peak_score", "min_attack_score")
+
+
+# -- joins ------------------------------------------------------------------------------------------------
+
+
+_RANGES = "ranges AS (SELECT * FROM (VALUES (1, 9, 'US'), (10, 49, 'CN'), (50, 99, 'EU'), (100, 149, 'RU'), (150, 199, 'IN')) r(low, high, country))"
+
+
+@_query("ip_country_range_join", build("ips AS (SELECT event_id, (event_id * 37 % 256) || '.0.0.1' AS ip FROM events)", _RANGES) + "SELECT event_id, ip, coalesce(country, 'OTHER') AS by_range, coalesce(country, 'OTHER') AS by_case FROM ips LEFT JOIN ranges ON CAST(split_part(ip, '.', 1) AS INTEGER) BETWEEN low AND high")
+def _(spark, d):
+    ips = table(spark, d, "events").select("event_id", F.concat((F.col("event_id") * 37 % 256).cast("string"), F.lit(".0.0.1")).alias("ip"))
+    # Five constant rows.
+    ranges = F.broadcast(spark.createDataFrame([(1, 9, "US"), (10, 49, "CN"), (50, 99, "EU"), (100, 149, "RU"), (150, 199, "IN")], "low int, high int, country string"))
+    out = ips.withColumn("octet", F.substring_index("ip", ".", 1).cast("int")).join(ranges, F.col("octet").between(F.col("low"), F.col("high")), "left")
+    return out.select("event_id", "ip", F.coalesce("country", F.lit("OTHER")).alias("by_range"), scalars.country_of("ip").alias("by_case"))
+
+
+@_query("benign_semi_anti", BASE + "SELECT 'attacked' AS kind, count(*) AS n FROM flows WHERE (stream_id, wid) IN (SELECT (stream_id, wid) FROM flows WHERE response_status <> 200) UNION ALL SELECT 'benign', count(*) FROM flows WHERE (stream_id, wid) NOT IN (SELECT (stream_id, wid) FROM flows WHERE response_status <> 200)")
+def _(spark, d):
+    flows = _flows(spark, d)
+    attacked = flows.filter("response_status <> 200").select(*KEYS).distinct()
+    count = lambda how, kind: flows.join(attacked, KEYS, how).groupBy().agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    return count("left_semi", "attacked").unionByName(count("left_anti", "benign"))
+
+
+@_query("flow_window_overlap", BASE + "SELECT w AS wid, count(*) AS n, round(sum(bytes_sent), 2) AS bytes FROM (SELECT unnest(range(CAST(floor(start_time / 60) AS BIGINT), CAST(floor(last_time / 60) AS BIGINT) + 1)) AS w, bytes_sent FROM flows) GROUP BY ALL")
+def _(spark, d):
+    return _round(packets.overlapping_windows(_flows(spark, d), 60.0).groupBy("wid").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes")), "bytes", digits=2)
+
+
+@_query("alerts_with_sources", build(FLOWS, WAVE) + "SELECT DISTINCT stream_id, wid, src_ip FROM wave JOIN flows USING (stream_id, wid) WHERE score >= 0.9")
+def _(spark, d):
+    hot = _wave(spark, d).filter("score >= 0.9").select(*KEYS)
+    return _flows(spark, d).select(*KEYS, "src_ip").join(hot, KEYS).distinct()
+
+
+@_query("traffic_union", BASE + "SELECT wid, kind, count(*) AS n FROM (SELECT wid, 'legit' AS kind FROM flows WHERE handshake_complete UNION ALL SELECT wid, 'attack' FROM flows WHERE NOT handshake_complete) GROUP BY ALL")
+def _(spark, d):
+    flows = _flows(spark, d)
+    both = flows.filter("handshake_complete").select("wid", F.lit("legit").alias("kind")).unionByName(flows.filter("NOT handshake_complete").select("wid", F.lit("attack").alias("kind")))
+    return both.groupBy("wid", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- packets ----------------------------------------------------------------------------------------------
+
+
+_PACKETS = "packets AS (SELECT event_id AS seq, epoch_us(ts) / 1e6 AS ts, '10.0.0.' || (user_id % 40) AS src_ip, 1000 + user_id % 3 AS sport, [2, 18, 16, 24, 1, 3, 6, 4][CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 + 1] AS f, CAST(floor(value) + 40 AS BIGINT) AS length FROM events)"
+
+
+def _packets(spark, d) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), (micros() / 1e6).alias("ts"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 40).cast("string")).alias("src_ip"), F.lit("10.0.0.250").alias("dst_ip"),
+        (F.lit(1000) + F.col("user_id") % 3).cast("int").alias("sport"), F.lit(80).alias("dport"), F.lit(6).alias("proto_num"),
+        F.element_at(F.array(*map(F.lit, (2, 18, 16, 24, 1, 3, 6, 4))), k % 8 + 1).alias("tcp_flags"), (F.floor("value") + 40).cast("long").alias("length"),
+    )
+
+
+@_query("packets_to_flows", build(_PACKETS) + "SELECT src_ip, CAST(sport AS INTEGER) AS sport, min(ts) AS start_time, max(ts) AS last_time, CAST(sum(length) AS BIGINT) AS bytes_sent, count(*) AS packets, coalesce(max(seq) FILTER (f & 16 <> 0) >= greatest(min(seq) FILTER (f & 2 <> 0 AND f & 16 = 0), CASE WHEN min(seq) FILTER (f & 2 <> 0 AND f & 16 = 0) IS NOT NULL THEN min(seq) FILTER (f & 2 <> 0 AND f & 16 <> 0) END) AND min(seq) FILTER (f & 2 <> 0 AND f & 16 = 0) IS NOT NULL AND min(seq) FILTER (f & 2 <> 0 AND f & 16 <> 0) IS NOT NULL, false) AS handshake_complete, bool_or(f & 2 <> 0 AND (f & 1 <> 0 OR f & 4 <> 0)) AS protocol_violation, greatest(1, count(*) // 3) AS request_count FROM packets GROUP BY src_ip, sport")
+def _(spark, d):
+    out = packets.to_flows(_packets(spark, d))
+    return out.select("src_ip", "sport", "start_time", "last_time", "bytes_sent", "packets", "handshake_complete", "protocol_violation", "request_count")
+
+
+@_query("packet_idle_flows", build(_PACKETS) + "SELECT src_ip, CAST(sport AS INTEGER) AS sport, g AS part, min(ts) AS start_time, max(ts) AS last_time, count(*) AS packets FROM (SELECT *, CAST(sum(b) OVER (PARTITION BY src_ip, sport ORDER BY ts, seq) AS BIGINT) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY src_ip, sport ORDER BY ts, seq) > 36000 THEN 1 ELSE 0 END AS b FROM packets)) GROUP BY ALL")
+def _(spark, d):
+    return packets.to_flows(packets.split_idle(_packets(spark, d), 36_000.0), extra=["part"]).select("src_ip", "sport", "part", "start_time", "last_time", "packets")
+
+
+# -- evaluation ---------------------------------------------------------------------------------------------
+
+
+_RUNS = "runs AS MATERIALIZED (SELECT event_type AS scenario_id, user_id, max(value) > 60 AS detected, CASE WHEN max(value) > 60 THEN min(value) END AS latency, least(max(value) / 150.0::DOUBLE, 1) AS peak_score, count(*) * 3600.0::DOUBLE AS duration, count(*) FILTER (value > 40) AS true_positives, count(*) FILTER (k < 10) AS false_positives, count(*) FILTER (k BETWEEN 10 AND 14) AS false_negatives, count(*) FILTER (k > 50) AS true_negatives FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY event_type, user_id)"
+
+
+def _runs(spark, d) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("event_type").alias("scenario_id"), "user_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return e.groupBy("scenario_id", "user_id").agg(
+        (F.max("value") > 60).alias("detected"), F.when(F.max("value") > 60, F.min("value")).alias("latency"), F.least(F.max("value") / 150.0, F.lit(1.0)).alias("peak_score"), (F.count(F.lit(1)) * 3600.0).alias("duration"),
+        F.count_if(F.col("value") > 40).alias("true_positives"), F.count_if(F.col("k") < 10).alias("false_positives"), F.count_if(F.col("k").between(10, 14)).alias("false_negatives"), F.count_if(F.col("k") > 50).alias("true_negatives"),
+    )
+
+
+_METRIC = "count(*) AS runs, round(avg(CASE WHEN detected THEN 1.0::DOUBLE ELSE 0 END), 6) AS detection_rate, round(avg(latency), 6) AS mean_latency, round(avg(peak_score), 6) AS mean_peak, sum(true_positives) AS tp, sum(false_positives) AS fp, sum(false_negatives) AS fn, sum(true_negatives) AS tn, sum(duration) AS duration"
+
+
+@_query("metrics_rollup", build(_RUNS, f"m AS (SELECT scenario_id, {_METRIC} FROM runs GROUP BY ROLLUP (scenario_id))", "r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc FROM m)") + "SELECT scenario_id, runs, detection_rate, mean_latency, mean_peak, round(CAST(p AS DOUBLE), 6) AS precision, round(CAST(rc AS DOUBLE), 6) AS recall, round(CAST(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS DOUBLE), 6) AS specificity, round(CAST(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END AS DOUBLE), 6) AS f1, round(CASE WHEN duration > 0 THEN fp / (duration / 3600) * 12 ELSE 0 END, 6) AS fp_per_12h FROM r")
+def _(spark, d):
+    return _round(evaluate.metrics(_runs(spark, d)), "detection_rate", "mean_latency", "mean_peak", "precision", "recall", "specificity", "f1", "fp_per_12h")
+
+
+@_query("confusion_metrics", build(_RUNS) + "SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, round(sp, 6) AS specificity FROM (SELECT sum(true_positives) / (sum(true_positives) + sum(false_positives)) AS p, sum(true_positives) / (sum(true_positives) + sum(false_negatives)) AS r, sum(true_negatives) / (sum(true_negatives) + sum(false_positives)) AS sp FROM runs)")
+def _(spark, d):
+    return _round(evaluate.metrics(_runs(spark, d), None), "precision", "recall", "f1", "specificity").select("precision", "recall", "f1", "specificity")
+
+
+@_query("latency_percentiles", build(_RUNS) + "SELECT scenario_id, round(avg(latency), 6) AS mean, round(stddev_pop(latency), 6) AS std, round(min(latency), 6) AS min, round(max(latency), 6) AS max, round(quantile_cont(latency, 0.5), 6) AS median, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99 FROM runs WHERE latency IS NOT NULL GROUP BY ALL")
+def _(spark, d):
+    return _round(evaluate.latency_stats(_runs(spark, d), ["scenario_id"]), "mean", "std", "min", "max", "median", "p95", "p99")
+
+
+_ROC = "pts AS (SELECT k / 100.0::DOUBLE AS threshold, count(*) FILTER (detected AND peak_score >= k / 100.0::DOUBLE) / nullif(count(*) FILTER (detected), 0) AS tpr, count(*) FILTER (NOT detected AND peak_score >= k / 100.0::DOUBLE) / nullif(count(*) FILTER (NOT detected), 0) AS fpr FROM runs, range(50, 100) t(k) GROUP BY k)"
+
+
+@_query("roc_points", build(_RUNS, _ROC) + "SELECT threshold, round(coalesce(tpr, 0), 6) AS tpr, round(coalesce(fpr, 0), 6) AS fpr FROM pts")
+def _(spark, d):
+    return _round(evaluate.roc_points(_runs(spark, d)), "tpr", "fpr")
+
+
+@_query("auc_trapezoid", build(_RUNS, _ROC) + "SELECT round(greatest(0, least(1, s)), 6) AS auc_in_order, round(least(1, abs(s)), 6) AS auc_absolute FROM (SELECT coalesce(sum(a), 0) AS s FROM (SELECT (coalesce(fpr, 0) - lag(coalesce(fpr, 0)) OVER (ORDER BY threshold)) * (coalesce(tpr, 0) + lag(coalesce(tpr, 0)) OVER (ORDER BY threshold)) / 2 AS a FROM pts))")
+def _(spark, d):
+    return _round(evaluate.auc(evaluate.roc_points(_runs(spark, d))), "auc_in_order", "auc_absolute")
+
+
+@_query("mitigation_effectiveness", build(_RUNS) + "SELECT round(greatest(0, least(1, (a - b) / a)) * 100, 6) AS effectiveness FROM (SELECT avg(peak_score) FILTER (user_id % 2 = 0) AS a, avg(peak_score * 0.8) FILTER (user_id % 2 = 1) AS b FROM runs)")
+def _(spark, d):
+    r = _runs(spark, d).select((F.col("user_id") % 2 == 1).alias("mitigated"), F.when(F.col("user_id") % 2 == 1, F.col("peak_score") * 0.8).otherwise(F.col("peak_score")).alias("peak_score"))
+    return _round(evaluate.effectiveness(r), "effectiveness")
+
+
+@_query("ablation_deltas", build(_RUNS, "by_ AS (SELECT ['Full', 'NoLeaky', 'NoWeight'][CAST(user_id % 3 AS INTEGER) + 1] AS config, avg(CASE WHEN detected THEN 1.0::DOUBLE ELSE 0 END) AS dr, 2 * sum(true_positives) / (2 * sum(true_positives) + sum(false_positives) + sum(false_negatives)) AS f1 FROM runs GROUP BY ALL)") + "SELECT a.config, round(a.dr, 6) AS detection_rate, round(a.dr - b.dr, 6) AS delta_dr, round(a.f1, 6) AS f1, round(a.f1 - b.f1, 6) AS delta_f1 FROM by_ a, by_ b WHERE b.config = 'Full'")
+def _(spark, d):
+    r = _runs(spark, d).withColumn("config", F.element_at(F.array(F.lit("Full"), F.lit("NoLeaky"), F.lit("NoWeight")), (F.col("user_id") % 3 + 1).cast("int")))
+    return _round(evaluate.ablation(r), "detection_rate", "delta_dr", "f1", "delta_f1")
+
+
+@_query("static_threshold", build(*FEATS, "b AS (SELECT stream_id, quantile_cont(request_rate, 0.5) AS b FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY wid) AS k FROM feats) WHERE k <= 20 GROUP BY ALL)") + "SELECT stream_id, wid, round(s, 6) AS score, s >= 0.7 AS alert FROM (SELECT stream_id, wid, least(greatest(request_rate / greatest(b, 0.1) / 10, total_request_rate / greatest(100 * b, 0.1) / 2), 1) AS s FROM feats JOIN b USING (stream_id))")
+def _(spark, d):
+    return _round(evaluate.static_threshold(_feats(spark, d)), "score")
+
+
+@_query("signature_rules", build(*FEATS) + "SELECT stream_id, wid, greatest(CASE WHEN concurrent_connection_count > 100 THEN 0.8::DOUBLE ELSE 0 END, CASE WHEN handshake_completion_ratio < 0.1 THEN 0.9::DOUBLE ELSE 0 END, CASE WHEN mean_connection_duration > 60 THEN 0.7::DOUBLE ELSE 0 END, CASE WHEN request_rate > 500 THEN 0.85::DOUBLE ELSE 0 END) AS score, CAST(concurrent_connection_count > 100 AS INTEGER) + CAST(handshake_completion_ratio < 0.1 AS INTEGER) + CAST(mean_connection_duration > 60 AS INTEGER) + CAST(request_rate > 500 AS INTEGER) AS matches, concurrent_connection_count > 100 OR handshake_completion_ratio < 0.1 OR mean_connection_duration > 60 OR request_rate > 500 AS alert FROM feats")
+def _(spark, d):
+    return evaluate.signatures(_feats(spark, d))
+
+
+_ATTACK = f"wid % 60 BETWEEN 20 AND 22"
+
+
+@_query("outcome_counts", build(FLOWS, WAVE) + f"SELECT stream_id, count(*) FILTER (score >= 0.7 AND {_ATTACK}) AS tp, count(*) FILTER (score >= 0.7 AND NOT {_ATTACK}) AS fp, count(*) FILTER (score < 0.7 AND {_ATTACK}) AS fn, count(*) FILTER (score < 0.7 AND NOT {_ATTACK}) AS tn, min(wid) FILTER (score >= 0.7 AND {_ATTACK}) AS first_wid, min(wid) FILTER ({_ATTACK}) AS attack_wid FROM wave GROUP BY ALL")
+def _(spark, d):
+    return evaluate.outcome_counts(_wave(spark, d), F.expr(_ATTACK))
+
+
+@_query("per_file_macro", build(FLOWS, WAVE, f"o AS (SELECT stream_id, count(*) FILTER (score >= 0.7 AND {_ATTACK}) AS tp, count(*) FILTER (score >= 0.7 AND NOT {_ATTACK}) AS fp, count(*) FILTER (score < 0.7 AND {_ATTACK}) AS fn, count(*) FILTER (score < 0.7 AND NOT {_ATTACK}) AS tn, min(wid) FILTER (score >= 0.7 AND {_ATTACK}) - min(wid) FILTER ({_ATTACK}) AS l FROM wave GROUP BY ALL), q AS (SELECT stream_id, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS s, l FROM o)") + "SELECT stream_id, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(s), 6) AS specificity, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1, round(avg(l), 6) AS latency_windows FROM q GROUP BY ROLLUP (stream_id)")
+def _(spark, d):
+    return _round(evaluate.macro(evaluate.outcome_counts(_wave(spark, d), F.expr(_ATTACK))), "precision", "recall", "specificity", "f1", "latency_windows")
+
+
+@_query("bootstrap_ci")
+def _(spark, d):
+    return evaluate.bootstrap(_runs(spark, d), "peak_score", ["scenario_id"], rounds=200)
+
+
+@_query("random_forest")
+def _(spark, d):
+    cases = _feats(spark, d).withColumn("label", F.expr(_ATTACK)).withColumn("case", F.col("wid"))
+    return evaluate.forest(cases, list(FEATURES), trees=20, depth=5)
+
+
+@_query("simulate_scenarios")
+def _(spark, d):
+    return simulate.scenario_grid(spark, reps=1, seed_windows=12, most_windows=24).groupBy("stream_id", "wid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_ip").alias("sources"))
+
+
+@_query("simulated_detection")
+def _(spark, d):
+    s = Settings()
+    flows = simulate.scenario_grid(spark, reps=1, seed_windows=30, most_windows=60)
+    scored = detector.run(flows, s, 30).scored
+    return _round(mitigate.first_detection(scored, 30.0, s), "peak_score", "min_attack_score")
+
+
+# -- telemetry ------------------------------------------------------------------------------------------------
+
+
+@_query("telemetry_recent_scores", build(FLOWS, WAVE) + f"SELECT wid * {S.dt}::DOUBLE AS ts, round(score, 6) AS score FROM wave WHERE wid * {S.dt} > 1.705e9 ORDER BY ts, score")
+def _(spark, d):
+    return telemetry.recent_scores(_round(_wave(spark, d), "score").withColumn("ts", F.col("wid") * S.dt), 1.705e9)
+
+
+@_query("telemetry_event_count", "SELECT count(*) AS n FROM events WHERE epoch_us(ts) / 1e6 > 1.705e9")
+def _(spark, d):
+    return telemetry.event_count(table(spark, d, "events").select((micros() / 1e6).alias("ts")), 1.705e9)
+
+
+@_query("typed_result_line", build(*DET, recursive=True) + "SELECT stream_id, wid, arg_max(feature, accumulator * 1e6 - ord * 1e-3) AS worst FROM det GROUP BY ALL")
+def _(spark, d):
+    lines = telemetry.result_lines(_detected(spark, d))
+    return lines.select(*KEYS, F.get_json_object("line", "$.worst").alias("worst"))
+
+
+@_query("scalar_functions", "SELECT event_id, coalesce(TRY_CAST(v AS DOUBLE), 0) AS safe_double, CAST(trunc(coalesce(TRY_CAST(v AS DOUBLE), 0)) AS BIGINT) AS safe_long, CASE WHEN p = 6 THEN 'TCP' WHEN p = 17 THEN 'UDP' ELSE 'OTHER' END AS proto, event_id // 5 AS window_id, greatest(1, event_id // 3) AS requests, hour(ts) AS hour, isodow(ts) - 1 AS dow, least(abs(event_id % 21 - 10) / 5.0::DOUBLE, 1) AS confidence FROM (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE (event_id % 1000 / 8.0::DOUBLE) || '' END AS v, [6, 17, 1][CAST(event_id % 3 AS INTEGER) + 1] AS p FROM events)")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 3 == 0, "x").otherwise((F.col("event_id") % 1000 / 8.0).cast("string")).alias("v"), F.element_at(F.array(F.lit(6), F.lit(17), F.lit(1)), (F.col("event_id") % 3 + 1).cast("int")).alias("p"))
+    hour, dow = scalars.context("ts")
+    return e.select("event_id", scalars.safe_double("v").alias("safe_double"), scalars.safe_long("v").alias("safe_long"), scalars.protocol_name("p").alias("proto"), scalars.window_id("event_id", 5.0).alias("window_id"), scalars.requests_of("event_id").alias("requests"), hour.cast("long").alias("hour"), dow.cast("long").alias("dow"), scalars.confidence(F.col("event_id") % 21 - 10).alias("confidence"))
