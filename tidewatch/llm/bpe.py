@@ -31,7 +31,7 @@ from tidewatch.llm.common import ship
 from tidewatch.llm.textvec import pieces
 
 #: Pre-tokens a worker remembers; then it forgets those met in one batch only (all, if that isn't enough).
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
 PAIRS_MEMORY = 2_000_000
 LONGEST_REMEMBERED = 64
 
@@ -248,7 +248,7 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for part in pieces(batches, text, 2 << 20):
+        for part in pieces(batches, text):
             rows = bpe.encode_batch(part.column(text).to_pylist())
             made = {
                 "n_tokens": lambda: pa.array([r[1] for r in rows], pa.int64()),

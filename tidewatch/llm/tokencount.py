@@ -28,7 +28,7 @@ from tidewatch.llm.textvec import pieces
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words a worker remembers; then it forgets those met in one batch only (all, if that isn't enough).
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 300_000
 
 
 def unigram_vocabulary(path: str | None = None) -> tuple[list[tuple[str, float]], int]:
@@ -112,7 +112,7 @@ def count(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _counter:
             _counter.append(ViterbiCounter(*unigram_vocabulary()))
-        for part in pieces(batches, "text", 2 << 20):
+        for part in pieces(batches, "text"):
             texts = part.column("text").to_pylist()
             n = _counter[0].count_batch(texts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len((t or "").split()) for t in texts], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
