@@ -204,11 +204,13 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     # Buckets of several components: members across components.
     placed = posted.join(first, posted["doc_id"] == first["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    inside = stored(placed.join(split, "band").join(slim, "doc_id"), "neardup-across")
-    x = inside.select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
-    y = inside.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
+    inside = stored(placed.join(split, "band").join(reps.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id"), "neardup-across")
+    x = inside.select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"), F.col("bands").alias("ba"))
+    y = inside.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"), F.col("bands").alias("bb"))
     fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)
-    across = x.join(y, (x["band"] == y["band"]) & fits).select("a", "b").distinct()
+    # A pair comes out of the first band that it shares only.
+    first_shared = F.expr("element_at(ba, cast(array_position(zip_with(ba, bb, (p, q) -> p = q), true) AS int))") == x["band"]
+    across = x.join(y, (x["band"] == y["band"]) & fits & first_shared).select("a", "b").distinct()
     across = stored(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "neardup-candidates")
     if across.head(1):
         links = links.unionByName(_confirm(across, docs, text, doc_id, size, threshold))
