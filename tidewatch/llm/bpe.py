@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -53,6 +54,15 @@ def _byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def _ranges(name: str) -> str:
+    """A character class as ranges, as the tokenizer's own regular expressions have it: Unicode versions differ."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    runs = pre_tokenizers.Split(Regex(f"[{name}]+"), "removed", invert=True).pre_tokenize_str(every)
+    return "".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r, _ in runs)
+
+
 class SpeculativeBpe:
     """Encoder and decoder for a word-end BPE file (JSON: vocab, merges, split pattern)."""
 
@@ -65,7 +75,11 @@ class SpeculativeBpe:
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in reversed(list(enumerate(merges)))}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.quick = regex.compile(pattern)  # for Latin-1, where all Unicode versions agree
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            pattern = pattern.replace(name, _ranges(name))
+        self.split = re.compile(pattern)
         self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.symbol = _byte_symbols()
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
@@ -183,7 +197,13 @@ class SpeculativeBpe:
             text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
         else:
             text = text.lower()
-        return self.split.findall(text)
+        if text.isascii():
+            return self.quick.findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.split.findall(text)
+        return self.quick.findall(text)
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         """(ids joined by spaces, number of ids, decoded text) of each text."""
