@@ -172,8 +172,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
     per = alone.join(count, "vec_id", "left").join(group.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     per = per.select("packed", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
     out = rows.join(per, "packed", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    named = F.col("vec_id").isNotNull()
+    component = F.when(named, F.coalesce("component", "vec_id"))
+    return out.select("vec_id", F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
