@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewatch.llm import memory
 from tidewatch.llm.common import ship
 from tidewatch.llm.textvec import pieces
 
@@ -248,6 +249,7 @@ def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 _encoders: dict[str, SpeculativeBpe] = {}
+memory.keeps("bpe", _encoders.clear)
 
 
 def encoder(path: str) -> SpeculativeBpe:
@@ -266,6 +268,7 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
     keep = [c for c in docs.columns if c not in results]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(r, RESULTS[r]) for r in results])
 
+    @memory.task("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for part in pieces(batches, text):

@@ -12,6 +12,9 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch between Spark and Python, at most.
+BATCH_ROWS = 1_000
+
 _shipped: set[str] = set()
 _own_folder: list[str] = []
 
@@ -26,6 +29,9 @@ def _scratch() -> str:
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a Spark application."""
+    # Texts are long: smaller Arrow batches bound what a task holds outside the heap.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm import memory
 from tidewatch.llm.common import load, remainder, sample_by, ship, stored
 from tidewatch.llm.textvec import _BASE, _BASE_INV, LETTERS, HashIndex, hash_bytes, mix, pieces, sums, words_of
 
@@ -146,6 +147,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     rows = rows.filter((remainder("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = stored(sample_by(rows.select("doc_id", "lang"), "lang", DOCS_PER_LANGUAGE).select("doc_id").distinct(), "language-sample")
 
+    @memory.task("langid")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             words = words_of(_lowered(part), LETTERS, lower=False)
@@ -229,6 +231,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     keep = tuple(c for c in keep if c not in ("lang_pred", "score", "n_words"))
     languages, p = model
 
+    @memory.task("langid")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(HashIndex(np.array([hash_bytes(v) for v in vocabulary()], np.uint64)), p) if languages else None
         for part in pieces(batches, text):

@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import memory
 from tidewatch.llm.common import load, ship
 from tidewatch.llm.textvec import ALNUM, Words, hash_bytes, pieces, words_of
 
@@ -107,6 +108,7 @@ class NoticeSearch:
 
 
 _search: list[NoticeSearch] = []
+memory.keeps("licenses", _search.clear)
 
 
 def _base_places(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +150,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     ship(docs.sparkSession)
     labels = list(BASE.values())
 
+    @memory.task("licenses")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _search:
             _search.append(NoticeSearch(NOTICES))

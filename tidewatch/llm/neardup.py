@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm import memory
 from tidewatch.llm.common import load, ship, stored
 from tidewatch.llm.components import components
 from tidewatch.llm.textvec import Words, mix, pieces, words_of
@@ -110,6 +111,7 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
     """(doc_id, n_shingles, digest_a, digest_b, bands, sketch) of each row."""
     ship(docs.sparkSession)
 
+    @memory.task("neardup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             sets, first = shingle_hashes(words_of(part.column("text")), size)
@@ -152,6 +154,7 @@ def _differing_bits(a: str, b: str) -> Column:
 def _sets(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
     """(doc_id, shingles) of each row."""
 
+    @memory.task("neardup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             sets, first = shingle_hashes(words_of(part.column("text")), size)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import memory
 from tidewatch.llm.common import load, ship
 from tidewatch.llm.textvec import pieces
 
@@ -103,12 +104,14 @@ class ViterbiCounter:
 
 
 _counter: list[ViterbiCounter] = []
+memory.keeps("tokencount", _counter.clear)
 
 
 def count(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row."""
     ship(docs.sparkSession)
 
+    @memory.task("tokencount")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _counter:
             _counter.append(ViterbiCounter(*unigram_vocabulary()))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm import memory
 from tidewatch.llm.common import load, remainder, sample_by, ship, stored
 from tidewatch.llm.textvec import ALNUM, HashIndex, Words, pieces, words_of
 
@@ -131,6 +132,7 @@ def _solve_lambda(values: np.ndarray, weights: np.ndarray) -> float:
 _COUNTS = "word long, toxic long, clean long"
 
 
+@memory.task("toxicity")
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by class of the labelled texts (columns text, toxic) that hold a word, a partial sum for each
     piece.  A text counts a word once: a word that one text repeats a thousand times tells no more than once."""
@@ -211,6 +213,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.1) -
 
 
 def _statistics(model: Model):
+    @memory.task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = HashIndex(model.keys)
         for part in pieces(batches, "text"):
@@ -234,6 +237,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     ship(docs.sparkSession)
     keep = tuple(c for c in keep if c not in ("score", "predicted", "n_words", "bits", "passages"))
 
+    @memory.task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = HashIndex(model.keys)
         kind = pa.list_(pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("e_value", pa.float64())]))
