@@ -9,8 +9,8 @@ passes is confirmed on full shingle sets.
 1. In each bucket every member is compared with the bucket's most central one, whose buckets are the fullest (linear in
    the bucket).  Confirmed links give first components.
 2. Buckets that still hold several components compare members *across* components, by a join whose
-   condition is the sketch test, so that only promising pairs leave it and Spark may split hot buckets.
-   Confirmed links are added.  Pairs within a component need no look: they are connected already.
+   condition is the sketch test and then the exact one, so that only links leave it and Spark may split hot buckets.
+   Pairs within a component need no look: they are connected already.
 
 So no bucket is capped and no link that shares a band is lost.  A pair at similarity 0.85 shares none of the bands
 with probability (1 - 0.85**6)**24 = 1e-5, and the sketch, whose estimate has a standard error of 0.023 there, rejects it with
@@ -164,17 +164,26 @@ def _sets(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
-    """Those of (a, b) whose full sets pass; the sets are made again, of documents in pairs only."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "neardup-ids")
+def _sets_of(ids: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
+    """(doc_id, shingles) of the documents with these ids; the sets are made again, of those documents only."""
+    ids = stored(ids, "neardup-ids")
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
-    sets = stored(_sets(slim, "text", "doc_id", size), "neardup-sets")
+    return stored(_sets(slim, "text", "doc_id", size), "neardup-sets")
+
+
+def _alike(threshold: int) -> Column:
+    """Do the full sets sa and sb pass?  100 i >= t (total - i)  <=>  (100 + t) i >= t total."""
+    return F.size(F.array_intersect("sa", "sb")) * (100 + threshold) >= F.lit(threshold) * (F.size("sa") + F.size("sb"))
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
+    """Those of (a, b) whose full sets pass."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _sets_of(ids, docs, text, doc_id, size)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    # 100 i >= t (total - i)  <=>  (100 + t) i >= t total
-    return both.filter(common * (100 + threshold) >= F.lit(threshold) * total).select("a", "b")
+    return both.filter(_alike(threshold)).select("a", "b")
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -208,15 +217,15 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     placed = posted.join(first, posted["doc_id"] == first["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     inside = stored(placed.join(split, "band").join(reps.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id"), "neardup-across")
-    x = inside.select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"), F.col("bands").alias("ba"))
-    y = inside.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"), F.col("bands").alias("bb"))
-    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)
-    # A pair comes out of the first band that it shares only.
-    first_shared = F.expr("element_at(ba, cast(array_position(zip_with(ba, bb, (p, q) -> p = q), true) AS int))") == x["band"]
-    across = x.join(y, (x["band"] == y["band"]) & fits & first_shared).select("a", "b").distinct()
-    across = stored(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "neardup-candidates")
-    if across.head(1):
-        links = links.unionByName(_confirm(across, docs, text, doc_id, size, threshold))
+    if inside.head(1):
+        sets = _sets_of(inside.select("doc_id").distinct(), docs, text, doc_id, size)
+        inside = inside.join(sets, "doc_id")
+        x = inside.select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"), F.col("bands").alias("ba"), F.col("shingles").alias("sa"))
+        y = inside.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"), F.col("bands").alias("bb"), F.col("shingles").alias("sb"))
+        fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)
+        # A pair comes out of the first band that it shares only, and only once its full sets pass.
+        first_shared = F.expr("element_at(ba, cast(array_position(zip_with(ba, bb, (p, q) -> p = q), true) AS int))") == x["band"]
+        links = links.unionByName(x.join(y, (x["band"] == y["band"]) & fits & first_shared & _alike(threshold)).select("a", "b"))
     # A doc_id on several rows with different sets is one node.
     member = full.join(reps.select(*same, F.col("doc_id").alias("rep"), "copies"), same).select("doc_id", "rep", "copies")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
