@@ -14,7 +14,7 @@ from tidewatch.config import FEATURES, Settings
 from tidewatch.functions import scalars
 from tidewatch.operators import baseline, correlate, evaluate, features, mitigate, packets, rules, scan, simulate
 from tidewatch.plans import detector, twins
-from tidewatch.plans.twins import FLOWS, LONG, ORDER_FLOWS, RULE_EVENTS, build, rounded
+from tidewatch.plans.twins import FLOWS, LONG, ORDER_FLOWS, RULE_EVENTS, SHIFT, build, rounded
 from tidewatch.sources import telemetry
 from tidewatch.sources.adapters import event_flows, micros, order_flows, table
 
@@ -47,8 +47,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
+def _round(df: DataFrame, *names: str, digits: int = 6, shift: float = 0.0) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double") + F.lit(shift * 10.0**-digits), digits) for n in names})
 
 
 BASE = build(FLOWS)
@@ -84,14 +84,14 @@ def _wave(spark: SparkSession, d: str) -> DataFrame:
 # -- features ---------------------------------------------------------------------------------------
 
 
-@_query("features_window", build(*FEATS) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES, 4)} FROM feats")
+@_query("features_window", build(*FEATS) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES, 4, SHIFT)} FROM feats")
 def _(spark, d):
-    return _round(_feats(spark, d), *FEATURES, digits=4)
+    return _round(_feats(spark, d), *FEATURES, digits=4, shift=SHIFT)
 
 
-@_query("features_orders", build(ORDER_FLOWS, twins.features(O)) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES, 4)} FROM feats")
+@_query("features_orders", build(ORDER_FLOWS, twins.features(O)) + f"SELECT stream_id, wid, n_flows, {rounded(FEATURES, 4, SHIFT)} FROM feats")
 def _(spark, d):
-    return _round(features.features(order_flows(spark, d), O), *FEATURES, digits=4)
+    return _round(features.features(order_flows(spark, d), O), *FEATURES, digits=4, shift=SHIFT)
 
 
 @_query("feature_entropy", BASE + "SELECT stream_id, wid, round(-sum(c / n * log2(c / n)) + 0, 6) AS entropy FROM (SELECT stream_id, wid, c, sum(c) OVER (PARTITION BY stream_id, wid) AS n FROM (SELECT stream_id, wid, country_code, count(*) AS c FROM flows GROUP BY ALL)) GROUP BY ALL")
@@ -99,22 +99,22 @@ def _(spark, d):
     return _round(features.entropy(_flows(spark, d), KEYS, F.col("country_code")), "entropy")
 
 
-@_query("feature_spine_zero_fill", build(*FEATS, "spine AS (SELECT DISTINCT f.stream_id, g.wid FROM feats f, (SELECT DISTINCT wid FROM feats) g)") + f"SELECT s.stream_id, s.wid, coalesce(n_flows, 0) AS n_flows, {', '.join(f'round(CAST(coalesce({f}, 0) AS DOUBLE), 4) AS {f}' for f in FEATURES)} FROM spine s LEFT JOIN feats USING (stream_id, wid)")
+@_query("feature_spine_zero_fill", build(*FEATS, "spine AS (SELECT DISTINCT f.stream_id, g.wid FROM feats f, (SELECT DISTINCT wid FROM feats) g)") + f"SELECT s.stream_id, s.wid, coalesce(n_flows, 0) AS n_flows, {', '.join(f'round(CAST(coalesce({f}, 0) AS DOUBLE) + {SHIFT * 1e-4!r}::DOUBLE, 4) AS {f}' for f in FEATURES)} FROM spine s LEFT JOIN feats USING (stream_id, wid)")
 def _(spark, d):
     found = _feats(spark, d)
     streams = found.groupBy().agg(F.collect_set("stream_id").alias("s"))  # a few names
     spine = found.select("wid").distinct().join(F.broadcast(streams)).select(F.explode("s").alias("stream_id"), "wid")
-    return _round(features.on_spine(found, spine), *FEATURES, digits=4)
+    return _round(features.on_spine(found, spine), *FEATURES, digits=4, shift=SHIFT)
 
 
-@_query("geo_shift_lag", build(*FEATS) + f"SELECT stream_id, wid, {rounded(['geographic_entropy', 'geo_distribution_shift_rate'])} FROM feats")
+@_query("geo_shift_lag", build(*FEATS) + f"SELECT stream_id, wid, {rounded(['geographic_entropy', 'geo_distribution_shift_rate'], 6, SHIFT)} FROM feats")
 def _(spark, d):
-    return _round(_feats(spark, d).select(*KEYS, "geographic_entropy", "geo_distribution_shift_rate"), "geographic_entropy", "geo_distribution_shift_rate")
+    return _round(_feats(spark, d).select(*KEYS, "geographic_entropy", "geo_distribution_shift_rate"), "geographic_entropy", "geo_distribution_shift_rate", shift=SHIFT)
 
 
-@_query("feature_long_form", build(*FEATS, LONG) + "SELECT stream_id, wid, feature, CAST(ord AS INTEGER) AS ord, round(value, 4) AS value FROM long")
+@_query("feature_long_form", build(*FEATS, LONG) + f"SELECT stream_id, wid, feature, CAST(ord AS INTEGER) AS ord, {rounded(['value'], 4, SHIFT)} FROM long")
 def _(spark, d):
-    return _round(_long(spark, d), "value", digits=4)
+    return _round(_long(spark, d), "value", digits=4, shift=SHIFT)
 
 
 # -- rules ------------------------------------------------------------------------------------------
@@ -153,9 +153,9 @@ def _(spark, d):
 # -- baselines and scans ------------------------------------------------------------------------------
 
 
-@_query("baseline_seed_stats", build(*FEATS, LONG, twins.seed(SEED)) + "SELECT stream_id, feature, round(seed_mean, 3) AS seed_mean, round(sqrt(seed_var), 3) AS seed_sd, seed_n FROM seed")
+@_query("baseline_seed_stats", build(*FEATS, LONG, twins.seed(SEED)) + f"SELECT stream_id, feature, {rounded(['seed_mean', 'seed_sd'], 3, SHIFT)}, seed_n FROM (SELECT *, sqrt(seed_var) AS seed_sd FROM seed)")
 def _(spark, d):
-    return _round(baseline.seed_statistics(_long(spark, d), SEED).withColumn("seed_sd", F.sqrt("seed_var")), "seed_mean", "seed_sd", digits=3).drop("seed_var")
+    return _round(baseline.seed_statistics(_long(spark, d), SEED).withColumn("seed_sd", F.sqrt("seed_var")), "seed_mean", "seed_sd", digits=3, shift=SHIFT).drop("seed_var")
 
 
 _HOURLY = "obs AS MATERIALIZED (SELECT 'all' AS stream_id, event_type AS feature, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS dow, event_id, value FROM events)"
@@ -170,14 +170,14 @@ def _observations(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.lit("all").alias("stream_id"), F.col("event_type").alias("feature"), hour.alias("hour"), dow.alias("dow"), "event_id", "value")
 
 
-@_query("baseline_iqr_context", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, hour, dow, round(mean, 4) AS mean, round(sqrt(variance), 4) AS sd, n FROM contexts")
+@_query("baseline_iqr_context", build(_HOURLY, _CONTEXTS) + f"SELECT stream_id, feature, hour, dow, {rounded(['mean', 'sd'], 4, SHIFT)}, n FROM (SELECT *, sqrt(variance) AS sd FROM contexts)")
 def _(spark, d):
-    return _round(baseline.learned_contexts(_observations(spark, d), 5).withColumn("sd", F.sqrt("variance")), "mean", "sd", digits=4).drop("variance")
+    return _round(baseline.learned_contexts(_observations(spark, d), 5).withColumn("sd", F.sqrt("variance")), "mean", "sd", digits=4, shift=SHIFT).drop("variance")
 
 
-@_query("baseline_global", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, round(mean, 4) AS mean, round(sqrt(variance), 4) AS sd, CAST(n AS BIGINT) AS n FROM overall")
+@_query("baseline_global", build(_HOURLY, _CONTEXTS) + f"SELECT stream_id, feature, {rounded(['mean', 'sd'], 4, SHIFT)}, CAST(n AS BIGINT) AS n FROM (SELECT *, sqrt(variance) AS sd FROM overall)")
 def _(spark, d):
-    return _round(baseline.learned_overall(baseline.learned_contexts(_observations(spark, d), 5)).withColumn("sd", F.sqrt("variance")), "mean", "sd", digits=4).drop("variance")
+    return _round(baseline.learned_overall(baseline.learned_contexts(_observations(spark, d), 5)).withColumn("sd", F.sqrt("variance")), "mean", "sd", digits=4, shift=SHIFT).drop("variance")
 
 
 @_query("baseline_fallback_join", build(_HOURLY, _CONTEXTS) + "SELECT event_id, round(coalesce(c.mean, o.mean, 0), 6) AS mean, round((value - coalesce(c.mean, o.mean, 0)) / greatest(sqrt(greatest(coalesce(c.variance, o.variance, 1), 0)), 1e-9), 6) AS z FROM obs LEFT JOIN contexts c USING (stream_id, feature, hour, dow) LEFT JOIN overall o USING (stream_id, feature)")
@@ -199,10 +199,10 @@ def _(spark, d):
     return _round(scan.ewma_native(_daily(spark, d), ["key"], "t", "x", 0.3), "x", "mean", "variance", "z", digits=4).drop("n")
 
 
-@_query("ewma_zscore", build(*DET, recursive=True) + "SELECT stream_id, wid, feature, round(value, 3) AS value, round(mean, 3) AS mean, round(sqrt(variance), 3) AS sd, round(z, 4) AS z FROM det")
+@_query("ewma_zscore", build(*DET, recursive=True) + f"SELECT stream_id, wid, feature, {rounded(['value', 'mean', 'sd'], 3, SHIFT)}, {rounded(['z'], 4, SHIFT)} FROM (SELECT *, sqrt(variance) AS sd FROM det)")
 def _(spark, d):
-    out = _round(_detected(spark, d).withColumn("sd", F.sqrt("variance")), "value", "mean", "sd", digits=3)
-    return _round(out, "z", digits=4).drop("ord", "accumulator", "confirmed", "variance")
+    out = _round(_detected(spark, d).withColumn("sd", F.sqrt("variance")), "value", "mean", "sd", digits=3, shift=SHIFT)
+    return _round(out, "z", digits=4, shift=SHIFT).drop("ord", "accumulator", "confirmed", "variance")
 
 
 @_query("leaky_accumulator", build(*DET, recursive=True) + f"SELECT stream_id, wid, feature, round(accumulator, 3) AS accumulator, accumulator > {S.theta} AS confirmed FROM det")

@@ -53,8 +53,12 @@ feats AS MATERIALIZED (
   FROM totals t JOIN srcs USING (stream_id, wid) LEFT JOIN geo g USING (stream_id, wid) LEFT JOIN payload p USING (stream_id, wid))"""
 
 
-def rounded(names, digits: int = 6) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE), {digits}) AS {n}" for n in names)
+#: Added before rounding, in units of the last digit, where exact halves are common: both engines then round them alike.
+SHIFT = 0.0123
+
+
+def rounded(names, digits: int = 6, shift: float = 0.0) -> str:
+    return ", ".join(f"round(CAST({n} AS DOUBLE) + {shift * 10.0**-digits!r}::DOUBLE, {digits}) AS {n}" for n in names)
 
 
 LONG = "long AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT stream_id, wid, '{f}' AS feature, {i} AS ord, CAST({f} AS DOUBLE) AS value FROM feats" for i, f in enumerate(FEATURES)) + ")"
