@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch between Spark and Python, at most.
 BATCH_ROWS = 1_000
 
+#: A table of groups is sent to every task up to this many rows.
+SENT_GROUPS = 10_000
+
 _shipped: set[str] = set()
 _own_folder: list[str] = []
 
@@ -80,6 +83,9 @@ def sample_by(rows: DataFrame, group: str, most: int, doc_id: str = "doc_id") ->
     isn't sorted whole.
     """
     share = rows.groupBy(group).agg((F.lit(1.2 * most + 50) / F.count(F.lit(1))).alias("share_"))
+    share = stored(share, "sample-shares", 1)
+    if share.count() <= SENT_GROUPS:
+        share = F.broadcast(share)
     hashed = rows.withColumn("u_", F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
     near = hashed.join(share, group).filter("u_ <= share_")
     ranked = near.withColumn("rank_", F.row_number().over(Window.partitionBy(group).orderBy("u_", doc_id)))

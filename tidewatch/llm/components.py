@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """(number, sum of hashes) of the edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+
+
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """(node, component): component is the smallest node reachable; nodes without edges have no row.
 
     Null ends and loops are ignored; repeated edges are harmless.
     """
     star = edges.select(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).distinct()
-    star, before = stored(star, "components"), None
+    star = stored(star, "components")
+    before = _digest(star)
     while True:
         # Large star: every larger neighbour of u is tied to the smallest of u's neighbourhood.
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,9 +35,9 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         star = stored(small.select(F.col("v").alias("u"), F.col("u").alias("v")), "components")
-        # Settled once every node hangs on one root and no root hangs itself.
-        seen = star.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if before == tuple(seen):
+        # Settled once a round changes nothing.
+        seen = _digest(star)
+        if before == seen:
             break
-        before = tuple(seen)
+        before = seen
     return star.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(star.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
