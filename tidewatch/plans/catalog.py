@@ -488,3 +488,33 @@ def _(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 3 == 0, "x").otherwise((F.col("event_id") % 1000 / 8.0).cast("string")).alias("v"), F.element_at(F.array(F.lit(6), F.lit(17), F.lit(1)), (F.col("event_id") % 3 + 1).cast("int")).alias("p"))
     hour, dow = scalars.context("ts")
     return e.select("event_id", scalars.safe_double("v").alias("safe_double"), scalars.safe_long("v").alias("safe_long"), scalars.protocol_name("p").alias("proto"), scalars.window_id("event_id", 5.0).alias("window_id"), scalars.requests_of("event_id").alias("requests"), hour.cast("long").alias("hour"), dow.cast("long").alias("dow"), scalars.confidence(F.col("event_id") % 21 - 10).alias("confidence"))
+
+
+@_query("subnet_counts", BASE + "SELECT stream_id, wid, count(DISTINCT regexp_extract(src_ip, '^[^.]*[.][^.]*[.][^.]*')) AS nets24, count(DISTINCT regexp_extract(src_ip, '^[^.]*[.][^.]*')) AS nets16 FROM flows GROUP BY ALL")
+def _(spark, d):
+    f = _flows(spark, d).select(*KEYS, scalars.subnet("src_ip", 3).alias("a"), scalars.subnet("src_ip", 2).alias("b"))
+    return f.groupBy(*KEYS).agg(F.countDistinct("a").alias("nets24"), F.countDistinct("b").alias("nets16"))
+
+
+@_query("default_fill", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '0.0.0.0' ELSE '10.0.0.1' END AS src_ip, '0.0.0.0' AS dst_ip, CASE WHEN event_id % 5 = 0 THEN 80 ELSE 443 END AS dport, 'TCP' AS proto, true AS handshake_complete, 'unknown' AS user_agent, 200 AS response_status FROM events")
+def _(spark, d):
+    raw = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, "10.0.0.1").alias("src_ip"), F.when(F.col("event_id") % 5 != 0, 443).alias("dport"))
+    out = raw.select("event_id", *scalars.filled(["src_ip", "dport"]))
+    return out.select("event_id", "src_ip", "dst_ip", "dport", "proto", "handshake_complete", "user_agent", "response_status")
+
+
+@_query("scenario_table", "SELECT * FROM (VALUES ('http_flood', 600.0::DOUBLE, 30.0::DOUBLE), ('slowloris', 900.0, 30.0), ('connection_flood', 480.0, 30.0), ('low_rate_distributed', 1200.0, 30.0), ('synchronized_burst', 720.0, 30.0)) s(id, duration, attack_start)")
+def _(spark, d):
+    return simulate.scenario_table(spark).select("id", "duration", "attack_start")
+
+
+@_query("runs_with_scenarios", build(_RUNS, "sc AS (SELECT * FROM (VALUES ('click', 1), ('view', 2), ('error', 3)) s(scenario_id, weight))") + "SELECT scenario_id, weight, count(*) AS runs FROM runs LEFT JOIN sc USING (scenario_id) GROUP BY ALL")
+def _(spark, d):
+    # Three constant rows.
+    sc = F.broadcast(spark.createDataFrame([("click", 1), ("view", 2), ("error", 3)], "scenario_id string, weight int"))
+    return _runs(spark, d).join(sc, "scenario_id", "left").groupBy("scenario_id", "weight").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@_query("baseline_serialized")
+def _(spark, d):
+    return baseline.serialized(baseline.learned_contexts(_observations(spark, d), 5))
