@@ -427,6 +427,22 @@ def test_candidates_too_many_to_send(spark, docs, monkeypatch):
     assert a == pytest.approx(b)
 
 
+def test_frequent_grams_whatever_the_size(spark, monkeypatch):
+    """A context seen often enough is a state, however many tokens surround it; sent or joined."""
+    # 400 texts of 22_000 words, nearly all of them different: 16 / 2e-6 tokens and more.
+    often = "red fox jumps " * 17
+    noise = spark.range(400).select((F.col("id") + 1000).alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(22_000)), lambda k: F.concat(F.lit("w"), (F.col("id") * 22_000 + k).cast("string")))).alias("text"))
+    few = spark.createDataFrame([(0, often)], "doc_id long, text string")
+    docs = few.unionByName(noise)
+    model, counts, end = suffixlm.train(docs.select("text"))
+    assert model.tokens > 8_000_000 and len(model.pair_keys) == 3
+    a = suffixlm.score(few, model, counts, end).first()["score"]
+    monkeypatch.setattr(suffixlm, "SENT_NGRAMS", 0)
+    joined, counts, end = suffixlm.train(docs.select("text"))
+    assert joined.factors.count() and not len(joined.sent_keys)
+    assert suffixlm.score(few, joined, counts, end).first()["score"] == pytest.approx(a)
+
+
 def test_language_model_without_training(spark):
     df = frame(spark, ["a b"]).limit(0)
     model, counts, end = suffixlm.train(df.select("text"))

@@ -2,18 +2,22 @@
 
 Tokens are the words of a text, then one end; before the first word stands the same end mark as context.  The root state is the
 smoothed unigram distribution (absolute discounting: the mass taken off is that of an unseen word).  A context of one or two
-words is a candidate state if its continuations are frequent (P_MIN of all tokens, LEAST_COUNT at least), and is
+words is a candidate state if it has continuations seen LEAST_COUNT times or more, whatever the size of the corpus, and is
 retained if its next-word distribution diverges from its suffix's: count * KL must exceed the description length of
 its parameters.  A state's distribution is smoothed towards its suffix's (Dirichlet, weight BETA); a position
 is scored by the longest retained suffix.
 
-Gathering counts.  Word counts cover all training texts.  Frequent n-grams are found exactly in two
-passes: an n-gram frequent overall is frequent in some part of the corpus (the partition principle), so the parts' own frequent n-grams are the
-candidates, and a second pass counts those.  Should candidates be too many to send (SENT_NGRAMS), all n-grams of frequent words
-are counted by a shuffle instead; the result is the same.
+Gathering counts.  Word counts cover all training texts.  Pairs, then triples, are counted exactly by a shuffle.  An n-gram
+can be frequent only if its parts are: a bitmap of the hashed frequent words or pairs (of bounded size; it lets some others by, never
+stops a frequent one) keeps most of the rare ones out of the shuffle.
+
+Where the frequent n-grams are few enough to send (SENT_NGRAMS), states are fitted on the driver and sent to all tasks.  Else
+they stay in tables: the logarithm of a probability is a sum of one factor for each retained context and listed
+continuation, by hashed key; the most frequent factors are sent, the others meet the texts in a shuffle join, behind a
+bitmap.  The result is the same.
 
 Scoring.  Words with at least HEAD_SHARE of all tokens (at most 1 / HEAD_SHARE of them, since shares add up to 1) and
-the retained states are sent to all tasks; the rest of a text's words meets the count table in a shuffle join.
+what of the states is sent go to all tasks; the rest of a text's words meets the count table in a shuffle join.
 
 Contract of ``score``: one row per input row.  Null and empty texts have one token, the end.  Without training rows every
 probability is that of the empty counts.  Repeated rows count and score each; a null doc_id is in the training folds.
@@ -37,15 +41,20 @@ from tidewatch.llm.common import load, remainder, ship, stored
 from tidewatch.llm.textvec import HashIndex, Words, mix, pieces, sums, words_of
 
 FOLDS, HELD_OUT = 7, 2
-P_MIN = 2e-6
 LEAST_COUNT = 16
 HEAD_SHARE = 2e-7
 HEAD_LEAST = 2
 BETA = 4.0
-SENT_NGRAMS = 3_000_000
-#: Tokens of a part of the corpus in the first n-gram pass.
-PART_TOKENS = 12_000_000
+SENT_NGRAMS = 1_500_000
+#: Ids up to this make triples of 63 bits.
+MOST_IDS = 2_097_151
+#: Tokens whose n-grams a task counts before it reports them.
+PART_TOKENS = 3_000_000
+#: Bits of a bitmap of hashed keys, as a power of two, at most.
+SIEVE_BITS = 27
 END = np.uint64(0)
+#: Tells the factor of a context from that of the same words as a continuation.
+CONTEXT_SALT = 0x5851F42D4C957F2D
 
 
 @memory.task("suffixlm")
@@ -96,6 +105,14 @@ class Model:
     two_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
     triple_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     triple_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    # Where the states are too many to send: the factors that are sent, a bitmap of the others, and their table.
+    sent_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    sent_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    sieve: np.ndarray | None = None
+    factors: DataFrame | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"factors": None}
 
     def base(self, c):
         return np.log10((np.asarray(c, float) + 1) / (self.tokens + self.words + 1))
@@ -142,46 +159,128 @@ def _find(index: HashIndex, keys: np.ndarray) -> np.ndarray:
     return index.find(mix(keys.view(np.uint64)))
 
 
-def _count_ngrams(model: Model, end_id: int, least: float, only: np.ndarray | None):
-    """Task: counts of n-grams (triples as they are, pairs as -1 - key).  only: count just these; else report
-    those that a part of the corpus holds at its share of `least` or more."""
+def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashed key of a context's continuation; as a context itself, that of the longer one."""
+    return mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(word.view(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """Bitmap of hashed keys (key): one bit for the leading bits of each."""
+    bits = min(SIEVE_BITS, max(15, int(np.ceil(np.log2(16 * keys.count() + 1)))))
+    slot = F.shiftrightunsigned("key", 64 - bits) + 1
+    blocks = keys.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((1 << bits) // 32768, "V4096")
+    for r in blocks.collect():
+        out[r["block"] - 1] = bytes(r["bits"])
+    return out.view(np.uint8)
+
+
+def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.view(np.uint64) >> np.uint64(64 - (len(sieve) * 8 - 1).bit_length())
+    return (sieve[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _contexts(seq: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that have a word before them, and those that have two, in their texts."""
+    since = np.arange(len(seq)) - np.repeat(begin, np.diff(np.append(begin, len(seq))))
+    return np.flatnonzero(since >= 1), np.flatnonzero(since >= 2)
+
+
+def _count_grams(size: int, sieve: np.ndarray):
+    """Task: (context, word, n) of pairs (size 2) or triples whose parts, words or pairs, pass the sieve."""
 
     @memory.task("suffixlm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, size = HashIndex(model.keys[: model.frequent]), model.frequent
-        wanted = None if only is None else _index(only)
-        total = None if only is None else np.zeros(len(only), np.int64)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         tokens = 0
 
         def report() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            enough = n >= max(1.0, np.ceil(least * tokens / max(model.tokens, 1)))
-            return pa.RecordBatch.from_arrays([pa.array(keys[enough]), pa.array(n[enough])], names=["key", "n"])
+            context, word = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            _, first, n = np.unique(_gram(context, word), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(word[first]), pa.array(n)], names=["context", "word", "n"])
 
         for part in pieces(batches, "text"):
             words = words_of(part.column("text"))
-            seq, begin = _spread(words, index.find(words.hash), end_id)
-            pair, triple = _ngrams(seq, begin, size)
-            keys = np.concatenate([-1 - pair[pair >= 0], triple[triple >= 0]])
-            if wanted is not None:
-                found = _find(wanted, keys)
-                total += np.bincount(found[found >= 0], minlength=len(total))
-                continue
-            held.append(keys)
-            tokens += len(words) + words.texts
+            seq, begin = _spread(words, words.hash.view(np.int64), int(END))
+            one, two = _contexts(seq, begin)
+            if size == 2:
+                ok = _passes(sieve, seq)
+                at = one[ok[one] & ok[one - 1]]
+                held.append((seq[at - 1], seq[at]))
+            else:
+                pair = np.zeros(len(seq), np.int64)
+                pair[one] = _gram(seq[one - 1], seq[one])
+                ok = _passes(sieve, pair)
+                at = two[ok[two] & ok[two - 1]]
+                held.append((pair[at - 1], seq[at]))
+            tokens += len(seq)
             if tokens >= PART_TOKENS:
                 yield report()
                 held, tokens = [], 0
-        if wanted is not None:
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(only[some]), pa.array(total[some])], names=["key", "n"])
-        elif held:
+        if held:
             yield report()
 
     return run
 
 
+def _with_gram(context: str, word: str, name: str):
+    """Task: adds the hashed key of two columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, w = (b.column(x).to_numpy(zero_copy_only=False) for x in (context, word))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_gram(c, w))], names=[*b.schema.names, name])
+
+    return run
+
+
+def _frequent_grams(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, context, word, n) of all pairs, and of all triples, that occur LEAST_COUNT times."""
+    found = []
+    keys = counts.filter(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("key"))
+    for size in (2, 3):
+        grams = docs.mapInArrow(_count_grams(size, _sieve(keys)), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+        found.append(stored(grams.mapInArrow(_with_gram("context", "word", "key"), "context long, word long, n long, key long"), f"suffix-grams-{size}"))
+        keys = found[-1].select("key")
+    return found[0], found[1]
+
+
+def _fitted(grams: DataFrame, n_all: float, name: str) -> tuple[DataFrame, DataFrame]:
+    """Retain contexts by divergence, as _states does.  grams (key, context, word, n, total: the context's count, by_suffix: the
+    suffix's probability).  Returns grams with p (by the longest retained suffix) and the factors (key, n, gain)."""
+    s = F.col("by_suffix")
+    p = (F.col("n") + BETA * s) / (F.col("total") + BETA)
+    per = grams.groupBy("context").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("covered"), F.sum(s).alias("covered_s"), F.sum(p * F.log(p / s)).alias("kl"))
+    left, left_s = F.greatest(F.col("total") - F.col("covered"), F.lit(0)), F.greatest(1 - F.col("covered_s"), F.lit(1e-9))
+    rest = (left + BETA * left_s) / (F.col("total") + BETA)
+    kl = F.col("kl") + rest * F.log(rest / left_s)
+    kept = per.filter(F.col("total") * kl > 0.5 * (F.col("k") + 1) * float(np.log(max(n_all, 2)))).select("context", F.col("total").alias("n"), F.log10(rest / left_s).alias("gain"))
+    kept = stored(kept, f"{name}-states")
+    grams = stored(grams.join(kept.select("context", F.col("gain").alias("rest")), "context", "left").withColumn("p", F.when(F.col("rest").isNull(), s).otherwise(p)), name)
+    listed = grams.filter("rest IS NOT NULL").select("key", "n", (F.log10(F.col("p") / s) - F.col("rest")).alias("gain"))
+    return grams, kept.select(F.col("context").bitwiseXOR(F.lit(CONTEXT_SALT)).alias("key"), "n", "gain").unionByName(listed)
+
+
+def _state_tables(model: Model, counts: DataFrame, pairs: DataFrame, triples: DataFrame) -> Model:
+    """The states as tables of factors."""
+    often = counts.filter(F.col("n") >= LEAST_COUNT)
+    root = often.select("word", ((F.col("n") - model.discount) / float(model.tokens)).alias("by_suffix"))
+    pairs = pairs.join(root, "word").join(often.select(F.col("word").alias("context"), F.col("n").alias("total")), "context")
+    pairs, one = _fitted(pairs, model.tokens, "suffix-pairs")
+    triples = triples.join(pairs.select(F.col("key").alias("context"), F.col("n").alias("total"), F.col("word").alias("last")), "context")
+    triples = triples.mapInArrow(_with_gram("last", "word", "suffix"), triples.schema.simpleString()[7:-1].replace(":", " ") + ", suffix long")
+    triples = triples.join(pairs.select(F.col("key").alias("suffix"), F.col("p").alias("by_suffix")), "suffix")
+    _, two = _fitted(triples.select("key", "context", "word", "n", "total", "by_suffix"), model.tokens, "suffix-triples")
+    factors = stored(one.unionByName(two), "suffix-factors")
+    # Contexts and continuations of either length: at most tokens / n of each occur n times.
+    sent = F.col("n") >= 4.0 * model.tokens / max(SENT_NGRAMS, 1e-9)
+    head = factors.filter(sent).select("key", "gain").toArrow().to_pandas()
+    model.sent_keys, model.sent_gain = head["key"].to_numpy(np.int64).view(np.uint64), head["gain"].to_numpy(float)
+    model.factors = factors.filter(~sent).select("key", "gain")
+    model.sieve = _sieve(model.factors)
+    return model
+
+
 def _states(model: Model, grams: pd.DataFrame, end_id: int) -> Model:
     """Retain states by divergence and store the gains of their frequent continuations over the root."""
     size, n_all = model.frequent, float(model.tokens)
@@ -242,26 +341,33 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
         return model, counts, 0
     if stats[2] and stats[3]:
         model.discount = stats[2] / (stats[2] + 2 * stats[3])
-    head = counts.filter(F.col("n") >= max(HEAD_LEAST, HEAD_SHARE * model.tokens)).toPandas()
+    head = counts.filter(F.col("n") >= max(HEAD_LEAST, HEAD_SHARE * model.tokens)).toArrow().to_pandas()
     head = head.sort_values(["n", "word"], ascending=[False, True], kind="stable")
     if not (head["word"] == int(END)).any():
         head = pd.concat([head, counts.filter(F.col("word") == int(END)).toPandas()])
     model.keys, model.counts = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
     end_id = int(np.flatnonzero(model.keys == END)[0])
-    least = max(float(LEAST_COUNT), P_MIN * model.tokens)
-    model.frequent = int((model.counts >= least).sum())
-    model.one = np.full(model.frequent, np.nan)
-    if not model.frequent:
+    pairs, triples = _frequent_grams(docs, counts)
+    used = pairs.select("word").union(pairs.select("context")).distinct()
+    if pairs.count() + triples.count() > SENT_NGRAMS or used.count() > MOST_IDS:
+        return _state_tables(model, counts, pairs, triples), counts, end_id
+    # Ids by falling count for all words of frequent n-grams, those outside the head too.
+    tail = counts.filter(F.col("n") < max(HEAD_LEAST, HEAD_SHARE * model.tokens)).join(used, "word", "left_semi").toArrow().to_pandas()
+    tail = tail[~tail["word"].isin([int(END)])]
+    head = pd.concat([head[head["n"] >= LEAST_COUNT], tail, head[head["n"] < LEAST_COUNT]]).sort_values(["n", "word"], ascending=[False, True], kind="stable")
+    model.keys, model.counts = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
+    end_id = int(np.flatnonzero(model.keys == END)[0])
+    model.frequent = size = int((model.counts >= LEAST_COUNT).sum())
+    model.one = np.full(size, np.nan)
+    if not size:
         return model, counts, end_id
-    # Parts so large that a part's share of `least` is some occurrences.
-    parts = docs.coalesce(max(1, int(least // 3)))
-    candidates = stored(parts.mapInArrow(_count_ngrams(model, end_id, least, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "suffix-candidates")
-    if candidates.count() <= SENT_NGRAMS:
-        only = candidates.select("key").toPandas()["key"].to_numpy(np.int64)
-        exact = docs.mapInArrow(_count_ngrams(model, end_id, least, only), "key long, n long")
-    else:
-        exact = docs.mapInArrow(_count_ngrams(model, end_id, 0.0, None), "key long, n long")
-    grams = exact.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+    # As Arrow: rows would take the driver ten times the memory.
+    pairs, triples = pairs.toArrow().to_pandas(), triples.select("context", "word", "n").toArrow().to_pandas()
+    index = HashIndex(model.keys[:size])
+    find = lambda x: index.find(x.to_numpy(np.int64).view(np.uint64))
+    pair = find(pairs["context"]) * size + find(pairs["word"])
+    context = pd.Series(pair, index=pairs["key"]).reindex(triples["context"]).to_numpy(np.int64)
+    grams = pd.DataFrame({"key": np.concatenate([-1 - pair, context * size + find(triples["word"])]), "n": np.concatenate([pairs["n"], triples["n"]])})
     return _states(model, grams, end_id), counts, end_id
 
 
@@ -272,6 +378,7 @@ def _scorer(model: Model, end_id: int):
         row = (context.partitionId() if context else 0) << 36
         index, size = HashIndex(model.keys), model.frequent
         pairs, twos, triples = _index(model.pair_keys), _index(model.two_keys), _index(model.triple_keys)
+        sent = HashIndex(model.sent_keys)
         base, root = model.base(model.counts), model.root(model.counts)
         end_base, end_root = (base[end_id], root[end_id]) if model.tokens else (model.base(0), 0.0)
         for part in pieces(batches, "text"):
@@ -282,7 +389,13 @@ def _scorer(model: Model, end_id: int):
             owner = words.text_of
             s_base = np.bincount(owner[head], base[ids[head]], n) + end_base
             s_root = np.bincount(owner[head], root[ids[head]], n) + end_root
-            if model.frequent:
+            far, far_n = np.zeros(0, np.int64), np.zeros(n, np.int64)
+            if model.sieve is not None:
+                seq, begin = _spread(words, words.hash.view(np.int64), int(END))
+                gain, far, at = _far_gains(model, seq, begin, sent)
+                s_root += sums(gain, np.append(begin, len(seq)))
+                far_n = np.diff(np.searchsorted(at, np.append(begin, len(seq))))
+            elif model.frequent:
                 seq, begin = _spread(words, ids, end_id)
                 gain = _gains(model, seq, begin, size, pairs, twos, triples)
                 s_root += sums(gain, np.append(begin, len(seq)))
@@ -298,14 +411,31 @@ def _scorer(model: Model, end_id: int):
                     pa.array(s_base),
                     pa.array(s_root),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.hash[tail].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(far_n)]).astype(np.int32)), pa.array(far)),
                 ],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "root", "tail"],
+                names=["row", "doc_id", "n_tokens", "n_known", "base", "root", "tail", "far"],
             )
             row += n
 
     return run
 
 
+def _far_gains(model: Model, seq: np.ndarray, begin: np.ndarray, sent: HashIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of the sent factors of each position, keys that the table may have, their positions in order)."""
+    one, two = _contexts(seq, begin)
+    pair = np.zeros(len(seq), np.int64)
+    pair[one] = _gram(seq[one - 1], seq[one])
+    salt = np.int64(CONTEXT_SALT)
+    keys = np.concatenate([seq[one - 1] ^ salt, pair[one], pair[two - 1] ^ salt, _gram(pair[two - 1], seq[two])])
+    at = np.concatenate([one, one, two, two])
+    found = sent.find(keys.view(np.uint64))
+    gain = np.bincount(at[found >= 0], model.sent_gain[found[found >= 0]], len(seq))
+    open_ = np.flatnonzero(found < 0)
+    open_ = open_[_passes(model.sieve, keys[open_])]
+    open_ = open_[np.argsort(at[open_], kind="stable")]
+    return gain, keys[open_], at[open_]
+
+
 def _gains(model: Model, seq: np.ndarray, begin: np.ndarray, size: int, pairs: HashIndex, twos: HashIndex, triples: HashIndex) -> np.ndarray:
     """log10 of each position's probability over the root's, by the longest retained suffix."""
     n = len(seq)
@@ -340,7 +470,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, end_id: int, text: s
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(slim.mapInArrow(_scorer(model, end_id), "row long, doc_id long, n_tokens long, n_known long, base double, root double, tail array<long>"), "suffix-rows")
+    rows = stored(slim.mapInArrow(_scorer(model, end_id), "row long, doc_id long, n_tokens long, n_known long, base double, root double, tail array<long>, far array<long>"), "suffix-rows")
     # Words outside the head: those of the corpus that training met are in the count table.
     tail = rows.select("row", F.explode("tail").alias("word"))
     rare = counts.filter(F.col("n") < max(HEAD_LEAST, HEAD_SHARE * model.tokens))
@@ -350,7 +480,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, end_id: int, text: s
     base = F.log10((c + 1) / F.lit(total))
     root = F.log10(F.when(c > 0, c - model.discount).otherwise(model.discount * model.words) / float(model.tokens)) if model.tokens else F.lit(0.0)
     per = met.groupBy("row").agg(F.sum(base).alias("tail_base"), F.sum(root).alias("tail_root"), F.count("n").alias("tail_known"))
-    out = rows.drop("tail").join(per, "row", "left")
+    out = rows.drop("tail", "far").join(per, "row", "left")
+    if model.factors is None:
+        out = out.withColumn("far_root", F.lit(0.0))
+    else:
+        far = rows.select("row", F.explode("far").alias("key")).join(model.factors, "key").groupBy("row").agg(F.sum("gain").alias("far_root"))
+        out = out.join(far, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "doc_id",
@@ -358,7 +493,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, end_id: int, text: s
         (F.col("n_known") + zero("tail_known")).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("tail_base")).alias("base_score"),
-        (F.col("root") + zero("tail_root")).alias("score"),
+        (F.col("root") + zero("tail_root") + zero("far_root")).alias("score"),
     )
 
 
