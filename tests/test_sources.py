@@ -98,3 +98,17 @@ def test_signature_scores(spark):
     cols = "stream_id string, wid long, concurrent_connection_count double, handshake_completion_ratio double, mean_connection_duration double, request_rate double"
     df = spark.createDataFrame([("s", 0, 101.0, 0.05, 61.0, 501.0), ("s", 1, 100.0, 0.1, 60.0, 500.0)], cols)
     assert [(r["score"], r["matches"], r["alert"]) for r in evaluate.signatures(df).orderBy("wid").collect()] == [(0.9, 4, True), (0.0, 0, False)]
+
+
+def test_simulation_queries_run_the_whole_grid(spark, sf):
+    from tidewatch.plans import catalog
+
+    spans = catalog.queries()["simulate_scenarios"](spark, sf).groupBy("stream_id").agg({"wid": "min", "*": "count"}).collect()
+    want = {f"{name}-{rep}": 120 + int(length / 5) for name, length, _ in simulate.SCENARIOS for rep in range(3)}
+    assert {r["stream_id"]: r["count(1)"] for r in spans} == want and {r["min(wid)"] for r in spans} == {-120}
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simulate, "scenario_grid", lambda spark, **cut: seen.update(cut))
+        m.setattr(detector, "run", lambda flows, s, seed_windows=120: seen.update(seed_windows=seed_windows) or detector.Detection(*[spark.createDataFrame([], "stream_id string, wid long, score double")] * 6))
+        catalog.queries()["simulated_detection"](spark, sf)
+    assert seen == {"seed_windows": 120}

@@ -453,14 +453,13 @@ def _(spark, d):
 
 @_query("simulate_scenarios")
 def _(spark, d):
-    return simulate.scenario_grid(spark, reps=1, seed_windows=12, most_windows=24).groupBy("stream_id", "wid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_ip").alias("sources"))
+    return simulate.scenario_grid(spark).groupBy("stream_id", "wid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_ip").alias("sources"))
 
 
 @_query("simulated_detection")
 def _(spark, d):
     s = Settings()
-    flows = simulate.scenario_grid(spark, reps=1, seed_windows=30, most_windows=60)
-    scored = detector.run(flows, s, 30).scored
+    scored = detector.run(simulate.scenario_grid(spark), s).scored
     return _round(mitigate.first_detection(scored, 30.0, s), "peak_score", "min_attack_score")
 
 
