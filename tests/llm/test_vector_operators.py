@@ -99,6 +99,15 @@ def test_search_recall(spark, sf):
     assert np.mean(hits) >= 0.9
 
 
+def test_search_repeated_ids_crowd_out_none(spark):
+    """Ids that repeat with different vectors take one place each."""
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * j]) for j in range(1, 9)] + [(i, [1.0, 0.1 * i]) for i in range(2, 9)]
+    out = permindex.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in out.orderBy("rank").collect()]
+    assert [g[:2] for g in got] == [(k, k) for k in range(1, 6)]
+    assert got[0][2] == pytest.approx(1 / np.hypot(1, 0.001))
+
+
 def test_search_few_and_no_rows(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in permindex.search(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1)]

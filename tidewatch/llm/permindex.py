@@ -92,20 +92,37 @@ def _searcher(pivots: np.ndarray, kind: str, d: int, k: int, share: float) -> Ca
             unit = x / norms(x)[:, None]
             files = InvertedFiles(places(unit, pivots, PREFIX), len(pivots))
             q_places = places(q / norms(q)[:, None], pivots, PREFIX)
-            want = max(LEAST_CANDIDATES, int(np.ceil(share * len(x))))
+            # Rows by id: places and candidates are counted by distinct ids, so that rows that repeat an id crowd out no others.
+            by_id = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.append(True, ids[by_id][1:] != ids[by_id][:-1]))
+            repeats = len(starts) < len(ids)
+            want = max(LEAST_CANDIDATES, int(np.ceil(share * len(starts))))
             for j, (own, v) in enumerate(zip(asked["vec_id"].tolist(), q, strict=True)):
                 common = files.common(q_places[j])
                 common[ids == own] = -1
-                if len(common) > want:
-                    least = max(0, int(np.partition(common, len(common) - want)[len(common) - want]))
+                if len(starts) > want:
+                    most = np.maximum.reduceat(common[by_id], starts) if repeats else common
+                    least = max(0, int(np.partition(most, len(most) - want)[len(most) - want]))
                     rows = np.flatnonzero(common >= least)
                 else:
                     rows = np.flatnonzero(common >= 0)
                 near = unit[rows] @ v
-                if len(rows) > k:
+                if repeats:
+                    best = np.lexsort((-near, ids[rows]))
+                    first = np.append(True, ids[rows][best][1:] != ids[rows][best][:-1])[: len(best)]
+                    # Rows within rounding of their id's best are scored exactly.
+                    top = near[best][first]
+                    bound = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else -np.inf
+                    close = near[best] >= np.maximum(bound, np.repeat(top, np.diff(np.append(np.flatnonzero(first), len(best))))) - 1e-9
+                    close |= (near[best] >= bound - 1e-9) & first
+                    rows = rows[best[close]]
+                elif len(rows) > k:
                     rows = rows[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9]
                 exact = cosines(x[rows], np.broadcast_to(v, (len(rows), d)))
-                best = np.lexsort((ids[rows], -exact))[:k]
+                best = np.lexsort((ids[rows], -exact))
+                if repeats:
+                    best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])]
+                best = best[:k]
                 out += [(own, int(ids[rows[b]]), float(exact[b])) for b in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -119,7 +136,6 @@ def search(table: DataFrame, is_query: Column, k: int = 5, share: float = CANDID
     asked = rows.filter(is_query)
     n, n_asked = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     pivots = fit_pivots(rows, kind, d)
-    # A block finds k + 1 rows, so that rows that repeat an id can't crowd out others.
     blocks, groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_asked // QUERY_ROWS))
     deal = lambda m, seed: F.pmod(F.xxhash64("vec_id", "packed", F.lit(seed)), F.lit(m))
     data = rows.select("vec_id", "packed", deal(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
