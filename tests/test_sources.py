@@ -112,3 +112,15 @@ def test_simulation_queries_run_the_whole_grid(spark, sf):
         m.setattr(detector, "run", lambda flows, s, seed_windows=120: seen.update(seed_windows=seed_windows) or detector.Detection(*[spark.createDataFrame([], "stream_id string, wid long, score double")] * 6))
         catalog.queries()["simulated_detection"](spark, sf)
     assert seen == {"seed_windows": 120}
+
+
+def test_comparisons_run_at_full_size(spark, sf):
+    from tidewatch.plans import catalog
+
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(evaluate, "bootstrap", lambda *a, rounds=1000: seen.update(rounds=rounds))
+        m.setattr(evaluate, "forest", lambda *a, trees=100, depth=10: seen.update(trees=trees, depth=depth))
+        catalog.queries()["bootstrap_ci"](spark, sf)
+        catalog.queries()["random_forest"](spark, sf)
+    assert seen == {"rounds": 10_000, "trees": 100, "depth": 10}

@@ -442,13 +442,13 @@ def _(spark, d):
 
 @_query("bootstrap_ci")
 def _(spark, d):
-    return evaluate.bootstrap(_runs(spark, d), "peak_score", ["scenario_id"], rounds=200)
+    return evaluate.bootstrap(_runs(spark, d), "peak_score", ["scenario_id"], rounds=10_000)
 
 
 @_query("random_forest")
 def _(spark, d):
     cases = _feats(spark, d).withColumn("label", F.expr(_ATTACK)).withColumn("case", F.col("wid"))
-    return evaluate.forest(cases, list(FEATURES), trees=20, depth=5)
+    return evaluate.forest(cases, list(FEATURES), trees=100, depth=10)
 
 
 @_query("simulate_scenarios")
