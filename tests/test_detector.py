@@ -1,5 +1,6 @@
 """Features, rules and correlation on small literal frames."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,52 +36,56 @@ def test_entropy(spark):
     assert h == pytest.approx(1.8423709931771086)
 
 
+def windows(spark, rows, **where):
+    return features.windows(flows(spark, rows, **where), S)
+
+
 def fired(df):
     return df.first()["fired"]
 
 
 @pytest.mark.parametrize(("n", "on"), [(100, False), (101, True)])
 def test_incomplete_per_source(spark, n, on):
-    assert fired(rules.connection_exhaustion(flows(spark, [{"src_ip": "1.2.3.4", "handshake_complete": False}] * n), S)) is on
+    assert fired(rules.connection_exhaustion(windows(spark, [{"src_ip": "1.2.3.4", "handshake_complete": False}] * n), S)) is on
 
 
 @pytest.mark.parametrize(("n", "on"), [(500, False), (501, True)])
 def test_incomplete_per_subnet(spark, n, on):
     rows = [{"src_ip": f"1.2.3.{k % 250}", "handshake_complete": False} for k in range(n)]
-    assert fired(rules.connection_exhaustion(flows(spark, rows), S)) is on
+    assert fired(rules.connection_exhaustion(windows(spark, rows), S)) is on
 
 
 @pytest.mark.parametrize(("n", "last", "size", "on"), [(9, 6.0, 50, False), (10, 6.0, 50, True), (20, 11.0, 1000, False), (21, 11.0, 1000, True)])
 def test_slow(spark, n, last, size, on):
-    assert fired(rules.slow_requests(flows(spark, [{"last_time": last, "bytes_sent": size}] * n), S)) is on
+    assert fired(rules.slow_requests(windows(spark, [{"last_time": last, "bytes_sent": size}] * n), S)) is on
 
 
 @pytest.mark.parametrize(("n", "agents", "on"), [(99, 1, False), (100, 10, False), (100, 9, True)])
 def test_agents(spark, n, agents, on):
     rows = [{"user_agent": f"a{k % agents}"} for k in range(n)]
-    assert fired(rules.agent_homogeneity(flows(spark, rows), S)) is on
+    assert fired(rules.agent_homogeneity(windows(spark, rows), S)) is on
 
 
 @pytest.mark.parametrize(("n", "on"), [(50, False), (51, True)])
 def test_distributed(spark, n, on):
-    assert rules.distributed(flows(spark, [{"src_ip": f"10.0.{k}.1"} for k in range(n)]), S).first()["burst"] is on
+    assert rules.distributed(windows(spark, [{"src_ip": f"10.0.{k}.1"} for k in range(n)]), S).first()["burst"] is on
 
 
 @pytest.mark.parametrize(("n", "on"), [(99, False), (100, True)])
 def test_synchronised(spark, n, on):
     rows = [{"src_ip": f"{k}.{k}.0.1", "request_count": 100 if k % 10 == 0 else 1} for k in range(n)]
-    row = rules.distributed(flows(spark, rows), S).first()
+    row = rules.distributed(windows(spark, rows), S).first()
     assert row["burst"] is False and row["synchronised"] is on
 
 
 def test_benign_grid_is_quiet(spark):
     rows = [{"src_ip": f"10.0.{k // 10}.{k % 10}", "user_agent": f"a{k}"} for k in range(50)]
-    assert rules.rule_events(flows(spark, rows), S).count() == 0
+    assert rules.rule_events(windows(spark, rows), S).count() == 0
 
 
 def test_request_spike_moves_with_the_offender(spark):
     heavy = flows(spark, [{"src_ip": "a", "request_count": 10_000}], wid=0).unionByName(flows(spark, [{"src_ip": "a", "request_count": 2_600}], wid=1))
-    out = rules.request_spike(heavy, S).orderBy("wid").collect()
+    out = rules.request_spike(features.windows(heavy, S), S).orderBy("wid").collect()
     assert [r["fired"] for r in out] == [True, False]  # 2000 > 500, then 520 against 10 * (0.1 * 2000 + 0.9 * 50)
     assert out[1]["rate_baseline"] == pytest.approx(245)
 
@@ -117,10 +122,67 @@ def test_same_step_is_not_ordered(spark):
     assert score_of(spark, steps)[0]["boosted"] is False
 
 
+def kept_by_iqr(values):
+    if len(values) < 4:
+        return values
+    v, n = sorted(values), len(values)
+    spread = 1.5 * (v[3 * n // 4] - v[n // 4])
+    return [x for x in values if v[n // 2] - spread <= x <= v[n // 2] + spread]
+
+
 def test_iqr(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0, 2.0, 3.0, 100.0],), ([1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 4.0, 50.0],)], "v array<double>")
-    got = [r[0] for r in df.select(baseline.iqr_kept(F.col("v"))).collect()]
-    assert got[0] == [1.0, 2.0, 3.0] and len(got[1]) == 4 and 50.0 not in got[2]
+    rng = np.random.default_rng(4)
+    many = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 100.0], [1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 4.0, 50.0], [5.0] * 40 + [9.0], [-7.5, -1e6, 0.0, 0.0, 3.0, 1e9], *[rng.normal(k, 10.0**k, 20 + k).tolist() for k in range(6)], [7.0, 8.0]]
+    rows = [("s", "f", k, 0, x) for k, xs in enumerate(many) for x in xs]
+    df = spark.createDataFrame(rows, "stream_id string, feature string, hour int, dow int, value double").repartition(3)
+    got = {r["hour"]: r for r in baseline.learned_contexts(df, 3).collect()}
+    assert sorted(got) == list(range(len(many) - 1))
+    for k, r in got.items():
+        kept = kept_by_iqr(many[k])
+        assert r["n"] == len(kept) and r["mean"] == pytest.approx(np.mean(kept)) and r["variance"] == pytest.approx(np.var(kept), rel=1e-9, abs=1e-9)
+
+
+def test_baselines_written_and_loaded(spark):
+    rows = [("s", "f", 1, 2, 1.5, 0.25, 12), ("s", "f", 3, 4, -2.0, 0.0, 10), ("s", "g", 1, 2, 1e-9, 1e9, 11)]
+    df = spark.createDataFrame(rows, "stream_id string, feature string, hour int, dow int, mean double, variance double, n long")
+    assert sorted(baseline.loaded(baseline.serialized(df)).collect()) == sorted(df.collect())
+    assert {(r["feature"], r["contexts"]) for r in baseline.feature_ids(df).collect()} == {("f", 2), ("g", 1)}
+    assert baseline.without(df, ["f"]).count() == 1 and baseline.without(df).count() == 0
+
+
+def test_salted_windows_and_records(spark, monkeypatch):
+    """Windows too many to send join by salt; records are those of a plain scan, in one window of rising rates too."""
+    rows = [{"src_ip": f"10.{k % 9}.0.{k}", "request_count": (k * 37) % 101, "last_time": k * 0.01} for k in range(150)] + [{"src_ip": f"11.0.0.{k}", "request_count": 200 + k} for k in range(20)]
+    df = flows(spark, rows)
+    a = features.windows(df, S).first().asDict(recursive=True)
+    monkeypatch.setattr(features, "SENT_WINDOWS", 0)
+    b = features.windows(df, S).first().asDict(recursive=True)
+    assert b.pop("records") == a["records"] and b == pytest.approx({k: v for k, v in a.items() if k != "records"})
+    best, want = -1, []
+    for k, r in enumerate(rows):
+        rate = r["request_count"] / S.dt
+        if rate > best:
+            best, want = rate, [*want, (k, rate)]
+    assert [(r["first_seq"], r["rate"]) for r in a["records"]] == want
+
+
+def test_spine(spark):
+    found = spark.createDataFrame([("s", 3), ("s", 6), ("t", 1)], "stream_id string, wid long")
+    assert sorted(map(tuple, features.spine(found).collect())) == [("s", 3), ("s", 4), ("s", 5), ("s", 6), ("t", 1)]
+
+
+def test_recent_events(spark):
+    e = spark.createDataFrame([(w,) for w in range(30)], "wid long")
+    assert [r[0] for r in correlate.recent_events(e, 100.0, S).collect()] == list(range(8, 21))
+
+
+def test_the_flows_are_read_three_times(spark, sf):
+    """Everything else reads tables of a row a window, source or series."""
+    from tidewatch.plans import catalog
+
+    df = catalog.queries()["detection_steps"](spark, sf)
+    plan = df._jdf.queryExecution().toString()
+    assert plan.count("FileScan") <= 12 and "events.parquet" not in plan
 
 
 def test_scalars(spark):

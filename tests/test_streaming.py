@@ -1,10 +1,14 @@
 """Streams give what the batch scans give."""
 
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.config import Settings
-from tidewatch.operators import mitigate, scan
+from tidewatch.operators import features, mitigate, scan
 from tidewatch.streaming import live
 
 S = Settings()
@@ -30,10 +34,10 @@ def test_scan_stream(spark, tmp_path):
         z.append(base.z(v, 0))
         base.update(v, 0)
     acc, sure = scan.leaky(np.array(z), S)
-    if got["wid"].tolist() == sorted(got["wid"]):
-        np.testing.assert_allclose(got["z"], z, rtol=1e-6)
-        np.testing.assert_allclose(got["accumulator"], acc, rtol=1e-6)
-        assert got["confirmed"].tolist() == sure.tolist()
+    assert got["wid"].tolist() == list(range(30))
+    np.testing.assert_allclose(got["z"], z, rtol=1e-6)
+    np.testing.assert_allclose(got["accumulator"], acc, rtol=1e-6)
+    assert got["confirmed"].tolist() == sure.tolist()
 
 
 def test_respond_stream(spark, tmp_path):
@@ -62,3 +66,36 @@ def test_live_flows_stream(spark, tmp_path):
     src = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     out = run(spark, live.live_flows(src, late="0 seconds"), "sessions", tmp_path).orderBy("start_time").collect()
     assert [(r["start_time"], r["packets"]) for r in out][:2] == [(0.0, 3), (30.0, 1)]
+
+
+def test_all_features_of_closed_windows_equal_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(f"s{k % 2}", k, f"10.0.{int(a)}.1", "TCP", float(t), float(t) + float(x), int(b), True, 1 + k % 4, False, f"a{k % 3}", "US" if k % 3 else "DE", 200, "d", 1, 80, 5, 3) for k, (t, x, a, b) in enumerate(zip(np.sort(rng.uniform(0, 60, 300)), rng.uniform(0, 9, 300), rng.integers(0, 20, 300), rng.integers(0, 50, 300), strict=True))]
+    schema = "stream_id string, flow_seq long, src_ip string, proto string, start_time double, last_time double, bytes_sent long, handshake_complete boolean, request_count long, protocol_violation boolean, user_agent string, country_code string, response_status int, dst_ip string, sport int, dport int, bytes_recv long, packets long"
+    for k in range(3):
+        spark.createDataFrame(rows[100 * k : 100 * (k + 1)], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their times
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    live.features_query(src, str(tmp_path / "out"), S, str(tmp_path / "check"), late=5.0, availableNow=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/features")).drop("batch").toPandas().sort_values(["stream_id", "wid"]).reset_index(drop=True)
+    batch = spark.createDataFrame(rows, schema).withColumn("wid", F.floor(F.col("start_time") / 5).cast("long"))
+    want = features.features(batch, S).toPandas().sort_values(["stream_id", "wid"])
+    want = want[want["wid"] <= got["wid"].max()].reset_index(drop=True)
+    assert got["wid"].max() >= 9 and list(got.columns) == list(want.columns)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_flush_stream(spark, tmp_path):
+    a, b = ("a", 1, "b", 2, 6), ("c", 1, "b", 2, 6)
+    rows = [(t, *a, f, 10) for t, f in ((10.0, 2), (10.1, 18), (10.2, 16), (13.0, 24), (16.0, 24))] + [(10.5, *b, 1, 7)]
+    schema = "ts double, src_ip string, sport int, dst_ip string, dport int, proto_num int, tcp_flags int, length long"
+    for k, part in enumerate((rows, [(30.0, "x", 1, "y", 2, 6, 2, 1)], [(200.0, "x", 1, "y", 2, 6, 2, 1)], [(210.0, "x", 1, "y", 2, 6, 2, 1)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(1.1)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = run(spark, live.flush_stream(src, late="1 seconds"), "flushed", tmp_path).toPandas().sort_values(["src_ip", "flushed_at"])
+    mine = got[got["src_ip"] == "a"]
+    assert mine["packets"].tolist()[0] == 5 and mine["flushed_at"].tolist()[0] == 16.0  # five seconds of packets
+    assert mine["handshake_complete"].all() and not mine["protocol_violation"].any() and len(mine) == 2
+    other = got[got["src_ip"] == "c"]
+    assert len(other) == 1 and other["protocol_violation"].all() and not other["handshake_complete"].any()  # FIN before a handshake; idle

@@ -46,9 +46,25 @@ FEATURES = (
 RULES = ("incomplete_handshake_spike", "session_duration_anomaly", "per_source_request_spike", "user_agent_homogeneity", "distributed_connection_burst", "synchronized_request_timing")
 
 
+# Names of settings files -> fields.
+PARAMETERS = {
+    "ewma_alpha": "alpha",
+    "zscore_threshold": "tau_z",
+    "accumulator_decay": "decay",
+    "accumulator_threshold": "theta",
+    "correlation_window": "window",
+    "mitigation_tier1_threshold": "tier1",
+    "mitigation_tier2_threshold": "tier2",
+    "mitigation_tier3_threshold": "tier3",
+    "mitigation_deescalation_score": "release3",
+    "mitigation_deescalation_time": "hold3",
+}
+
+
+# The defaults.
 @dataclass(frozen=True)
 class Settings:
-    """Defaults are the fixed values of a 5 s observation interval; scaled() stretches all times."""
+    """Defaults are those of a 5 s observation interval; scaled() stretches all times."""
 
     dt: float = 5.0
     window: float = 60.0
@@ -93,5 +109,11 @@ class Settings:
         times = {n: getattr(self, n) * k for n in ("window", "hold1", "hold3", "hold_all", "cooldown", "burst_window")}
         return Settings(**(asdict(self) | times | {"dt": dt} | changes))
 
+    @classmethod
+    def of(cls, parameters: dict, weights: dict | None = None) -> Settings:
+        """From the mappings of settings files; unknown names are ignored, missing ones keep their defaults."""
+        known = {PARAMETERS[k]: float(v) for k, v in parameters.items() if k in PARAMETERS}
+        return cls(**known, **({"weights": {k: float(v) for k, v in weights.items()}} if weights else {}))
+
     def to_dict(self) -> dict:
         return asdict(self)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import Settings
@@ -21,20 +21,45 @@ def seed_statistics(long: DataFrame, n: int) -> DataFrame:
     return stats.select("stream_id", "feature", "seed_mean", floor.alias("seed_var"), "seed_n")
 
 
-def iqr_kept(values):
-    """Of an array column: the values within median +- 1.5 IQR, by index quartiles; arrays under four stay whole."""
-    s = F.array_sort(values)
-    n = F.size(values)
-    at = lambda part: F.element_at(s, (F.floor(n * part) + 1).cast("int"))
-    spread = F.lit(1.5) * (at(0.75) - at(0.25))
-    return F.when(n < 4, values).otherwise(F.filter(values, lambda x: (x >= at(0.5) - spread) & (x <= at(0.5) + spread)))
+CONTEXT = ["stream_id", "feature", "hour", "dow"]
+#: Steps of the coarse scale on which quartiles are first located, for each factor e.
+STEPS = 64
+
+
+def _coarse(value: Column) -> Column:
+    """A step function that grows with the value (logarithms are monotone)."""
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * STEPS)).cast("long")
+
+
+def iqr_bounds(long: DataFrame, least: int = 10) -> DataFrame:
+    """(the context, low, high) of contexts with `least` observations: median +- 1.5 IQR by index quartiles (places n div 4,
+    n div 2, 3n div 4 from 0); without bounds (nulls) under four.
+
+    Counts on a coarse scale tell in which step each quartile lies; only values of those steps are ranked, by count of
+    equal values, so a context with a third of all rows is ranked neither whole nor in one task.
+    """
+    values = long.select(*CONTEXT, F.col("value").cast("double").alias("value")).withColumn("step", _coarse(F.col("value")))
+    steps = values.groupBy(*CONTEXT, "step").agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy(*CONTEXT)
+    upto = F.sum("c").over(whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.withColumn("n", F.sum("c").over(whole)).withColumn("before", upto - F.col("c")).filter(F.col("n") >= least)
+    places = F.array(*[F.struct(F.lit(k).alias("q"), F.floor(F.col("n") * k / 4).cast("long").alias("place")) for k in (1, 2, 3)])
+    asked = steps.select(*CONTEXT, "step", "n", "before", "c", F.inline(places)).filter("place >= before AND place < before + c")
+    asked = asked.groupBy(*CONTEXT, "step").agg(F.first("n").alias("n"), F.collect_list(F.struct("q", (F.col("place") - F.col("before")).alias("at"))).alias("asked"))
+    equal = values.join(asked.select(*CONTEXT, "step"), [*CONTEXT, "step"]).groupBy(*CONTEXT, "step", "value").agg(F.count(F.lit(1)).alias("c"))
+    last = F.sum("c").over(Window.partitionBy(*CONTEXT, "step").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    found = equal.withColumn("end", last).join(asked, [*CONTEXT, "step"]).select(*CONTEXT, "n", "value", "c", "end", F.inline("asked")).filter("at >= end - c AND at < end")
+    q = lambda k: F.max(F.when(F.col("q") == k, F.col("value")))
+    quartiles = found.groupBy(*CONTEXT).agg(F.first("n").alias("n"), q(1).alias("q1"), q(2).alias("q2"), q(3).alias("q3"))
+    spread = F.lit(1.5) * (F.col("q3") - F.col("q1"))
+    bound = lambda x: F.when(F.col("n") >= 4, x)
+    return quartiles.select(*CONTEXT, bound(F.col("q2") - spread).alias("low"), bound(F.col("q2") + spread).alias("high"))
 
 
 def learned_contexts(long: DataFrame, least: int = 10) -> DataFrame:
     """(stream_id, feature, hour, dow, mean, variance, n) of contexts with enough observations, outliers left out."""
-    by = long.groupBy("stream_id", "feature", "hour", "dow").agg(F.collect_list("value").alias("seen")).filter(F.size("seen") >= least)
-    kept = by.select("stream_id", "feature", "hour", "dow", F.explode(iqr_kept(F.col("seen"))).alias("x"))
-    return kept.groupBy("stream_id", "feature", "hour", "dow").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance"), F.count(F.lit(1)).alias("n"))
+    kept = long.join(iqr_bounds(long, least), CONTEXT).filter("low IS NULL OR value BETWEEN low AND high")
+    return kept.groupBy(*CONTEXT).agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.count(F.lit(1)).alias("n"))
 
 
 def learned_overall(contexts: DataFrame) -> DataFrame:
@@ -51,7 +76,25 @@ def looked_up(long: DataFrame, contexts: DataFrame, overall: DataFrame, s: Setti
     return out.withColumn("z", (F.col("value") - F.col("mean")) / F.greatest(F.sqrt(F.greatest("variance", F.lit(0.0))), F.lit(s.epsilon)))
 
 
+_ENTRY = "array<struct<hour:int,dow:int,mean:double,variance:double,n:bigint>>"
+
+
 def serialized(contexts: DataFrame) -> DataFrame:
-    """(stream_id, feature, baseline): the contexts as one JSON map."""
-    entry = F.struct("hour", "dow", "mean", "variance", "n")
+    """(stream_id, feature, baseline): the contexts as one JSON list."""
+    entry = F.struct(F.col("hour").cast("int").alias("hour"), F.col("dow").cast("int").alias("dow"), "mean", "variance", "n")
     return contexts.groupBy("stream_id", "feature").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("baseline"))
+
+
+def loaded(serial: DataFrame) -> DataFrame:
+    """The contexts that serialized() wrote."""
+    return serial.select("stream_id", "feature", F.inline(F.from_json("baseline", _ENTRY)))
+
+
+def feature_ids(contexts: DataFrame) -> DataFrame:
+    """(stream_id, feature, contexts): which features have a baseline, and for how many contexts."""
+    return contexts.groupBy("stream_id", "feature").agg(F.count(F.lit(1)).alias("contexts"))
+
+
+def without(contexts: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """contexts after a reset of these features, or of all."""
+    return contexts.filter(~F.col("feature").isin(features)) if features is not None else contexts.limit(0)

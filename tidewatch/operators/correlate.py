@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.config import FEATURES, RULES, TEMPLATE, Settings
+from tidewatch.config import FEATURES, TEMPLATE, Settings
 from tidewatch.functions.scalars import action_text, tier_of
+from tidewatch.operators import mitigate
 from tidewatch.operators.features import KEYS
 
+if TYPE_CHECKING:
+    from tidewatch.plans.detector import Detection
+
 
 def weight_table(spark, s: Settings) -> DataFrame:
     return spark.createDataFrame(list(s.weights.items()), "feature_id string, weight double")
@@ -39,7 +44,8 @@ def scores(events: DataFrame, spine: DataFrame, s: Settings) -> DataFrame:
     )
     frame = Window.partitionBy("stream_id").orderBy(t).rangeBetween(-round(s.window * 1000), 0)
     out = spine.select(*KEYS).distinct().join(per, KEYS, "left")
-    out = out.withColumn("raw", F.least(F.coalesce(F.sum("sum_w").over(frame), F.lit(0.0)), F.lit(1.0)))
+    # Sums are rounded where the order of addition can't reach, so that a score on the edge of a tier doesn't depend on partitions.
+    out = out.withColumn("raw", F.least(F.round(F.coalesce(F.sum("sum_w").over(frame), F.lit(0.0)), 12), F.lit(1.0)))
     for k in range(3):
         out = out.withColumn(f"first{k}", F.min(f"at{k}").over(frame))
     ordered = F.coalesce((F.col("first0") < F.col("first1")) & (F.col("first1") < F.col("first2")), F.lit(False))
@@ -55,40 +61,50 @@ def top_anomaly(detected: DataFrame, rules: DataFrame) -> DataFrame:
     return best.join(rule, KEYS, "full").select(*KEYS, F.coalesce("rule_", "feature_").alias("top_anomaly"))
 
 
-def affected_sources(flows: DataFrame, most: int = 100) -> DataFrame:
-    """(stream_id, wid, n_sources, sources): the number of distinct sources and the first `most` by name."""
-    by = flows.select(*KEYS, "src_ip").distinct()
+def affected_sources(sources: DataFrame, most: int = 100) -> DataFrame:
+    """(stream_id, wid, n_sources, sources): the number of distinct sources and the first `most` by name, from one row a window and source."""
     order = Window.partitionBy(*KEYS).orderBy("src_ip")
+    by = sources.select(*KEYS, "src_ip")
     first = by.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
     n = by.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_sources"))
     return n.join(first.groupBy(*KEYS).agg(F.array_sort(F.collect_list("src_ip")).alias("sources")), KEYS)
 
 
-def step_results(scored: DataFrame, mitigated: DataFrame, found: DataFrame, events: DataFrame, rules: DataFrame, top: DataFrame, sources: DataFrame, s: Settings) -> DataFrame:
+def step_results(run: Detection, s: Settings) -> DataFrame:
     """The detector's result of every window as one nested row."""
-    order = F.struct("ord", "feature_id", "confidence")
-    listed = lambda df, name: df.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(order)), lambda e: e["feature_id"]).alias(name))
-    none = F.array().cast("array<string>")
-    out = scored.join(mitigated.select(*KEYS, "current_tier"), KEYS).join(found.select(*KEYS, F.struct(*FEATURES).alias("features")), KEYS)
-    out = out.join(listed(events, "anomalies"), KEYS, "left").join(listed(rules, "heuristics"), KEYS, "left").join(top, KEYS, "left").join(sources, KEYS, "left")
+    bare = lambda listed, *fields: F.transform(F.array_sort(listed), lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+    detected = run.detected.withColumn("best_", F.when(F.col("accumulator") > 0, F.struct(F.round("accumulator", 6), -F.col("ord"))))
+    sure = F.struct("ord", F.col("feature").alias("feature_id"), F.col("z").alias("z_score"), F.least(F.abs("z") / 5.0, F.lit(1.0)).alias("confidence"), "accumulator")
+    anomalies = bare(F.collect_list(F.when(F.col("confirmed"), sure)), "feature_id", "z_score", "confidence", "accumulator")
+    events = detected.groupBy(*KEYS).agg(anomalies.alias("anomalies"), F.max_by("feature", "best_").alias("feature_"))
+    fired = run.rules.groupBy(*KEYS).agg(bare(F.collect_list(F.struct("ord", "feature_id", "confidence")), "feature_id", "confidence").alias("heuristics"))
+    tiers = mitigate.respond(run.scored, s).select(*KEYS, "score", "current_tier")
+    windows = run.tables.windows.select(*KEYS, "n_sources", F.struct(*FEATURES).alias("features"))
+    sources = affected_sources(run.tables.sources).select(*KEYS, "sources")
+    out = tiers.join(events, KEYS).join(windows, KEYS).join(fired, KEYS, "left").join(sources, KEYS, "left")
+    none = F.array().cast(fired.schema["heuristics"].dataType)
+    heuristics = F.coalesce("heuristics", none)
     return out.select(
         *KEYS,
+        F.row_number().over(Window.partitionBy("stream_id").orderBy("wid")).alias("step"),
         (F.col("wid") * F.lit(s.dt)).alias("sim_time"),
         F.round("score", 6).alias("score"),
         F.col("current_tier").alias("tier"),
-        F.coalesce("anomalies", none).alias("anomalies"),
-        F.coalesce("heuristics", none).alias("heuristics"),
-        "top_anomaly",
-        action_text("score", F.coalesce("n_sources", F.lit(0)), s).alias("action_description"),
-        F.coalesce("sources", none).alias("affected_sources"),
+        "anomalies",
+        heuristics.alias("heuristics"),
+        F.coalesce(F.get(heuristics, F.lit(0))["feature_id"], F.col("feature_")).alias("top_anomaly"),
+        action_text("score", "n_sources", s).alias("action_description"),
+        F.coalesce("sources", F.array().cast("array<string>")).alias("affected_sources"),
         "features",
     )
 
 
+def recent_events(events: DataFrame, now: float, s: Settings) -> DataFrame:
+    """The events that count at time `now`: those of the last `window` seconds."""
+    t = F.col("wid") * F.lit(s.dt)
+    return events.filter((t >= now - s.window) & (t <= now))
+
+
 def event_log(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Feature and rule events in their order within a window."""
     return reduce(DataFrame.unionByName, [events, rules])
-
-
-def rule_order(name: str) -> int:
-    return 18 + RULES.index(name)

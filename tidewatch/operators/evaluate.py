@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tidewatch.functions.scalars import tier_of  # noqa: F401  (part of the library's surface)
+from pyspark.sql import types as T
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -46,40 +47,47 @@ def latency_stats(runs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def roc_points(runs: DataFrame, score: str = "peak_score", truth: str = "detected") -> DataFrame:
-    """(threshold, tpr, fpr) for 0.50 to 0.99: fifty constants against one pass of counts by score, not against the rows."""
-    by = runs.groupBy(F.col(score).alias("x")).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    grid = by.select(F.explode(F.sequence(F.lit(50), F.lit(99))).alias("k"), "x", "p", "n").withColumn("threshold", F.col("k") / 100.0)
+def roc_points(runs: DataFrame, score: str = "peak_score", truth: str = "detected", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, threshold, tpr, fpr) for 0.50 to 0.99: fifty constants against one pass of counts by score, not against the rows."""
+    c = runs.groupBy(*by, F.col(score).alias("x")).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("n"))
+    grid = c.withColumn("k", F.explode(F.sequence(F.lit(50), F.lit(99)))).withColumn("threshold", F.col("k") / 100.0)
     hit = F.col("x") >= F.col("threshold")
-    out = grid.groupBy("threshold").agg(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum("p").alias("p"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"), F.sum("n").alias("n"))
-    return out.select("threshold", _ratio(F.col("tp"), F.col("p")).alias("tpr"), _ratio(F.col("fp"), F.col("n")).alias("fpr"))
+    out = grid.groupBy(*by, "threshold").agg(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum("p").alias("p"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"), F.sum("n").alias("n"))
+    return out.select(*by, "threshold", _ratio(F.col("tp"), F.col("p")).alias("tpr"), _ratio(F.col("fp"), F.col("n")).alias("fpr"))
 
 
-def auc(points: DataFrame) -> DataFrame:
-    """(auc_in_order, auc_absolute): trapezoids in threshold order clamped to [0, 1], and their absolute value.  Points are fifty."""
-    order = Window.orderBy("threshold")
+def auc(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, auc_in_order, auc_absolute): trapezoids in threshold order clamped to [0, 1], and their absolute value.  Points are
+    fifty for each group."""
+    order = (Window.partitionBy(*by) if by else Window).orderBy("threshold")
     area = (F.col("fpr") - F.lag("fpr").over(order)) * (F.col("tpr") + F.lag("tpr").over(order)) / 2
-    total = points.select(area.alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("t"))
-    return total.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("t"))).alias("auc_in_order"), F.least(F.lit(1.0), F.abs("t")).alias("auc_absolute"))
-
-
-def bootstrap(values: DataFrame, column: str, by: list[str], rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean over resamples: each value's multiplicity in each round is Poisson(1), from a hash, so
-    rounds are sums over rows without collecting a group (the Poisson bootstrap)."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "row_", "round_"), F.lit(1 << 30)) / float(1 << 30)
-    cumulative, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        p /= k + 1
-        cumulative.append(total)
-    copies = F.lit(0)
-    for c in cumulative:
-        copies = copies + (u > c).cast("int")
-    rows = values.select(*by, F.col(column).cast("double").alias("x"), F.monotonically_increasing_id().alias("row_")).filter("x IS NOT NULL")
-    drawn = rows.withColumn("round_", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("m", copies)
-    means = drawn.groupBy(*by, "round_").agg((F.sum(F.col("m") * F.col("x")) / F.sum("m")).alias("mean"))
+    total = points.select(*by, area.alias("a")).groupBy(*by).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("t"))
+    return total.select(*by, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("t"))).alias("auc_in_order"), F.least(F.lit(1.0), F.abs("t")).alias("auc_absolute"))
+
+
+#: Shares of a Poisson variable of mean 1 that are at most 0, 1, ... 7.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def bootstrap(values: DataFrame, column: str, by: list[str], key: list[str], rounds: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(by, low, high, rounds): percentile interval of the mean over resamples; a group of one value has that value as both.
+
+    A value's multiplicity in a round is Poisson(1) from a hash of its key (columns that tell rows apart) and the round, so
+    rounds are sums over rows without collecting a group (the Poisson bootstrap), and reruns agree.  One hash
+    gives four rounds.
+    """
+    rows = values.select(*by, *[F.col(k).cast("string").alias(f"key{i}_") for i, k in enumerate(key)], F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[f"key{i}_" for i in range(len(key))], F.col("block_").cast("string")).cast("binary"))
+    drawn = rows.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // 4) - 1)))).withColumn("h_", digest)
+    u = lambda j: F.conv(F.substring("h_", 8 * j + 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    drawn = drawn.select(*by, "x", F.inline(F.array(*[F.struct((F.col("block_") * 4 + j).alias("round_"), u(j).alias("u_")) for j in range(4)]))).filter(F.col("round_") < rounds)
+    m = sum(((F.col("u_") > c).cast("int") for c in POISSON[1:]), (F.col("u_") > POISSON[0]).cast("int"))
+    means = drawn.withColumn("m_", m).groupBy(*by, "round_").agg((F.sum(F.col("m_") * F.col("x")) / F.nullif(F.sum("m_"), F.lit(0))).alias("mean"))
     low = (1 - level) / 2
-    return means.groupBy(*by).agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"), F.count(F.lit(1)).alias("rounds"))
+    out = means.groupBy(*by).agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"), F.count(F.lit(1)).alias("rounds"))
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), F.first("x").alias("only_"))
+    one = F.col("n_") < 2
+    return out.join(n, by).select(*by, *[F.when(one, F.col("only_")).otherwise(F.col(c)).alias(c) for c in ("low", "high")], "rounds")
 
 
 def effectiveness(runs: DataFrame) -> DataFrame:
@@ -89,10 +97,36 @@ def effectiveness(runs: DataFrame) -> DataFrame:
 
 
 def ablation(runs: DataFrame, full: str = "Full") -> DataFrame:
-    """Per config detection rate and F1 and their differences from the full one; the joined side is one row."""
+    """Per config detection rate, F1 and AUC, and the first two's differences from the full one; the joined side is one row."""
     by = runs.groupBy("config").agg(F.avg(F.col("detected").cast("double")).alias("detection_rate"), confusion(*_totals())["f1"].alias("f1"))
     base = by.filter(F.col("config") == full).select(F.col("detection_rate").alias("d0"), F.col("f1").alias("f0"))
-    return by.join(F.broadcast(base), F.lit(True), "left").select("config", "detection_rate", (F.col("detection_rate") - F.col("d0")).alias("delta_dr"), "f1", (F.col("f1") - F.col("f0")).alias("delta_f1"))
+    area = auc(roc_points(runs, by=("config",)), ("config",)).select("config", F.col("auc_in_order").alias("auc"))
+    out = by.join(F.broadcast(base), F.lit(True), "left").join(area, "config", "left")
+    return out.select("config", "detection_rate", (F.col("detection_rate") - F.col("d0")).alias("delta_dr"), "f1", (F.col("f1") - F.col("f0")).alias("delta_f1"), "auc")
+
+
+def report(runs: DataFrame, by: str = "scenario_id") -> DataFrame:
+    """The report's table, a row a scenario: detection rate, mean latency (0 if nothing was detected), false positives a run, mean peak,
+    repetitions; precision, recall, F1 and specificity of runs (a detected run is a true positive, false ones are the mean
+    number times the runs, cut to whole ones)."""
+    n, hit = F.count(F.lit(1)), F.count_if("detected")
+    out = runs.groupBy(by).agg(
+        n.alias("reps"),
+        hit.alias("tp"),
+        F.coalesce(F.avg(F.when(F.col("detected"), F.col("latency"))), F.lit(0.0)).alias("mean_latency"),
+        F.avg(F.coalesce("false_positives", F.lit(0))).alias("fp_per_run"),
+        F.avg("peak_score").alias("mean_peak"),
+        F.floor(F.avg(F.coalesce("false_positives", F.lit(0))) * n).alias("fp"),
+    )
+    tp, fp = F.col("tp"), F.col("fp")
+    rates = confusion(tp, fp, F.col("reps") - tp, F.greatest(F.col("reps") - fp, F.lit(0)))
+    return out.select(by, "reps", (tp / F.col("reps")).alias("detection_rate"), "mean_latency", "fp_per_run", "mean_peak", *[c.alias(k) for k, c in rates.items()])
+
+
+def report_lines(table: DataFrame) -> DataFrame:
+    """A table as lines of text, names left, numbers to four places right (a row a line, no order)."""
+    cell = lambda f: F.rpad(F.coalesce(F.col(f.name).cast("string"), F.lit("all")), 25, " ") if isinstance(f.dataType, T.StringType) else F.lpad(F.when(F.col(f.name).isNull(), "N/A").otherwise(F.format_string("%.4f", F.col(f.name).cast("double"))), 14, " ")
+    return table.select(F.concat_ws(" ", *[cell(f) for f in table.schema]).alias("line"))
 
 
 def static_threshold(found: DataFrame, first: int = 20) -> DataFrame:

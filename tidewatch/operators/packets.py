@@ -59,13 +59,13 @@ def early_fin(packets: DataFrame) -> DataFrame:
     return placed.join(after, KEY, "left").select(*KEY, F.coalesce(F.col("fin_").isNotNull() & (F.col("done_").isNull() | (F.col("fin_") < F.col("done_"))), F.lit(False)).alias("early"))
 
 
+def to_live_flows(packets: DataFrame) -> DataFrame:
+    """to_flows with the live path's further violation."""
+    flows = to_flows(packets).join(early_fin(packets), KEY)
+    return flows.withColumn("protocol_violation", F.col("protocol_violation") | F.col("early")).drop("early")
+
+
 def overlapping_windows(flows: DataFrame, dt: float) -> DataFrame:
     """flows with wid, once for each window that [start_time, last_time] touches: a generated range, not a range join."""
     first, last = F.floor(F.col("start_time") / dt).cast("long"), F.floor(F.col("last_time") / dt).cast("long")
     return flows.withColumn("wid", F.explode(F.sequence(first, F.greatest(first, last))))
-
-
-def flushed(flows: DataFrame, now: float, since: float, idle: float = 1.0, every: float = 5.0, drop: float = 60.0) -> DataFrame:
-    """The live path's flush at `now`: flows idle for over a second or not sent for `every` seconds; those idle over a minute go."""
-    quiet = F.lit(now) - F.col("last_time")
-    return flows.filter((quiet <= drop) & ((quiet > idle) | (F.lit(now - since) >= every)))

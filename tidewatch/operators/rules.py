@@ -1,72 +1,58 @@
-"""Protocol rules: per window, which events fire (each with confidence 1)."""
+"""Protocol rules: per window, which events fire (each with confidence 1).
+
+Rules read a table of a row a window (features.windows), which the features share.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.config import Settings
-from tidewatch.functions.scalars import duration, subnet
-from tidewatch.operators.features import KEYS, source_totals, variation, with_now
+from tidewatch.config import RULES, Settings
+from tidewatch.operators.features import KEYS
+
+
+def _exhausted(s: Settings) -> Column:
+    return (F.col("max_source") > s.incomplete_per_source) | (F.col("max_subnet") > s.incomplete_per_subnet)
+
+
+def _slow(s: Settings) -> Column:
+    return (F.col("n_tiny") >= s.slow_tiny) | (F.col("n_slow") > s.slow_many)
+
+
+def _homogeneous(s: Settings) -> Column:
+    return (F.col("n_flows") >= s.agents_least_flows) & (F.col("n_agents") / F.col("n_flows") < s.agents_diversity)
+
+
+def _burst(s: Settings) -> Column:
+    return F.col("max_sources") > s.burst_sources
+
+
+def _synchronised(s: Settings) -> Column:
+    return ~_burst(s) & (F.col("n_sources") >= s.timing_sources) & (F.col("cv") > s.timing_cv)
 
 
-def connection_exhaustion(flows: DataFrame, s: Settings) -> DataFrame:
+def connection_exhaustion(windows: DataFrame, s: Settings) -> DataFrame:
     """incomplete_handshake_spike: a source with too many incomplete flows, or else a /24."""
-    bad = F.count_if(~F.col("handshake_complete"))
-    by_source = flows.groupBy(*KEYS, "src_ip").agg(bad.alias("n")).groupBy(*KEYS).agg(F.max("n").alias("max_source"))
-    by_net = flows.groupBy(*KEYS, subnet("src_ip", 3).alias("net")).agg(bad.alias("n")).groupBy(*KEYS).agg(F.max("n").alias("max_subnet"))
-    fires = (F.col("max_source") > s.incomplete_per_source) | (F.col("max_subnet") > s.incomplete_per_subnet)
-    return by_source.join(by_net, KEYS).select(*KEYS, "max_source", "max_subnet", fires.alias("fired"))
+    return windows.select(*KEYS, "max_source", "max_subnet", _exhausted(s).alias("fired"))
 
 
-def slow_requests(flows: DataFrame, s: Settings) -> DataFrame:
+def slow_requests(windows: DataFrame, s: Settings) -> DataFrame:
     """session_duration_anomaly: tiny long flows, or else many slow ones."""
-    d = duration()
-    out = flows.groupBy(*KEYS).agg(
-        F.count_if((d > s.slow_tiny_seconds) & (F.col("bytes_sent") < s.slow_tiny_bytes)).alias("n_tiny"),
-        F.count_if((d > s.slow_many_seconds) & (F.col("bytes_sent") < s.slow_many_bytes)).alias("n_slow"),
-    )
-    return out.withColumn("fired", (F.col("n_tiny") >= s.slow_tiny) | (F.col("n_slow") > s.slow_many))
+    return windows.select(*KEYS, "n_tiny", "n_slow", _slow(s).alias("fired"))
 
 
-def agent_homogeneity(flows: DataFrame, s: Settings) -> DataFrame:
+def agent_homogeneity(windows: DataFrame, s: Settings) -> DataFrame:
     """user_agent_homogeneity: many flows, few agents (an empty one doesn't count)."""
-    by = flows.groupBy(*KEYS, F.nullif(F.col("user_agent"), F.lit("")).alias("agent")).agg(F.count(F.lit(1)).alias("n"))
-    out = by.groupBy(*KEYS).agg(F.sum("n").alias("n_flows"), F.count("agent").alias("n_agents"))
-    return out.withColumn("fired", (F.col("n_flows") >= s.agents_least_flows) & (F.col("n_agents") / F.col("n_flows") < s.agents_diversity))
+    return windows.select(*KEYS, "n_flows", "n_agents", _homogeneous(s).alias("fired"))
 
 
-def distributed(flows: DataFrame, s: Settings) -> DataFrame:
+def distributed(windows: DataFrame, s: Settings) -> DataFrame:
     """(burst, synchronised): many fresh sources in one /16; else high dispersion of requests over many sources."""
-    fresh = with_now(flows).filter(F.col("start_time") >= F.col("now") - s.burst_window)
-    sources = fresh.groupBy(*KEYS, subnet("src_ip", 2).alias("net"), "src_ip").agg(F.lit(1).alias("one"))
-    top = sources.groupBy(*KEYS, "net").agg(F.count(F.lit(1)).alias("n")).groupBy(*KEYS).agg(F.max("n").alias("max_sources"))
-    out = source_totals(flows).join(top, KEYS, "left")
-    burst = F.coalesce(F.col("max_sources") > s.burst_sources, F.lit(False))
-    cv = variation("request_std", "request_mean", s)
-    return out.select(*KEYS, F.coalesce("max_sources", F.lit(0)).alias("max_sources"), "n_sources", cv.alias("cv"), burst.alias("burst"), (~burst & (F.col("n_sources") >= s.timing_sources) & (cv > s.timing_cv)).alias("synchronised"))
-
-
-def rate_records(flows: DataFrame, s: Settings) -> DataFrame:
-    """Per window the mean rate and its record rates: the sources, by first arrival, whose rate exceeds all before.
-
-    Whatever the threshold, the first source above it is one of these; so the state scan gets a short
-    array a window, not its sources.
-    """
-    by = flows.groupBy(*KEYS, "src_ip").agg(
-        (F.sum("request_count") / F.greatest(F.max(F.greatest(duration(), F.lit(s.dt))), F.lit(s.dt))).alias("rate"),
-        F.min("flow_seq").alias("first_seq"),
-        F.sum("request_count").alias("requests"),
-    )
-    order = Window.partitionBy(*KEYS).orderBy("first_seq", "src_ip").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("record", F.coalesce(F.col("rate") > F.max("rate").over(order), F.lit(True)))
-    return by.groupBy(*KEYS).agg(
-        (F.sum("requests") / F.greatest(F.count(F.lit(1)), F.lit(1)) / s.dt).alias("mean_rate"),
-        F.array_sort(F.collect_list(F.when(F.col("record"), F.struct("first_seq", "rate")))).alias("records"),
-    )
+    return windows.select(*KEYS, "max_sources", "n_sources", "cv", _burst(s).alias("burst"), _synchronised(s).alias("synchronised"))
 
 
 def _rate_scan(s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -83,19 +69,16 @@ def _rate_scan(s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def request_spike(flows: DataFrame, s: Settings) -> DataFrame:
+def request_spike(windows: DataFrame, s: Settings) -> DataFrame:
     """per_source_request_spike: a source above rate_multiplier times a smoothed rate, which the offender moves."""
-    return rate_records(flows, s).groupBy("stream_id").applyInPandas(_rate_scan(s), "stream_id string, wid long, rate_baseline double, fired boolean")
+    rows = windows.select(*KEYS, "mean_rate", "records")
+    return rows.groupBy("stream_id").applyInPandas(_rate_scan(s), "stream_id string, wid long, rate_baseline double, fired boolean")
 
 
-def rule_events(flows: DataFrame, s: Settings) -> DataFrame:
+def rule_events(windows: DataFrame, s: Settings) -> DataFrame:
     """(stream_id, wid, feature_id, ord, confidence) of all rules; ord follows the features' 0 to 17."""
-    spike = request_spike(flows, s).select(*KEYS, F.col("fired").alias("spike"))
-    agents = agent_homogeneity(flows, s).select(*KEYS, F.col("fired").alias("agents"))
-    many = distributed(flows, s).select(*KEYS, "burst", "synchronised")
-    wide = connection_exhaustion(flows, s).select(*KEYS, F.col("fired").alias("exhausted")).join(slow_requests(flows, s).select(*KEYS, F.col("fired").alias("slow")), KEYS)
-    wide = wide.join(spike, KEYS).join(agents, KEYS).join(many, KEYS)
+    spike = request_spike(windows, s).select(*KEYS, F.col("fired").alias("spike"))
     # The agents rule isn't reached once a source spiked.
-    fired = (("incomplete_handshake_spike", F.col("exhausted")), ("session_duration_anomaly", F.col("slow")), ("per_source_request_spike", F.col("spike")), ("user_agent_homogeneity", F.col("agents") & ~F.col("spike")), ("distributed_connection_burst", F.col("burst")), ("synchronized_request_timing", F.col("synchronised")))
-    entries = F.array(*[F.struct(F.lit(n).alias("feature_id"), F.lit(18 + k).alias("ord"), c.alias("on_")) for k, (n, c) in enumerate(fired)])
-    return wide.select(*KEYS, F.inline(entries)).filter("on_").select(*KEYS, "feature_id", "ord", F.lit(1.0).alias("confidence"))
+    fired = (_exhausted(s), _slow(s), F.col("spike"), _homogeneous(s) & ~F.col("spike"), _burst(s), _synchronised(s))
+    entries = F.array(*[F.struct(F.lit(n).alias("feature_id"), F.lit(18 + k).alias("ord"), on.alias("on_")) for k, (n, on) in enumerate(zip(RULES, fired, strict=True))])
+    return windows.join(spike, KEYS).select(*KEYS, F.inline(entries)).filter("on_").select(*KEYS, "feature_id", "ord", F.lit(1.0).alias("confidence"))

@@ -112,11 +112,23 @@ class Baseline:
             self.overall = (m, a * var + (1 - a) * v, k + 1)
 
 
-def detect_scan(s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For applyInPandas by (stream_id, feature): columns wid, value, hour, dow, seed_mean, seed_var, seed_n."""
+def seed_of(values: np.ndarray) -> tuple[float, float, int]:
+    """(mean, variance with a floor, number) of a series' seed values."""
+    mean, sd = float(values.mean()), float(values.std())
+    return mean, max(sd * sd, 0.05 * mean + 0.01, 0.1), len(values)
+
+
+def detect_scan(s: Settings, seed_windows: int = 0) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For applyInPandas by (stream_id, feature): columns wid, value, hour, dow, and seed_mean, seed_var, seed_n, unless the
+    first seed_windows windows are the seed."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("wid")
+        if seed_windows:
+            mean, var, n = seed_of(pdf["value"].to_numpy(float)[:seed_windows])
+            pdf = pdf.iloc[seed_windows:].assign(seed_mean=mean, seed_var=var, seed_n=n)
+        if not len(pdf):
+            return pd.DataFrame(columns=DETECTED_COLUMNS)
         first = pdf.iloc[0]
         seeded = first["seed_n"] > 0
         stats = (float(first["seed_mean"]), float(first["seed_var"]), int(first["seed_n"])) if seeded else None
@@ -133,9 +145,25 @@ def detect_scan(s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
+DETECTED_COLUMNS = ["stream_id", "wid", "feature", "ord", "value", "mean", "variance", "z", "accumulator", "confirmed"]
 DETECTED = "stream_id string, wid long, feature string, ord int, value double, mean double, variance double, z double, accumulator double, confirmed boolean"
 
 
+def resumed_scan(s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For applyInPandas by (stream_id, feature): rows marked `seed` update the baseline first, then the others are scanned."""
+    detect = detect_scan(s)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        base, context = Baseline(s), (12, 0)
+        for x in pdf[pdf["seed"]].sort_values("wid")["value"].tolist():
+            base.update(x, context)
+        mean, var, n = base.contexts.get(context, (0.0, 1.0, 0))
+        rows = pdf[~pdf["seed"]]
+        return detect(rows.assign(hour=12, dow=0, seed_mean=mean, seed_var=var, seed_n=n)) if len(rows) else pd.DataFrame(columns=DETECTED_COLUMNS)
+
+    return run
+
+
 def cooldown(times: np.ndarray, alert: np.ndarray, s: Settings) -> np.ndarray:
     """Which alerts count: those more than `cooldown` after the last that counted."""
     last, out = -200.0 * s.dt / 5.0, np.zeros(len(times), bool)

@@ -26,12 +26,12 @@ STATUSES = {200: 0.9, 304: 0.05, 404: 0.04, 500: 0.01}
 class Draw:
     """Random columns for rows that have stream_id, wid and i."""
 
-    def __init__(self, seed: int, kind: str):
-        self.seed, self.kind, self.n = seed, kind, 0
+    def __init__(self, seed: int | Column, kind: str):
+        self.seed, self.kind, self.n = seed if isinstance(seed, Column) else F.lit(seed), kind, 0
 
     def uniform(self, low: float = 0.0, high: float = 1.0) -> Column:
         self.n += 1
-        h = F.xxhash64(F.lit(self.seed), F.lit(self.kind), F.lit(self.n), "stream_id", "wid", "i")
+        h = F.xxhash64(self.seed, F.lit(self.kind), F.lit(self.n), "stream_id", "wid", "i")
         return F.lit(low) + F.lit(high - low) * ((F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52))
 
     def integer(self, low: int, high: int) -> Column:
@@ -81,12 +81,15 @@ def _dotted(*parts) -> Column:
     return F.concat_ws(".", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
-def legitimate(steps: DataFrame, seed: int = 42, n_flows: int = 50) -> DataFrame:
-    """Flows of steps (stream_id, wid, t).  A flash crowd doubles them in the first 30 s of every 300 s and aligns their times."""
-    d = Draw(seed, "legitimate")
+def legitimate(steps: DataFrame, seed: int | Column = 42, n_flows: int = 50) -> DataFrame:
+    """Flows of steps (stream_id, wid, t).  A flash crowd doubles them in the first 30 s of every 300 s and aligns their times.
+    Seed windows (negative wid) hold N(50, 10) flows, 10 at least."""
+    d, around = Draw(seed, "legitimate"), Draw(seed, "seed-size")
     crowd = F.pmod(F.floor("t"), F.lit(300)) < 30
-    rows = _rows(steps, F.when(crowd, 2 * n_flows).otherwise(n_flows))
-    # The usual first octets.
+    number = F.when(F.col("wid") < 0, F.greatest(F.lit(10), F.floor(around.normal(50, 10)))).otherwise(n_flows)
+    steps = steps.withColumn("i", F.lit(0)).withColumn("flows_", F.when(crowd, 2 * number).otherwise(number)).drop("i")
+    rows = _rows(steps, F.col("flows_"))
+    # The usual first octets, shares, and the parameters of the distributions.
     first = F.when(d.chance(0.8), d.choice(_even((10, 172, 192, 203, 216)))).otherwise(d.integer(1, 223))
     rows = rows.withColumn("start_", F.col("t") + d.normal() * F.when(crowd, 0.5).otherwise(3.0))
     return _flow(
@@ -107,13 +110,14 @@ def legitimate(steps: DataFrame, seed: int = 42, n_flows: int = 50) -> DataFrame
     )
 
 
-def attack(steps: DataFrame, kind: str, seed: int = 42, start: float = 30.0) -> DataFrame | None:
+def attack(steps: DataFrame, kind: str, seed: int | Column = 42, start: float = 30.0) -> DataFrame | None:
     """Attack flows of steps at t >= start; None for an unknown kind."""
     d, i, t = Draw(seed, kind), F.col("i"), F.col("t")
     elapsed = F.greatest(t - start, F.lit(0.0))
     steps = steps.filter(t >= start)
     whole = lambda c: F.floor(c).cast("long")
     common = {"sport": d.integer(1024, 65535).cast("int"), "start_time": t, "handshake_complete": F.lit(True), "protocol_violation": F.lit(False), "response_status": F.lit(200)}
+    # The numbers of each attack.
     if kind == "http_flood":
         rows = _rows(steps, F.when(elapsed < 10, 30).otherwise(100)).withColumn("r_", F.greatest(F.lit(1).cast("long"), whole(d.normal(50, 3))))
         own = {"src_ip": _dotted(192, 168, F.lit(100) + F.floor(i / 254), i % 254 + 1), "last_time": t + d.uniform(0.1, 2.0), "bytes_sent": whole(d.normal(500, 50)), "bytes_recv": whole(d.normal(1200, 200)), "packets": 2 * F.col("r_"), "request_count": F.col("r_"), "user_agent": F.lit("python-requests/2.28"), "country_code": d.choice(_even(("CN", "RU", "KR")))}
@@ -140,7 +144,8 @@ def scenario_table(spark: SparkSession) -> DataFrame:
 
 
 def scenario_grid(spark: SparkSession, reps: int = 3, dt: float = 5.0, seed: int = 42, seed_windows: int = 120, most_windows: int | None = None) -> DataFrame:
-    """Flows of every scenario and repetition, each a stream `scenario-rep`: seed windows at negative times, then the run.
+    """Flows of every scenario and repetition, each a stream `scenario-rep` with a seed of its own: seed windows at negative
+    times, then the run.  Legitimate flows have kind `legitimate`, others `attack`.
 
     most_windows shortens runs for demonstrations.  Runs share nothing, so they spread over the cluster.
     """
@@ -148,9 +153,21 @@ def scenario_grid(spark: SparkSession, reps: int = 3, dt: float = 5.0, seed: int
     for name, length, start in SCENARIOS:
         windows = int(length / dt) if most_windows is None else min(most_windows, int(length / dt))
         steps = spark.range(-seed_windows, windows).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        steps = steps.select(F.concat(F.lit(name + "-"), F.col("rep").cast("string")).alias("stream_id"), F.col("id").alias("wid"), (F.col("id") * dt).alias("t"))
-        parts.append(legitimate(steps, seed).unionByName(attack(steps, name, seed, start)))
+        # 100 between the seeds of repetitions, and 3 more for the generator's.
+        steps = steps.select(F.concat(F.lit(name + "-"), F.col("rep").cast("string")).alias("stream_id"), F.col("id").alias("wid"), (F.col("id") * dt).alias("t"), (F.lit(seed) + F.col("rep") * 103).alias("seed"))
+        of = lambda flows, kind: flows.withColumn("kind", F.lit(kind))
+        parts.append(of(legitimate(steps, F.col("seed")), "legitimate").unionByName(of(attack(steps, name, F.col("seed"), start), "attack")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("flow_seq", F.xxhash64("stream_id", "wid", "src_ip", "sport", "start_time"))
+    return _sequenced(out)
+
+
+def quiet(spark: SparkSession, windows: int = 8640, dt: float = 5.0, seed: int = 999, seed_windows: int = 120) -> DataFrame:
+    """Legitimate flows alone, 12 hours of them, after seed windows: one stream `quiet`."""
+    steps = spark.range(-seed_windows, windows).select(F.lit("quiet").alias("stream_id"), F.col("id").alias("wid"), (F.col("id") * dt).alias("t"))
+    return _sequenced(legitimate(steps, seed))
+
+
+def _sequenced(flows: DataFrame) -> DataFrame:
+    return flows.withColumn("flow_seq", F.xxhash64("stream_id", "wid", "src_ip", "sport", "start_time"))

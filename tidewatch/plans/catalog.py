@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from tidewatch.config import FEATURES, Settings
 from tidewatch.functions import scalars
 from tidewatch.operators import baseline, correlate, evaluate, features, mitigate, packets, rules, scan, simulate
-from tidewatch.plans import detector, twins
+from tidewatch.plans import detector, experiments, twins
 from tidewatch.plans.twins import FLOWS, LONG, ORDER_FLOWS, RULE_EVENTS, SHIFT, build, rounded
 from tidewatch.sources import telemetry
 from tidewatch.sources.adapters import event_flows, micros, order_flows, table
+from tidewatch.storage import stored
 
-#: Hourly windows; thresholds fit the sparse event table.
-S = Settings().scaled(3600.0, incomplete_per_source=4, incomplete_per_subnet=12, slow_tiny=2, slow_many=4, rate_start=0.0005, agents_least_flows=20, burst_sources=10, timing_sources=8, timing_cv=0.4871, tau_z=2.0, theta=2.0)
+#: Hourly windows; thresholds fit the sparse event table, where a source sends a few requests an hour (a start rate of about one in
+#: half an hour) and windows hold some tens of flows: on it every rule fires in some windows and not in others.
+S = Settings().scaled(3600.0, incomplete_per_source=4, incomplete_per_subnet=12, slow_tiny=2, slow_many=4, rate_start=0.0005, agents_least_flows=20, burst_sources=10, timing_sources=8, timing_cv=0.5, tau_z=2.0, theta=2.0)
 #: Monthly windows over order lines.
 O = Settings().scaled(2_592_000.0)
 SEED = 48
@@ -68,6 +70,14 @@ def _feats(spark: SparkSession, d: str) -> DataFrame:
     return features.features(_flows(spark, d), S)
 
 
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    return features.windows(_flows(spark, d), S)
+
+
+def _fired(spark: SparkSession, d: str) -> DataFrame:
+    return rules.rule_events(stored(_windows(spark, d), "windows"), S)
+
+
 def _long(spark: SparkSession, d: str) -> DataFrame:
     return features.long_form(_feats(spark, d))
 
@@ -99,12 +109,10 @@ def _(spark, d):
     return _round(features.entropy(_flows(spark, d), KEYS, F.col("country_code")), "entropy")
 
 
-@_query("feature_spine_zero_fill", build(*FEATS, "spine AS (SELECT DISTINCT f.stream_id, g.wid FROM feats f, (SELECT DISTINCT wid FROM feats) g)") + f"SELECT s.stream_id, s.wid, coalesce(n_flows, 0) AS n_flows, {', '.join(f'round(CAST(coalesce({f}, 0) AS DOUBLE) + {SHIFT * 1e-4!r}::DOUBLE, 4) AS {f}' for f in FEATURES)} FROM spine s LEFT JOIN feats USING (stream_id, wid)")
+@_query("feature_spine_zero_fill", build(*FEATS, "spine AS (SELECT stream_id, unnest(range(a, z + 1)) AS wid FROM (SELECT stream_id, min(wid) AS a, max(wid) AS z FROM feats GROUP BY ALL))") + f"SELECT s.stream_id, s.wid, coalesce(n_flows, 0) AS n_flows, {', '.join(f'round(CAST(coalesce({f}, 0) AS DOUBLE) + {SHIFT * 1e-4!r}::DOUBLE, 4) AS {f}' for f in FEATURES)} FROM spine s LEFT JOIN feats USING (stream_id, wid)")
 def _(spark, d):
-    found = _feats(spark, d)
-    streams = found.groupBy().agg(F.collect_set("stream_id").alias("s"))  # a few names
-    spine = found.select("wid").distinct().join(F.broadcast(streams)).select(F.explode("s").alias("stream_id"), "wid")
-    return _round(features.on_spine(found, spine), *FEATURES, digits=4, shift=SHIFT)
+    found = stored(_feats(spark, d), "features")
+    return _round(features.on_spine(found, features.spine(found)), *FEATURES, digits=4, shift=SHIFT)
 
 
 @_query("geo_shift_lag", build(*FEATS) + f"SELECT stream_id, wid, {rounded(['geographic_entropy', 'geo_distribution_shift_rate'], 6, SHIFT)} FROM feats")
@@ -122,32 +130,32 @@ def _(spark, d):
 
 @_query("rule_connection_exhaustion", build(*FEATS, twins.rules(S)) + "SELECT * FROM exhausted")
 def _(spark, d):
-    return rules.connection_exhaustion(_flows(spark, d), S)
+    return rules.connection_exhaustion(_windows(spark, d), S)
 
 
 @_query("rule_slowloris", build(*FEATS, twins.rules(S)) + "SELECT * FROM slow")
 def _(spark, d):
-    return rules.slow_requests(_flows(spark, d), S)
+    return rules.slow_requests(_windows(spark, d), S)
 
 
 @_query("rule_ua_homogeneity", build(*FEATS, twins.rules(S)) + "SELECT * FROM agents")
 def _(spark, d):
-    return rules.agent_homogeneity(_flows(spark, d), S)
+    return rules.agent_homogeneity(_windows(spark, d), S)
 
 
 @_query("rule_distributed", build(*FEATS, twins.rules(S)) + "SELECT stream_id, wid, max_sources, n_sources, round(cv, 6) AS cv, burst, synchronised FROM many")
 def _(spark, d):
-    return _round(rules.distributed(_flows(spark, d), S), "cv")
+    return _round(rules.distributed(_windows(spark, d), S), "cv")
 
 
 @_query("rule_http_flood_state", build(*FEATS, twins.spikes(S), recursive=True) + "SELECT stream_id, wid, round(rate_baseline, 9) AS rate_baseline, fired FROM spike")
 def _(spark, d):
-    return _round(rules.request_spike(_flows(spark, d), S), "rate_baseline", digits=9)
+    return _round(rules.request_spike(_windows(spark, d), S), "rate_baseline", digits=9)
 
 
 @_query("rule_events", build(*RULES_SQL, recursive=True) + "SELECT stream_id, wid, feature_id, CAST(ord AS INTEGER) AS ord, confidence FROM rule_events")
 def _(spark, d):
-    return rules.rule_events(_flows(spark, d), S)
+    return _fired(spark, d)
 
 
 # -- baselines and scans ------------------------------------------------------------------------------
@@ -227,7 +235,7 @@ def _(spark, d):
 
 @_query("weights_left_join", build(*RULES_SQL, twins.weights(S), recursive=True) + f"SELECT stream_id, wid, feature_id, coalesce(weight, {S.default_weight}::DOUBLE) AS weight FROM (SELECT stream_id, wid, CASE WHEN ord = 19 THEN 'unlisted' ELSE feature_id END AS feature_id FROM rule_events) LEFT JOIN weights USING (feature_id)")
 def _(spark, d):
-    e = rules.rule_events(_flows(spark, d), S).withColumn("feature_id", F.when(F.col("ord") == 19, "unlisted").otherwise(F.col("feature_id")))
+    e = _fired(spark, d).withColumn("feature_id", F.when(F.col("ord") == 19, "unlisted").otherwise(F.col("feature_id")))
     return correlate.weighted(e, S).select(*KEYS, "feature_id", "weight")
 
 
@@ -238,9 +246,8 @@ def _(spark, d):
 
 @_query("template_boost", build(*RULES_SQL, twins.weights(S), twins.scored(S, "rule_events"), recursive=True) + "SELECT stream_id, wid, round(score, 6) AS score, boosted FROM scored")
 def _(spark, d):
-    flows = _flows(spark, d)
-    spine = flows.select(*KEYS).distinct()
-    return _round(correlate.scores(rules.rule_events(flows, S), spine, S), "score").drop("tier")
+    windows = stored(_windows(spark, d), "windows")
+    return _round(correlate.scores(rules.rule_events(windows, S), windows.select(*KEYS), S), "score").drop("tier")
 
 
 @_query("tier_case", build(FLOWS, WAVE) + f"SELECT stream_id, wid, round(score, 6) AS score, {twins.tier('score', S)} AS tier FROM wave")
@@ -256,18 +263,34 @@ def _(spark, d):
 
 @_query("top_anomaly", build(*FULL, recursive=True) + "SELECT stream_id, wid, coalesce(r.f, a.f) AS top_anomaly FROM (SELECT stream_id, wid, arg_max(feature, round(accumulator, 6) * 1e6 - ord * 1e-3) AS f FROM det WHERE accumulator > 0 GROUP BY ALL) a FULL JOIN (SELECT stream_id, wid, arg_min(feature_id, ord) AS f FROM rule_events JOIN live USING (stream_id, wid) GROUP BY ALL) r USING (stream_id, wid)")
 def _(spark, d):
-    run = detector.run(_flows(spark, d), S, SEED)
-    return correlate.top_anomaly(run.detected, run.rules)
+    found = detector.run(_flows(spark, d), S, SEED)
+    return correlate.top_anomaly(found.detected, found.rules)
 
 
 @_query("affected_sources", BASE + "SELECT stream_id, wid, count(*) AS n_sources, array_to_string(list(src_ip ORDER BY src_ip)[1:100], ',') AS sources FROM (SELECT DISTINCT stream_id, wid, src_ip FROM flows) GROUP BY ALL")
 def _(spark, d):
-    return correlate.affected_sources(_flows(spark, d)).withColumn("sources", F.concat_ws(",", "sources"))
+    return correlate.affected_sources(_flows(spark, d).select(*KEYS, "src_ip").distinct()).withColumn("sources", F.concat_ws(",", "sources"))
+
 
+STEPS = (*FULL, twins.scored(S, "all_events"), "scored_live AS MATERIALIZED (SELECT scored.* FROM scored JOIN live USING (stream_id, wid))")
+_LATCH = "latch_line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY wid) AS rn FROM %s), latch AS (SELECT stream_id, wid, rn, score, CASE WHEN score >= 0.9 THEN 3 WHEN score >= 0.85 THEN 2 WHEN score >= 0.7 THEN 1 ELSE 0 END AS tier FROM latch_line WHERE rn = 1 UNION ALL SELECT l.stream_id, l.wid, l.rn, l.score, CASE WHEN l.score >= 0.9 THEN 3 WHEN l.score >= 0.85 THEN greatest(tier, 2) WHEN l.score >= 0.7 THEN greatest(tier, 1) WHEN l.score < 0.6 THEN 0 ELSE tier END FROM latch c JOIN latch_line l ON l.stream_id = c.stream_id AND l.rn = c.rn + 1)"
+_ACTION = "CASE WHEN score < 0.5 THEN 'Monitoring' WHEN score < 0.7 THEN 'ALERT: Score ' || printf('%.3f', score) || ' - manual review recommended' WHEN score < 0.85 THEN 'TIER-1: Rate limiting ' || n || ' sources to 2x baseline' WHEN score < 0.9 THEN 'TIER-2: Aggressive limiting + challenges for ' || n || ' sources' ELSE 'TIER-3: BLOCKING ' || n || ' top sources (5-min expiry)' END"
+_SURE = f"FILTER (accumulator > {S.theta})"
+_FOUND = f"found AS (SELECT stream_id, wid, string_agg(feature, ',' ORDER BY ord) {_SURE} AS anomalies, sum(abs(z)) {_SURE} AS z, sum(least(abs(z) / 5.0::DOUBLE, 1)) {_SURE} AS c, sum(accumulator) {_SURE} AS a, arg_max(feature, round(accumulator, 6) * 1e6 - ord * 1e-3) FILTER (accumulator > 0) AS f FROM det GROUP BY ALL)"
+_HITS = "hits AS (SELECT stream_id, wid, string_agg(feature_id, ',' ORDER BY ord) AS heuristics, arg_min(feature_id, ord) AS f FROM rule_events GROUP BY ALL)"
+_SENDERS = "senders AS (SELECT stream_id, wid, count(*) AS n, array_to_string(list(src_ip ORDER BY src_ip)[1:100], ',') AS sources FROM (SELECT DISTINCT stream_id, wid, src_ip FROM flows) GROUP BY ALL)"
 
-@_query("detection_steps")
+
+@_query("detection_steps", build(*STEPS, twins.machine(S, "scored_live"), _FOUND, _HITS, _SENDERS, recursive=True) + f"SELECT stream_id, wid, CAST(rn AS INTEGER) AS step, wid * {S.dt}::DOUBLE AS sim_time, round(score, 6) AS score, CAST(tier AS INTEGER) AS tier, coalesce(anomalies, '') AS anomalies, round(coalesce(z, 0), 2) AS z_total, round(coalesce(c, 0), 4) AS confidence_total, round(coalesce(a, 0), 2) AS accumulator_total, coalesce(heuristics, '') AS heuristics, coalesce(hits.f, found.f) AS top_anomaly, {_ACTION} AS action_description, sources AS affected_sources, round(request_rate + {SHIFT * 1e-4!r}::DOUBLE, 4) AS request_rate FROM fsm JOIN found USING (stream_id, wid) LEFT JOIN hits USING (stream_id, wid) JOIN senders USING (stream_id, wid) JOIN feats USING (stream_id, wid)")
 def _(spark, d):
-    return detector.results(_flows(spark, d), S, SEED)
+    steps = detector.results(_flows(spark, d), S, SEED)
+    named = lambda c: F.concat_ws(",", F.transform(c, lambda e: e["feature_id"]))
+    total = lambda f, digits: F.round(F.aggregate("anomalies", F.lit(0.0), lambda a, e: a + F.abs(e[f])), digits)
+    out = steps.select(
+        *KEYS, "step", "sim_time", "score", "tier", named("anomalies").alias("anomalies"), total("z_score", 2).alias("z_total"), total("confidence", 4).alias("confidence_total"), total("accumulator", 2).alias("accumulator_total"),
+        named("heuristics").alias("heuristics"), "top_anomaly", "action_description", F.concat_ws(",", "affected_sources").alias("affected_sources"), F.col("features.request_rate").alias("request_rate"),
+    )
+    return _round(out, "request_rate", digits=4, shift=SHIFT)
 
 
 # -- response ---------------------------------------------------------------------------------------------
@@ -411,10 +434,30 @@ def _(spark, d):
     return _round(evaluate.effectiveness(r), "effectiveness")
 
 
-@_query("ablation_deltas", build(_RUNS, "by_ AS (SELECT ['Full', 'NoLeaky', 'NoWeight'][CAST(user_id % 3 AS INTEGER) + 1] AS config, avg(CASE WHEN detected THEN 1.0::DOUBLE ELSE 0 END) AS dr, 2 * sum(true_positives) / (2 * sum(true_positives) + sum(false_positives) + sum(false_negatives)) AS f1 FROM runs GROUP BY ALL)") + "SELECT a.config, round(a.dr, 6) AS detection_rate, round(a.dr - b.dr, 6) AS delta_dr, round(a.f1, 6) AS f1, round(a.f1 - b.f1, 6) AS delta_f1 FROM by_ a, by_ b WHERE b.config = 'Full'")
+_BY_CONFIG = "['Full', 'NoLeaky', 'NoWeight'][CAST(user_id % 3 AS INTEGER) + 1]"
+_CONFIG_ROC = _ROC.replace("SELECT k / 100", f"SELECT {_BY_CONFIG} AS config, k / 100", 1).replace("GROUP BY k", f"GROUP BY {_BY_CONFIG}, k")
+
+
+@_query("ablation_deltas", build(_RUNS, _CONFIG_ROC, f"by_ AS (SELECT {_BY_CONFIG} AS config, avg(CASE WHEN detected THEN 1.0::DOUBLE ELSE 0 END) AS dr, 2 * sum(true_positives) / (2 * sum(true_positives) + sum(false_positives) + sum(false_negatives)) AS f1 FROM runs GROUP BY ALL)", "area AS (SELECT config, greatest(0, least(1, coalesce(sum(a), 0))) AS auc FROM (SELECT config, (coalesce(fpr, 0) - lag(coalesce(fpr, 0)) OVER w) * (coalesce(tpr, 0) + lag(coalesce(tpr, 0)) OVER w) / 2 AS a FROM pts WINDOW w AS (PARTITION BY config ORDER BY threshold)) GROUP BY config)") + "SELECT a.config, round(a.dr, 6) AS detection_rate, round(a.dr - b.dr, 6) AS delta_dr, round(a.f1, 6) AS f1, round(a.f1 - b.f1, 6) AS delta_f1, round(auc, 6) AS auc FROM by_ a JOIN area USING (config), by_ b WHERE b.config = 'Full'")
 def _(spark, d):
+    """The table's arithmetic, over runs that bear a configuration's label; ablation_grid runs the configurations."""
     r = _runs(spark, d).withColumn("config", F.element_at(F.array(F.lit("Full"), F.lit("NoLeaky"), F.lit("NoWeight")), (F.col("user_id") % 3 + 1).cast("int")))
-    return _round(evaluate.ablation(r), "detection_rate", "delta_dr", "f1", "delta_f1")
+    return _round(evaluate.ablation(r), "detection_rate", "delta_dr", "f1", "delta_f1", "auc")
+
+
+@_query("ablation_grid")
+def _(spark, d):
+    return _round(evaluate.ablation(experiments.ablation_runs(simulate.scenario_grid(spark), Settings())), "detection_rate", "delta_dr", "f1", "delta_f1", "auc")
+
+
+@_query("false_positives_12h")
+def _(spark, d):
+    return experiments.false_positives(spark, Settings())
+
+
+@_query("report_table", build(_RUNS, "g AS (SELECT scenario_id, count(*) AS reps, count(*) FILTER (detected) AS tp, coalesce(avg(latency) FILTER (detected), 0) AS l, avg(false_positives) AS f, avg(peak_score) AS p, CAST(floor(avg(false_positives) * count(*)) AS BIGINT) AS fp FROM runs GROUP BY ALL)", "h AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, tp / reps AS rc, greatest(reps - fp, 0) AS tn FROM g)") + "SELECT scenario_id, reps, round(tp / reps, 6) AS detection_rate, round(l, 6) AS mean_latency, round(f, 6) AS fp_per_run, round(p, 6) AS mean_peak, round(CAST(pr AS DOUBLE), 6) AS precision, round(CAST(rc AS DOUBLE), 6) AS recall, round(CAST(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS DOUBLE), 6) AS f1, round(CAST(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS DOUBLE), 6) AS specificity FROM h")
+def _(spark, d):
+    return _round(evaluate.report(_runs(spark, d)), "detection_rate", "mean_latency", "fp_per_run", "mean_peak", "precision", "recall", "f1", "specificity")
 
 
 @_query("static_threshold", build(*FEATS, "b AS (SELECT stream_id, quantile_cont(request_rate, 0.5) AS b FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY wid) AS k FROM feats) WHERE k <= 20 GROUP BY ALL)") + "SELECT stream_id, wid, round(s, 6) AS score, s >= 0.7 AS alert FROM (SELECT stream_id, wid, least(greatest(request_rate / greatest(b, 0.1) / 10, total_request_rate / greatest(100 * b, 0.1) / 2), 1) AS s FROM feats JOIN b USING (stream_id))")
@@ -440,27 +483,35 @@ def _(spark, d):
     return _round(evaluate.macro(evaluate.outcome_counts(_wave(spark, d), F.expr(_ATTACK))), "precision", "recall", "specificity", "f1", "latency_windows")
 
 
-@_query("bootstrap_ci")
+_COPIES = " + ".join(f"(u > {c!r}::DOUBLE)::INTEGER" for c in evaluate.POISSON)
+
+
+@_query("bootstrap_ci", build(_RUNS, "drawn AS (SELECT scenario_id, peak_score AS x, b, md5('42:' || scenario_id || ':' || user_id || ':' || b) AS h FROM runs, range(2500) t(b))", f"means AS (SELECT scenario_id, r, sum(m * x) / nullif(sum(m), 0) AS mean FROM (SELECT scenario_id, x, r, {_COPIES} AS m FROM (SELECT scenario_id, x, b * 4 + j AS r, CAST('0x' || substr(h, CAST(8 * j + 1 AS BIGINT), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM drawn, range(4) s(j))) GROUP BY ALL)") + "SELECT scenario_id, round(CASE WHEN n < 2 THEN x ELSE low END, 6) AS low, round(CASE WHEN n < 2 THEN x ELSE high END, 6) AS high, rounds FROM (SELECT scenario_id, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, count(*) AS rounds FROM means GROUP BY ALL) JOIN (SELECT scenario_id, count(*) AS n, min(peak_score) AS x FROM runs GROUP BY ALL) USING (scenario_id)")
 def _(spark, d):
-    return evaluate.bootstrap(_runs(spark, d), "peak_score", ["scenario_id"], rounds=10_000)
+    return _round(evaluate.bootstrap(_runs(spark, d), "peak_score", ["scenario_id"], ["scenario_id", "user_id"], rounds=10_000), "low", "high")
 
 
 @_query("random_forest")
 def _(spark, d):
-    cases = _feats(spark, d).withColumn("label", F.expr(_ATTACK)).withColumn("case", F.col("wid"))
+    cases = stored(_feats(spark, d).withColumn("label", F.expr(_ATTACK)).withColumn("case", F.col("wid")), "cases")
     return evaluate.forest(cases, list(FEATURES), trees=100, depth=10)
 
 
-@_query("simulate_scenarios")
+_GRID = "grid AS (SELECT id || '-' || rep AS stream_id, id, wid, wid * 5 AS t FROM (VALUES ('http_flood', 120), ('slowloris', 180), ('connection_flood', 96), ('low_rate_distributed', 240), ('synchronized_burst', 144)) s(id, windows), range(3) r(rep), range(-120, windows) w(wid))"
+_ATTACKERS = "CASE WHEN t < 30 THEN 0 WHEN id = 'http_flood' THEN CASE WHEN t < 40 THEN 30 ELSE 100 END WHEN id = 'slowloris' THEN least((t - 30) // 5 * 10 + 20, 200) WHEN id = 'low_rate_distributed' THEN 500 WHEN id = 'synchronized_burst' AND t % 30 >= 5 THEN 0 ELSE 100 END"
+
+
+@_query("simulate_scenarios", build(_GRID) + f"SELECT stream_id, wid, CASE WHEN wid >= 0 THEN CASE WHEN t % 300 < 30 THEN 100 ELSE 50 END END AS legitimate, CAST({_ATTACKERS} AS BIGINT) AS attack, CAST({_ATTACKERS} AS BIGINT) AS attack_sources, true AS enough FROM grid")
 def _(spark, d):
-    return simulate.scenario_grid(spark).groupBy("stream_id", "wid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_ip").alias("sources"))
+    by = simulate.scenario_grid(spark).groupBy("stream_id", "wid").agg(F.count_if(F.col("kind") == "legitimate").alias("n"), F.count_if(F.col("kind") == "attack").alias("attack"), F.countDistinct(F.when(F.col("kind") == "attack", F.col("src_ip"))).alias("attack_sources"))
+    return by.select("stream_id", "wid", F.when(F.col("wid") >= 0, F.col("n")).cast("int").alias("legitimate"), "attack", "attack_sources", (F.col("n") >= 10).alias("enough"))
 
 
 @_query("simulated_detection")
 def _(spark, d):
     s = Settings()
-    scored = detector.run(simulate.scenario_grid(spark), s).scored
-    return _round(mitigate.first_detection(scored, 30.0, s), "peak_score", "min_attack_score")
+    runs = experiments.run_rows(detector.run(simulate.scenario_grid(spark), s).scored, s)
+    return _round(runs.select("stream_id", "detected", "latency", "peak_score", "true_positives", "false_positives", "false_negatives", "true_negatives"), "peak_score")
 
 
 # -- telemetry ------------------------------------------------------------------------------------------------
@@ -476,10 +527,12 @@ def _(spark, d):
     return telemetry.event_count(table(spark, d, "events").select((micros() / 1e6).alias("ts")), 1.705e9)
 
 
-@_query("typed_result_line", build(*DET, recursive=True) + "SELECT stream_id, wid, arg_max(feature, round(accumulator, 6) * 1e6 - ord * 1e-3) AS worst FROM det GROUP BY ALL")
+@_query("typed_result_line", build(*STEPS, _LATCH % "scored_live", "worst AS (SELECT stream_id, wid, arg_max(ord, round(accumulator, 6) * 1e6 - ord * 1e-3) AS ord FROM det GROUP BY ALL)", recursive=True) + f"SELECT stream_id, wid, strftime(make_timestamp(CAST(wid * {S.dt} * 1e6 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS at, feature, round(z, 3) AS z_score, round(accumulator, 3) AS accumulator, round(score, 3) AS correlation_score, CAST(tier AS INTEGER) AS mitigation_tier FROM det JOIN worst USING (stream_id, wid, ord) JOIN latch USING (stream_id, wid)")
 def _(spark, d):
-    lines = telemetry.result_lines(_detected(spark, d))
-    return lines.select(*KEYS, F.get_json_object("line", "$.worst").alias("worst"))
+    found = detector.run(_flows(spark, d), S, SEED)
+    lines = telemetry.result_lines(found.detected, found.scored, mitigate.latched_tier(found.scored, S), S.dt)
+    of = lambda name, kind: F.get_json_object("line", f"$.{name}").cast(kind)
+    return lines.select(*KEYS, of("timestamp", "string").alias("at"), of("feature", "string").alias("feature"), *[of(n, "double").alias(n) for n in ("z_score", "accumulator", "correlation_score")], of("mitigation_tier", "int").alias("mitigation_tier"))
 
 
 @_query("scalar_functions", "SELECT event_id, coalesce(TRY_CAST(v AS DOUBLE), 0) AS safe_double, CAST(trunc(coalesce(TRY_CAST(v AS DOUBLE), 0)) AS BIGINT) AS safe_long, CASE WHEN p = 6 THEN 'TCP' WHEN p = 17 THEN 'UDP' ELSE 'OTHER' END AS proto, event_id // 5 AS window_id, greatest(1, event_id // 3) AS requests, hour(ts) AS hour, isodow(ts) - 1 AS dow, least(abs(event_id % 21 - 10) / 5.0::DOUBLE, 1) AS confidence FROM (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE (event_id % 1000 / 8.0::DOUBLE) || '' END AS v, [6, 17, 1][CAST(event_id % 3 AS INTEGER) + 1] AS p FROM events)")
@@ -514,6 +567,31 @@ def _(spark, d):
     return _runs(spark, d).join(sc, "scenario_id", "left").groupBy("scenario_id", "weight").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@_query("baseline_serialized")
+@_query("baseline_serialized", build(_HOURLY, _CONTEXTS) + f"SELECT stream_id, feature, hour, dow, {rounded(['mean', 'sd'], 4, SHIFT)}, n FROM (SELECT *, sqrt(variance) AS sd FROM contexts)")
+def _(spark, d):
+    """Contexts written as JSON and loaded again."""
+    loaded = baseline.loaded(baseline.serialized(baseline.learned_contexts(_observations(spark, d), 5)))
+    return _round(loaded.withColumn("sd", F.sqrt("variance")), "mean", "sd", digits=4, shift=SHIFT).drop("variance")
+
+
+@_query("baseline_features", build(_HOURLY, _CONTEXTS) + "SELECT stream_id, feature, count(*) AS contexts FROM contexts GROUP BY ALL")
+def _(spark, d):
+    return baseline.feature_ids(baseline.learned_contexts(_observations(spark, d), 5))
+
+
+_WEEKLY = """r AS (
+  SELECT key, t, rn, x, dow, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS variance, MAP {dow: {'m': x, 'v': 0.0::DOUBLE}} AS seen, x AS om, 0.0::DOUBLE AS ov, 0 AS os FROM line WHERE rn = 1
+  UNION ALL
+  SELECT key, t, rn, x, dow, mean, variance, map_concat(seen, MAP {dow: {'m': nm, 'v': nv}}), 0.3::DOUBLE * nm + 0.7::DOUBLE * om, 0.3::DOUBLE * nv + 0.7::DOUBLE * ov, os + 1 FROM (
+    SELECT *, CASE WHEN c IS NULL THEN 0 ELSE 0.3::DOUBLE * power(x - nm, 2) + 0.7::DOUBLE * c.v END AS nv, CASE WHEN c IS NOT NULL THEN c.m WHEN os > 0 THEN om ELSE 0 END AS mean, CASE WHEN c IS NOT NULL THEN c.v WHEN os > 0 THEN ov ELSE 1 END AS variance FROM (
+      SELECT *, CASE WHEN c IS NULL THEN x ELSE 0.3::DOUBLE * x + 0.7::DOUBLE * c.m END AS nm FROM (
+        SELECT l.key, l.t, l.rn, l.x, l.dow, r.seen, r.om, r.ov, r.os, r.seen[l.dow] AS c FROM r JOIN line l ON l.key = r.key AND l.rn = r.rn + 1))))"""
+
+
+@_query("baseline_context_scan", build(_DAILY, "line AS MATERIALIZED (SELECT *, CAST((t + 3) % 7 AS INTEGER) AS dow FROM dr)", _WEEKLY, recursive=True) + f"SELECT key, t, dow, {rounded(['x', 'mean', 'sd'], 4)}, CASE WHEN variance > 1 THEN round((x - mean) / sqrt(variance), 4) END AS z FROM (SELECT *, sqrt(variance) AS sd FROM r)")
 def _(spark, d):
-    return baseline.serialized(baseline.learned_contexts(_observations(spark, d), 5))
+    """The scan over days in seven contexts, with its fall-backs."""
+    rows = _daily(spark, d).select(F.lit("all").alias("stream_id"), F.col("key").alias("feature"), F.lit(0).alias("ord"), F.col("t").alias("wid"), F.col("x").alias("value"), F.lit(0).alias("hour"), ((F.col("t") + 3) % 7).cast("int").alias("dow"), F.lit(0.0).alias("seed_mean"), F.lit(0.0).alias("seed_var"), F.lit(0).alias("seed_n"))
+    out = rows.groupBy("stream_id", "feature").applyInPandas(scan.detect_scan(S), scan.DETECTED)
+    out = out.select(F.col("feature").alias("key"), F.col("wid").alias("t"), ((F.col("wid") + 3) % 7).cast("int").alias("dow"), F.col("value").alias("x"), "mean", F.sqrt("variance").alias("sd"), F.when(F.col("variance") > 1, F.col("z")).alias("z"))
+    return _round(out, "x", "mean", "sd", "z", digits=4)

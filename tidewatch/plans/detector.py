@@ -1,50 +1,67 @@
-"""The whole detector as one plan: flows to features, deviations, rules, score, response."""
+"""The whole detector as one plan: flows to features, deviations, rules, score, response.
+
+What several steps read is written once: sources, windows, deviations, rule events and scores, all but the first with a row a window or
+series.  Flows themselves are read three times (see features).
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import Settings
-from tidewatch.operators import baseline, correlate, features, mitigate, rules, scan
+from tidewatch.operators import correlate, features, mitigate, rules, scan
+from tidewatch.storage import stored, together
+
+
+@dataclass
+class Tables:
+    """What is gathered from flows: sources of windows, and windows."""
+
+    sources: DataFrame
+    windows: DataFrame
 
 
 @dataclass
 class Detection:
-    """The intermediate tables of one run, all lazy."""
+    """The intermediate tables of one run."""
 
-    features: DataFrame
+    tables: Tables
     detected: DataFrame
     rules: DataFrame
-    events: DataFrame
     scored: DataFrame
-    mitigated: DataFrame
+
+    @property
+    def features(self) -> DataFrame:
+        return self.tables.windows
+
+
+def tables(flows: DataFrame, s: Settings) -> Tables:
+    sources, values = together(flows.sparkSession, lambda: stored(features.source_rows(flows, s), "sources"), lambda: stored(features.value_statistics(flows), "values"))
+    return Tables(sources, stored(features.window_rows(sources, values, s), "windows"))
 
 
 def deviations(found: DataFrame, s: Settings, seed_windows: int) -> DataFrame:
     """The state scan of every series after its seed windows, in the fixed context (12, 0)."""
-    long = features.long_form(found)
-    seeds = baseline.seed_statistics(long, seed_windows)
-    order = F.row_number().over(baseline.Window.partitionBy("stream_id", "feature").orderBy("wid"))
-    later = long.withColumn("k", order).filter(F.col("k") > seed_windows).drop("k")
-    rows = later.join(seeds, ["stream_id", "feature"]).withColumn("hour", F.lit(12)).withColumn("dow", F.lit(0))
-    return rows.groupBy("stream_id", "feature").applyInPandas(scan.detect_scan(s), scan.DETECTED)
+    rows = features.long_form(found).withColumn("hour", F.lit(12)).withColumn("dow", F.lit(0))
+    return rows.groupBy("stream_id", "feature").applyInPandas(scan.detect_scan(s, seed_windows), scan.DETECTED)
+
+
+def detect(got: Tables, s: Settings, seed_windows: int = 120) -> Detection:
+    """One run over gathered tables; other settings of scans, weights or tiers need no other tables."""
+    order = Window.partitionBy("stream_id").orderBy("wid")
+    live = got.windows.select(*features.KEYS, F.row_number().over(order).alias("k")).filter(F.col("k") > seed_windows).drop("k")
+    detected, fired = together(live.sparkSession, lambda: stored(deviations(got.windows, s, seed_windows), "detected"), lambda: stored(rules.rule_events(got.windows, s).join(live, features.KEYS, "left_semi"), "rules"))
+    scored = stored(correlate.scores(correlate.event_log(correlate.anomaly_events(detected), fired), live, s), "scored")
+    return Detection(got, detected, fired, scored)
 
 
 def run(flows: DataFrame, s: Settings, seed_windows: int = 120) -> Detection:
-    found = features.features(flows, s)
-    detected = deviations(found, s, seed_windows)
-    fired = rules.rule_events(flows, s)
-    live = detected.select("stream_id", "wid").distinct()
-    fired = fired.join(live, ["stream_id", "wid"], "left_semi")
-    events = correlate.event_log(correlate.anomaly_events(detected), fired)
-    scored = correlate.scores(events, live, s)
-    return Detection(found, detected, fired, events, scored, mitigate.respond(scored, s))
+    return detect(tables(flows, s), s, seed_windows)
 
 
 def results(flows: DataFrame, s: Settings, seed_windows: int = 120) -> DataFrame:
     """One nested row a window: score, tier, events, top anomaly, text, sources, features."""
-    d = run(flows, s, seed_windows)
-    return correlate.step_results(d.scored, d.mitigated, d.features, correlate.anomaly_events(d.detected), d.rules, correlate.top_anomaly(d.detected, d.rules), correlate.affected_sources(flows), s)
+    return correlate.step_results(run(flows, s, seed_windows), s)

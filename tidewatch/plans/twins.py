@@ -124,7 +124,7 @@ def scored(s: Settings, events: str) -> str:
     firsts = ", ".join(f"min(CASE WHEN feature_id = '{n}' THEN wid * 100 + ord END) AS at{k}" for k, n in enumerate(TEMPLATE[:3]))
     frame = f"(PARTITION BY stream_id ORDER BY t RANGE BETWEEN {s.window} PRECEDING AND CURRENT ROW)"
     return f"""per AS (SELECT stream_id, wid, sum(coalesce(weight, {s.default_weight}) * confidence) AS sum_w, {firsts} FROM {events} LEFT JOIN weights USING (feature_id) GROUP BY stream_id, wid),
-framed AS (SELECT stream_id, wid, least(coalesce(sum(sum_w) OVER {frame}, 0), 1) AS raw, min(at0) OVER {frame} AS f0, min(at1) OVER {frame} AS f1, min(at2) OVER {frame} AS f2
+framed AS (SELECT stream_id, wid, least(round(coalesce(sum(sum_w) OVER {frame}, 0), 12), 1) AS raw, min(at0) OVER {frame} AS f0, min(at1) OVER {frame} AS f1, min(at2) OVER {frame} AS f2
   FROM (SELECT stream_id, wid, wid * {s.dt}::DOUBLE AS t, sum_w, at0, at1, at2 FROM (SELECT DISTINCT stream_id, wid FROM feats) LEFT JOIN per USING (stream_id, wid))),
 scored AS MATERIALIZED (SELECT stream_id, wid, coalesce(f0 < f1 AND f1 < f2, false) AS boosted, CASE WHEN coalesce(f0 < f1 AND f1 < f2, false) THEN least(raw + {s.boost}, 1) ELSE raw END AS score FROM framed)"""
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.config import Settings
 from tidewatch.functions import scalars
 from tidewatch.operators import packets
 from tidewatch.schema import FLOW, FLOW_COLUMNS, PACKET
@@ -32,6 +33,14 @@ CSV_COLUMNS = {
 }
 
 
+def _below(path: str):
+    """A file's name below the folder read (so equal names in two folders stay apart); its last part for a single file."""
+    base = path.split("*")[0].rstrip("/")
+    at = F.instr(F.col("file_"), F.lit(base))
+    rest = F.expr(f"substring(file_, instr(file_, '{base}') + {len(base) + 1})")
+    return F.when((at > 0) & (rest != ""), rest).when(at > 0, F.element_at(F.split("file_", "/"), -1)).otherwise(F.col("file_"))
+
+
 def read_csv_flows(spark: SparkSession, path: str, dt: float = 5.0) -> DataFrame:
     """Flows of CSV exports: one stream a file, windows of dt seconds, label kept.
 
@@ -47,7 +56,7 @@ def read_csv_flows(spark: SparkSession, path: str, dt: float = 5.0) -> DataFrame
     src = src.withColumns({"start_": scalars.parse_time("timestamp"), "proto_": proto, "label_": label})
     ip = lambda c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("0.0.0.0"))
     out = src.select(
-        F.element_at(F.split("file_", "/"), -1).alias("stream_id"),
+        _below(path).alias("stream_id"),
         "flow_seq",
         ip("src_ip").alias("src_ip"),
         ip("dst_ip").alias("dst_ip"),
@@ -167,3 +176,8 @@ def read_settings(path: str) -> dict:
     except Exception:
         return {}
     return found if isinstance(found, dict) else {}
+
+
+def settings_of(folder: str) -> Settings:
+    """Settings of a folder with detection_params.yaml and feature_weights.yaml; what is missing keeps its default."""
+    return Settings.of(read_settings(f"{folder}/detection_params.yaml"), read_settings(f"{folder}/feature_weights.yaml"))

@@ -1,6 +1,6 @@
 """Telemetry tables and their queries: events, scores, mitigation_log, baseline_snapshots.
 
-Tables are Parquet partitioned by day, so a query on recent times reads recent days only.
+Tables are Parquet by batch and day, so a query on recent times reads recent days only.
 """
 
 from __future__ import annotations
@@ -16,10 +16,19 @@ TABLES = {
 }
 
 
+def _write(df: DataFrame, table: str, path: str, mode: str) -> None:
+    df.select(*TABLES[table]).withColumn("day", F.to_date(F.timestamp_seconds("ts"))).write.mode(mode).partitionBy("day").parquet(path)
+
+
 def append(df: DataFrame, folder: str, table: str) -> None:
     """Append rows (the table's columns; more are dropped)."""
-    rows = df.select(*TABLES[table]).withColumn("day", F.to_date(F.timestamp_seconds("ts")))
-    rows.write.mode("append").partitionBy("day").parquet(f"{folder}/{table}")
+    _write(df, table, f"{folder}/{table}/batch=files", "append")
+
+
+def append_stream(stream: DataFrame, folder: str, table: str, checkpoint: str, **trigger):
+    """The started query that appends a stream's rows to a table; a batch run again after a failure replaces its own files."""
+    write = lambda batch, number: _write(batch, table, f"{folder}/{table}/batch=stream{number}", "overwrite")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -34,11 +43,13 @@ def event_count(events: DataFrame, since: float) -> DataFrame:
     return events.filter(F.col("ts") > since).agg(F.count(F.lit(1)).alias("n"))
 
 
-def result_lines(detected: DataFrame) -> DataFrame:
-    """(stream_id, wid, line): a JSON line a window with the worst feature and rounded values."""
+def result_lines(detected: DataFrame, scored: DataFrame, tiers: DataFrame, dt: float) -> DataFrame:
+    """(stream_id, wid, line): a JSON line a window with its time (ISO, UTC), worst feature, score and tier, rounded to 3 places."""
     worst = F.max_by(F.struct("feature", "z", "accumulator"), F.struct(F.round("accumulator", 6), -F.col("ord")))
     by = detected.groupBy("stream_id", "wid").agg(worst.alias("w"))
-    entry = F.struct(F.col("wid").alias("window"), F.col("w.feature").alias("worst"), F.round("w.z", 4).alias("z"), F.round("w.accumulator", 4).alias("accumulator"))
+    by = by.join(scored.select("stream_id", "wid", "score"), ["stream_id", "wid"]).join(tiers.select("stream_id", "wid", "tier"), ["stream_id", "wid"])
+    at = F.date_format(F.timestamp_seconds(F.col("wid") * F.lit(dt)), "yyyy-MM-dd'T'HH:mm:ss")
+    entry = F.struct(at.alias("timestamp"), F.col("w.feature").alias("feature"), F.round("w.z", 3).alias("z_score"), F.round("w.accumulator", 3).alias("accumulator"), F.round("score", 3).alias("correlation_score"), F.col("tier").alias("mitigation_tier"))
     return by.select("stream_id", "wid", F.to_json(entry).alias("line"))
 
 

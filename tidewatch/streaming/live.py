@@ -1,6 +1,7 @@
 """The detector on streams.
 
-Features are watermarked tumbling-window aggregates; the state scans are one keyed operator with state, fed window by window.
+features_query gives all eighteen features of closed windows exactly, through the batch's aggregates; window_features those that one
+watermarked tumbling-window aggregate can give, at once.  The state scans are one keyed operator with state, fed window by window.
 Flows later than the watermark are dropped (the batch reader gives them to their window instead).
 """
 
@@ -9,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.config import Settings
-from tidewatch.functions.scalars import duration, is_tcp
+from tidewatch.functions.scalars import duration, is_tcp, window_id
+from tidewatch.operators import features
 from tidewatch.operators.mitigate import Responder
 from tidewatch.operators.scan import Baseline
 from tidewatch.schema import FLOW
@@ -90,3 +93,103 @@ def live_flows(packets: DataFrame, idle: float = 1.0, late: str = "5 seconds") -
     timed = packets.withColumn("event_ts", F.timestamp_micros((F.col("ts") * 1e6).cast("long"))).withWatermark("event_ts", late)
     by = timed.groupBy("src_ip", "sport", "dst_ip", "dport", "proto_num", F.session_window("event_ts", f"{int(idle * 1e6)} microseconds").alias("w"))
     return by.agg(F.min("ts").alias("start_time"), F.max("ts").alias("last_time"), F.sum("length").alias("bytes_sent"), F.count(F.lit(1)).alias("packets")).drop("w")
+
+
+_KEY = ["src_ip", "sport", "dst_ip", "dport", "proto_num"]
+_RECORD = "start_time double, last_time double, bytes_sent long, packets long, handshake_complete boolean, protocol_violation boolean"
+FLUSHED = f"src_ip string, sport int, dst_ip string, dport int, proto_num int, {_RECORD}, request_count long, flushed_at double"
+
+
+def flush_stream(packets: DataFrame, late: str = "5 seconds", idle: float = 1.0, every: float = 5.0, drop: float = 60.0) -> DataFrame:
+    """Records of live flows so far, from a packet stream (ts, the key, tcp_flags, length).
+
+    A flow's record comes out `every` seconds while packets come, and once it has been idle for `idle` seconds; after
+    `drop` idle seconds it is forgotten.  Handshake and violations (SYN with FIN or RST, FIN before the handshake) follow
+    the packets in order of time.  State is one record a key; timers run on event time.
+    """
+    timed = packets.withColumn("event_ts", F.timestamp_micros((F.col("ts") * 1e6).cast("long"))).withWatermark("event_ts", late)
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        start, last, size, n, done, bad, syn, both, sent = state.get if state.exists else (None, -1.0, 0, 0, False, False, False, False, None)
+
+        def emit(at: float) -> None:
+            out.append((*key, start, last, size, n, done, bad, max(1, n // 3), at))
+
+        if state.hasTimedOut:
+            now = state.getCurrentWatermarkMs() / 1000
+            if now - last > drop:
+                state.remove()
+                return
+            emit(now)
+            sent = now
+        else:
+            rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+            for t, flags, length in zip(rows["ts"].tolist(), rows["tcp_flags"].tolist(), rows["length"].tolist(), strict=True):
+                if start is None:
+                    start = sent = t
+                last, size, n = max(last, t), size + length, n + 1
+                f, s, r, a = flags & 1, flags & 2, flags & 4, flags & 16
+                syn, both = syn or bool(s and not a), both or bool(s and a)
+                done = done or bool(a and not s and syn and both)
+                bad = bad or bool(s and (f or r)) or bool(f and not done)
+                if t - sent >= every:
+                    emit(t)
+                    sent = t
+        state.update((start, last, size, n, done, bad, syn, both, sent))
+        # Idle first, then forgotten; a timer must lie after the watermark.
+        wait = last + (idle if sent <= last else drop)
+        state.setTimeoutTimestamp(max(int(wait * 1000), state.getCurrentWatermarkMs()) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in FLUSHED.split(", ")])
+
+    held = f"{_RECORD}, syn boolean, both boolean, sent double"
+    return timed.groupBy(*_KEY).applyInPandasWithState(step, FLUSHED, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Windows of one folder of staged flows.
+SLOT = 720
+
+
+def features_query(flows: DataFrame, folder: str, s: Settings, checkpoint: str, late: float = 10.0, **trigger):
+    """The started query that writes all eighteen features of closed windows to {folder}/features, exactly as the batch gives them.
+
+    Flows of a micro-batch are staged; a window is closed once a flow has come that starts `late` seconds after its end.  What
+    has just closed is read back (its slots only) and goes through the batch's aggregates.  Every folder is
+    written by batch number, so a batch run again replaces what it wrote.  Flows later than that stay staged and aren't read.
+    """
+    spark = flows.sparkSession
+
+    def told(name: str, before: int) -> DataFrame | None:
+        """A folder's rows of earlier batches; None if there are none."""
+        try:
+            rows = spark.read.parquet(f"{folder}/{name}")
+        except AnalysisException:
+            return None
+        return rows.filter(F.col("batch") < before)
+
+    def close(batch: DataFrame, number: int) -> None:
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        wid = window_id("start_time", s.dt)
+        batch.withColumn("wid", wid).withColumn("slot", F.floor(F.col("wid") / SLOT)).write.mode("overwrite").partitionBy("slot").parquet(f"{folder}/flows/batch={number}")
+        earlier = told("progress", number)
+        latest, upto = earlier.agg(F.max("latest"), F.max("upto")).first() if earlier is not None else (None, None)
+        now = max((x for x in (batch.agg(F.max("start_time")).first()[0], latest) if x is not None), default=None)
+        if now is None:
+            return
+        closed = int((now - late) // s.dt) - 1
+        closed = closed if upto is None else max(closed, upto)
+        put(spark.createDataFrame([(float(now), closed)], "latest double, upto long"), "progress")
+        staged = spark.read.parquet(f"{folder}/flows").filter((F.col("batch") <= number) & (F.col("slot") <= closed // SLOT) & (F.col("wid") <= closed))
+        if upto is not None:
+            staged = staged.filter((F.col("slot") >= upto // SLOT) & (F.col("wid") > upto))
+        found = features.features(staged.drop("batch", "slot"), s)
+        # The shift of a stream's first new window is from its last one before.
+        last = told("features", number)
+        if last is not None:
+            last = last.groupBy("stream_id").agg(F.max("wid").alias("wid"), F.max_by("geographic_entropy", "wid").alias("h"))
+            shift = F.abs(F.col("geographic_entropy") - F.coalesce(F.lag("geographic_entropy").over(Window.partitionBy("stream_id").orderBy("wid")), F.col("h"), F.lit(0.0)))
+            found = found.join(last.select("stream_id", "h"), "stream_id", "left").withColumn("geo_distribution_shift_rate", shift).drop("h")
+        put(found, "features")
+
+    return flows.writeStream.foreachBatch(close).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": f"{s.dt} seconds"})).start()
