@@ -1,7 +1,7 @@
 """Corpus pipeline: toxicity, language, near-duplicates, mixing, encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
-documents.  Between stages the rows are written as Parquet to the shared folder and read again.
+documents.  Between stages the rows are written as Parquet to the shared folder and read again; run() removes each such table but the last once the next is written.
 
 Handling of odd rows follows the operators: a null or empty text has no toxic words and passes the first stage, is `und` and
 leaves in the second.  Empty tables pass through all stages; extra columns are carried to the last.
@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, langid, mixing, neardup, toxicity
-from tidewatch.llm.common import load, stored
-
-#: A document leaves if its language is none of those learned, or no language stands out.
-LANGUAGE_LEAST = 0.4
+from tidewatch.llm.common import discard, load, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language."""
+    """Documents in a language; those without one (no text, no letters) leave."""
     found = langid.predict(docs, langid.train(docs), keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_LEAST)).select(*docs.columns)
+    return found.filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = load(spark, sf_dir, "documents")
+    docs, last = load(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

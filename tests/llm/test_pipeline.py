@@ -22,7 +22,9 @@ def test_stages(spark, sf):
     known = corpus_pipeline.keep_known_languages(spark, kept, sf).cache()
     assert known.columns == COLUMNS and known.count() >= 0.98 * kept.count()
     away = kept.join(known, "doc_id", "left_anti").select("doc_id", "text")
-    assert {r["lang_pred"] for r in langid.predict(away, langid.train(kept)).filter("score >= 0.4").collect()} <= {"und"}
+    assert {r["lang_pred"] for r in langid.predict(away, langid.train(kept)).collect()} <= {"und"}
+    junk = kept.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("1234 ... 5678 !!").alias("text"), "lang", "source", "n_chars")
+    assert corpus_pipeline.keep_known_languages(spark, kept.unionByName(junk), sf).filter("doc_id = -1").count() == 0
 
     single = corpus_pipeline.drop_near_duplicates(spark, known, sf).cache()
     assert single.columns == COLUMNS

@@ -15,6 +15,7 @@ repeated results; an empty table gives an empty one.  Columns named like the res
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -33,7 +34,7 @@ from tidewatch.llm.common import ship
 from tidewatch.llm.textvec import pieces
 
 #: Pre-tokens a worker remembers; then it forgets those met in one batch only (all, if that isn't enough).
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 200_000
 PAIRS_MEMORY = 2_000_000
 LONGEST_REMEMBERED = 64
 
@@ -55,6 +56,7 @@ def _byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+@functools.cache
 def _ranges(name: str) -> str:
     """A character class as ranges, as the tokenizer's own regular expressions have it: Unicode versions differ."""
     from tokenizers import Regex, pre_tokenizers
@@ -252,7 +254,9 @@ _encoders: dict[str, SpeculativeBpe] = {}
 memory.keeps("bpe", _encoders.clear)
 
 
-def encoder(path: str) -> SpeculativeBpe:
+def encoder(path: str | None = None) -> SpeculativeBpe:
+    """The process's encoder of a file; None: the public file, wherever this machine has it."""
+    path = path or tokenizer_path()
     if path not in _encoders:
         _encoders[path] = SpeculativeBpe(path)
     return _encoders[path]
@@ -264,7 +268,6 @@ RESULTS = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "decod
 def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None, results: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """docs with the asked RESULTS added: ids of each text and the text decoded from them."""
     ship(docs.sparkSession)
-    path = path or tokenizer_path()
     keep = [c for c in docs.columns if c not in results]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(r, RESULTS[r]) for r in results])
 

@@ -1,45 +1,31 @@
-"""What the operators of this subpackage share: code shipping, shared tables, splits of rows."""
+"""What the operators of this subpackage share: code shipping, splits of rows, numbers of rows."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch between Spark and Python, at most.
-BATCH_ROWS = 1_000
+from tidewatch.storage import discard, scratch, stored
+
+__all__ = ["discard", "load", "numbered", "remainder", "sample_by", "ship", "stored"]
 
 #: A table of groups is sent to every task up to this many rows.
 SENT_GROUPS = 10_000
 
 _shipped: set[str] = set()
-_own_folder: list[str] = []
-
-
-def _scratch() -> str:
-    """A folder of the driver's own, removed at exit."""
-    if not _own_folder:
-        _own_folder.append(os.path.realpath(tempfile.mkdtemp(prefix="tidewatch-")))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return _own_folder[0]
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a Spark application."""
-    # Texts are long: smaller Arrow batches bound what a task holds outside the heap.
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(_scratch(), f"{os.path.basename(top)}_{uuid.uuid4().hex}.zip")
+    path = os.path.join(scratch(), f"{os.path.basename(top)}_{uuid.uuid4().hex}.zip")
     with zipfile.ZipFile(path, "w") as z:
         for d, _, names in os.walk(top):
             for x in names:
@@ -50,22 +36,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own, removed at exit, only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    return "file://" + _scratch()
-
-
-def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; -1 for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -90,3 +60,13 @@ def sample_by(rows: DataFrame, group: str, most: int, doc_id: str = "doc_id") ->
     near = hashed.join(share, group).filter("u_ <= share_")
     ranked = near.withColumn("rank_", F.row_number().over(Window.partitionBy(group).orderBy("u_", doc_id)))
     return ranked.filter(F.col("rank_") <= most).drop("u_", "share_", "rank_")
+
+
+def numbered(rows: DataFrame, key: str, name: str = "k_") -> DataFrame:
+    """rows with a running number (from 1, in no order) within their key; a hot key stays spread over its partitions."""
+    placed = stored(rows.withColumn("part_", F.spark_partition_id()), "numbered")
+    per = placed.groupBy(key, "part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(key, "part_", F.coalesce(before, F.lit(0)).alias("before_"))
+    within = F.row_number().over(Window.partitionBy(key, "part_").orderBy(F.lit(1)))
+    return placed.withColumn(name, within).join(per, [key, "part_"]).withColumn(name, F.col(name) + F.col("before_")).drop("part_", "before_")

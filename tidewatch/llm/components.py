@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import discard, stored
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         # Small star: every smaller neighbour of u, and u, is tied to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        star = stored(small.select(F.col("v").alias("u"), F.col("u").alias("v")), "components")
+        last, star = star, stored(small.select(F.col("v").alias("u"), F.col("u").alias("v")), "components")
+        discard(last)
         # Settled once a round changes nothing.
         seen = _digest(star)
         if before == seen:

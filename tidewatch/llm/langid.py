@@ -1,18 +1,17 @@
 """Language ID by segmentation-marginalised unigrams.
 
-Pieces are the letter strings of a fixed public vocabulary (at most MOST_BYTES bytes, lower-cased) and all single bytes.  For each
+Pieces are the letter strings of a fixed public vocabulary (lower-cased, of any length) and all single bytes.  For each
 language the pieces have probabilities, fitted by expectation-maximisation over all segmentations of its training words.
-A forward pass sums the probabilities of every segmentation of a word; a text's score for a language is the sum of its
-words' logarithms.  The passes run over all distinct words of a piece of the corpus at once, one array step per end and length; a worker
-remembers the words met so far, up to a bound.
+A forward pass sums the probabilities of every segmentation of a word (a run of letters, of any length) by logarithms; a text's
+score for a language is the sum of its words' logarithms.  A trie lists the pieces at all places of all words of a piece
+of the corpus at once; the passes step through the words' ends together.  A worker remembers the words met so far, up to a bound.
 
-The model is fitted on at most DOCS_PER_LANGUAGE texts (by hash of the id) and WORDS_PER_LANGUAGE commonest words of
-each language (documented bounds), and so is small enough to send to every task.
+The model is fitted on at most DOCS_PER_LANGUAGE texts of each language (by hash of the id, a documented bound) with all their words,
+one language in one task; only the fitted probabilities reach the driver, at most a row a piece and language.
 
 Contract of ``predict``: one row per input row.  lang_pred is a learned language, or `und` with score 0 for a null text
 or one without letters, and everywhere if nothing could be learned.  Ties go to the language first in code point order.
-Runs of letters over LONGEST bytes are read in stretches of that length.  Repeated rows give repeated results; whole texts are
-read; an empty table gives an empty result; other columns are left out.
+Repeated rows give repeated results; whole texts are read; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,31 +20,28 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm import memory
 from tidewatch.llm.common import load, remainder, sample_by, ship, stored
-from tidewatch.llm.textvec import _BASE, _BASE_INV, LETTERS, HashIndex, hash_bytes, mix, pieces, sums, words_of
+from tidewatch.llm.textvec import LETTERS, HashIndex, mix, pieces, sums, words_of
 
 DOCS_PER_LANGUAGE = 1_500
-WORDS_PER_LANGUAGE = 15_000
-MOST_BYTES = 8
-LONGEST = 32
 ROUNDS = 3
 #: Words a worker remembers.
 MEMORY_WORDS = 400_000
+#: Bytes of words whose segmentations are summed together, about.
+CHUNK = 1 << 18
 FOLDS, HELD_OUT = 5, 0
 
-_UP = np.array([pow(_BASE, i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
-_DOWN = np.array([pow(_BASE_INV, i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
-
 
 def vocabulary(path: str | None = None) -> list[bytes]:
-    """Letter pieces of a ranks file (base64 token, space, rank), in order of rank, and all single bytes."""
+    """All single bytes, then the letter pieces of a ranks file (base64 token, space, rank) in order of rank."""
     import public_tokenizers
 
     with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
@@ -57,157 +53,197 @@ def vocabulary(path: str | None = None) -> list[bytes]:
             piece = piece.decode().lower().encode()
         except UnicodeDecodeError:
             continue
-        if 0 < len(piece) <= MOST_BYTES and all(LETTERS[b] for b in piece):
+        if piece and all(LETTERS[b] for b in piece):
             found[piece] = None
     return list(found)
 
 
-class Lattice:
-    """All piece matches of a set of words (rows of a byte matrix, padded), longest word first."""
-
-    def __init__(self, index: HashIndex, matrix: np.ndarray, length: np.ndarray):
-        self.order = np.argsort(-length, kind="stable")
-        self.length, matrix = length[self.order], matrix[self.order]
-        self.n = len(length)
-        top = int(length.max()) if self.n else 0
-        total = np.zeros((top + 1, self.n), np.uint64)
-        for i in range(top):
-            total[i + 1] = total[i] + (matrix[:, i].astype(np.uint64) + np.uint64(1)) * _UP[i]
-        live = np.searchsorted(-self.length, -np.arange(top + 1), "right")  # words of at least that length
-        #: (end, size, rows, pieces): pieces of `size` bytes that end at `end`.
-        self.matches = []
-        for end in range(1, top + 1):
-            n = live[end]
-            for size in range(1, min(MOST_BYTES, end) + 1):
-                h = mix((total[end, :n] - total[end - size, :n]) * _DOWN[end - size] + np.uint64(size))
-                found = index.find(h)
-                rows = np.flatnonzero(found >= 0)
-                if len(rows):
-                    self.matches.append((end, size, rows, found[rows]))
-        self.top = top
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """(top + 1) x words x languages: probability of reaching each end; p is pieces x languages."""
-        alpha = np.zeros((self.top + 1, self.n, p.shape[1]))
-        alpha[0] = 1.0
-        for end, size, rows, piece in self.matches:
-            alpha[end, rows] += alpha[end - size, rows] * p[piece]
-        return alpha
-
-    def word_probability(self, p: np.ndarray) -> np.ndarray:
-        """words x languages, in the order given."""
-        out = np.empty((self.n, p.shape[1]))
-        alpha = self.forward(p)
-        out[self.order] = alpha[self.length, np.arange(self.n)]
+class Segmenter:
+    """Sums over all segmentations of words into pieces."""
+
+    def __init__(self, vocab: list[bytes]):
+        self.sizes = np.array([len(v) for v in vocab])
+        data, begin = np.frombuffer(b"".join(vocab), np.uint8), np.cumsum(self.sizes) - self.sizes
+        # A trie, level by level: a node is the place of its (parent, byte) among all such pairs, plus one; 0 is the root.
+        node, alive, keys, self.piece = np.zeros(len(vocab), np.uint64), np.arange(len(vocab)), [], [np.array([-1])]
+        count = 0
+        for depth in range(int(self.sizes.max()) if len(vocab) else 0):
+            edge, inverse = np.unique(node[alive] << np.uint64(8) | data[begin[alive] + depth], return_inverse=True)
+            node[alive] = inverse + count + 1
+            keys.append(edge)
+            here = np.full(len(edge), -1)
+            ends = self.sizes[alive] == depth + 1
+            here[inverse[ends]] = alive[ends]
+            self.piece.append(here)
+            count += len(edge)
+            alive = alive[~ends]
+        self.piece = np.concatenate(self.piece)
+        self.edges = HashIndex(mix(np.concatenate(keys)) if keys else np.zeros(0, np.uint64))
+
+    def matches(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, first byte, end, piece) of every piece in every word, places within the word."""
+        word = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(word)) - (np.cumsum(size) - size)[word]
+        left = size[word] - at
+        alive, node, found = np.arange(len(word)), np.zeros(len(word), np.uint64), []
+        length = 0
+        while len(alive):
+            edge = self.edges.find(mix(node << np.uint64(8) | data[start[word[alive]] + at[alive] + length]))
+            known = edge >= 0
+            alive, node = alive[known], (edge[known] + 1).astype(np.uint64)
+            length += 1
+            piece = self.piece[node.astype(np.int64)]
+            has = piece >= 0
+            found.append((alive[has], np.full(int(has.sum()), length), piece[has]))
+            more = left[alive] > length
+            alive, node = alive[more], node[more]
+        k, length, piece = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3))
+        return word[k], at[k], at[k] + length, piece
+
+    def _pass(self, by: np.ndarray, word: np.ndarray, base: np.ndarray, to: np.ndarray, near: np.ndarray, value, table: np.ndarray) -> None:
+        """table[to] = log of the sum of exp(value) over each word's matches, in order of `by`; near: a place already known that
+        keeps the exponents small."""
+        order = np.lexsort((word, by))
+        step = np.flatnonzero(np.diff(by[order], prepend=-1, append=-1))
+        for a, z in zip(step, step[1:], strict=False):
+            m = order[a:z]
+            first = np.flatnonzero(np.diff(word[m], prepend=-1))
+            ref = table[base[word[m]] + near[m]]
+            total = np.add.reduceat(np.exp(value(m) - ref), first, axis=0)
+            m = m[first]
+            table[base[word[m]] + to[m]] = table[base[word[m]] + near[m]] + np.log(total)
+
+    def forward(self, got, size: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Log-probability of reaching each place of each word (words one after another, size + 1 places each); log_p is
+        pieces, or pieces x languages."""
+        word, at, end, piece = got
+        base = np.cumsum(size + 1) - (size + 1)
+        table = np.zeros((int((size + 1).sum()), *log_p.shape[1:]))
+        self._pass(end, word, base, end, end - 1, lambda m: table[base[word[m]] + at[m]] + log_p[piece[m]], table)
+        return table
+
+    def backward(self, got, size: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        word, at, end, piece = got
+        base = np.cumsum(size + 1) - (size + 1)
+        table = np.zeros((int((size + 1).sum()), *log_p.shape[1:]))
+        self._pass(int(size.max(initial=0)) - at, word, base, at, at + 1, lambda m: table[base[word[m]] + end[m]] + log_p[piece[m]], table)
+        return table
+
+    def log_probability(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """words x languages."""
+        out = np.empty((len(size), log_p.shape[1]))
+        for part in _chunks(size):
+            table = self.forward(self.matches(data, start[part], size[part]), size[part], log_p)
+            out[part] = table[np.cumsum(size[part] + 1) - 1]
         return out
 
-    def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece (p of one language), words weighted."""
-        alpha = self.forward(p[:, None])[:, :, 0]
-        z = np.maximum(alpha[self.length, np.arange(self.n)], 1e-300)
-        beta = np.zeros((self.top + 1, self.n))
-        beta[self.length, np.arange(self.n)] = weight[self.order] / z
-        uses = np.zeros(len(p))
-        for end, size, rows, piece in reversed(self.matches):
-            flow = beta[end, rows] * p[piece]
-            uses += np.bincount(piece, weights=flow * alpha[end - size, rows], minlength=len(p))
-            beta[end - size, rows] += flow
-        return uses
-
-
-def _matrix(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(start), LONGEST), np.uint8)
-    for i in range(int(length.max()) if len(length) else 0):
-        has = np.flatnonzero(length > i)
-        out[has, i] = data[start[has] + i]
-    return out
-
-
-def _stretches(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first) of the words, those over LONGEST bytes in stretches."""
-    start, end, first = words.start, words.end, words.first
-    size = end - start
-    if not len(size) or size.max() <= LONGEST:
-        return start, end, first
-    parts = -(-size // LONGEST)
-    begin = np.cumsum(parts) - parts
-    word = np.repeat(np.arange(len(parts)), parts)
-    s = start[word] + (np.arange(len(word)) - begin[word]) * LONGEST
-    return s, np.minimum(s + LONGEST, end[word]), np.append(begin, len(word))[first]
+    def fit(self, words: list[bytes], weight: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+        """Piece probabilities of one language, from its words."""
+        size = np.array([len(w) for w in words])
+        data, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        got = [(part, self.matches(data, start[part], size[part])) for part in _chunks(size)]
+        p = 10.0 ** -(self.sizes + 1.0)
+        for _ in range(rounds):
+            uses, log_p = np.zeros(len(p)), np.log(p)
+            for part, m in got:
+                word, at, end, piece = m
+                n = size[part]
+                base = np.cumsum(n + 1) - (n + 1)
+                a, b = self.forward(m, n, log_p), self.backward(m, n, log_p)
+                share = np.exp(a[base[word] + at] + log_p[piece] + b[base[word] + end] - a[base[word] + n[word]])
+                uses += np.bincount(piece, weight[part][word] * share, len(p))
+            p = (uses + 1e-3) / (uses.sum() + 1e-3 * len(uses))
+        return p
+
+
+def _chunks(size: np.ndarray) -> Iterator[slice]:
+    """Runs of words of about CHUNK bytes, one word at least."""
+    total, at = np.cumsum(size), 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
+        yield slice(at, end)
+        at = end
+
+
+_segmenters: list[Segmenter] = []
+memory.keeps("langid", _segmenters.clear)
+
+
+def segmenter() -> Segmenter:
+    if not _segmenters:
+        _segmenters.append(Segmenter(vocabulary()))
+    return _segmenters[0]
 
 
 def _lowered(part: pa.RecordBatch, text: str = "text") -> pa.Array:
     return pc.utf8_lower(part.column(text))
 
 
+@memory.task("langid")
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of each piece of the corpus (columns text, lang)."""
+    for part in pieces(batches, "text"):
+        words = words_of(_lowered(part), LETTERS, lower=False)
+        coded = pc.dictionary_encode(part.column("lang"))
+        codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        owner = codes[words.text_of]
+        keys, at, inverse = np.unique(words.hash ^ mix(owner.astype(np.uint64)), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, minlength=len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in owner[at].tolist()], pa.string()), pa.array([words.word(k) for k in at.tolist()], pa.binary()), pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
+
+
+def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(lang, piece, p) of one language; piece -1 has the probability of every piece not listed."""
+    pdf = pdf.sort_values("word")
+    p = segmenter().fit([bytes(w) for w in pdf["word"]], pdf["n"].to_numpy(float))
+    least = p.min()
+    used = np.flatnonzero(p > least * (1 + 1e-9))
+    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "piece": np.append(used, -1), "p": np.append(p[used], least)})
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, pieces x languages probabilities) from rows of the training folds."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter((remainder("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = stored(sample_by(rows.select("doc_id", "lang"), "lang", DOCS_PER_LANGUAGE).select("doc_id").distinct(), "language-sample")
-
-    @memory.task("langid")
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
-            words = words_of(_lowered(part), LETTERS, lower=False)
-            start, end, first = _stretches(words)
-            codes, names = pc.dictionary_encode(part.column("lang")).indices.to_numpy(), pc.dictionary_encode(part.column("lang")).dictionary.to_pylist()
-            owner = np.repeat(codes, np.diff(first))
-            keys, at, inverse = np.unique(words.hash_of(start, end) ^ mix(owner.astype(np.uint64)), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, minlength=len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[k] for k in owner[at].tolist()], pa.string()), pa.array([words.data[start[k] : end[k]].tobytes() for k in at.tolist()], pa.binary()), pa.array(n.astype(np.int64))],
-                names=["lang", "word", "n"],
-            )
-
     texts = rows.join(chosen, "doc_id", "left_semi").select("text", "lang")
-    words = texts.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    table = words.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= WORDS_PER_LANGUAGE).select("lang", "word", "n").toPandas()
-    vocab = vocabulary()
+    words = texts.mapInArrow(_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    table = words.groupBy("lang").applyInPandas(_fit, "lang string, piece int, p double").toPandas()
+    n = len(vocabulary())
     languages = sorted(set(table["lang"]))
     if not languages:
-        return [], np.zeros((len(vocab), 0))
-    index = HashIndex(np.array([hash_bytes(v) for v in vocab], np.uint64))
-    out = np.zeros((len(vocab), len(languages)))
-    sizes = np.array([len(v) for v in vocab])
+        return [], np.zeros((n, 0))
+    out = np.empty((n, len(languages)))
     for k, language in enumerate(languages):
         mine = table[table["lang"] == language]
-        words_, weight = mine["word"].tolist(), mine["n"].to_numpy(float)
-        length = np.array([len(w) for w in words_])
-        matrix = np.frombuffer(b"".join(bytes(w).ljust(LONGEST, b"\0") for w in words_), np.uint8).reshape(-1, LONGEST)
-        lattice = Lattice(index, matrix, length)
-        p = 10.0 ** -(sizes + 1.0)
-        for _ in range(ROUNDS):
-            uses = lattice.expected(p, weight)
-            p = (uses + 1e-3) / (uses.sum() + 1e-3 * len(uses))
-        out[:, k] = p
+        piece, p = mine["piece"].to_numpy(), mine["p"].to_numpy()
+        out[:, k] = p[piece == -1][0]
+        out[piece[piece >= 0], k] = p[piece >= 0]
     # A share of every language's mass follows what all have in common, so that no piece is impossible.
     common = out.mean(axis=1, keepdims=True)
-    return languages, 0.97 * out + 0.03 * (0.9 * common + 0.1 / len(vocab))
+    return languages, 0.97 * out + 0.03 * (0.9 * common + 0.1 / n)
 
 
 class WordScores:
     """Log-probabilities of words by language; remembers up to MEMORY_WORDS words."""
 
-    def __init__(self, index: HashIndex, p: np.ndarray):
-        self.index, self.p = index, p
+    def __init__(self, p: np.ndarray):
+        self.log_p = np.log(p)
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros((0, p.shape[1]))
         self.known = HashIndex(self.keys)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-        out = np.empty((len(h), self.p.shape[1]))
-        found = self.known.find(h)
+    def of(self, words) -> np.ndarray:
+        out = np.empty((len(words), self.log_p.shape[1]))
+        found = self.known.find(words.hash)
         has = found >= 0
         out[has] = self.rows[found[has]]
         rest = np.flatnonzero(~has)
         if len(rest):
-            keys, at, inverse = np.unique(h[rest], return_index=True, return_inverse=True)
-            s = start[rest[at]]
-            length = end[rest[at]] - s
-            made = np.log(np.maximum(Lattice(self.index, _matrix(data, s, length), length).word_probability(self.p), 1e-300))
+            keys, at, inverse = np.unique(words.hash[rest], return_index=True, return_inverse=True)
+            start = words.start[rest[at]]
+            made = segmenter().log_probability(words.data, start, words.end[rest[at]] - start, self.log_p)
             out[rest] = made[inverse]
             self.waiting.append((keys, made))
             fresh = sum(len(k) for k, _ in self.waiting)
@@ -233,26 +269,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     @memory.task("langid")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(HashIndex(np.array([hash_bytes(v) for v in vocabulary()], np.uint64)), p) if languages else None
+        scores = WordScores(p) if languages else None
         for part in pieces(batches, text):
             n = part.num_rows
             low = _lowered(part, text)
-            words = words_of(low, LETTERS, lower=False, hashed=False)
-            start, end, first = _stretches(words)
-            count = np.diff(first)
+            words = words_of(low, LETTERS, lower=False)
+            count = words.counts
             pred, sure = np.full(n, len(languages)), np.zeros(n)
-            if languages and len(start):
-                each = scores.of(words.data, start, end, words.hash_of(start, end))
-                total = np.stack([sums(each[:, k], first) for k in range(len(languages))], axis=1)
+            if languages and len(words):
+                each = scores.of(words)
+                total = np.stack([sums(each[:, k], words.first) for k in range(len(languages))], axis=1)
                 best = total.argmax(axis=1)
                 odds = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(count, 1))[:, None])
-                ascii_letter = np.zeros(n, bool)
-                if len(words.data):
-                    plain = (words.data[words.start] < 0x80) | (words.data[words.end - 1] < 0x80)
-                    ascii_letter = sums(plain.astype(np.int64), words.first) > 0
-                for d in np.flatnonzero((count > 0) & ~ascii_letter).tolist():
-                    ascii_letter[d] = any(c.isalpha() for c in low[d].as_py())
-                has = (count > 0) & ascii_letter
+                plain = (words.data[words.start] < 0x80) | (words.data[words.end - 1] < 0x80)
+                has = sums(plain.astype(np.int64), words.first) > 0
+                for d in np.flatnonzero((count > 0) & ~has).tolist():
+                    has[d] = any(c.isalpha() for c in low[d].as_py())
                 pred[has], sure[has] = best[has], (odds.max(axis=1) / odds.sum(axis=1))[has]
             names = np.array([*languages, "und"], object)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names[pred].tolist(), pa.string()), pa.array(sure), pa.array(count.astype(np.int64))], names=[*keep, "lang_pred", "score", "n_words"])

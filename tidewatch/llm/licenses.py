@@ -5,6 +5,10 @@ hold one part unchanged (pigeonhole).  One Aho-Corasick pass over the normalised
 ``regex`` module's bounded-error matching (``{e<=k}``) verifies the edits, and the spans of verified matches are
 reported in words of the text.
 
+What tells one licence from another is exact: a notice's words in braces take no edits (three edits make any of "bsd", "isc" and
+"mit" of any other).  A match begins and ends with a word, and where matches overlap the longest notice wins ("... attribution
+noncommercial" is no plain attribution).
+
 A text is normalised to its words, A-Z lower-cased, joined by single spaces, so line breaks, comment marks
 and punctuation inside a notice don't matter.
 
@@ -15,6 +19,7 @@ read; an empty table gives an empty result; other input columns are left out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,26 +40,46 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Notice -> label, searched with errors.  Each is longer than any base phrase, so that a few edits don't turn prose into it.
+#: Notice -> label, searched with errors but for the words in braces.  Each is longer than any base phrase, so that a few edits
+#: don't turn prose into it.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache",
-    "released under the mit license": "mit",
+    "gnu {general} public license": "gpl",
+    "gnu {lesser} general public license": "lgpl",
+    "gnu {library} general public license": "lgpl",
+    "gnu {affero} general public license": "agpl",
+    "gnu free {documentation} license": "gfdl",
+    "licensed under the {apache} license version 2 0": "apache",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms": "bsd",
     "neither the name of the copyright holder nor the names of its contributors": "bsd",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
-    "creative commons attribution": "cc-by",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "mozilla public license": "mpl",
-    "eclipse public license": "epl",
+    "creative commons {attribution}": "cc-by",
+    "creative commons {attribution sharealike}": "cc-by-sa",
+    "creative commons {attribution share alike}": "cc-by-sa",
+    "creative commons {attribution noderivatives}": "cc-by-nd",
+    "creative commons {attribution no derivatives}": "cc-by-nd",
+    "creative commons {attribution noncommercial}": "cc-by-nc",
+    "creative commons {attribution non commercial}": "cc-by-nc",
+    "creative commons {attribution noncommercial sharealike}": "cc-by-nc-sa",
+    "creative commons {attribution noncommercial share alike}": "cc-by-nc-sa",
+    "creative commons {attribution non commercial share alike}": "cc-by-nc-sa",
+    "creative commons {attribution noncommercial noderivatives}": "cc-by-nc-nd",
+    "creative commons {attribution noncommercial no derivatives}": "cc-by-nc-nd",
+    "creative commons {attribution non commercial no derivatives}": "cc-by-nc-nd",
+    "{mozilla} public license": "mpl",
+    "{eclipse} public license": "epl",
+    "european {union} public licence": "eupl",
+    "boost {software} license": "boost",
+    "artistic license {2} 0": "artistic",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "do what the {fuck} you want to public license": "wtfpl",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable": "zlib",
     "spdx license identifier": "spdx",
-    "all rights reserved": "all-rights-reserved",
+    "{all} rights reserved": "all-rights-reserved",
 }
+#: Names of licences that "released under the ... license" may name.
+NAMED = {"mit": "mit", "bsd": "bsd", "isc": "isc", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "zlib": "zlib", "boost": "boost", "mozilla": "mpl"}
+NOTICES |= {f"{verb} under the {{{name}}} license": label for verb in ("released", "licensed", "distributed") for name, label in NAMED.items()}
 
 
 def errors_for(notice: str) -> int:
@@ -69,12 +94,20 @@ def seeds(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def pattern_of(marked: str, errors: int) -> regex.Pattern:
+    """The notice between words, with errors outside its braces; the sum of all is checked by the caller."""
+    parts = [p for p in re.split(r"(\{[^}]*\})", marked) if p]
+    body = "".join(regex.escape(p[1:-1]) if p[0] == "{" else rf"(?:{regex.escape(p)}){{e<={errors}}}" for p in parts)
+    return regex.compile(rf"(?b)(?<![^ ]){body}(?![^ ])")
+
+
 class NoticeSearch:
     def __init__(self, notices: dict[str, str]):
         import ahocorasick
 
-        self.notices = [(n, label, errors_for(n)) for n, label in notices.items()]
-        self.pattern = [regex.compile(rf"(?b)(?:{regex.escape(n)}){{e<={e}}}") for n, _, e in self.notices]
+        plain = [(n.replace("{", "").replace("}", ""), n, label) for n, label in notices.items()]
+        self.notices = [(n, label, errors_for(n)) for n, _, label in plain]
+        self.pattern = [pattern_of(marked, errors_for(n)) for n, marked, _ in plain]
         parts: dict[str, list[tuple[int, int]]] = {}
         for k, (n, _, e) in enumerate(self.notices):
             for at, part in seeds(n, e):
@@ -84,7 +117,7 @@ class NoticeSearch:
             self.auto.add_word(part, (len(part), tuple(where)))
         self.auto.make_automaton()
 
-    def spans(self, text: str) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits), ends exclusive, not overlapping for one notice."""
         places: dict[int, set[int]] = {}
         for end, (size, where) in self.auto.iter(text):
@@ -95,16 +128,25 @@ class NoticeSearch:
             notice, _, e = self.notices[k]
             done = -1
             for s in sorted(starts):
-                low, high = max(0, s - e), s + len(notice) + e
-                if low < done:
-                    low = done
+                low = max(0, s - e, done)
+                # To the end of the word, so that the match's own end is seen.
+                high = text.find(" ", min(len(text), s + len(notice) + e))
+                high = len(text) if high < 0 else high
                 if high <= low:
                     continue
-                m = self.pattern[k].search(text, low, min(high, len(text)))
-                if m and m.end() > m.start():
+                m = self.pattern[k].search(text, low, high)
+                if m and m.end() > m.start() and sum(m.fuzzy_counts) <= e:
                     found.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
                     done = m.end()
-        return sorted(found, key=lambda f: (f[1], f[2], f[0]))
+        return found
+
+    def spans(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Of the matches those that no longer notice overlaps, in order."""
+        kept: list[tuple[int, int, int, int]] = []
+        for f in sorted(self.matches(text), key=lambda f: (-len(self.notices[f[0]][0]), f[3], f[1], f[0])):
+            if all(f[2] <= o[1] or o[2] <= f[1] for o in kept):
+                kept.append(f)
+        return sorted(kept, key=lambda f: (f[1], f[2], f[0]))
 
 
 _search: list[NoticeSearch] = []
@@ -201,6 +243,17 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
+BASE_SQL = """WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+phrases AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES %s) v(p, label)),
+hits AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) CROSS JOIN phrases WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p)
+SELECT w.doc_id, len(w) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM w LEFT JOIN hits USING (doc_id) GROUP BY w.doc_id, w""" % ", ".join(f"('{p}', '{label}')" for p, label in BASE.items())
+
+
+def base(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: the base phrases."""
+    return query(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: base phrases and notices of every document."""
     return scan(load(spark, sf_dir, "documents")).drop("spans")

@@ -1,20 +1,24 @@
 """MinHash near-duplicates with odd sketches.
 
 Texts with equal shingle sets are one *representative* from the start.  Each representative has
-SAMPLES MinHash values; bands of ROWS of them are bucket keys.  The MinHash sample is also folded into an
+SAMPLES MinHash values; bands of them are bucket keys.  The MinHash sample is also folded into an
 odd sketch, a parity bitmap: the population count of two sketches' XOR estimates how many samples differ,
 most precisely where the similarity is high, and so judges a bucket's pairs without their sets.  What
-passes is confirmed on full shingle sets.
+passes is confirmed on full shingle sets (64-bit hashes of shingles, from 62-bit ones of words).
 
 1. In each bucket every member is compared with the bucket's most central one, whose buckets are the fullest (linear in
    the bucket).  Confirmed links give first components.
 2. Buckets that still hold several components compare members *across* components, by a join whose
-   condition is the sketch test and then the exact one, so that only links leave it and Spark may split hot buckets.
-   Pairs within a component need no look: they are connected already.
+   condition is the sketch test and then the exact one, so that only links leave it.  Pairs within a component need no
+   look: they are connected already.
 
-So no bucket is capped and no link that shares a band is lost.  A pair at similarity 0.85 shares none of the bands
-with probability (1 - 0.85**6)**24 = 1e-5, and the sketch, whose estimate has a standard error of 0.023 there, rejects it with
-probability 5e-5.
+Hot buckets (over HOT_ROWS members) are few by their size; their tables of a row a bucket are sent to every task, so that no hot bucket is
+dealt to one task.  In step 2 a hot bucket is parted by finer bands (FINE_BANDS of FINE_ROWS samples): unlike texts that share a
+passage rarely share one, so a hot bucket's pairs are those of its finer ones.
+
+No bucket is capped.  Bands follow from the threshold (banding): a pair at 0.85 shares none of 24 bands of 6 rows, a pair at 0.8 none of 29
+of 5, with probability 1.2e-5 at most; at 0.85 none of the finer ones with 4e-5, at 0.8 with 3e-3, where a hot bucket is the only one
+they share; and the sketch, whose estimate has a standard error of 0.023 there, rejects a pair with probability 5e-5.
 
 Contract of ``link``: a text's words are parted by white space after A-Z are lower-cased; its
 set holds distinct runs of SHINGLE words (the whole sequence where there are fewer).  Null and empty texts have
@@ -28,20 +32,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import memory
-from tidewatch.llm.common import load, ship, stored
+from tidewatch.llm.common import discard, load, numbered, ship, stored
 from tidewatch.llm.components import components
 from tidewatch.llm.textvec import Words, mix, pieces, words_of
 
 SHINGLE = 5
-BANDS, ROWS = 24, 6
-#: MinHash values in all: those of the bands, and more for the sketch alone.
+#: MinHash values in all; the bands take the first of them, finer bands and the sketch all.
 SAMPLES = 256
 SKETCH_BITS = 1024
-THRESHOLD = 85
+#: Percent.
+THRESHOLD = 80
+#: Bands at most, and the largest probability that a pair at the threshold shares none.
+MOST_BANDS, MISSED = 30, 1.3e-5
+FINE_BANDS, FINE_ROWS = 32, 8
+#: Members of a hot bucket, more than; the tables of hot buckets are sent up to this many rows.
+HOT_ROWS, SENT_BUCKETS = 1_000, 400_000
 #: Ids of documents in pairs are sent to every task up to this many (some MB); more are joined by a shuffle.
 SENT_IDS = 400_000
 #: A sketch passes a pair if its estimate of the similarity is this much below the threshold at most.
@@ -52,6 +61,25 @@ _M32 = (_MULTIPLIERS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _A32 = _MULTIPLIERS.astype(np.uint32)
 
 
+def banding(threshold: int = THRESHOLD) -> tuple[int, int]:
+    """(bands, rows): the longest rows for which MOST_BANDS bands miss a pair at the threshold with probability MISSED at most."""
+    for rows in range(8, 0, -1):
+        bands = int(np.ceil(np.log(MISSED) / np.log1p(-((threshold / 100) ** rows)))) if threshold < 100 else 1
+        if bands <= MOST_BANDS:
+            return bands, rows
+    return MOST_BANDS, 1
+
+
+def _keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """texts x bands: a key for each run of `rows` samples."""
+    n = samples.shape[1]
+    banded = samples[: bands * rows].reshape(bands, rows, n).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64)[:, None] + np.uint64(rows << 32), (bands, n)).copy()
+    for r in range(rows):
+        keys = mix(keys * np.uint64(0x100000001B3) + banded[:, r])
+    return keys.T
+
+
 def shingle_hashes(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): distinct shingle hashes of each text, texts one after another, sorted within."""
     h, counts = words.hash, words.counts
@@ -107,9 +135,10 @@ def sketch_limit(threshold: int = THRESHOLD) -> int:
     return int(SKETCH_BITS / 2 * (1 - np.exp(-2 * differ / SKETCH_BITS))) + 4
 
 
-def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, digest_a, digest_b, bands, sketch) of each row."""
     ship(docs.sparkSession)
+    bands, rows = banding(threshold)
 
     @memory.task("neardup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +146,12 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
             sets, first = shingle_hashes(words_of(part.column("text")), size)
             n = part.num_rows
             samples = minhashes(sets, first)
-            banded = samples[: BANDS * ROWS].reshape(BANDS, ROWS, n).astype(np.uint64)
-            keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[:, None], (BANDS, n)).copy()
-            for r in range(ROWS):
-                keys = mix(keys * np.uint64(0x100000001B3) + banded[:, r])
             filled = first[1:] > first[:-1]
             digest = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
             if filled.any():
                 digest[0][filled] = np.add.reduceat(sets, first[:-1][filled])
                 digest[1][filled] = np.add.reduceat(mix(sets + np.uint64(77)), first[:-1][filled])
-            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * BANDS)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * bands)
             sketch = odd_sketches(samples)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -134,7 +159,7 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
                     pa.array(np.diff(first).astype(np.int64)),
                     pa.array(digest[0].view(np.int64)),
                     pa.array(digest[1].view(np.int64)),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys.T.ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(_keys(samples, bands, rows).ravel().view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel())),
                 ],
                 names=["doc_id", "n_shingles", "digest_a", "digest_b", "bands", "sketch"],
@@ -152,20 +177,22 @@ def _differing_bits(a: str, b: str) -> Column:
 
 
 def _sets(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
-    """(doc_id, shingles) of each row."""
+    """(doc_id, shingles, fine) of each row."""
 
     @memory.task("neardup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             sets, first = shingle_hashes(words_of(part.column("text")), size)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
+            fine = _keys(minhashes(sets, first), FINE_BANDS, FINE_ROWS)
+            listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed(first, sets), listed(np.arange(part.num_rows + 1) * FINE_BANDS, fine.ravel())], names=["doc_id", "shingles", "fine"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, shingles array<long>")
+    return slim.mapInArrow(run, "doc_id long, shingles array<long>, fine array<long>")
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
-    """(doc_id, shingles) of the documents with these ids; the sets are made again, of those documents only."""
+    """(doc_id, shingles, fine) of the documents with these ids; the sets are made again, of those documents only."""
     ids = stored(ids, "neardup-ids")
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
@@ -183,19 +210,51 @@ def _confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: in
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = _sets_of(ids, docs, text, doc_id, size)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.filter(_alike(threshold)).select("a", "b")
+    links = stored(both.filter(_alike(threshold)).select("a", "b"), "neardup-links")
+    discard(sets)
+    return links
+
+
+class Buckets:
+    """Joins on the bucket key that deal no hot bucket to one task."""
+
+    def __init__(self, sizes: DataFrame):
+        self.hot = stored(sizes.filter(F.col("n") > HOT_ROWS).select("band"), "neardup-hot")
+        self.sent = 0 < self.hot.count() <= SENT_BUCKETS
+
+    def join(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """rows (band, ...) with the columns of table, which has one row a bucket."""
+        if not self.sent:
+            return rows.join(table, "band")
+        hot = F.broadcast(self.hot)
+        few = stored(table.join(hot, "band", "left_semi"), "neardup-hot-table")
+        return rows.join(hot, "band", "left_anti").join(table, "band").unionByName(rows.join(F.broadcast(few), "band"))
+
+
+def _across(inside: DataFrame, threshold: int, limit: int) -> DataFrame:
+    """Links (a, b) between members of different components of a bucket (band, doc_id, component, n_shingles, sketch, shingles)."""
+    of = lambda x: inside.select("band", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("shingles").alias(f"s{x}"))
+    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)
+    x, y = of("a"), of("b")
+    return x.join(y, (x["band"] == y["band"]) & fits & _alike(threshold)).select("a", "b")
+
+
+def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys' buckets that hold several components."""
+    return rows.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(*keys)
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, copies) of every row of docs."""
-    rows = stored(signatures(docs, text, doc_id, size), "neardup-signatures")
+    rows = stored(signatures(docs, text, doc_id, size, threshold), "neardup-signatures")
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "digest_a", "digest_b"]
     # Equal sets: the smallest id stands for all.
     reps = stored(full.groupBy(*same).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"), F.count(F.lit(1)).alias("copies")).select(*same, "copies", "x.doc_id", "x.bands", "x.sketch"), "neardup-representatives")
     posted = reps.select("doc_id", F.explode("bands").alias("band"))
-    sizes = posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    posted = stored(posted.join(sizes, "band"), "neardup-buckets")
+    sizes = stored(posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "neardup-sizes")
+    buckets = Buckets(sizes)
+    posted = stored(buckets.join(posted, sizes), "neardup-buckets")
     # The most central member leads: its buckets are the fullest, so that most near copies of one text link with it.
     weight = posted.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     leaders = posted.join(weight, "doc_id").groupBy("band").agg(F.max(F.struct(F.col("weight"), -F.col("doc_id"))).alias("top")).select("band", (-F.col("top.col2")).alias("leader"))
@@ -209,23 +268,24 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
         near = near.join(slim.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb")), "b")
         return near.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)).select("a", "b")
 
-    stars = stored(near(posted.join(leaders, "band").filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "neardup-stars")
-    links = stored(_confirm(stars, docs, text, doc_id, size, threshold), "neardup-links")
-    first = stored(components(links, "a", "b"), "neardup-first")
+    stars = stored(near(buckets.join(posted, leaders).filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "neardup-stars")
+    links = _confirm(stars, docs, text, doc_id, size, threshold)
+    first = components(links, "a", "b")
 
     # Buckets of several components: members across components.
-    placed = posted.join(first, posted["doc_id"] == first["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    inside = stored(placed.join(split, "band").join(reps.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id"), "neardup-across")
+    placed = stored(posted.join(first, posted["doc_id"] == first["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "neardup-placed")
+    inside = stored(buckets.join(placed, _mixed(placed, ["band"])).join(slim, "doc_id"), "neardup-across")
     if inside.head(1):
         sets = _sets_of(inside.select("doc_id").distinct(), docs, text, doc_id, size)
-        inside = inside.join(sets, "doc_id")
-        x = inside.select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"), F.col("bands").alias("ba"), F.col("shingles").alias("sa"))
-        y = inside.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"), F.col("bands").alias("bb"), F.col("shingles").alias("sb"))
-        fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)
-        # A pair comes out of the first band that it shares only, and only once its full sets pass.
-        first_shared = F.expr("element_at(ba, cast(array_position(zip_with(ba, bb, (p, q) -> p = q), true) AS int))") == x["band"]
-        links = links.unionByName(x.join(y, (x["band"] == y["band"]) & fits & first_shared & _alike(threshold)).select("a", "b"))
+        inside, parted = inside.join(sets, "doc_id"), None
+        if buckets.sent:
+            hot = inside.join(F.broadcast(buckets.hot), "band", "left_semi")
+            fine = hot.select("doc_id", "component", "n_shingles", "sketch", "shingles", F.explode(F.transform("fine", lambda f: F.xxhash64("band", f))).alias("band"))
+            parted = stored(fine.join(_mixed(fine, ["band"]), "band"), "neardup-fine")
+            inside = inside.join(F.broadcast(buckets.hot), "band", "left_anti")
+        links = links.unionByName(_across(inside.drop("fine"), threshold, limit))
+        if parted is not None:
+            links = links.unionByName(_across(parted, threshold, limit))
     # A doc_id on several rows with different sets is one node.
     member = full.join(reps.select(*same, F.col("doc_id").alias("rep"), "copies"), same).select("doc_id", "rep", "copies")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
@@ -248,13 +308,27 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     rest = docs.join(small(away), on(away), "left_anti")
     if not again.head(1):
         return rest
-    # Rows that repeat an id: the first of them stays.
-    order = Window.partitionBy(F.col(doc_id)).orderBy(F.xxhash64(F.col(text)), *[F.col(c) for c in docs.columns if c != text])
+    # Rows that repeat an id: one of them stays, the first by text if their texts differ.
     twice = rest.join(small(again), rest[doc_id].cast("long") == again["doc_id"], "left_semi")
-    first = twice.withColumn("k_", F.row_number().over(order)).filter("k_ = 1").drop("k_")
+    hashed = twice.withColumn("h_", F.xxhash64(F.col(text)))
+    least = hashed.groupBy(F.col(doc_id).alias("id_")).agg(F.min(F.coalesce("h_", F.lit(0))).alias("least_"))
+    hashed = hashed.join(least, F.col(doc_id) == F.col("id_")).filter(F.coalesce("h_", F.lit(0)) == F.col("least_")).drop("h_", "id_", "least_")
+    first = numbered(hashed, doc_id).filter("k_ = 1").drop("k_").select(docs.columns)
     return rest.join(small(again), rest[doc_id].cast("long") == again["doc_id"], "left_anti").unionByName(first)
 
 
+#: The contract's threshold of op2, in percent.
+ASKED = 85
+
+ORACLE_SQL = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= {ASKED} * (p.n + q.n - c)),
+near AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT near.doc_id, l.b FROM near JOIN links l ON l.a = near.other),
+own AS (SELECT doc_id, min(other) AS component_id FROM near GROUP BY ALL)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM t JOIN own USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: component of every document."""
-    return link(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return link(load(spark, sf_dir, "documents").select("doc_id", "text"), threshold=ASKED).drop("copies")

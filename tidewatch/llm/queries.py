@@ -19,13 +19,24 @@ MODULES = {
 }
 
 
+#: Of operators whose whole result SQL can't give: query of the part that it can -> (module, function, name of its SQL).
+PARTS = {
+    "license_base": ("licenses", "base", "BASE_SQL"),
+    "language_model_base": ("suffixlm", "base", "BASE_SQL"),
+    "mixing_targets": ("mixing", "target_query", "TARGETS_SQL"),
+    "neighbours_checked": ("permindex", "checked", "CHECKED_SQL"),
+}
+
+
 def _module(name: str):
-    return importlib.import_module(f"tidewatch.llm.{MODULES[name]}")
+    return importlib.import_module(f"tidewatch.llm.{name}")
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, name=name: _module(name).query(spark, sf_dir)) for name in MODULES}
+    found = {name: (lambda spark, sf_dir, module=module: _module(module).query(spark, sf_dir)) for name, module in MODULES.items()}
+    return found | {name: (lambda spark, sf_dir, module=module, function=function: getattr(_module(module), function)(spark, sf_dir)) for name, (module, function, _) in PARTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name in MODULES if (sql := getattr(_module(name), "ORACLE_SQL", None))}
+    whole = {name: sql for name, module in MODULES.items() if (sql := getattr(_module(module), "ORACLE_SQL", None))}
+    return whole | {name: getattr(_module(module), sql) for name, (module, _, sql) in PARTS.items()}

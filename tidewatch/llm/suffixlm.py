@@ -1,23 +1,22 @@
 """A probabilistic suffix tree over words, with scores of whole texts.
 
 Tokens are the words of a text, then one end; before the first word stands the same end mark as context.  The root state is the
-smoothed unigram distribution (absolute discounting: the mass taken off is that of an unseen word).  A context of one or two
-words is a candidate state if it has continuations seen LEAST_COUNT times or more, whatever the size of the corpus, and is
-retained if its next-word distribution diverges from its suffix's: count * KL must exceed the description length of
-its parameters.  A state's distribution is smoothed towards its suffix's (Dirichlet, weight BETA); a position
-is scored by the longest retained suffix.
+smoothed unigram distribution (absolute discounting: the mass taken off is that of an unseen word).  Contexts grow level by
+level to DEPTH words.  A context is a candidate if it has continuations seen LEAST_COUNT times or more, whatever the size of
+the corpus, and its suffix (the context without its first word) was retained; it is retained if its next-word
+distribution diverges from its suffix's: count * KL must exceed the description length of its parameters.  A state's
+distribution is smoothed towards its suffix's (Dirichlet, weight BETA); a position is scored by its longest retained suffix.
 
-Gathering counts.  Word counts cover all training texts.  Pairs, then triples, are counted exactly by a shuffle.  An n-gram
-can be frequent only if its parts are: a bitmap of the hashed frequent words or pairs (of bounded size; it lets some others by, never
-stops a frequent one) keeps most of the rare ones out of the shuffle.
+Gathering counts.  Word counts cover all training texts.  For each level the n-grams are counted exactly by a shuffle.  An
+n-gram can be frequent only if the two parts that lack its first or last word are: a bitmap of the level before's hashed frequent keys (of bounded size; it lets
+some others by, never stops a frequent one) keeps most of the rare ones out of the shuffle.
 
-Where the frequent n-grams are few enough to send (SENT_NGRAMS), states are fitted on the driver and sent to all tasks.  Else
-they stay in tables: the logarithm of a probability is a sum of one factor for each retained context and listed
-continuation, by hashed key; the most frequent factors are sent, the others meet the texts in a shuffle join, behind a
-bitmap.  The result is the same.
+The states are a table of factors: the logarithm of a probability is the root's plus one term for each retained context of
+the position and one for each listed continuation, by hashed key.  Up to SENT_FACTORS of them go to all tasks; beyond that
+the most frequent go, and the others meet the texts in a shuffle join, behind a bitmap.  The result is the same.
 
 Scoring.  Words with at least HEAD_SHARE of all tokens (at most 1 / HEAD_SHARE of them, since shares add up to 1) and
-what of the states is sent go to all tasks; the rest of a text's words meets the count table in a shuffle join.
+what of the factors is sent go to all tasks; the rest of a text's words meets the count table in a shuffle join.
 
 Contract of ``score``: one row per input row.  Null and empty texts have one token, the end.  Without training rows every
 probability is that of the empty counts.  Repeated rows count and score each; a null doc_id is in the training folds.
@@ -30,31 +29,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import memory
-from tidewatch.llm.common import load, remainder, ship, stored
+from tidewatch.llm.common import discard, load, remainder, ship, stored
 from tidewatch.llm.textvec import HashIndex, Words, mix, pieces, sums, words_of
 
 FOLDS, HELD_OUT = 7, 2
+#: Words of the longest context.
+DEPTH = 4
 LEAST_COUNT = 16
 HEAD_SHARE = 2e-7
 HEAD_LEAST = 2
 BETA = 4.0
-SENT_NGRAMS = 1_500_000
-#: Ids up to this make triples of 63 bits.
-MOST_IDS = 2_097_151
+SENT_FACTORS = 2_500_000
 #: Tokens whose n-grams a task counts before it reports them.
 PART_TOKENS = 3_000_000
 #: Bits of a bitmap of hashed keys, as a power of two, at most.
 SIEVE_BITS = 27
 END = np.uint64(0)
 #: Tells the factor of a context from that of the same words as a continuation.
-CONTEXT_SALT = 0x5851F42D4C957F2D
+CONTEXT_SALT = np.int64(0x5851F42D4C957F2D)
 
 
 @memory.task("suffixlm")
@@ -90,24 +88,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """What every task needs to score: ids of head words by falling count, and the retained states."""
+    """What every task needs to score: counts of head words, and the factors that are sent."""
 
     tokens: int = 0
     words: int = 0
     discount: float = 0.5
+    depth: int = 0
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    frequent: int = 0  # ids below it may be in n-grams
-    one: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by id: log10 factor of the rest after a one-word state; nan: no state
-    pair_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    two_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    two_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    triple_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    triple_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    # Where the states are too many to send: the factors that are sent, a bitmap of the others, and their table.
     sent_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     sent_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    # Where the factors are too many to send: a bitmap of the others, and their table.
     sieve: np.ndarray | None = None
     factors: DataFrame | None = None
 
@@ -125,43 +116,34 @@ class Model:
         return np.log10(np.where(c > 0, c - self.discount, self.discount * self.words) / self.tokens)
 
 
-def _spread(words: Words, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, place of each text's start): start mark, words, end mark of each text in turn."""
-    n = words.counts
+def _spread(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence of word hashes, place of each text's start): start mark, words, end mark of each text in turn."""
     begin = np.arange(words.texts) * 2 + words.first[:-1]
-    out = np.full(len(ids) + 2 * words.texts, end_id, np.int64)
-    if len(ids):
-        out[np.arange(len(ids)) + 1 + 2 * np.repeat(np.arange(words.texts), n)] = ids
+    out = np.full(len(words) + 2 * words.texts, END.astype(np.int64))
+    if len(words):
+        out[np.arange(len(words)) + 1 + 2 * words.text_of] = words.hash.view(np.int64)
     return out, begin
 
 
-def _ngrams(seq: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair keys by position, triple keys by position); -1 where an id isn't below size or a text begins."""
-    n = len(seq)
-    start = np.zeros(n, bool)
-    start[begin] = True
-    ok = (seq >= 0) & (seq < size)
-    pair, triple = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    if n > 1:
-        good = ok[1:] & ok[:-1] & ~start[1:]
-        pair[1:][good] = seq[:-1][good] * size + seq[1:][good]
-    if n > 2:
-        good = (pair[2:] >= 0) & (pair[1:-1] >= 0)
-        triple[2:][good] = pair[1:-1][good] * size + seq[2:][good]
-    return pair, triple
-
-
-def _index(keys: np.ndarray) -> HashIndex:
-    return HashIndex(mix(keys.view(np.uint64)))
+def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashed key of a context's continuation; as a context itself, that of the longer one."""
+    return mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(word.view(np.uint64) + np.uint64(1))).view(np.int64)
 
 
-def _find(index: HashIndex, keys: np.ndarray) -> np.ndarray:
-    return index.find(mix(keys.view(np.uint64)))
+class Grams:
+    """Keys of the n-grams that end at each place of a sequence, longer ones made from shorter."""
 
+    def __init__(self, words: Words):
+        self.seq, self.begin = _spread(words)
+        self.since = np.arange(len(self.seq)) - np.repeat(self.begin, np.diff(np.append(self.begin, len(self.seq))))
+        self.ends = [self.seq]  # ends[k]: of k + 1 words; only places with k before them in their text are meant
 
-def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashed key of a context's continuation; as a context itself, that of the longer one."""
-    return mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(word.view(np.uint64) + np.uint64(1))).view(np.int64)
+    def of(self, size: int) -> np.ndarray:
+        while len(self.ends) < size:
+            last, out = self.ends[-1], np.zeros(len(self.seq), np.int64)
+            out[1:] = _gram(last[:-1], self.seq[1:])
+            self.ends.append(out)
+        return self.ends[size - 1]
 
 
 def _sieve(keys: DataFrame) -> np.ndarray:
@@ -180,40 +162,31 @@ def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (sieve[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _contexts(seq: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that have a word before them, and those that have two, in their texts."""
-    since = np.arange(len(seq)) - np.repeat(begin, np.diff(np.append(begin, len(seq))))
-    return np.flatnonzero(since >= 1), np.flatnonzero(since >= 2)
+GRAMS = "key long, context long, suffix long, n long"
 
 
-def _count_grams(size: int, sieve: np.ndarray):
-    """Task: (context, word, n) of pairs (size 2) or triples whose parts, words or pairs, pass the sieve."""
+def _count_grams(depth: int, sieve: np.ndarray):
+    """Task: (key, context, suffix, n) of n-grams of depth + 1 words, both of whose parts of depth words pass the sieve; suffix
+    is the key without the first word."""
 
     @memory.task("suffixlm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         tokens = 0
 
         def report() -> pa.RecordBatch:
-            context, word = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            _, first, n = np.unique(_gram(context, word), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(word[first]), pa.array(n)], names=["context", "word", "n"])
+            key, context, suffix = (np.concatenate([h[k] for h in held]) for k in range(3))
+            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(context[first]), pa.array(suffix[first]), pa.array(n)], names=["key", "context", "suffix", "n"])
 
         for part in pieces(batches, "text"):
-            words = words_of(part.column("text"))
-            seq, begin = _spread(words, words.hash.view(np.int64), int(END))
-            one, two = _contexts(seq, begin)
-            if size == 2:
-                ok = _passes(sieve, seq)
-                at = one[ok[one] & ok[one - 1]]
-                held.append((seq[at - 1], seq[at]))
-            else:
-                pair = np.zeros(len(seq), np.int64)
-                pair[one] = _gram(seq[one - 1], seq[one])
-                ok = _passes(sieve, pair)
-                at = two[ok[two] & ok[two - 1]]
-                held.append((pair[at - 1], seq[at]))
-            tokens += len(seq)
+            grams = Grams(words_of(part.column("text")))
+            short = grams.of(depth)
+            at = np.flatnonzero(grams.since >= depth)
+            ok = _passes(sieve, short)
+            at = at[ok[at] & ok[at - 1]]
+            held.append((_gram(short[at - 1], grams.seq[at]), short[at - 1], short[at]))
+            tokens += len(grams.seq)
             if tokens >= PART_TOKENS:
                 yield report()
                 held, tokens = [], 0
@@ -223,164 +196,108 @@ def _count_grams(size: int, sieve: np.ndarray):
     return run
 
 
-def _with_gram(context: str, word: str, name: str):
-    """Task: adds the hashed key of two columns."""
+def _grow(docs: DataFrame, before: DataFrame, n_all: float, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(states, factors) of contexts of depth words.  before: the states of the level above it: key, n, p (the probability of the
+    key's last word by its longest retained suffix) and kept (its context is retained, or the root).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c, w = (b.column(x).to_numpy(zero_copy_only=False) for x in (context, word))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_gram(c, w))], names=[*b.schema.names, name])
-
-    return run
+    States have the same columns; factors are (key, n, gain)."""
+    grams = docs.mapInArrow(_count_grams(depth, _sieve(before.select("key"))), GRAMS).groupBy("key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    grams = grams.join(before.select(F.col("key").alias("suffix"), F.col("p").alias("s"), F.col("kept").alias("open")), "suffix").join(before.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+    grams = stored(grams.select("key", "context", "n", "s", "open", "total"), "suffix-grams")
+    s, total = F.col("s"), F.col("total")
+    p = (F.col("n") + BETA * s) / (total + BETA)
+    per = grams.filter("open").groupBy("context").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("covered"), F.sum(s).alias("covered_s"), F.sum(p * F.log(p / s)).alias("kl"))
+    left, left_s = F.greatest(total - F.col("covered"), F.lit(0)), F.greatest(1 - F.col("covered_s"), F.lit(1e-9))
+    rest = (left + BETA * left_s) / (total + BETA)
+    kl = F.col("kl") + rest * F.log(rest / left_s)
+    kept = per.filter(total * kl > 0.5 * (F.col("k") + 1) * float(np.log(max(n_all, 2)))).select("context", F.col("total").alias("n"), F.log10(rest / left_s).alias("gain"))
+    kept = stored(kept, "suffix-kept")
+    states = grams.join(kept.select("context", F.col("gain").alias("rest")), "context", "left").withColumn("kept", F.col("rest").isNotNull()).withColumn("p", F.when(F.col("kept"), p).otherwise(s))
+    states = stored(states.select("key", "n", "p", "kept", "s", "rest"), "suffix-states")
+    listed = states.filter("kept").select("key", "n", (F.log10(F.col("p") / s) - F.col("rest")).alias("gain"))
+    discard(grams)
+    return states, kept.select(F.col("context").bitwiseXOR(F.lit(int(CONTEXT_SALT))).alias("key"), "n", "gain").unionByName(listed)
 
 
-def _frequent_grams(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, context, word, n) of all pairs, and of all triples, that occur LEAST_COUNT times."""
-    found = []
-    keys = counts.filter(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("key"))
-    for size in (2, 3):
-        grams = docs.mapInArrow(_count_grams(size, _sieve(keys)), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
-        found.append(stored(grams.mapInArrow(_with_gram("context", "word", "key"), "context long, word long, n long, key long"), f"suffix-grams-{size}"))
-        keys = found[-1].select("key")
-    return found[0], found[1]
-
-
-def _fitted(grams: DataFrame, n_all: float, name: str) -> tuple[DataFrame, DataFrame]:
-    """Retain contexts by divergence, as _states does.  grams (key, context, word, n, total: the context's count, by_suffix: the
-    suffix's probability).  Returns grams with p (by the longest retained suffix) and the factors (key, n, gain)."""
-    s = F.col("by_suffix")
-    p = (F.col("n") + BETA * s) / (F.col("total") + BETA)
-    per = grams.groupBy("context").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("covered"), F.sum(s).alias("covered_s"), F.sum(p * F.log(p / s)).alias("kl"))
-    left, left_s = F.greatest(F.col("total") - F.col("covered"), F.lit(0)), F.greatest(1 - F.col("covered_s"), F.lit(1e-9))
-    rest = (left + BETA * left_s) / (F.col("total") + BETA)
-    kl = F.col("kl") + rest * F.log(rest / left_s)
-    kept = per.filter(F.col("total") * kl > 0.5 * (F.col("k") + 1) * float(np.log(max(n_all, 2)))).select("context", F.col("total").alias("n"), F.log10(rest / left_s).alias("gain"))
-    kept = stored(kept, f"{name}-states")
-    grams = stored(grams.join(kept.select("context", F.col("gain").alias("rest")), "context", "left").withColumn("p", F.when(F.col("rest").isNull(), s).otherwise(p)), name)
-    listed = grams.filter("rest IS NOT NULL").select("key", "n", (F.log10(F.col("p") / s) - F.col("rest")).alias("gain"))
-    return grams, kept.select(F.col("context").bitwiseXOR(F.lit(CONTEXT_SALT)).alias("key"), "n", "gain").unionByName(listed)
-
-
-def _state_tables(model: Model, counts: DataFrame, pairs: DataFrame, triples: DataFrame) -> Model:
-    """The states as tables of factors."""
-    often = counts.filter(F.col("n") >= LEAST_COUNT)
-    root = often.select("word", ((F.col("n") - model.discount) / float(model.tokens)).alias("by_suffix"))
-    pairs = pairs.join(root, "word").join(often.select(F.col("word").alias("context"), F.col("n").alias("total")), "context")
-    pairs, one = _fitted(pairs, model.tokens, "suffix-pairs")
-    triples = triples.join(pairs.select(F.col("key").alias("context"), F.col("n").alias("total"), F.col("word").alias("last")), "context")
-    triples = triples.mapInArrow(_with_gram("last", "word", "suffix"), triples.schema.simpleString()[7:-1].replace(":", " ") + ", suffix long")
-    triples = triples.join(pairs.select(F.col("key").alias("suffix"), F.col("p").alias("by_suffix")), "suffix")
-    _, two = _fitted(triples.select("key", "context", "word", "n", "total", "by_suffix"), model.tokens, "suffix-triples")
-    factors = stored(one.unionByName(two), "suffix-factors")
-    # Contexts and continuations of either length: at most tokens / n of each occur n times.
-    sent = F.col("n") >= 4.0 * model.tokens / max(SENT_NGRAMS, 1e-9)
-    head = factors.filter(sent).select("key", "gain").toArrow().to_pandas()
-    model.sent_keys, model.sent_gain = head["key"].to_numpy(np.int64).view(np.uint64), head["gain"].to_numpy(float)
-    model.factors = factors.filter(~sent).select("key", "gain")
-    model.sieve = _sieve(model.factors)
-    return model
-
-
-def _states(model: Model, grams: pd.DataFrame, end_id: int) -> Model:
-    """Retain states by divergence and store the gains of their frequent continuations over the root."""
-    size, n_all = model.frequent, float(model.tokens)
-    c1 = model.counts[:size].astype(float)
-    p0 = 10 ** model.root(c1)
-    key, n = grams["key"].to_numpy(np.int64), grams["n"].to_numpy(float)
-    pairs, triples = key < 0, key >= 0
-    pk, pn = -1 - key[pairs], n[pairs]
-    order = np.argsort(pk)
-    pk, pn = pk[order], pn[order]
-    a, b = pk // size, pk % size
-
-    def fit(context: np.ndarray, count: np.ndarray, c: np.ndarray, suffix_p: np.ndarray):
-        """Per context (0.. of them, with counts): (retained, log10 rest factor, probability of each continuation)."""
-        m = len(count)
-        k = np.bincount(context, minlength=m)
-        covered, by_suffix = np.bincount(context, c, m), np.bincount(context, suffix_p, m)
-        p = (c + BETA * suffix_p) / (count + BETA)[context]
-        left, left_suffix = np.maximum(count - covered, 0), np.maximum(1 - by_suffix, 1e-9)
-        rest = (left + BETA * left_suffix) / (count + BETA)
-        kl = np.bincount(context, p * np.log(p / suffix_p), m) + rest * np.log(rest / left_suffix)
-        return (count * kl > 0.5 * (k + 1) * np.log(max(n_all, 2))) & (k > 0), np.log10(rest / left_suffix), p
-
-    kept1, rest1, p1 = fit(a, c1, pn, p0[b])
-    model.one = np.where(kept1, rest1, np.nan)
-    use = kept1[a]
-    model.pair_keys, model.pair_gain = pk[use], np.log10(p1[use] / p0[b[use]])
-
-    tk, tn = key[triples], n[triples]
-    context, c = tk // size, tk % size
-    ends = context % size == end_id
-    tk, tn, context, c = tk[~ends], tn[~ends], context[~ends], c[~ends]
-    if len(tk) and len(pk):
-        at = np.searchsorted(pk, context)
-        known = (at < len(pk)) & (pk[np.minimum(at, len(pk) - 1)] == context)
-        tk, tn, context, c, at = tk[known], tn[known], context[known], c[known], at[known]
-        states, which = np.unique(at, return_inverse=True)
-        parent = b[at]
-        # The suffix state's probability of the continuation
-        pair = parent * size + c
-        pos = np.minimum(np.searchsorted(pk, pair), len(pk) - 1)
-        listed = (pk[pos] == pair) & kept1[parent]
-        suffix = np.where(listed, p1[pos], p0[c] * np.where(kept1[parent], 10 ** rest1[parent], 1.0))
-        kept2, rest2, p2 = fit(which, pn[states], tn, suffix)
-        model.two_keys, model.two_rest = pk[states[kept2]], rest2[kept2]
-        use = kept2[which]
-        model.triple_keys, model.triple_gain = tk[use], np.log10(p2[use] / p0[c[use]])
-    return model
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
-    """(model, counts of all words, id of the end mark) from docs (text)."""
+def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
+    """(model, counts of all words) from docs (text)."""
     ship(docs.sparkSession)
     counts = stored(docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "suffix-words")
     stats = counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     model = Model(int(stats[0] or 0), int(stats[1]))
     if not model.tokens:
-        return model, counts, 0
+        return model, counts
     if stats[2] and stats[3]:
         model.discount = stats[2] / (stats[2] + 2 * stats[3])
-    head = counts.filter(F.col("n") >= max(HEAD_LEAST, HEAD_SHARE * model.tokens)).toArrow().to_pandas()
-    head = head.sort_values(["n", "word"], ascending=[False, True], kind="stable")
-    if not (head["word"] == int(END)).any():
-        head = pd.concat([head, counts.filter(F.col("word") == int(END)).toPandas()])
-    model.keys, model.counts = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
-    end_id = int(np.flatnonzero(model.keys == END)[0])
-    pairs, triples = _frequent_grams(docs, counts)
-    used = pairs.select("word").union(pairs.select("context")).distinct()
-    if pairs.count() + triples.count() > SENT_NGRAMS or used.count() > MOST_IDS:
-        return _state_tables(model, counts, pairs, triples), counts, end_id
-    # Ids by falling count for all words of frequent n-grams, those outside the head too.
-    tail = counts.filter(F.col("n") < max(HEAD_LEAST, HEAD_SHARE * model.tokens)).join(used, "word", "left_semi").toArrow().to_pandas()
-    tail = tail[~tail["word"].isin([int(END)])]
-    head = pd.concat([head[head["n"] >= LEAST_COUNT], tail, head[head["n"] < LEAST_COUNT]]).sort_values(["n", "word"], ascending=[False, True], kind="stable")
+    head = counts.filter((F.col("n") >= max(HEAD_LEAST, HEAD_SHARE * model.tokens)) | (F.col("word") == int(END))).toArrow().to_pandas()
     model.keys, model.counts = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
-    end_id = int(np.flatnonzero(model.keys == END)[0])
-    model.frequent = size = int((model.counts >= LEAST_COUNT).sum())
-    model.one = np.full(size, np.nan)
-    if not size:
-        return model, counts, end_id
-    # As Arrow: rows would take the driver ten times the memory.
-    pairs, triples = pairs.toArrow().to_pandas(), triples.select("context", "word", "n").toArrow().to_pandas()
-    index = HashIndex(model.keys[:size])
-    find = lambda x: index.find(x.to_numpy(np.int64).view(np.uint64))
-    pair = find(pairs["context"]) * size + find(pairs["word"])
-    context = pd.Series(pair, index=pairs["key"]).reindex(triples["context"]).to_numpy(np.int64)
-    grams = pd.DataFrame({"key": np.concatenate([-1 - pair, context * size + find(triples["word"])]), "n": np.concatenate([pairs["n"], triples["n"]])})
-    return _states(model, grams, end_id), counts, end_id
-
-
-def _scorer(model: Model, end_id: int):
+    # The root's states: words.  Frequent words follow from counts alone, so all levels' keys are hashes of the same kind.
+    before = counts.filter(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("key"), "n", ((F.col("n") - model.discount) / float(model.tokens)).alias("p"), F.lit(True).alias("kept"))
+    levels = []
+    for d in range(1, depth + 1):
+        before, factors = _grow(docs, before, model.tokens, d)
+        if not before.filter("kept").head(1):
+            break
+        levels.append(factors)
+        model.depth = d
+    if not levels:
+        return model, counts
+    factors = levels[0]
+    for more in levels[1:]:
+        factors = factors.unionByName(more)
+    factors = stored(factors, "suffix-factors")
+    few = factors.count() <= SENT_FACTORS
+    # Contexts and continuations of one length: at most tokens / n of each occur n times.
+    sent = F.lit(True) if few else F.col("n") >= 2.0 * depth * model.tokens / max(SENT_FACTORS, 1e-9)
+    head = factors.filter(sent).select("key", "gain").toArrow().to_pandas()
+    model.sent_keys, model.sent_gain = head["key"].to_numpy(np.int64).view(np.uint64), head["gain"].to_numpy(float)
+    if not few:
+        model.factors = factors.filter(~sent).select("key", "gain")
+        model.sieve = _sieve(model.factors)
+    return model, counts
+
+
+def _gains(model: Model, grams: Grams, sent: HashIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of the sent factors of each place, keys that the table may have, their places in order)."""
+    gain = np.zeros(len(grams.seq))
+    keys, places = [], []
+
+    def look(wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Adds what is sent; which of the wanted keys are factors, or may be."""
+        found = sent.find(wanted.view(np.uint64))
+        has = found >= 0
+        gain[at[has]] += model.sent_gain[found[has]]
+        if model.sieve is not None:
+            far = np.flatnonzero(~has)
+            far = far[_passes(model.sieve, wanted[far])]
+            keys.append(wanted[far])
+            places.append(at[far])
+            has[far] = True
+        return has
+
+    at = np.flatnonzero(grams.since >= 1)
+    for d in range(1, model.depth + 1):
+        # A context's suffix is retained if it is: places whose shorter context isn't are done.
+        context = grams.of(d)
+        at = at[grams.since[at] >= d]
+        at = at[look(context[at - 1] ^ CONTEXT_SALT, at)]
+        look(_gram(context[at - 1], grams.seq[at]), at)
+    if not keys:
+        return gain, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, places = np.concatenate(keys), np.concatenate(places)
+    order = np.argsort(places, kind="stable")
+    return gain, keys[order], places[order]
+
+
+def _scorer(model: Model):
     @memory.task("suffixlm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 36
-        index, size = HashIndex(model.keys), model.frequent
-        pairs, twos, triples = _index(model.pair_keys), _index(model.two_keys), _index(model.triple_keys)
-        sent = HashIndex(model.sent_keys)
+        index, sent = HashIndex(model.keys), HashIndex(model.sent_keys)
         base, root = model.base(model.counts), model.root(model.counts)
-        end_base, end_root = (base[end_id], root[end_id]) if model.tokens else (model.base(0), 0.0)
+        end = np.flatnonzero(model.keys == END)
+        end_base, end_root = (base[end[0]], root[end[0]]) if len(end) else (model.base(0), 0.0)
         for part in pieces(batches, "text"):
             words = words_of(part.column("text"))
             n = part.num_rows
@@ -390,18 +307,15 @@ def _scorer(model: Model, end_id: int):
             s_base = np.bincount(owner[head], base[ids[head]], n) + end_base
             s_root = np.bincount(owner[head], root[ids[head]], n) + end_root
             far, far_n = np.zeros(0, np.int64), np.zeros(n, np.int64)
-            if model.sieve is not None:
-                seq, begin = _spread(words, words.hash.view(np.int64), int(END))
-                gain, far, at = _far_gains(model, seq, begin, sent)
-                s_root += sums(gain, np.append(begin, len(seq)))
-                far_n = np.diff(np.searchsorted(at, np.append(begin, len(seq))))
-            elif model.frequent:
-                seq, begin = _spread(words, ids, end_id)
-                gain = _gains(model, seq, begin, size, pairs, twos, triples)
-                s_root += sums(gain, np.append(begin, len(seq)))
+            if model.depth:
+                grams = Grams(words)
+                gain, far, at = _gains(model, grams, sent)
+                bounds = np.append(grams.begin, len(grams.seq))
+                s_root += sums(gain, bounds)
+                far_n = np.diff(np.searchsorted(at, bounds))
             tail = np.flatnonzero(ids < 0)
             tail_n = np.bincount(owner[tail], minlength=n)
-            offsets = np.concatenate([[0], np.cumsum(tail_n)]).astype(np.int32)
+            listed = lambda count, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + np.arange(n, dtype=np.int64)),
@@ -410,8 +324,8 @@ def _scorer(model: Model, end_id: int):
                     pa.array((words.counts + (1 if model.tokens else 0) - tail_n).astype(np.int64)),
                     pa.array(s_base),
                     pa.array(s_root),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.hash[tail].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(far_n)]).astype(np.int32)), pa.array(far)),
+                    listed(tail_n, words.hash[tail].view(np.int64)),
+                    listed(far_n, far),
                 ],
                 names=["row", "doc_id", "n_tokens", "n_known", "base", "root", "tail", "far"],
             )
@@ -420,57 +334,11 @@ def _scorer(model: Model, end_id: int):
     return run
 
 
-def _far_gains(model: Model, seq: np.ndarray, begin: np.ndarray, sent: HashIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of the sent factors of each position, keys that the table may have, their positions in order)."""
-    one, two = _contexts(seq, begin)
-    pair = np.zeros(len(seq), np.int64)
-    pair[one] = _gram(seq[one - 1], seq[one])
-    salt = np.int64(CONTEXT_SALT)
-    keys = np.concatenate([seq[one - 1] ^ salt, pair[one], pair[two - 1] ^ salt, _gram(pair[two - 1], seq[two])])
-    at = np.concatenate([one, one, two, two])
-    found = sent.find(keys.view(np.uint64))
-    gain = np.bincount(at[found >= 0], model.sent_gain[found[found >= 0]], len(seq))
-    open_ = np.flatnonzero(found < 0)
-    open_ = open_[_passes(model.sieve, keys[open_])]
-    open_ = open_[np.argsort(at[open_], kind="stable")]
-    return gain, keys[open_], at[open_]
-
-
-def _gains(model: Model, seq: np.ndarray, begin: np.ndarray, size: int, pairs: HashIndex, twos: HashIndex, triples: HashIndex) -> np.ndarray:
-    """log10 of each position's probability over the root's, by the longest retained suffix."""
-    n = len(seq)
-    start = np.zeros(n, bool)
-    start[begin] = True
-    gain = np.zeros(n)
-    last = np.full(n, -1, np.int64)
-    last[1:] = np.where(start[1:], -1, seq[:-1])
-    inside = (last >= 0) & (last < size)
-    one = np.zeros(n)
-    one[inside] = model.one[last[inside]]
-    state1 = inside & ~np.isnan(one)
-    gain[state1] = one[state1]
-    pair, triple = _ngrams(seq, begin, size)
-    at = np.flatnonzero(state1 & (pair >= 0))
-    found = _find(pairs, pair[at])
-    gain[at[found >= 0]] = model.pair_gain[found[found >= 0]]
-    if len(model.two_keys):
-        before = np.full(n, -1, np.int64)
-        before[1:] = np.where(start[1:], -1, pair[:-1])
-        at = np.flatnonzero(before >= 0)
-        state = _find(twos, before[at])
-        at, state = at[state >= 0], state[state >= 0]
-        listed = np.full(len(at), -1)
-        has = triple[at] >= 0
-        listed[has] = _find(triples, triple[at[has]])
-        gain[at] = np.where(listed >= 0, model.triple_gain[listed] if len(model.triple_gain) else 0.0, model.two_rest[state] + gain[at])
-    return gain
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(slim.mapInArrow(_scorer(model, end_id), "row long, doc_id long, n_tokens long, n_known long, base double, root double, tail array<long>, far array<long>"), "suffix-rows")
+    rows = stored(slim.mapInArrow(_scorer(model), "row long, doc_id long, n_tokens long, n_known long, base double, root double, tail array<long>, far array<long>"), "suffix-rows")
     # Words outside the head: those of the corpus that training met are in the count table.
     tail = rows.select("row", F.explode("tail").alias("word"))
     rare = counts.filter(F.col("n") < max(HEAD_LEAST, HEAD_SHARE * model.tokens))
@@ -500,6 +368,24 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, end_id: int, text: s
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: base and suffix-tree scores of every document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts, end_id = train(docs.filter(remainder("doc_id", FOLDS) != HELD_OUT).select("text"))
-    out = score(docs, model, counts, end_id)
+    model, counts = train(docs.filter(remainder("doc_id", FOLDS) != HELD_OUT).select("text"))
+    out = score(docs, model, counts)
     return out.select("doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: crc32 of a short ASCII text, as SQL has none.
+CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+CRC_OF = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1]::BIGINT, c >> 8)), 4294967295::BIGINT)"""
+
+BASE_SQL = f"""WITH {CRC_SQL},
+folded AS MATERIALIZED (SELECT doc_id, coalesce({CRC_OF} % {FOLDS} = {HELD_OUT}, false) AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' end') AS w FROM documents, crc),
+tokens AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS word FROM folded),
+counts AS MATERIALIZED (SELECT word, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY word),
+total AS (SELECT sum(c) AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM tokens LEFT JOIN counts USING (word), total GROUP BY doc_id, held_out"""
+
+
+def base(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: everything but the model's own score."""
+    return query(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))

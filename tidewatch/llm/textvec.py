@@ -15,9 +15,14 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words are hashed by their polynomial at two points of the field of this prime: values of different words of any shape
+#: agree with a chance of about (length / prime) ** 2, as the field has no structure that byte patterns could meet.
+PRIME = (1 << 31) - 1
+POINTS = (1_220_703_133, 762_939_453)
+#: For each point its powers and those of its inverse.
+_powers: list[np.ndarray] = [np.ones(1, np.uint64) for _ in range(4)]
+#: Above this many bytes prefix sums are made again rather than kept.
+_KEPT_BYTES = 4 << 20
 
 
 def _byte_table(spec: str) -> np.ndarray:
@@ -38,15 +43,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, for positions below n."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in ((0, _BASE), (1, _BASE_INV)):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers[0], _powers[1]
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any unsigned x."""
+    x = _fold(_fold(x))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the points and of their inverses modulo PRIME, for positions below n."""
+    for k, base in enumerate(b for point in POINTS for b in (point, pow(point, -1, PRIME))):
+        while len(_powers[k]) < n:
+            step = np.uint64(pow(base, len(_powers[k]), PRIME))
+            _powers[k] = np.concatenate([_powers[k], _modulo(_powers[k] * step)])
+    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,11 +102,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 class Words:
     """The words of a run of texts: byte positions, the text each belongs to and 64-bit hashes."""
 
-    __slots__ = ("data", "end", "first", "hash", "start", "texts")
+    __slots__ = ("_totals", "data", "end", "first", "hash", "start", "texts")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True, hashed: bool = True):
         self.data = data = _LOWER[data] if lower else data
         self.texts = len(offsets) - 1
+        self._totals: list[np.ndarray] = []
         inside = table[data]
         before, after = np.empty_like(inside), np.empty_like(inside)
         if len(data):
@@ -119,12 +133,24 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts), self.counts)
 
+    def _prefix_sums(self) -> list[np.ndarray]:
+        if self._totals:
+            return self._totals
+        powers, n, out = _power_tables(len(self.data) + 1), len(self.data), []
+        values = self.data.astype(np.uint64) + np.uint64(1)
+        for k in (0, 2):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_fold(values * powers[k][:n]), out=total[1:])
+            out.append(total)
+        if n <= _KEPT_BYTES:
+            self._totals = out
+        return out
+
     def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Equal for equal byte strings, whatever their place."""
-        up, down = _power_tables(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        totals, powers = self._prefix_sums(), _power_tables(len(self.data) + 1)
+        a, b = (_modulo(_modulo(total[end] - total[start]) * powers[k][start]) for total, k in zip(totals, (1, 3), strict=True))
+        return _joined(a, b, (end - start).astype(np.uint64))
 
     def word(self, k: int) -> bytes:
         return self.data[self.start[k] : self.end[k]].tobytes()
@@ -135,12 +161,14 @@ def words_of(column: pa.Array, table: np.ndarray = NOT_SPACE, lower: bool = True
     return Words(data, offsets, table, lower, hashed)
 
 
+def _joined(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix((a << np.uint64(31) | b) + size * np.uint64(0x9E3779B97F4A7C15))
+
+
 def hash_bytes(value: bytes) -> int:
     """The same hash as Words gives, for one byte string."""
-    h = 0
-    for i, b in enumerate(value):
-        h = (h + (b + 1) * pow(_BASE, i, 1 << 64)) & ((1 << 64) - 1)
-    return int(mix(np.array([(h + len(value)) & ((1 << 64) - 1)], np.uint64))[0])
+    a, b = (sum((c + 1) * pow(point, i, PRIME) for i, c in enumerate(value)) % PRIME for point in POINTS)
+    return int(_joined(*(np.array([x], np.uint64) for x in (a, b, len(value))))[0])
 
 
 class HashIndex:
@@ -149,7 +177,7 @@ class HashIndex:
     def __init__(self, keys: np.ndarray):
         self.order = np.argsort(keys, kind="stable")
         self.keys = np.ascontiguousarray(keys[self.order])
-        bits = min(24, max(4, int(np.ceil(np.log2(len(keys) + 1))) + 3))
+        bits = min(24, max(4, int(np.ceil(np.log2(len(keys) + 1))) + 1))
         self.shift = np.uint64(64 - bits)
         self.begin = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.most = int(np.diff(self.begin).max()) if len(keys) else 0

@@ -1,8 +1,8 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
 Vectors are scaled to length 1, equal vectors become one, and all are rotated onto principal axes.  Along the first axis they are cut into
-tiles of about TILE_ROWS; two tiles are compared only if their ranges on that axis come within the distance that the
-threshold allows.  A comparison adds up the leading axes first: leading product + product of the two
+tiles of bounded size (tile_rows); two tiles are compared only if their ranges on that axis come within the distance that the
+threshold allows.  The table of tiles has a row for some thousand vectors; pairs of tiles come out of it on the executors.  A comparison adds up the leading axes first: leading product + product of the two
 suffix norms bounds the cosine, and a pair is dropped once that bound stays below the threshold.  What is left gets the
 exact cosine in double precision.
 
@@ -30,8 +30,10 @@ from tidewatch.llm.components import components
 from tidewatch.llm.vectors import cosines, norms, packed, unpack
 
 THRESHOLD = 0.95
-TILE_ROWS = 8_192
-STRIP_ROWS = 512
+#: Rows of a tile: a TILES-th of all, between these bounds.
+LEAST_ROWS, MOST_ROWS, TILES = 512, 65_536, 24
+#: Products that are tested at once.
+STRIP_CELLS = 1 << 22
 SAMPLE = 20_000
 #: Axes added up before each test of the bound.
 STEPS = (16, 32)
@@ -57,8 +59,9 @@ def links_between(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: flo
     fa, fb = ua.astype(np.float32), ub.astype(np.float32)
     tail = {s: (np.sqrt(np.maximum(0, 1 - (fa[:, :s] ** 2).sum(1))), np.sqrt(np.maximum(0, 1 - (fb[:, :s] ** 2).sum(1)))) for s in STEPS}
     first = min(STEPS[0], a.shape[1])
-    for at in range(0, len(a), STRIP_ROWS):
-        strip = slice(at, at + STRIP_ROWS)
+    height = max(16, STRIP_CELLS // max(1, len(b)))
+    for at in range(0, len(a), height):
+        strip = slice(at, at + height)
         bound = fa[strip, :first] @ fb[:, :first].T
         bound += tail[STEPS[0]][0][strip, None] * tail[STEPS[0]][1]
         rows, cols = np.nonzero(bound >= threshold - _SLACK)
@@ -101,10 +104,8 @@ def _compare(axes: np.ndarray, kind: str, d: int, threshold: float):
         x = unpack(pdf["packed"], kind, d)
         side = pdf["side"].to_numpy()
         left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        same = not len(right)
-        if same:
-            right = left
+        same = bool(pdf["same"].iloc[0])
+        right = left if same else np.flatnonzero(side == 1)
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for i, j in links_between(x[left], x[right], axes, threshold):
             i, j = left[i], right[j]
@@ -119,7 +120,7 @@ def _compare(axes: np.ndarray, kind: str, d: int, threshold: float):
     return run
 
 
-def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", tile_rows: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of table."""
     spark = table.sparkSession
     rows, kind, d = packed(table, vec_id, vector)
@@ -127,9 +128,10 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
     full = rows.filter("vec_id IS NOT NULL AND packed IS NOT NULL")
     alone = stored(full.groupBy("packed").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "tiles-distinct")
     n = alone.count()
+    tile_rows = tile_rows or min(MOST_ROWS, max(LEAST_ROWS, n // TILES))
     axes, along = principal_axes(alone, kind, d)
-    tiles = max(1, -(-n // tile_rows))
-    cuts = along[[len(along) * k // tiles for k in range(1, tiles)]] if len(along) else np.zeros(0)
+    slabs = max(1, -(-n // tile_rows))
+    cuts = along[[len(along) * k // slabs for k in range(1, slabs)]] if len(along) else np.zeros(0)
     axis = axes[:, 0].copy() if d else np.zeros(0)
 
     def place(batches):
@@ -142,27 +144,22 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
 
     placed = stored(alone.mapInArrow(place, "packed binary, vec_id long, copies long, along double, slab int"), "tiles-placed")
     # A slab that came out too large (vectors alike on the axis) is dealt into several tiles by hash.
-    slabs = placed.groupBy("slab").agg(F.count(F.lit(1)).alias("n"), F.min("along").alias("low"), F.max("along").alias("high")).orderBy("slab").collect()
-    found = []  # (tile id, slab, part, low, high); about a row for TILE_ROWS vectors
-    parts = {}
-    for s in slabs:
-        parts[s["slab"]] = p = max(1, -(-s["n"] // (2 * tile_rows)))
-        found += [(len(found) + k, s["slab"], k, s["low"], s["high"]) for k in range(p)]
+    ends = placed.groupBy("slab").agg(F.count(F.lit(1)).alias("n"), F.min("along").alias("low"), F.max("along").alias("high")).toPandas().sort_values("slab")
+    parts = np.maximum(1, -(-ends["n"].to_numpy(np.int64) // (2 * tile_rows)))
+    tiles = ends.loc[ends.index.repeat(parts), ["slab", "low", "high"]].reset_index(drop=True)
+    tiles["part"] = tiles.groupby("slab").cumcount()
+    # A tile's partners follow it up to the last that begins within reach of its end: an interval, not a list.
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    pairs, number = [], 0
-    for k, (tile, slab, part, _, high) in enumerate(found):
-        for other in found[k:]:
-            if other[3] - high > reach:
-                break
-            pairs.append((number, slab, part, 0))
-            if other[0] != tile:
-                pairs.append((number, other[1], other[2], 1))
-            number += 1
-    where = spark.createDataFrame(pairs or [(0, -1, 0, 0)], "pair long, slab int, part int, side int")
-    split = spark.createDataFrame([(s, p) for s, p in parts.items()] or [(-1, 1)], "slab int, parts int")
-    dealt = placed.join(split, "slab").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    sent = dealt.join(where, ["slab", "part"]).select("pair", "side", "vec_id", "copies", "packed")
-    links = stored(sent.groupBy("pair").applyInPandas(_compare(axes, kind, d, threshold), "vec_id long, links long, other long"), "tiles-links")
+    tiles["last"] = np.searchsorted(tiles["low"].to_numpy(float), tiles["high"].to_numpy(float) + reach, "right") - 1
+    tiles["tile"] = np.arange(len(tiles))
+    table_of = [(int(r.tile), int(r.slab), int(r.part), int(r.last)) for r in tiles.itertuples()]
+    tile_table = spark.createDataFrame(table_of, "tile long, slab int, part int, last long")
+    split = spark.createDataFrame([(int(k), int(p)) for k, p in zip(ends["slab"], parts, strict=True)], "slab int, parts int")
+    dealt = placed.join(split, "slab").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).join(tile_table, ["slab", "part"]).select("tile", "last", "vec_id", "copies", "packed")
+    pairs = stored(tile_table.select(F.col("tile").alias("a"), F.explode(F.sequence("tile", "last")).alias("b")), "tiles-pairs")
+    sides = pairs.select("a", "b", F.col("a").alias("tile"), F.lit(0).alias("side")).unionByName(pairs.filter("a <> b").select("a", "b", F.col("b").alias("tile"), F.lit(1).alias("side")))
+    sent = dealt.drop("last").join(sides, "tile").select("a", "b", (F.col("a") == F.col("b")).alias("same"), "side", "vec_id", "copies", "packed")
+    links = stored(sent.groupBy("a", "b").applyInPandas(_compare(axes, kind, d, threshold), "vec_id long, links long, other long"), "tiles-links")
     count = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
     # Rows that repeat an id with different vectors tie those vectors together.
     member = full.join(alone.select("packed", F.col("vec_id").alias("rep"), "copies"), "packed").select("vec_id", "rep", "copies")
@@ -177,6 +174,16 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
     return out.select("vec_id", F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
+ORACLE_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+usual AS (SELECT len(e) AS d FROM v WHERE e IS NOT NULL GROUP BY len(e) ORDER BY count(*) DESC, len(e) DESC LIMIT 1),
+good AS MATERIALIZED (SELECT vec_id, e FROM v, usual WHERE len(e) = d AND vec_id IS NOT NULL AND list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false))) AND list_dot_product(e, e) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a, good b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+near AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT n.vec_id, l.b FROM near n JOIN links l ON l.a = n.other),
+own AS (SELECT vec_id, min(other) AS component_id FROM near GROUP BY ALL),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY ALL)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept FROM v JOIN own USING (vec_id) LEFT JOIN n ON n.a = v.vec_id"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: links and component of every vector."""
     return near_duplicates(load(spark, sf_dir, "embeddings"))

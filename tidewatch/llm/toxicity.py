@@ -6,11 +6,11 @@ apart; every other word costs a drift, chosen so that the expected score of clea
 negative.  A linear-time scan (Ruzzo and Tompa) over a text's scores finds all maximal scoring segments.  Segment scores follow
 an extreme-value law under clean text: lambda solves E[exp(lambda s)] = 1 over clean words, K is fitted to the largest segments
 of clean training documents; so each segment has an E-value, significant ones are passages, and the
-text's evidence is the sum of its significant segments' bits.  A logistic curve fitted on the training rows turns evidence
+text's evidence is the sum of -ln E over its segments with E below 1.  A logistic curve fitted on the training rows turns evidence
 into a probability.
 
 The labelled rows used are at most LABELLED_ROWS per class (by hash of the id, a documented bound, so that the
-model and its vocabulary are bounded and may be sent to every task); scores cover all rows.
+model and its vocabulary, all telling words of those texts, are bounded and may be sent to every task); scores cover all rows.
 
 Contract of ``score``: one row per input row.  Null and empty texts have no words and get the score of no evidence.
 Without training rows of both classes every score is the prior (0 if there are none).  Labels repeated for a doc_id
@@ -34,8 +34,6 @@ from tidewatch.llm.common import load, remainder, sample_by, ship, stored
 from tidewatch.llm.textvec import ALNUM, HashIndex, Words, pieces, words_of
 
 LABELLED_ROWS = 12_000
-#: Words of the model, the most telling first; a bound on what is sent to tasks.
-MODEL_WORDS = 20_000
 PRIOR_MASS = 500.0
 #: Least signed root of the likelihood ratio.
 Z_LEAST = 4.5
@@ -55,13 +53,14 @@ class Model:
     slopes: tuple[float, float] = (0.0, 0.0)
     level: float = -20.0
 
-    def probability(self, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(np.array(self.slopes) @ features(bits, n) + self.level)))
+    def probability(self, evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(np.array(self.slopes) @ features(evidence, n) + self.level)))
 
 
-def features(bits: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """What the logistic curve sees: the evidence, and the evidence for the text's length (a long text gathers some by chance)."""
-    return np.stack([np.minimum(bits, 60.0), np.log1p(100.0 * bits / (n + 50.0))])
+def features(evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the logistic curve sees: the evidence, ever less of it the more there is, and the evidence for the text's length (a long
+    text gathers some by chance)."""
+    return np.stack([60.0 * -np.expm1(-evidence / 60.0), np.log1p(100.0 * evidence / (n + 50.0))])
 
 
 def maximal_segments(at: list[int], gain: list[float], drift: float, base: int = 0) -> list[tuple[int, int, float]]:
@@ -106,15 +105,15 @@ def segments_of(words: Words, index: HashIndex, model: Model) -> Iterator[tuple[
 
 
 def _evidence(segments: list[tuple[int, int, float]], n: int, model: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
-    """(bits of the significant segments, smallest E-value's log, significant segments)."""
-    bits, best, kept = 0.0, np.inf, []
+    """(evidence, smallest E-value's log, significant segments)."""
+    evidence, best, kept = 0.0, np.inf, []
     for s, e, score in segments:
         log_e = model.log_k + np.log(max(n, 1)) - model.lam * score
         best = min(best, log_e)
         if log_e <= np.log(SIGNIFICANT):
             kept.append((s, e, float(np.exp(log_e))))
-        bits += max(0.0, -log_e)
-    return bits, best, kept
+        evidence += max(0.0, -log_e)
+    return evidence, best, kept
 
 
 def _solve_lambda(values: np.ndarray, weights: np.ndarray) -> float:
@@ -172,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     both = F.col("x") + F.col("y")
     term = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (n_x + n_y) / (both * n))).otherwise(0.0)
     z = F.signum(odds) * F.sqrt(F.greatest(F.lit(0.0), 2 * (term("y", n_y) + term("x", n_x))))
-    top = words.select("word", "x", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= Z_LEAST).orderBy(F.abs("z").desc(), "word").limit(MODEL_WORDS).toPandas()
+    top = words.select("word", "x", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= Z_LEAST).toPandas().sort_values("word")
     if not (top["odds"] > 0).any():
         return Model(level=float(np.log(size[1] / size[0])))
     keys, scores, clean = top["word"].to_numpy(np.int64).view(np.uint64), top["odds"].to_numpy(float), top["x"].to_numpy(float)
@@ -186,11 +185,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # K: under clean text the mean of (lambda * largest - log n) is log K + Euler's constant.
     quiet = stats[(stats["toxic"] == 0) & (stats["n"] > 0)]
     model.log_k = float(np.mean(model.lam * quiet["best"] - np.log(quiet["n"])) - np.euler_gamma) if len(quiet) else 0.0
-    bits = np.array([sum(max(0.0, model.lam * s - model.log_k - np.log(max(n, 1))) for s in t) for t, n in zip(stats["total"], stats["n"], strict=True)])
+    evidence = np.array([sum(max(0.0, model.lam * s - model.log_k - np.log(max(n, 1))) for s in t) for t, n in zip(stats["total"], stats["n"], strict=True)])
     # The classes count as in the labelled fold, not as sampled.
     true = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = np.where(stats["toxic"] == 1, true[1] / size[1], true[0] / size[0])
-    *slopes, model.level = _logistic(features(bits, stats["n"].to_numpy(float)), stats["toxic"].to_numpy(float), weight)
+    *slopes, model.level = _logistic(features(evidence, stats["n"].to_numpy(float)), stats["toxic"].to_numpy(float), weight)
     model.slopes = tuple(slopes)
     return model
 
@@ -229,13 +228,13 @@ def _statistics(model: Model):
     return run
 
 
-RESULTS = "score double, predicted int, n_words long, bits double, passages array<struct<start_word:long,end_word:long,e_value:double>>"
+RESULTS = "score double, predicted int, n_words long, evidence double, passages array<struct<start_word:long,end_word:long,e_value:double>>"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, then probability, prediction and significant passages of every row."""
     ship(docs.sparkSession)
-    keep = tuple(c for c in keep if c not in ("score", "predicted", "n_words", "bits", "passages"))
+    keep = tuple(c for c in keep if c not in ("score", "predicted", "n_words", "evidence", "passages"))
 
     @memory.task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +243,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         for part in pieces(batches, text):
             words = words_of(part.column(text), ALNUM)
             n = words.counts
-            bits, passages = np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
+            evidence, passages = np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
             for d, segments in segments_of(words, index, model):
-                bits[d], _, kept = _evidence(segments, int(n[d]), model)
+                evidence[d], _, kept = _evidence(segments, int(n[d]), model)
                 passages[d] = [{"start_word": s, "end_word": e, "e_value": v} for s, e, v in kept]
-            p = model.probability(bits, n)
+            p = model.probability(evidence, n)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array(p), pa.array((p >= CUT).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(bits), pa.array(passages, kind)],
-                names=[*keep, "score", "predicted", "n_words", "bits", "passages"],
+                [*(part.column(c) for c in keep), pa.array(p), pa.array((p >= CUT).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(evidence), pa.array(passages, kind)],
+                names=[*keep, "score", "predicted", "n_words", "evidence", "passages"],
             )
 
     schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(RESULTS).fields)
@@ -264,4 +263,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     ship(spark)
     model = train(docs, load(spark, sf_dir, "labels"))
     out = score(docs, model)
-    return out.select("doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted", "n_words", F.size("passages").alias("n_passages"), "bits")
+    return out.select("doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted", "n_words", F.size("passages").alias("n_passages"), "evidence")
