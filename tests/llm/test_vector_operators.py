@@ -1,7 +1,6 @@
 """Embedding operators and components against brute force."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,7 +105,7 @@ def test_search_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(permindex, "QUERY_ROWS", 40)
     rng = np.random.default_rng(8)
     x = rng.normal(size=(20_000, 64)).astype(np.float32)
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(x), "rank": 1, "score": 0.5, "cell": 3}))
+    df = spark.createDataFrame([(k, v, 1, 0.5, 3) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, rank int, score double, cell int")
     got = permindex.search(df.repartition(8), F.col("vec_id") % 200 == 0).toPandas()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     hits = []
@@ -130,7 +129,7 @@ def test_search_finds_all_asked_for_where_files_are_thin(spark, monkeypatch):
     for q, mine in got.groupby("query_id"):
         s = x @ x[q]
         s[q] = -2
-        assert mine.sort_values("rank")["vec_id"].tolist() == np.argsort(-s)[:5].tolist()
+        assert mine.sort_values("rank")["vec_id"].tolist() == np.lexsort((np.arange(40), -np.round(s, 12)))[:5].tolist()
 
 
 def test_search_repeated_ids_crowd_out_none(spark):

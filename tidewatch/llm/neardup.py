@@ -47,7 +47,7 @@ SKETCH_BITS = 1024
 #: Percent.
 THRESHOLD = 80
 #: Bands at most, and the largest probability that a pair at the threshold shares none.
-MOST_BANDS, MISSED = 30, 1.3e-5
+MOST_BANDS, MISSED = 29, 1.3e-5
 FINE_BANDS, FINE_ROWS = 32, 8
 #: Members of a hot bucket, more than; the tables of hot buckets are sent up to this many rows.
 HOT_ROWS, SENT_BUCKETS = 1_000, 400_000
