@@ -139,8 +139,8 @@ class Words:
         powers, n, out = _power_tables(len(self.data) + 1), len(self.data), []
         values = self.data.astype(np.uint64) + np.uint64(1)
         for k in (0, 2):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_fold(values * powers[k][:n]), out=total[1:])
+            total, terms = np.zeros(n + 1, np.uint64), values * powers[k][:n]  # below 2**39 each
+            np.cumsum(terms if n < 1 << 24 else _fold(terms), out=total[1:])
             out.append(total)
         if n <= _KEPT_BYTES:
             self._totals = out
