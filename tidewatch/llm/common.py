@@ -16,11 +16,17 @@ __all__ = ["discard", "load", "numbered", "remainder", "sample_by", "ship", "sto
 #: A table of groups is sent to every task up to this many rows.
 SENT_GROUPS = 10_000
 
+#: Rows of an Arrow batch between Spark and Python where the session leaves Spark's default: texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1_000
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a Spark application."""
+    """Give the executors this package, once a Spark application; a session's own batch size stays."""
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -34,9 +34,9 @@ from tidewatch.llm.textvec import LETTERS, HashIndex, mix, pieces, sums, words_o
 DOCS_PER_LANGUAGE = 1_500
 ROUNDS = 3
 #: Words a worker remembers.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 #: Bytes of words whose segmentations are summed together, about.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 FOLDS, HELD_OUT = 5, 0
 
 
