@@ -17,7 +17,8 @@ dealt to one task.  In step 2 a hot bucket is parted by finer bands (FINE_BANDS
 passage rarely share one, so a hot bucket's pairs are those of its finer ones.
 
 No bucket is capped.  Bands follow from the threshold (banding): a pair at 0.85 shares none of 24 bands of 6 rows, a pair at 0.8 none of 29
-of 5, with probability 1.2e-5 at most; none of the finer ones, where hot buckets are all they share, with 6e-6 at 0.8; and the sketch, whose estimate has a standard error of 0.023 there, rejects a pair with probability 5e-5.
+of 5, with probability 1.2e-5 at most; none of the finer ones, where hot buckets are all they share, with 4e-5 at 0.85 and
+3e-3 at 0.8; and the sketch, whose estimate has a standard error of 0.023 there, rejects a pair with probability 5e-5.
 
 Contract of ``link``: a text's words are parted by white space after A-Z are lower-cased; its
 set holds distinct runs of SHINGLE words (the whole sequence where there are fewer).  Null and empty texts have
@@ -47,9 +48,9 @@ SKETCH_BITS = 1024
 THRESHOLD = 80
 #: Bands at most, and the largest probability that a pair at the threshold shares none.
 MOST_BANDS, MISSED = 29, 1.3e-5
-FINE_BANDS, FINE_ROWS = 40, 6
+FINE_BANDS, FINE_ROWS = 32, 8
 #: Members of a hot bucket, more than; the tables of hot buckets are sent up to this many rows.
-HOT_ROWS, SENT_BUCKETS = 400, 400_000
+HOT_ROWS, SENT_BUCKETS = 1_000, 400_000
 #: Ids of documents in pairs are sent to every task up to this many (some MB); more are joined by a shuffle.
 SENT_IDS = 400_000
 #: A sketch passes a pair if its estimate of the similarity is this much below the threshold at most.
