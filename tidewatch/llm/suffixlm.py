@@ -7,9 +7,10 @@ the corpus, and its suffix (the context without its first word) was retained; it
 distribution diverges from its suffix's: count * KL must exceed the description length of its parameters.  A state's
 distribution is smoothed towards its suffix's (Dirichlet, weight BETA); a position is scored by its longest retained suffix.
 
-Gathering counts.  Word counts cover all training texts.  For each level the n-grams are counted exactly by a shuffle.  An
+Gathering counts.  Word counts cover all training texts.  For each level the n-grams are counted exactly by a shuffle of their hashed keys.  An
 n-gram can be frequent only if the two parts that lack its first or last word are: a bitmap of the level before's hashed frequent keys (of bounded size; it lets
-some others by, never stops a frequent one) keeps most of the rare ones out of the shuffle.
+some others by, never stops a frequent one) keeps most of the rare ones out of the shuffle.  Another pass tells the parts of the frequent
+ones, each by the texts of one tag (a byte of a text's hash), so that it comes from few tasks.
 
 The states are a table of factors: the logarithm of a probability is the root's plus one term for each retained context of
 the position and one for each listed continuation, by hashed key.  Up to SENT_FACTORS of them go to all tasks; beyond that
@@ -145,6 +146,12 @@ class Grams:
             self.ends.append(out)
         return self.ends[size - 1]
 
+    def tags(self) -> np.ndarray:
+        """A byte for each place: a hash of its text."""
+        begin = np.append(self.begin, len(self.seq))
+        whole = np.add.reduceat(self.seq.view(np.uint64), self.begin) if len(self.begin) else np.zeros(0, np.uint64)
+        return np.repeat((mix(whole) >> np.uint64(57)).astype(np.int8), np.diff(begin))
+
 
 def _sieve(keys: DataFrame) -> np.ndarray:
     """Bitmap of hashed keys (key): one bit for the leading bits of each."""
@@ -162,22 +169,28 @@ def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (sieve[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-GRAMS = "key long, context long, suffix long, n long"
+#: Mixed with a tag before it is added to an n-gram's key.
+TAG_SALT = np.uint64(0xD1342543DE82EF95)
+
+
+def _tagged(key: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Hashed keys of n-grams together with a text's tag."""
+    return mix(key.view(np.uint64) + mix(tag.astype(np.uint64) ^ TAG_SALT)).view(np.int64)
 
 
 def _count_grams(depth: int, sieve: np.ndarray):
-    """Task: (key, context, suffix, n) of n-grams of depth + 1 words, both of whose parts of depth words pass the sieve; suffix
-    is the key without the first word."""
+    """Task: (key, tag, n) of n-grams of depth + 1 words, both of whose parts of depth words pass the sieve; tag is that of a
+    text that holds the n-gram."""
 
     @memory.task("suffixlm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         tokens = 0
 
         def report() -> pa.RecordBatch:
-            key, context, suffix = (np.concatenate([h[k] for h in held]) for k in range(3))
+            key, tag = (np.concatenate([h[k] for h in held]) for k in range(2))
             key, first, n = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(context[first]), pa.array(suffix[first]), pa.array(n)], names=["key", "context", "suffix", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag[first]), pa.array(n)], names=["key", "tag", "n"])
 
         for part in pieces(batches, "text"):
             grams = Grams(words_of(part.column("text")))
@@ -185,7 +198,7 @@ def _count_grams(depth: int, sieve: np.ndarray):
             at = np.flatnonzero(grams.since >= depth)
             ok = _passes(sieve, short)
             at = at[ok[at] & ok[at - 1]]
-            held.append((_gram(short[at - 1], grams.seq[at]), short[at - 1], short[at]))
+            held.append((_gram(short[at - 1], grams.seq[at]), grams.tags()[at]))
             tokens += len(grams.seq)
             if tokens >= PART_TOKENS:
                 yield report()
@@ -196,14 +209,82 @@ def _count_grams(depth: int, sieve: np.ndarray):
     return run
 
 
-def _grow(docs: DataFrame, before: DataFrame, n_all: float, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(states, factors) of contexts of depth words.  before: the states of the level above it: key, n, p (the probability of the
-    key's last word by its longest retained suffix) and kept (its context is retained, or the root).
+def _find_parts(sieves: list[tuple[np.ndarray, np.ndarray]]):
+    """Task: (level, key, context, suffix) of n-grams of level + 1 words that pass both sieves of their level, the keys' and
+    that of keys with their tags; suffix is the n-gram without its first word."""
+
+    @memory.task("suffixlm")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in sieves]
+        tokens = 0
+
+        def report() -> Iterator[pa.RecordBatch]:
+            for level, found in enumerate(held, 1):
+                key, context, suffix = (np.concatenate([f[k] for f in found]) for k in range(3))
+                key, first = np.unique(key, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), pa.array(key), pa.array(context[first]), pa.array(suffix[first])], names=["level", "key", "context", "suffix"])
+                found.clear()
+
+        for part in pieces(batches, "text"):
+            grams = Grams(words_of(part.column("text")))
+            tags = grams.tags()
+            for level, (keys, with_tags) in enumerate(sieves, 1):
+                short, at = grams.of(level), np.flatnonzero(grams.since >= level)
+                key = _gram(short[at - 1], grams.seq[at])
+                ok = _passes(keys, key)
+                ok[ok] = _passes(with_tags, _tagged(key[ok], tags[at[ok]]))
+                held[level - 1].append((key[ok], short[at[ok] - 1], short[at[ok]]))
+            tokens += len(grams.seq)
+            if tokens >= PART_TOKENS:
+                yield from report()
+                tokens = 0
+        if tokens:
+            yield from report()
+
+    return run
+
+
+@memory.task("suffixlm")
+def _tag_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key): the keys with their tags."""
+    for batch in batches:
+        key, tag = (batch.column(c).to_numpy() for c in ("key", "tag"))
+        yield pa.RecordBatch.from_arrays([pa.array(_tagged(key, tag))], names=["key"])
+
+
+def _frequent(docs: DataFrame, words: DataFrame, depth: int) -> list[DataFrame]:
+    """Of each level from 1: (key, context, suffix, n) of the n-grams of level + 1 words seen LEAST_COUNT times.
+
+    Most n-grams are rare, so counting ships their keys alone, each with the tag of one text that holds it, a byte.  What an n-gram
+    consists of is then told for the frequent ones, by texts with that tag.
+    """
+    counted, sieves, keys = [], [], _sieve(words)
+    for level in range(1, depth + 1):
+        found = docs.mapInArrow(_count_grams(level, keys), "key long, tag tinyint, n long").groupBy("key").agg(F.min("tag").alias("tag"), F.sum("n").alias("n"))
+        found = stored(found.filter(F.col("n") >= LEAST_COUNT), "suffix-counted")
+        if not found.head(1):
+            break
+        keys = _sieve(found)
+        sieves.append((keys, _sieve(found.mapInArrow(_tag_keys, "key long"))))
+        counted.append(found.select(F.lit(level).alias("level"), "key", "n"))
+    if not counted:
+        return []
+    every = counted[0]
+    for more in counted[1:]:
+        every = every.unionByName(more)
+    parts = docs.mapInArrow(_find_parts(sieves), "level int, key long, context long, suffix long").groupBy("level", "key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"))
+    grams = stored(parts.join(every, ["level", "key"]), "suffix-grams")
+    discard(*counted)
+    return [grams.filter(F.col("level") == level).drop("level") for level in range(1, len(counted) + 1)]
+
+
+def _grow(grams: DataFrame, before: DataFrame, n_all: float) -> tuple[DataFrame, DataFrame]:
+    """(states, factors) of a level.  grams: its frequent n-grams; before: the states of the level above it: key, n, p (the
+    probability of the key's last word by its longest retained suffix) and kept (its context is retained, or the root).
 
     States have the same columns; factors are (key, n, gain)."""
-    grams = docs.mapInArrow(_count_grams(depth, _sieve(before.select("key"))), GRAMS).groupBy("key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
     grams = grams.join(before.select(F.col("key").alias("suffix"), F.col("p").alias("s"), F.col("kept").alias("open")), "suffix").join(before.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
-    grams = stored(grams.select("key", "context", "n", "s", "open", "total"), "suffix-grams")
+    grams = stored(grams.select("key", "context", "n", "s", "open", "total"), "suffix-joined")
     s, total = F.col("s"), F.col("total")
     p = (F.col("n") + BETA * s) / (total + BETA)
     per = grams.filter("open").groupBy("context").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("covered"), F.sum(s).alias("covered_s"), F.sum(p * F.log(p / s)).alias("kl"))
@@ -233,13 +314,14 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
     model.keys, model.counts = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
     # The root's states: words.  Frequent words follow from counts alone, so all levels' keys are hashes of the same kind.
     before = counts.filter(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("key"), "n", ((F.col("n") - model.discount) / float(model.tokens)).alias("p"), F.lit(True).alias("kept"))
-    levels = []
-    for d in range(1, depth + 1):
-        before, factors = _grow(docs, before, model.tokens, d)
+    levels, frequent = [], _frequent(docs, before.select("key"), depth)
+    for d, grams in enumerate(frequent, 1):
+        before, factors = _grow(grams, before, model.tokens)
         if not before.filter("kept").head(1):
             break
         levels.append(factors)
         model.depth = d
+    discard(*frequent[:1])
     if not levels:
         return model, counts
     factors = levels[0]
