@@ -643,6 +643,19 @@ def test_contexts_of_three_and_four_words(spark, monkeypatch, sent):
         assert r["score"] == pytest.approx(plain.score(texts[r["doc_id"]]), rel=1e-9)
 
 
+def test_language_model_over_many_partitions(spark):
+    """n-grams that meet only across partitions, and copies in each of them: counts and parts are those of all texts."""
+    texts = [t for k in range(24) for t in ("p q r s t", f"p q r u{k} x{k}", f"q r s{k}")]
+    df = frame(spark, texts).repartition(12, "doc_id")
+    _, out = lm(spark, df)
+    rows = out.collect()
+    check_base(rows, dict(enumerate(texts)))
+    plain = PlainTree([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2])
+    assert plain.listed[1]
+    for r in rows:
+        assert r["score"] == pytest.approx(plain.score(texts[r["doc_id"]]), rel=1e-9)
+
+
 def test_states_are_distributions():
     plain = PlainTree(deep_texts())
     unseen = plain.discount * len(plain.c) / plain.n
