@@ -16,6 +16,8 @@ MODULES = {
     "op8_token_counts": "tokencount",
     "op9_permutation_index": "permindex",
     "op10_embedding_neardup": "tiledsim",
+    "op11_filter_audit": "filteraudit",
+    "op13_merkle_fingerprint": "merkle",
 }
 
 
