@@ -17,6 +17,7 @@ MODULES = {
     "op9_permutation_index": "permindex",
     "op10_embedding_neardup": "tiledsim",
     "op11_filter_audit": "filteraudit",
+    "op12_hard_negatives": "hardnegatives",
     "op13_merkle_fingerprint": "merkle",
 }
 

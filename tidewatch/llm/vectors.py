@@ -19,9 +19,9 @@ def width(df: DataFrame, vector: str) -> int:
     return int(row["d"]) if row else 0
 
 
-def packed(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, str, int]:
-    """((vec_id, packed), numpy type, length): packed is null for a vector that is null, zero, of another length, or holds a
-    null or a non-finite component."""
+def packed(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = (), zeros: bool = False) -> tuple[DataFrame, str, int]:
+    """((vec_id, packed, *keep), numpy type, length): packed is null for a vector that is null, zero (unless zeros take part), of another
+    length, or holds a null or a non-finite component."""
     ship(df.sparkSession)
     d = width(df, vector)
     kind = "<f4" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "<f8"
@@ -38,12 +38,13 @@ def packed(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
                 x = x + np.array(0, kind)  # a negative zero equals zero
                 wide = x.astype(np.float64)
                 norm = np.sqrt((wide * wide).sum(axis=1))
-                for k in np.flatnonzero(np.isfinite(x).all(axis=1) & (norm > 0) & np.isfinite(norm)).tolist():
+                for k in np.flatnonzero(np.isfinite(x).all(axis=1) & (zeros | (norm > 0) & np.isfinite(norm))).tolist():
                     out[rows[k]] = x[k].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary()), *(batch.column(k) for k in keep)], names=["vec_id", "packed", *keep])
 
-    slim = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
-    return slim.mapInArrow(run, "vec_id long, packed binary"), kind, d
+    slim = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), *keep)
+    kept = "".join(f", {k} {slim.schema[k].dataType.simpleString()}" for k in keep)
+    return slim.mapInArrow(run, "vec_id long, packed binary" + kept), kind, d
 
 
 def unpack(values, kind: str, d: int) -> np.ndarray:
