@@ -205,7 +205,7 @@ def test_comparisons_run_at_full_size(spark, sf):
 
     seen = {}
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(evaluate, "bootstrap", lambda *a, rounds=0: seen.update(rounds=rounds))
+        m.setattr(evaluate, "bootstrap", lambda *a, rounds=0: seen.update(rounds=rounds) or spark.createDataFrame([("x", 0.0, 1.0)], "scenario_id string, low double, high double"))
         m.setattr(evaluate, "forest", lambda *a, trees=100, depth=10: seen.update(trees=trees, depth=depth))
         catalog.queries()["bootstrap_ci"](spark, sf)
         catalog.queries()["random_forest"](spark, sf)

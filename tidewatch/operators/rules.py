@@ -32,7 +32,8 @@ def _burst(s: Settings) -> Column:
 
 
 def _synchronised(s: Settings) -> Column:
-    return ~_burst(s) & (F.col("n_sources") >= s.timing_sources) & (F.col("cv") > s.timing_cv)
+    # Rounded where the order of additions can't reach.
+    return ~_burst(s) & (F.col("n_sources") >= s.timing_sources) & (F.round("cv", 12) > s.timing_cv)
 
 
 def connection_exhaustion(windows: DataFrame, s: Settings) -> DataFrame:

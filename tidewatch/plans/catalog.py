@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import FEATURES, Settings
 from tidewatch.functions import scalars
-from tidewatch.operators import baseline, correlate, evaluate, features, mitigate, packets, rules, scan, simulate
+from tidewatch.operators import baseline, capture, correlate, evaluate, features, mitigate, packets, rules, scan, simulate
 from tidewatch.plans import detector, experiments, twins
 from tidewatch.plans.twins import FLOWS, LONG, ORDER_FLOWS, RULE_EVENTS, SHIFT, build, rounded
 from tidewatch.sources import telemetry
@@ -20,9 +20,8 @@ from tidewatch.sources.adapters import event_flows, micros, order_flows, table
 from tidewatch.storage import stored
 
 #: Hourly windows; thresholds fit the sparse event table, where a source sends a few requests an hour (a start rate of about one in
-#: half an hour) and windows hold some tens of flows: on it every rule fires in some windows and not in others.  A variation of exactly 0.5 is
-#: common among few sources, where the order of additions would decide; 0.49 is none of few small numbers.
-S = Settings().scaled(3600.0, incomplete_per_source=4, incomplete_per_subnet=12, slow_tiny=2, slow_many=4, rate_start=0.0005, agents_least_flows=20, burst_sources=10, timing_sources=8, timing_cv=0.49, tau_z=2.0, theta=2.0)
+#: half an hour) and windows hold some tens of flows: on it every rule fires in some windows and not in others.
+S = Settings().scaled(3600.0, incomplete_per_source=4, incomplete_per_subnet=12, slow_tiny=2, slow_many=4, rate_start=0.0005, agents_least_flows=20, burst_sources=10, timing_sources=8, timing_cv=0.5, tau_z=2.0, theta=2.0)
 #: Monthly windows over order lines.
 O = Settings().scaled(2_592_000.0)
 SEED = 48
@@ -384,6 +383,44 @@ def _(spark, d):
     return packets.to_flows(packets.split_idle(_packets(spark, d), 36_000.0), extra=["part"]).select("src_ip", "sport", "part", "start_time", "last_time", "packets")
 
 
+#: Windows of six hours over packets of three streams, some of which come late, forgotten after ten idle hours.
+CAPTURE_DT, CAPTURE_IDLE = 21_600.0, 36_000.0
+_CAPTURED = "cap AS MATERIALIZED (SELECT 's' || event_id % 3 AS stream_id, seq, ts + event_id * 7919 % 11 * 600 AS ts, src_ip, sport, f, length FROM (SELECT seq AS event_id, * FROM packets))"
+_CAPTURE_CHAIN = f"""chain AS (SELECT stream_id, 0 AS wid, min(seq) AS start_seq, min_by(ts, seq) AS start_ts FROM cap GROUP BY stream_id
+  UNION ALL SELECT stream_id, wid + 1, min(seq), min_by(ts, seq) FROM (SELECT c.stream_id, c.wid, p.seq, p.ts FROM chain c JOIN cap p ON p.stream_id = c.stream_id AND p.seq > c.start_seq AND p.ts - c.start_ts >= {CAPTURE_DT}) GROUP BY stream_id, wid),
+wins AS MATERIALIZED (SELECT *, lead(start_seq) OVER w AS end_seq, lead(start_ts) OVER w AS end_ts FROM chain WINDOW w AS (PARTITION BY stream_id ORDER BY wid))"""
+
+
+def _captured(spark, d) -> DataFrame:
+    p = _packets(spark, d)
+    return p.withColumns({"stream_id": F.concat(F.lit("s"), (F.col("seq") % 3).cast("string")), "ts": F.col("ts") + F.col("seq") * 7919 % 11 * 600})
+
+
+@_query("capture_windows", build(_PACKETS, _CAPTURED, _CAPTURE_CHAIN, recursive=True) + "SELECT stream_id, CAST(wid AS BIGINT) AS wid, start_seq, start_ts, end_seq, end_ts FROM wins")
+def _(spark, d):
+    return capture.windows(stored(capture.blocked(_captured(spark, d)), "captured"), CAPTURE_DT).drop("block")
+
+
+# Flows of a key part at the first packet after which it was forgotten; a window's flows by all packets up to its end.
+@_query(
+    "capture_window_flows",
+    build(
+        _PACKETS,
+        _CAPTURED,
+        _CAPTURE_CHAIN,
+        "inwin AS MATERIALIZED (SELECT c.*, w.wid, w.start_ts FROM cap c JOIN wins w ON w.stream_id = c.stream_id AND (c.seq > w.start_seq OR w.wid = 0) AND c.seq <= coalesce(w.end_seq, 9000000000000000000))",
+        f"parted AS MATERIALIZED (SELECT *, sum(b) OVER (PARTITION BY stream_id, src_ip, sport ORDER BY seq) AS part FROM (SELECT *, CASE WHEN wid > 0 AND max(ts) OVER (PARTITION BY stream_id, src_ip, sport ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < start_ts - {CAPTURE_IDLE} THEN 1 ELSE 0 END AS b FROM inwin))",
+        "ends AS (SELECT stream_id, max(wid) AS final, max(start_ts) AS final_ts FROM wins GROUP BY ALL)",
+        "lastpart AS (SELECT stream_id, src_ip, sport, max(part) AS part FROM parted GROUP BY ALL)",
+        "upto AS (SELECT p.stream_id, p.src_ip, p.sport, p.part, w.wid, any_value(w.start_ts) AS start_ts, any_value(w.end_ts) AS end_ts, min(p.seq) AS flow_seq, min_by(p.ts, p.seq) AS start_time, max(p.ts) AS last_time, sum(length) AS bytes_sent, count(*) AS packets, max(p.seq) FILTER (f & 16 <> 0) >= greatest(min(p.seq) FILTER (f & 18 = 2), CASE WHEN count(*) FILTER (f & 18 = 2) > 0 THEN min(p.seq) FILTER (f & 18 = 18) END) AND count(*) FILTER (f & 18 = 18) > 0 AS done, bool_or(f & 2 <> 0 AND f & 5 <> 0) AS bad, max(p.wid) AS latest FROM parted p JOIN wins w ON w.stream_id = p.stream_id AND p.seq <= coalesce(w.end_seq, 9000000000000000000) GROUP BY p.stream_id, p.src_ip, p.sport, p.part, w.wid)",
+    )
+    .replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"SELECT stream_id, CAST(wid AS BIGINT) AS wid, flow_seq, src_ip, CAST(sport AS INTEGER) AS sport, start_time, last_time, CAST(bytes_sent AS BIGINT) AS bytes_sent, packets, coalesce(done, false) AS handshake_complete, greatest(1, packets // 3) AS request_count, bad AS protocol_violation FROM upto JOIN ends USING (stream_id) LEFT JOIN lastpart l USING (stream_id, src_ip, sport, part) WHERE CASE WHEN wid < final THEN start_time < end_ts AND last_time >= start_ts ELSE l.part IS NOT NULL AND (latest = final OR last_time >= final_ts - {CAPTURE_IDLE}) END",
+)
+def _(spark, d):
+    return capture.flows(stored(_captured(spark, d), "captured"), CAPTURE_DT, CAPTURE_IDLE).drop("dst_ip", "dport", "proto_num", "proto", "bytes_recv", "user_agent", "country_code", "response_status")
+
+
 # -- evaluation ---------------------------------------------------------------------------------------------
 
 

@@ -97,7 +97,7 @@ slow AS (SELECT *, n_tiny >= {s.slow_tiny} OR n_slow > {s.slow_many} AS fired FR
 agents AS (SELECT *, n_flows >= {s.agents_least_flows} AND n_agents / n_flows < {s.agents_diversity} AS fired FROM (SELECT stream_id, wid, count(*) AS n_flows, count(DISTINCT nullif(user_agent, '')) AS n_agents FROM flows GROUP BY ALL)),
 nets AS (SELECT stream_id, wid, max(n) AS max_sources FROM (SELECT stream_id, wid, regexp_extract(src_ip, '^[^.]*[.][^.]*') AS net, count(DISTINCT src_ip) AS n FROM flows JOIN now_ USING (stream_id, wid) WHERE start_time >= now - {s.burst_window} GROUP BY ALL) GROUP BY ALL),
 many AS (SELECT stream_id, wid, coalesce(max_sources, 0) AS max_sources, n_sources, rs / greatest(rm, {s.epsilon}) AS cv, coalesce(max_sources > {s.burst_sources}, false) AS burst,
-  NOT coalesce(max_sources > {s.burst_sources}, false) AND n_sources >= {s.timing_sources} AND rs / greatest(rm, {s.epsilon}) > {s.timing_cv} AS synchronised FROM srcs LEFT JOIN nets USING (stream_id, wid))"""
+  NOT coalesce(max_sources > {s.burst_sources}, false) AND n_sources >= {s.timing_sources} AND round(rs / greatest(rm, {s.epsilon}), 12) > {s.timing_cv} AS synchronised FROM srcs LEFT JOIN nets USING (stream_id, wid))"""
 
 
 def spikes(s: Settings) -> str:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.config import Settings
 from tidewatch.functions import scalars
-from tidewatch.operators import packets
-from tidewatch.schema import FLOW, FLOW_COLUMNS, PACKET
+from tidewatch.operators import capture
+from tidewatch.schema import FLOW, FLOW_COLUMNS
+from tidewatch.sources.capture import CaptureSource
+from tidewatch.storage import stored
 
 # CSV header -> field.
 CSV_COLUMNS = {
@@ -36,9 +34,10 @@ CSV_COLUMNS = {
 def _below(path: str):
     """A file's name below the folder read (so equal names in two folders stay apart); its last part for a single file."""
     base = path.split("*")[0].rstrip("/")
-    at = F.instr(F.col("file_"), F.lit(base))
-    rest = F.expr(f"substring(file_, instr(file_, '{base}') + {len(base) + 1})")
-    return F.when((at > 0) & (rest != ""), rest).when(at > 0, F.element_at(F.split("file_", "/"), -1)).otherwise(F.col("file_"))
+    file = F.url_decode(F.replace(F.col("file_"), F.lit("+"), F.lit("%2B")))  # names come encoded as in a URI
+    at = F.instr(file, F.lit(base))
+    rest = F.substring(file, at + F.lit(len(base) + 1), F.lit(1 << 30))
+    return F.when((at > 0) & (rest != ""), rest).when(at > 0, F.element_at(F.split(file, "/"), -1)).otherwise(file)
 
 
 def read_csv_flows(spark: SparkSession, path: str, dt: float = 5.0) -> DataFrame:
@@ -79,16 +78,16 @@ def read_csv_flows(spark: SparkSession, path: str, dt: float = 5.0) -> DataFrame
     return out.withColumn("wid", scalars.window_id("start_time", dt))
 
 
-def read_json_flows(spark: SparkSession, path: str, dt: float = 5.0, stream: str = "json") -> DataFrame:
-    """Flows of JSON files: a list of flows or {"flows": [...]}; missing or null keys get defaults; other shapes raise ValueError."""
-    text = spark.read.text(path, wholetext=True)
+def read_json_flows(spark: SparkSession, path: str, dt: float = 5.0, stream: str | None = None) -> DataFrame:
+    """Flows of JSON files, a stream a file (or all one stream of a given name, by file and place): a list of flows or {"flows": [...]}; missing or null keys get defaults; other shapes raise ValueError."""
+    text = spark.read.text(path, wholetext=True).withColumn("file_", F.input_file_name())
     listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.flows"))
     items = F.from_json(listed, _list_of_flows())
-    parsed = text.select(F.ltrim("value").startswith("[").alias("list_"), F.get_json_object("value", "$.flows").isNotNull().alias("object_"), items.alias("items"))
+    parsed = text.select(_below(path).alias("name_"), F.ltrim("value").startswith("[").alias("list_"), F.get_json_object("value", "$.flows").isNotNull().alias("object_"), items.alias("items"))
     if parsed.filter("NOT (list_ OR object_)").head(1):
         raise ValueError("JSON must be a list of flows or an object with a list 'flows'")
-    rows = parsed.select(F.posexplode("items").alias("flow_seq", "f")).select("flow_seq", "f.*")
-    return rows.select(F.lit(stream).alias("stream_id"), F.col("flow_seq").cast("long").alias("flow_seq"), *scalars.filled(FLOW_COLUMNS)).withColumn("wid", scalars.window_id("start_time", dt))
+    rows = parsed.select("name_", F.posexplode("items").alias("flow_seq", "f")).select("name_", "flow_seq", "f.*")
+    return rows.select((F.col("name_") if stream is None else F.lit(stream)).alias("stream_id"), F.col("flow_seq").cast("long").alias("flow_seq"), *scalars.filled(FLOW_COLUMNS)).withColumn("wid", scalars.window_id("start_time", dt))
 
 
 def _list_of_flows():
@@ -97,70 +96,22 @@ def _list_of_flows():
     return T.ArrayType(FLOW)
 
 
-def parse_capture(data: bytes) -> Iterator[tuple]:
-    """IPv4 packets of a classic capture file (either byte order, micro- or nanoseconds, Ethernet or raw IP)."""
-    if len(data) < 24:
-        return
-    magic = data[:4]
-    orders = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
-    if magic not in orders:
-        raise ValueError("not a packet capture")
-    end, unit = orders[magic]
-    link = struct.unpack(end + "I", data[20:24])[0]
-    at = 24
-    while at + 16 <= len(data):
-        sec, frac, size, length = struct.unpack(end + "IIII", data[at : at + 16])
-        frame, at = data[at + 16 : at + 16 + size], at + 16 + size
-        if link == 1:
-            if len(frame) < 14:
-                continue
-            kind, ip = struct.unpack("!H", frame[12:14])[0], frame[14:]
-            if kind == 0x8100 and len(frame) >= 18:
-                kind, ip = struct.unpack("!H", frame[16:18])[0], frame[18:]
-            if kind != 0x0800:
-                continue
-        else:
-            ip = frame
-        if len(ip) < 20 or ip[0] >> 4 != 4:
-            continue
-        head, proto = (ip[0] & 15) * 4, ip[9]
-        sport = dport = flags = 0
-        if proto == 6 and len(ip) >= head + 14:
-            sport, dport = struct.unpack("!HH", ip[head : head + 4])
-            flags = ip[head + 13]
-        yield (sec + frac / unit, ".".join(map(str, ip[12:16])), ".".join(map(str, ip[16:20])), sport, dport, proto, flags, length)
-
-
-def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """(stream_id, seq, packet columns) of capture files; a file is parsed by one task, files in parallel."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                for seq, p in enumerate(parse_capture(bytes(content))):
-                    rows.append((name.rsplit("/", 1)[-1], seq, *p))
-                    if len(rows) == 50_000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-                yield pd.DataFrame(rows, columns=columns)
-
-    columns = ["stream_id", "seq", *PACKET.names]
-    return files.mapInPandas(run, "stream_id string, seq long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKET))
-
-
-def read_capture_flows(spark: SparkSession, path: str, dt: float = 5.0, idle: float = 60.0) -> DataFrame:
-    """Flows of capture files in each window they overlap; a key idle for over `idle` seconds begins a new flow."""
-    p = packets.split_idle(read_packets(spark, path), idle)
-    flows = packets.overlapping_windows(packets.to_flows(p, extra=["stream_id", "part"]), dt)
-    return flows.withColumn("flow_seq", F.xxhash64("src_ip", "sport", "dst_ip", "dport", "part")).select("stream_id", "wid", "flow_seq", *FLOW_COLUMNS)
+def read_packets(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(stream_id, seq, packet columns) of capture files: a stream a file, seq the packet's place in it; large files are parted (sources.capture)."""
+    spark.dataSource.register(CaptureSource)
+    return spark.read.format("capture").options(**options).load(path)
+
+
+def read_capture_flows(spark: SparkSession, path: str, dt: float = 5.0, idle: float = 60.0, **options: str) -> DataFrame:
+    """Flows of capture files in the windows the packets themselves cut (operators.capture); flow_seq is the place of a flow's first packet."""
+    flows = capture.flows(stored(read_packets(spark, path, **options), "packets"), dt, idle)
+    return flows.select("stream_id", "wid", "flow_seq", *FLOW_COLUMNS)
 
 
 def read_flows(spark: SparkSession, path: str, dt: float = 5.0) -> DataFrame:
-    """By the file name's ending: .csv, .json, .pcap or .cap."""
+    """By the file name's ending: .csv, .json, .pcap, .pcapng or .cap."""
     ending = path.rsplit(".", 1)[-1].lower()
-    readers = {"csv": read_csv_flows, "json": read_json_flows, "pcap": read_capture_flows, "cap": read_capture_flows}
+    readers = {"csv": read_csv_flows, "json": read_json_flows, "pcap": read_capture_flows, "pcapng": read_capture_flows, "cap": read_capture_flows}
     if ending not in readers:
         raise ValueError(f"no reader for .{ending}")
     return readers[ending](spark, path, dt)

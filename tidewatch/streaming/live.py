@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.config import Settings
@@ -25,7 +26,7 @@ from tidewatch.schema import FLOW
 
 def read_flow_stream(spark, folder: str, schema=None) -> DataFrame:
     """Flows of JSON-lines files that appear in a folder."""
-    return spark.readStream.schema(schema or FLOW.add("stream_id", "string")).json(folder)
+    return spark.readStream.schema(schema or T.StructType([*FLOW.fields, T.StructField("stream_id", T.StringType())])).json(folder)
 
 
 def window_features(flows: DataFrame, s: Settings, late: str = "10 seconds") -> DataFrame:
