@@ -221,9 +221,10 @@ def test_bands_follow_from_the_threshold():
         assert (1 - (t / 100) ** rows) ** bands <= neardup.MISSED or rows == 1
 
 
-@pytest.mark.parametrize("hot", [1000, 8])
-def test_near_duplicates_of_hard_rows(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "sent"), [(1000, 400_000), (8, 400_000), (8, 0)])
+def test_near_duplicates_of_hard_rows(spark, monkeypatch, hot, sent):
     monkeypatch.setattr(neardup, "HOT_ROWS", hot)
+    monkeypatch.setattr(neardup, "SENT_BUCKETS", sent)
     texts = near_texts()
     rows = list(enumerate(texts)) + [(3, texts[3]), (4, "a text of its own that shares nothing with others here"), (None, texts[0])]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")

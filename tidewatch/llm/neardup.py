@@ -12,8 +12,8 @@ passes is confirmed on full shingle sets (64-bit hashes of shingles, from 62-bit
    condition is the sketch test and then the exact one, so that only links leave it.  Pairs within a component need no
    look: they are connected already.
 
-Hot buckets (over HOT_ROWS members) are few by their size; their tables of a row a bucket are sent to every task, so that no hot bucket is
-dealt to one task.  In step 2 a hot bucket is parted by finer bands (FINE_BANDS of FINE_ROWS samples): unlike texts that share a
+Hot buckets (over HOT_ROWS members) are few by their size; their tables of a row a bucket are sent to every task (up to SENT_BUCKETS rows; more
+are joined by shuffles whose large partitions Spark splits), so that no hot bucket is dealt to one task.  Results are the same either way.  In step 2 a hot bucket is parted by finer bands (FINE_BANDS of FINE_ROWS samples): unlike texts that share a
 passage rarely share one, so a hot bucket's pairs are those of its finer ones.
 
 No bucket is capped.  Bands follow from the threshold (banding): a pair at 0.85 shares none of 24 bands of 6 rows, a pair at 0.8 none of 29
@@ -219,16 +219,18 @@ class Buckets:
     """Joins on the bucket key that deal no hot bucket to one task."""
 
     def __init__(self, sizes: DataFrame):
-        self.hot = stored(sizes.filter(F.col("n") > HOT_ROWS).select("band"), "neardup-hot")
-        self.sent = 0 < self.hot.count() <= SENT_BUCKETS
+        hot = stored(sizes.filter(F.col("n") > HOT_ROWS).select("band"), "neardup-hot")
+        n = hot.count()
+        self.any = n > 0
+        self._small = (lambda table: F.broadcast(table)) if n <= SENT_BUCKETS else (lambda table: table)
+        self.hot = self._small(hot)
 
     def join(self, rows: DataFrame, table: DataFrame) -> DataFrame:
         """rows (band, ...) with the columns of table, which has one row a bucket."""
-        if not self.sent:
+        if not self.any:
             return rows.join(table, "band")
-        hot = F.broadcast(self.hot)
-        few = stored(table.join(hot, "band", "left_semi"), "neardup-hot-table")
-        return rows.join(hot, "band", "left_anti").join(table, "band").unionByName(rows.join(F.broadcast(few), "band"))
+        few = stored(table.join(self.hot, "band", "left_semi"), "neardup-hot-table")
+        return rows.join(self.hot, "band", "left_anti").join(table, "band").unionByName(rows.join(self._small(few), "band"))
 
 
 def _across(inside: DataFrame, threshold: int, limit: int) -> DataFrame:
@@ -278,11 +280,11 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     if inside.head(1):
         sets = _sets_of(inside.select("doc_id").distinct(), docs, text, doc_id, size)
         inside, parted = inside.join(sets, "doc_id"), None
-        if buckets.sent:
-            hot = inside.join(F.broadcast(buckets.hot), "band", "left_semi")
+        if buckets.any:
+            hot = inside.join(buckets.hot, "band", "left_semi")
             fine = hot.select("doc_id", "component", "n_shingles", "sketch", "shingles", F.explode(F.transform("fine", lambda f: F.xxhash64("band", f))).alias("band"))
             parted = stored(fine.join(_mixed(fine, ["band"]), "band"), "neardup-fine")
-            inside = inside.join(F.broadcast(buckets.hot), "band", "left_anti")
+            inside = inside.join(buckets.hot, "band", "left_anti")
         links = links.unionByName(_across(inside.drop("fine"), threshold, limit))
         if parted is not None:
             links = links.unionByName(_across(parted, threshold, limit))
