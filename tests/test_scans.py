@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewatch.config import Settings
 from tidewatch.operators import mitigate, scan
@@ -102,3 +103,48 @@ def test_detect_scan_uses_the_state_before_the_update():
     out = scan.detect_scan(S)(pdf)
     assert out["z"].tolist()[0] == pytest.approx(5.0)
     assert out["mean"].tolist()[1] == pytest.approx(3.0)
+
+
+@pytest.mark.parametrize("size", [7, 64, 10_000])
+def test_prefix_scans_equal_serial_scans(spark, size):
+    from tidewatch.operators import prefix
+
+    rng, data = np.random.default_rng(5), {}
+    for key, n in (("a", 1), ("b", 500), ("c", 137)):
+        x = rng.normal(10, 2, n) + np.where(np.arange(n) % 50 > 44, 30, 0)
+        data[key] = (np.cumsum(rng.integers(1, 9, n)), x)
+    data["d"] = (np.arange(60), np.full(60, 3.5))
+    rows = spark.createDataFrame([(k, int(t), float(x)) for k, (ts, xs) in data.items() for t, x in zip(ts, xs, strict=True)], "key string, t long, x double").repartition(3)
+    s = Settings(tau_z=2.0, theta=2.0)
+    got = prefix.ewma(rows, ["key"], "t", "x", s.alpha, size).orderBy("key", "t").toPandas()
+    starts = spark.createDataFrame([(k, 9.0, 4.0) for k in data], "key string, mean double, variance double")
+    scanned = prefix.deviations(rows, ["key"], "t", "x", starts, s, size).orderBy("key", "t").toPandas()
+    for key, (ts, x) in data.items():
+        mean, var, z = scan.ewma(x, s.alpha)
+        own = got[got["key"] == key]
+        assert own["t"].tolist() == ts.tolist()
+        np.testing.assert_allclose(own["mean"], mean, rtol=1e-9)
+        np.testing.assert_allclose(own["variance"], var, rtol=1e-9, atol=1e-12)
+        if key != "d":
+            np.testing.assert_allclose(own["z"], z, rtol=1e-9, atol=1e-9)
+        base, want = scan.Baseline(s, {0: (9.0, 4.0, 1)}), []
+        for v in x.tolist():
+            want.append(base.z(v, 0))
+            base.update(v, 0)
+        acc, sure = scan.leaky(np.array(want), s)
+        own = scanned[scanned["key"] == key]
+        if key != "d":
+            np.testing.assert_allclose(own["z"], want, rtol=1e-9, atol=1e-9)
+            np.testing.assert_allclose(own["accumulator"], acc, rtol=1e-9, atol=1e-9)
+            assert own["confirmed"].tolist() == sure.tolist()
+
+
+def test_a_long_stream_is_scanned_by_all_tasks(spark):
+    from tidewatch.operators import prefix
+
+    rows = spark.range(1_000_000).select(F.lit("one").alias("key"), F.col("id").alias("t"), (F.col("id") * 7919 % 1009 / 10.0).alias("x"))
+    out = prefix.ewma(rows, ["key"], "t", "x", 0.3, 1 << 16).toPandas().sort_values("t")
+    mean, var, z = scan.ewma(np.arange(1_000_000) * 7919 % 1009 / 10.0, 0.3)
+    np.testing.assert_allclose(out["mean"], mean, rtol=1e-9)
+    np.testing.assert_allclose(out["z"], z, rtol=1e-9, atol=1e-9)
+    assert prefix.cut(rows, ["key"], "t", 1 << 16).select("block_").distinct().count() == 16

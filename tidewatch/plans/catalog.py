@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import FEATURES, Settings
 from tidewatch.functions import scalars
-from tidewatch.operators import baseline, capture, correlate, evaluate, features, mitigate, packets, rules, scan, simulate
+from tidewatch.operators import baseline, capture, correlate, evaluate, features, mitigate, packets, prefix, rules, scan, simulate
 from tidewatch.plans import detector, experiments, twins
 from tidewatch.plans.twins import FLOWS, LONG, ORDER_FLOWS, RULE_EVENTS, SHIFT, build, rounded
 from tidewatch.sources import telemetry
@@ -383,6 +383,50 @@ def _(spark, d):
     return packets.to_flows(packets.split_idle(_packets(spark, d), 36_000.0), extra=["part"]).select("src_ip", "sport", "part", "start_time", "last_time", "packets")
 
 
+#: Each user group's event values as one long series, scanned in blocks of a few hundred rows.
+_SERIES = "line AS MATERIALIZED (SELECT user_id % 3 AS key, event_id, value, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS rn FROM events)"
+SERIES_BLOCK = 400
+
+
+def _series(spark, d) -> DataFrame:
+    return table(spark, d, "events").select((F.col("user_id") % 3).alias("key"), "event_id", "value")
+
+
+@_query(
+    "ewma_prefix_scan",
+    build(
+        _SERIES,
+        f"""r AS (SELECT key, event_id, rn, value, value AS mean, 0.0::DOUBLE AS variance FROM line WHERE rn = 1
+  UNION ALL SELECT key, event_id, rn, value, m, {S.alpha} * power(value - m, 2) + {1 - S.alpha} * variance FROM (SELECT l.*, {S.alpha} * l.value + {1 - S.alpha} * r.mean AS m, r.variance FROM r JOIN line l ON l.key = r.key AND l.rn = r.rn + 1))""",
+        recursive=True,
+    )
+    + f"SELECT key, event_id, {rounded(['value', 'mean', 'variance'], 5)}, round(CASE WHEN rn = 1 OR variance <= 0 THEN 0 ELSE (value - mean) / sqrt(variance) END, 5) AS z FROM r",
+)
+def _(spark, d):
+    return _round(prefix.ewma(_series(spark, d), ["key"], "event_id", "value", S.alpha, SERIES_BLOCK), "value", "mean", "variance", "z", digits=5)
+
+
+@_query(
+    "deviation_prefix_scan",
+    build(
+        _SERIES,
+        "begin AS (SELECT key, avg(value) AS mean, var_pop(value) AS variance FROM line WHERE rn <= 50 GROUP BY key)",
+        f"""r AS (SELECT l.key, event_id, rn, value, b.mean, b.variance, 0.0::DOUBLE AS before FROM line l JOIN begin b USING (key) WHERE rn = 1
+  UNION ALL SELECT l.key, l.event_id, l.rn, l.value, p.m, {S.alpha} * power(p.value - p.m, 2) + {1 - S.alpha} * p.variance, CASE WHEN p.dev > {S.tau_z} THEN p.before + (p.dev - {S.tau_z}) ELSE p.before * {S.decay} END
+  FROM (SELECT *, {S.alpha} * value + {1 - S.alpha} * mean AS m, abs(value - mean) / greatest(sqrt(greatest(variance, 0)), {S.epsilon}) AS dev FROM r) p JOIN line l ON l.key = p.key AND l.rn = p.rn + 1)""",
+        recursive=True,
+    )
+    + f"SELECT key, event_id, round(z, 5) AS z, round(a, 5) AS accumulator, a > {S.theta} AS confirmed FROM (SELECT key, event_id, z, CASE WHEN abs(z) > {S.tau_z} THEN before + (abs(z) - {S.tau_z}) ELSE before * {S.decay} END AS a FROM (SELECT *, (value - mean) / greatest(sqrt(greatest(variance, 0)), {S.epsilon}) AS z FROM r))",
+)
+def _(spark, d):
+    """The detector's scan of each series, seeded by its first fifty values."""
+    rows = stored(_series(spark, d), "series")
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("event_id"))).filter("rn <= 50")
+    starts = stored(first.groupBy("key").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance")), "series-starts")
+    out = prefix.deviations(rows, ["key"], "event_id", "value", starts, S, SERIES_BLOCK)
+    return _round(out.select("key", "event_id", "z", "accumulator", "confirmed"), "z", "accumulator", digits=5)
+
+
 #: Windows of six hours over packets of three streams, some of which come late, forgotten after ten idle hours.
 CAPTURE_DT, CAPTURE_IDLE = 21_600.0, 36_000.0
 _CAPTURED = "cap AS MATERIALIZED (SELECT 's' || event_id % 3 AS stream_id, seq, ts + event_id * 7919 % 11 * 600 AS ts, src_ip, sport, f, length FROM (SELECT seq AS event_id, * FROM packets))"
