@@ -99,3 +99,91 @@ def test_flush_stream(spark, tmp_path):
     assert mine["handshake_complete"].all() and not mine["protocol_violation"].any() and len(mine) == 2
     other = got[got["src_ip"] == "c"]
     assert len(other) == 1 and other["protocol_violation"].all() and not other["handshake_complete"].any()  # FIN before a handshake; idle
+
+
+FLOWS = "stream_id string, flow_seq long, src_ip string, proto string, start_time double, last_time double, bytes_sent long, handshake_complete boolean, request_count long, protocol_violation boolean, user_agent string, country_code string, response_status int, dst_ip string, sport int, dport int, bytes_recv long, packets long"
+
+
+def attacked(seed, until=500):
+    """Flows of two streams in order of time; every so often a flood from few sources."""
+    rng, rows = np.random.default_rng(seed), []
+    for k, t in enumerate(np.sort(rng.uniform(0, until, 4 * until))):
+        hot = t % 120 > 85
+        rows.append((f"s{k % 2}", k, f"10.0.{int(rng.integers(3 if hot else 60))}.{k % 4}", "TCP", float(t), float(t + rng.uniform(0, 9)), int(rng.integers(0, 50)), bool(not hot or k % 3), int(1 + k % 4 + (40 if hot else 0)), bool(hot and k % 5 == 0), f"a{k % (1 if hot else 30)}", "US" if k % 3 else "DE", 200, "d", 1, 80, 5, 3))
+    return rows
+
+
+LIVE = Settings(tau_z=1.0, theta=1.0, rate_start=1.0, incomplete_per_source=3, agents_least_flows=5, agents_diversity=0.5, burst_sources=1, timing_sources=2, timing_cv=0.2, hold1=15.0, hold3=10.0, hold_all=20.0)
+
+
+def batch_results(spark, rows, s, seeds):
+    from tidewatch.operators import correlate
+    from tidewatch.plans import detector
+
+    flows = spark.createDataFrame(rows, FLOWS).withColumn("wid", F.floor(F.col("start_time") / s.dt).cast("long"))
+    found = detector.run(flows, s, seeds)
+    tiers = mitigate.respond(found.scored, s).join(found.scored.select("stream_id", "wid", "boosted"), ["stream_id", "wid"]).join(correlate.top_anomaly(found.detected, found.rules), ["stream_id", "wid"], "left")
+    return {(r["stream_id"], r["wid"]): (round(r["score"], 9), r["boosted"], r["current_tier"], r["top_anomaly"]) for r in tiers.collect()}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_detector_stream_equals_the_batch_whatever_the_order(spark, tmp_path, shuffled):
+    from tidewatch.streaming import detector as online
+
+    rows = attacked(3)
+    parts = [rows[k : k + 500] for k in range(0, len(rows), 500)]
+    if shuffled:  # every tenth flow comes a part late, some two
+        parts = [[r for r in p if r[1] % 10] for p in parts[:-1]] + parts[-1:]
+        for k in range(len(parts) - 1):
+            parts[min(k + 1 + k % 2, len(parts) - 1)] += [r for r in rows[500 * k : 500 * (k + 1)] if r[1] % 10 == 0]
+    folder, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, FLOWS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        # Each start is a restart: all queries stop and go on from their checkpoints.
+        src = spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        for q in online.start(src, folder, LIVE, check, late=5.0, seed_windows=12, availableNow=True):
+            q.awaitTermination(300)
+    got = spark.read.parquet(f"{folder}/results")
+    assert got.filter("too_late").count() == 0
+    mine = {(r["stream_id"], r["wid"]): (round(r["score"], 9), r["boosted"], r["current_tier"], r["top_anomaly"]) for r in online.latest(got).collect()}
+    want = {k: v for k, v in batch_results(spark, rows, LIVE, 12).items() if k[1] <= max(w for _, w in mine)}
+    assert mine == want and len(mine) > 150
+    assert len({v[2] for v in mine.values()}) > 1
+    assert (got.count() > len(mine)) == shuffled
+
+
+@pytest.mark.parametrize("seeds", [0, 30])
+def test_online_detector_with_contexts_equals_the_scan(seeds):
+    from datetime import UTC, datetime
+
+    from tidewatch.config import FEATURES
+    from tidewatch.streaming.detector import Online
+
+    s, rng = Settings().scaled(3600.0), np.random.default_rng(4)
+    x = rng.normal(10, 1, (600, len(FEATURES)))
+    x[400:] += 5
+    x[:, FEATURES.index("geo_distribution_shift_rate")] = np.abs(np.diff(x[:, FEATURES.index("geographic_entropy")], prepend=0.0))
+    live_one, levels = Online(s, seeds, calendar=True), []
+    for wid in range(600):
+        live_one = Online.of_json(live_one.to_json(), s, seeds, True)  # as it is kept between batches
+        live_one.step({"wid": wid, "features": x[wid].tolist(), "rates": [1.0], "mean_rate": 1.0, "fired": [False] * 6})
+        levels.append(live_one.level.copy())
+    times = [datetime.fromtimestamp(w * 3600, UTC) for w in range(600)]
+    for k, name in enumerate(FEATURES):
+        rows = pd.DataFrame({"stream_id": "s", "feature": name, "ord": k, "wid": range(600), "value": x[:, k], "hour": [t.hour for t in times], "dow": [t.weekday() for t in times], "seed_mean": 0.0, "seed_var": 0.0, "seed_n": 0})
+        want = scan.detect_scan(s, seeds)(rows)
+        np.testing.assert_allclose([v[k] for v in levels[seeds:]], want["accumulator"], rtol=1e-12, atol=1e-12)
+
+
+def test_rows_older_than_the_replay_are_told(spark, tmp_path):
+    from tidewatch.streaming import detector as online
+
+    rows = attacked(8, 200)
+    early = [r for r in rows if r[1] in (5, 6)]
+    for part in ([r for r in rows if r[1] not in (5, 6)], early):
+        spark.createDataFrame(part, FLOWS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        src = spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        for q in online.start(src, str(tmp_path / "out"), LIVE, str(tmp_path / "check"), late=5.0, seed_windows=5, replay=10, availableNow=True):
+            q.awaitTermination(300)
+    got = spark.read.parquet(str(tmp_path / "out/results"))
+    assert {(r["stream_id"], r["wid"]) for r in got.filter("too_late").collect()} == {(r[0], int(r[4] // 5)) for r in early}

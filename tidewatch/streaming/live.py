@@ -1,8 +1,8 @@
 """The detector on streams.
 
-features_query gives all eighteen features of closed windows exactly, through the batch's aggregates; window_features those that one
-watermarked tumbling-window aggregate can give, at once.  The state scans are one keyed operator with state, fed window by window.
-Flows later than the watermark are dropped (the batch reader gives them to their window instead).
+windows_query gives the rows of closed windows exactly, through the batch's aggregates, and again where late flows reopen one; streaming.detector
+takes them to scores and the response.  window_features gives those features that one watermarked tumbling-window aggregate can give, at once; it
+drops flows later than the watermark.  The state scans here are keyed operators with state for series that come from elsewhere.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewatch.config import Settings
+from tidewatch.config import FEATURES, Settings
 from tidewatch.functions.scalars import duration, is_tcp, window_id
 from tidewatch.operators import features
 from tidewatch.operators.mitigate import Responder
 from tidewatch.operators.scan import Baseline
 from tidewatch.schema import FLOW
+from tidewatch.storage import stored
 
 
 def read_flow_stream(spark, folder: str, schema=None) -> DataFrame:
@@ -152,45 +153,87 @@ def flush_stream(packets: DataFrame, late: str = "5 seconds", idle: float = 1.0,
 SLOT = 720
 
 
-def features_query(flows: DataFrame, folder: str, s: Settings, checkpoint: str, late: float = 10.0, **trigger):
-    """The started query that writes all eighteen features of closed windows to {folder}/features, exactly as the batch gives them.
+def window_schema(spark, s: Settings) -> T.StructType:
+    """Of the rows that windows_query writes."""
+    flows = spark.createDataFrame([], T.StructType([T.StructField("stream_id", T.StringType()), T.StructField("wid", T.LongType()), T.StructField("flow_seq", T.LongType()), *FLOW.fields]))
+    return T.StructType([*features.windows(flows, s).schema.fields, T.StructField("batch", T.LongType())])
 
-    Flows of a micro-batch are staged; a window is closed once a flow has come that starts `late` seconds after its end.  What
-    has just closed is read back (its slots only) and goes through the batch's aggregates.  Every folder is
-    written by batch number, so a batch run again replaces what it wrote.  Flows later than that stay staged and aren't read.
+
+def windows_query(flows: DataFrame, folder: str, s: Settings, checkpoint: str, late: float = 10.0, **trigger):
+    """The started query that writes a row of each closed window (features.windows) to {folder}/windows, exactly as the batch gives it.
+
+    Flows of a micro-batch are staged by slots of windows; a window is closed once a flow of any stream has come that starts `late` seconds after its
+    end.  What has just closed is read back (its slots only) and goes through the batch's aggregates.  Flows that come later reopen their window: it is
+    gathered again with all its flows and written again, under the number of the batch; the highest batch of a window is the whole
+    one.  Every folder is written by batch, so a batch that runs again replaces what it wrote.  What a batch needs to know of earlier ones is
+    in one small table of the batch before: the clock, and each stream's last window with its entropy.
+
+    {folder}/features has the features of windows when they first closed.
     """
     spark = flows.sparkSession
 
-    def told(name: str, before: int) -> DataFrame | None:
-        """A folder's rows of earlier batches; None if there are none."""
+    def told(name: str, number: int) -> DataFrame | None:
+        """A folder's rows of one batch; None if there are none."""
         try:
-            rows = spark.read.parquet(f"{folder}/{name}")
+            return spark.read.parquet(f"{folder}/{name}/batch={number}")
         except AnalysisException:
             return None
-        return rows.filter(F.col("batch") < before)
+
+    def staged(slots: list[int]) -> DataFrame | None:
+        paths = [f"{folder}/flows/slot={k}" for k in slots]
+        there = spark._jvm.org.apache.hadoop.fs.Path
+        there = [p for p in paths if there(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(there(p))]
+        return spark.read.option("basePath", f"{folder}/flows").parquet(*there) if there else None
 
     def close(batch: DataFrame, number: int) -> None:
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-        wid = window_id("start_time", s.dt)
-        batch.withColumn("wid", wid).withColumn("slot", F.floor(F.col("wid") / SLOT)).write.mode("overwrite").partitionBy("slot").parquet(f"{folder}/flows/batch={number}")
-        earlier = told("progress", number)
-        latest, upto = earlier.agg(F.max("latest"), F.max("upto")).first() if earlier is not None else (None, None)
+        batch = batch.withColumn("wid", window_id("start_time", s.dt)).withColumn("slot", F.floor(F.col("wid") / SLOT))
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(f"{folder}/flows")
+        before = told("progress", number - 1)
+        latest, upto = before.first() if before is not None else (None, None)
         now = max((x for x in (batch.agg(F.max("start_time")).first()[0], latest) if x is not None), default=None)
         if now is None:
             return
         closed = int((now - late) // s.dt) - 1
         closed = closed if upto is None else max(closed, upto)
         put(spark.createDataFrame([(float(now), closed)], "latest double, upto long"), "progress")
-        staged = spark.read.parquet(f"{folder}/flows").filter((F.col("batch") <= number) & (F.col("slot") <= closed // SLOT) & (F.col("wid") <= closed))
-        if upto is not None:
-            staged = staged.filter((F.col("slot") >= upto // SLOT) & (F.col("wid") > upto))
-        found = features.features(staged.drop("batch", "slot"), s)
-        # The shift of a stream's first new window is from its last one before.
-        last = told("features", number)
-        if last is not None:
-            last = last.groupBy("stream_id").agg(F.max("wid").alias("wid"), F.max_by("geographic_entropy", "wid").alias("h"))
-            shift = F.abs(F.col("geographic_entropy") - F.coalesce(F.lag("geographic_entropy").over(Window.partitionBy("stream_id").orderBy("wid")), F.col("h"), F.lit(0.0)))
-            found = found.join(last.select("stream_id", "h"), "stream_id", "left").withColumn("geo_distribution_shift_rate", shift).drop("h")
-        put(found, "features")
+        again = stored(batch.filter(F.lit(upto is not None) & (F.col("wid") <= (upto if upto is not None else 0))).select("stream_id", "wid", "slot").distinct(), "reopened")
+        late_slots = sorted(r[0] for r in again.select("slot").distinct().collect())  # slots of one micro-batch
+        tails = told("tails", number - 1)
+        rows = staged(list(range((upto if upto is not None else closed) // SLOT, closed // SLOT + 1)) if upto is not None else _slots(spark, folder, closed // SLOT))
+        found = None
+        if rows is not None:
+            rows = rows.filter((F.col("batch") <= number) & (F.col("wid") <= closed))
+            found = stored(features.windows((rows.filter(F.col("wid") > upto) if upto is not None else rows).drop("batch", "slot"), s), "closed-windows")
+            # The shift of a stream's first new window is from its last one before.
+            fresh = found
+            if tails is not None:
+                shift = F.abs(F.col("geographic_entropy") - F.coalesce(F.lag("geographic_entropy").over(Window.partitionBy("stream_id").orderBy("wid")), F.col("h_"), F.lit(0.0)))
+                fresh = found.join(tails.select("stream_id", F.col("h").alias("h_")), "stream_id", "left").withColumn("geo_distribution_shift_rate", shift).drop("h_")
+            put(fresh.select(*found.columns[:2], "n_flows", *FEATURES), "features")
+            last = found.groupBy("stream_id").agg(F.max("wid").alias("wid"), F.max_by("geographic_entropy", "wid").alias("h"))
+            merged = last if tails is None else last.unionByName(tails).groupBy("stream_id").agg(F.max("wid").alias("wid"), F.max_by("h", "wid").alias("h"))
+            put(merged, "tails")
+            found = fresh
+        elif tails is not None:
+            put(tails, "tails")
+        reopened = staged(late_slots) if late_slots else None
+        if reopened is not None:
+            whole = reopened.filter(F.col("batch") <= number).drop("batch", "slot").join(again.drop("slot"), ["stream_id", "wid"], "left_semi")
+            whole = features.windows(whole, s)
+            found = whole if found is None else found.unionByName(whole)
+        if found is not None:
+            put(found, "windows")
 
     return flows.writeStream.foreachBatch(close).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": f"{s.dt} seconds"})).start()
+
+
+def _slots(spark, folder: str, most: int) -> list[int]:
+    """Slots of staged flows up to one, of the first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/flows")
+    names = [x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return sorted(k for n in names if n.startswith("slot=") and (k := int(n[5:])) <= most)
+
+
+#: The query under its older name.
+features_query = windows_query
