@@ -74,6 +74,8 @@ class Settings:
     theta: float = 5.0
     epsilon: float = 1e-9
     boost: float = 0.2
+    #: (ids in order, how many of them must first appear in that order) of each pattern that earns the boost.
+    templates: tuple[tuple[tuple[str, ...], int], ...] = ((TEMPLATE, 3),)
     alert: float = 0.50
     tier1: float = 0.70
     tier2: float = 0.85

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.config import FEATURES, TEMPLATE, Settings
+from tidewatch.config import FEATURES, Settings
 from tidewatch.functions.scalars import action_text, tier_of
 from tidewatch.operators import mitigate
 from tidewatch.operators.features import KEYS
@@ -32,24 +32,41 @@ def anomaly_events(detected: DataFrame) -> DataFrame:
     return detected.filter("confirmed").select(*KEYS, F.col("feature").alias("feature_id"), "ord", F.least(F.abs("z") / 5.0, F.lit(1.0)).alias("confidence"))
 
 
+def matched(ids: tuple[str, ...], first: dict[str, Column]) -> Column:
+    """How many of a template's ids first appear in its order.
+
+    An automaton over the ids in order of their first appearance, as a fold: the state is (place of the last id matched, number), a step matches the next
+    id if it first appears later.  An id that appears too early can't be matched later, as only first appearances count.
+    """
+    at = F.array(*[F.struct(first[i]["wid"].alias("wid"), first[i]["ord"].cast("int").alias("ord"), first[i].isNotNull().alias("there")) for i in ids])
+    begin = F.struct(F.lit(None).cast("long").alias("wid"), F.lit(None).cast("int").alias("ord"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+    def step(state: Column, x: Column) -> Column:
+        later = state["on"] & x["there"] & (state["wid"].isNull() | (x["wid"] > state["wid"]) | ((x["wid"] == state["wid"]) & (x["ord"] > state["ord"])))
+        return F.struct(x["wid"].alias("wid"), x["ord"].alias("ord"), (state["n"] + later.cast("int")).alias("n"), later.alias("on"))
+
+    return F.aggregate(at, begin, step, lambda state: state["n"])
+
+
 def scores(events: DataFrame, spine: DataFrame, s: Settings) -> DataFrame:
     """(stream_id, wid, score, boosted, tier): capped weighted sum of the events of the last `window` seconds, both ends
-    included, plus the boost where the template's first three ids first appear in order (the fourth can't
-    count before them).  Events become one row a window before the range frame.
+    included, plus the boost where any template's ids first appear in order, as many as it asks for.  Events become one row a window before the range frame.
     """
     t = F.col("wid") * F.lit(round(s.dt * 1000))  # milliseconds: range frames want whole numbers
+    ids = sorted({i for template, _ in s.templates for i in template})
     per = weighted(events, s).groupBy(*KEYS).agg(
         F.sum(F.col("weight") * F.col("confidence")).alias("sum_w"),
-        *[F.min(F.when(F.col("feature_id") == name, F.struct(F.col("wid"), F.col("ord")))).alias(f"at{k}") for k, name in enumerate(TEMPLATE[:3])],
+        *[F.min(F.when(F.col("feature_id") == name, F.struct(F.col("wid"), F.col("ord")))).alias(f"at{k}") for k, name in enumerate(ids)],
     )
     frame = Window.partitionBy("stream_id").orderBy(t).rangeBetween(-round(s.window * 1000), 0)
     out = spine.select(*KEYS).distinct().join(per, KEYS, "left")
     # Sums are rounded where the order of addition can't reach, so that a score on the edge of a tier doesn't depend on partitions.
-    out = out.withColumn("raw", F.least(F.round(F.coalesce(F.sum("sum_w").over(frame), F.lit(0.0)), 12), F.lit(1.0)))
-    for k in range(3):
-        out = out.withColumn(f"first{k}", F.min(f"at{k}").over(frame))
-    ordered = F.coalesce((F.col("first0") < F.col("first1")) & (F.col("first1") < F.col("first2")), F.lit(False))
-    out = out.withColumn("boosted", ordered).withColumn("score", F.when(ordered, F.least(F.col("raw") + s.boost, F.lit(1.0))).otherwise(F.col("raw")))
+    out = out.withColumns({"raw": F.least(F.round(F.coalesce(F.sum("sum_w").over(frame), F.lit(0.0)), 12), F.lit(1.0))} | {f"first{k}": F.min(f"at{k}").over(frame) for k in range(len(ids))})
+    first = {name: F.col(f"first{k}") for k, name in enumerate(ids)}
+    ordered = F.lit(False)
+    for template, least in s.templates:
+        ordered = ordered | (matched(template, first) >= least)
+    out = out.withColumn("boosted", ordered).withColumn("score", F.when(F.col("boosted"), F.least(F.col("raw") + s.boost, F.lit(1.0))).otherwise(F.col("raw")))
     return out.select(*KEYS, "score", "boosted", tier_of("score", s).alias("tier"))
 
 

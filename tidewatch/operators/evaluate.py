@@ -48,10 +48,14 @@ def latency_stats(runs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def roc_points(runs: DataFrame, score: str = "peak_score", truth: str = "detected", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, threshold, tpr, fpr) for 0.50 to 0.99: fifty constants against one pass of counts by score, not against the rows."""
-    c = runs.groupBy(*by, F.col(score).alias("x")).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("n"))
+    """(by, threshold, tpr, fpr) for 0.50 to 0.99.
+
+    A score only counts by the highest threshold it reaches: rows are summed by that place, 51 of them a group whatever the scores."""
+    grid = F.array(*[F.lit(k / 100.0) for k in range(50, 100)])
+    place = F.aggregate(F.array(*map(F.lit, (32, 16, 8, 4, 2, 1))), F.lit(0), lambda at, step: F.when((at + step <= 50) & (F.get(grid, at + step - 1) <= F.col(score)), at + step).otherwise(at))
+    c = runs.groupBy(*by, place.alias("place_")).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("n"))
     grid = c.withColumn("k", F.explode(F.sequence(F.lit(50), F.lit(99)))).withColumn("threshold", F.col("k") / 100.0)
-    hit = F.col("x") >= F.col("threshold")
+    hit = F.col("place_") >= F.col("k") - 49
     out = grid.groupBy(*by, "threshold").agg(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum("p").alias("p"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"), F.sum("n").alias("n"))
     return out.select(*by, "threshold", _ratio(F.col("tp"), F.col("p")).alias("tpr"), _ratio(F.col("fp"), F.col("n")).alias("fpr"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import Settings
@@ -76,17 +76,14 @@ def counted_alerts(scored: DataFrame, s: Settings) -> DataFrame:
 
 
 def latched_tier(scored: DataFrame, s: Settings) -> DataFrame:
-    """(stream_id, wid, score, tier): the older engine's latch, where a score in [release3, tier1) keeps the tier."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("wid")
-        cur, out = 0, []
-        for x in pdf["score"].tolist():
-            cur = 3 if x >= s.tier3 else max(cur, 2) if x >= s.tier2 else max(cur, 1) if x >= s.tier1 else 0 if x < s.release3 else cur
-            out.append(cur)
-        return pd.DataFrame({"stream_id": pdf["stream_id"], "wid": pdf["wid"], "score": pdf["score"], "tier": np.array(out, np.int32)})
-
-    return by_key(scored.select("stream_id", "wid", "score"), ["stream_id"], run, "stream_id string, wid long, score double, tier int")
+    """(stream_id, wid, score, tier): the older engine's latch, where a score in [release3, tier1) keeps the tier.
+
+    That is the highest tier asked for since the last score below release3."""
+    order = Window.partitionBy("stream_id").orderBy("wid")
+    low = F.sum((F.col("score") < s.release3).cast("int")).over(order)
+    asked = F.when(F.col("score") >= s.tier3, 3).when(F.col("score") >= s.tier2, 2).when(F.col("score") >= s.tier1, 1).otherwise(0)
+    rows = scored.select("stream_id", "wid", "score", low.alias("low_"), asked.alias("asked_"))
+    return rows.select("stream_id", "wid", "score", F.max("asked_").over(Window.partitionBy("stream_id", "low_").orderBy("wid")).alias("tier"))
 
 
 def first_detection(scored: DataFrame, attack_start: float, s: Settings) -> DataFrame:

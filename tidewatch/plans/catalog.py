@@ -5,19 +5,22 @@ A query takes (spark, sf_dir).  Doubles are rounded alike on both sides.  SEED w
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import FEATURES, Settings
 from tidewatch.functions import scalars
-from tidewatch.operators import baseline, capture, correlate, evaluate, features, mitigate, packets, prefix, rules, scan, simulate
+from tidewatch.operators import asof, baseline, capture, correlate, evaluate, features, mitigate, packets, prefix, ranges, rules, scan, simulate
 from tidewatch.plans import detector, experiments, twins
 from tidewatch.plans.twins import FLOWS, LONG, ORDER_FLOWS, RULE_EVENTS, SHIFT, build, rounded
 from tidewatch.sources import telemetry
 from tidewatch.sources.adapters import event_flows, micros, order_flows, table
-from tidewatch.storage import stored
+from tidewatch.storage import shared_folder, stored
+from tidewatch.streaming import detector as online
 
 #: Hourly windows; thresholds fit the sparse event table, where a source sends a few requests an hour (a start rate of about one in
 #: half an hour) and windows hold some tens of flows: on it every rule fires in some windows and not in others.
@@ -293,6 +296,45 @@ def _(spark, d):
     return _round(out, "request_rate", digits=4, shift=SHIFT)
 
 
+@_query("stream_detection", build(*STEPS, twins.machine(S, "scored_live"), recursive=True) + "SELECT stream_id, wid, round(score, 5) AS score, CAST(tier AS INTEGER) AS tier FROM fsm WHERE wid < (SELECT max(wid) FROM feats)")
+def _(spark, d):
+    """The streaming detector over flows that come in three files, one a micro-batch; every window but the last closes."""
+    folder = f"{shared_folder(spark)}/tidewatch/stream-{uuid.uuid4().hex}"
+    _flows(spark, d).drop("wid").repartitionByRange(3, "start_time").write.parquet(f"{folder}/in")
+    flows = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for q in online.start(flows, folder, S, f"{folder}/check", late=0.0, seed_windows=SEED, availableNow=True):
+        q.awaitTermination()
+    found = online.latest(spark.read.parquet(f"{folder}/results"))
+    return _round(found.select(*KEYS, "score", F.col("current_tier").alias("tier")), "score", digits=5)
+
+
+#: Patterns of two to six ids.
+TEMPLATES = (
+    (("incomplete_handshake_spike", "distributed_connection_burst"), 2),
+    (("user_agent_homogeneity", "session_duration_anomaly", "incomplete_handshake_spike", "per_source_request_spike"), 3),
+    (("session_duration_anomaly", "incomplete_handshake_spike", "synchronized_request_timing", "user_agent_homogeneity", "per_source_request_spike", "distributed_connection_burst"), 5),
+)
+
+
+def _prefix_sql(ids) -> str:
+    """Length of the longest beginning of ids whose first appearances rise, as SQL over f_<id>."""
+    chain, out = "true", []
+    for k, i in enumerate(ids):
+        chain = f"f_{i} IS NOT NULL" if k == 0 else f"{chain} AND f_{i} > f_{ids[k - 1]}"
+        out.append(f"CASE WHEN coalesce({chain}, false) THEN 1 ELSE 0 END")
+    return " + ".join(out)
+
+
+_IDS = sorted({i for ids, _ in TEMPLATES for i in ids})
+_FIRSTS = ", ".join(f"min(p.wid * 100 + p.ord) FILTER (p.feature_id = '{i}') AS f_{i}" for i in _IDS)
+
+
+@_query("template_list", build(*RULES_SQL, f"firsts AS (SELECT s.stream_id, s.wid, {_FIRSTS} FROM (SELECT DISTINCT stream_id, wid FROM feats) s LEFT JOIN rule_events p ON p.stream_id = s.stream_id AND p.wid * {S.dt} BETWEEN s.wid * {S.dt} - {S.window} AND s.wid * {S.dt} GROUP BY ALL)", recursive=True) + "SELECT stream_id, wid, " + " OR ".join(f"{_prefix_sql(ids)} >= {least}" for ids, least in TEMPLATES) + " AS boosted FROM firsts")
+def _(spark, d):
+    windows = stored(_windows(spark, d), "windows")
+    return correlate.scores(rules.rule_events(windows, S), windows.select(*KEYS), replace(S, templates=TEMPLATES)).select(*KEYS, "boosted")
+
+
 # -- response ---------------------------------------------------------------------------------------------
 
 
@@ -427,6 +469,45 @@ def _(spark, d):
     return _round(out.select("key", "event_id", "z", "accumulator", "confirmed"), "z", "accumulator", digits=5)
 
 
+_SNAPSHOTS = "snaps AS (SELECT user_id % 4 AS feature, epoch_us(ts) AS t, avg(value) AS mean, count(*) AS n FROM events WHERE event_id % 20 = 3 GROUP BY ALL)"
+
+
+@_query("baseline_asof", build(_SNAPSHOTS) + "SELECT e.event_id, e.user_id % 4 AS feature, s.t AS matched_t, round(s.mean, 6) AS mean, s.n AS n, round(e.value - s.mean, 6) AS off FROM (SELECT *, epoch_us(ts) AS t FROM events) e ASOF LEFT JOIN snaps s ON e.user_id % 4 = s.feature AND e.t >= s.t")
+def _(spark, d):
+    """Each value against the newest baseline snapshot of its feature at that time."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 4).alias("feature"), micros().alias("t"), "value")
+    snaps = e.filter("event_id % 20 = 3").groupBy("feature", "t").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    out = asof.asof_join(e, snaps, ["feature"], "t", ["mean", "n"])
+    return _round(out.select("event_id", "feature", "matched_t", "mean", "n", (F.col("value") - F.col("mean")).alias("off")), "mean", "off")
+
+
+#: Address ranges of customers: long and short, some inside others.
+_RANGES = "ranges AS (SELECT c_custkey AS range_id, 167772160 + c_custkey * 7919 % 262144 AS low, 167772160 + c_custkey * 7919 % 262144 + CASE WHEN c_custkey % 50 = 0 THEN 20000 ELSE c_custkey % 60 END AS high FROM customer)"
+
+
+def _ranges(spark, d) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("range_id"))
+    low = F.lit(167772160) + F.col("range_id") * 7919 % 262144
+    return c.select("range_id", low.alias("low"), (low + F.when(F.col("range_id") % 50 == 0, 20000).otherwise(F.col("range_id") % 60)).alias("high"))
+
+
+@_query("ip_range_table", build(FLOWS, _RANGES, "ips AS (SELECT *, list_reduce([CAST(x AS BIGINT) for x in string_split(src_ip, '.')], lambda a, b: a * 256 + b) AS ip FROM flows)") + "SELECT range_id, count(*) AS flows, CAST(sum(bytes_sent) AS BIGINT) AS bytes, count(DISTINCT src_ip) AS sources FROM ips JOIN ranges ON ip BETWEEN low AND high GROUP BY ALL")
+def _(spark, d):
+    """Flows of each address range, from a table of ranges as large as it may be."""
+    by = _flows(spark, d).groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("b")).withColumn("ip", ranges.ip_number("src_ip"))
+    found = ranges.range_join(by, _ranges(spark, d), "ip", "low", "high")
+    return found.groupBy("range_id").agg(F.sum("n").alias("flows"), F.sum("b").alias("bytes"), F.count(F.lit(1)).alias("sources"))
+
+
+@_query("flow_range_overlap", "WITH a AS (SELECT event_id, user_id % 20 AS k, epoch_us(ts) AS b, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS e FROM events), r AS (SELECT event_id AS range_id, user_id % 20 AS k, epoch_us(ts) AS low, epoch_us(ts) + CASE WHEN event_id % 97 = 0 THEN 40000000000 ELSE 600000000 END AS high FROM events WHERE event_id % 7 = 0) SELECT range_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM a JOIN r ON a.k = r.k AND b <= high AND e >= low GROUP BY ALL")
+def _(spark, d):
+    """Intervals of flows that overlap watched intervals of their group."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("k"), micros().alias("b"), "value")
+    a = e.select("event_id", "k", "b", (F.col("b") + F.floor(F.col("value") * 60000000)).alias("e"))
+    watched = e.filter("event_id % 7 = 0").select(F.col("event_id").alias("range_id"), "k", F.col("b").alias("low"), (F.col("b") + F.when(F.col("event_id") % 97 == 0, 40000000000).otherwise(600000000)).alias("high"))
+    return ranges.overlap_join(a, watched, "b", "e", "low", "high", ["k"]).groupBy("range_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
+
+
 #: Windows of six hours over packets of three streams, some of which come late, forgotten after ten idle hours.
 CAPTURE_DT, CAPTURE_IDLE = 21_600.0, 36_000.0
 _CAPTURED = "cap AS MATERIALIZED (SELECT 's' || event_id % 3 AS stream_id, seq, ts + event_id * 7919 % 11 * 600 AS ts, src_ip, sport, f, length FROM (SELECT seq AS event_id, * FROM packets))"

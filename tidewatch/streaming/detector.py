@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.config import FEATURES, RULES, TEMPLATE, Settings
+from tidewatch.config import FEATURES, RULES, Settings
 from tidewatch.operators import rules
 from tidewatch.operators.mitigate import Responder
 from tidewatch.operators.scan import seed_of
@@ -102,6 +102,16 @@ class Online:
         self.rate = s.rate_smoothing * (row["mean_rate"] if over is None else over) + (1 - s.rate_smoothing) * self.rate
         return over is not None
 
+    def _matched(self, ids: tuple[str, ...]) -> int:
+        """How many of a template's ids first appear in its order."""
+        at, n = (float("-inf"), 0), 0
+        for name in ids:
+            first = min(((e[0], e[1]) for e in self.events if e[2] == name), default=None)
+            if first is None or first <= at:
+                break
+            at, n = first, n + 1
+        return n
+
     def step(self, row: dict) -> tuple | None:
         """(score, boosted, tier, top anomaly, events) of the next window; None while the baseline is seeded."""
         s, wid = self.s, row["wid"]
@@ -130,8 +140,7 @@ class Online:
         ring = [e for e in self.events if e[0] * s.dt >= wid * s.dt - s.window]
         self.events = ring + [[wid, place, name, s.weights.get(name, s.default_weight) * sure] for name, place, sure in now]
         raw = min(round(sum(e[3] for e in self.events), 12), 1.0)
-        at = [min(((e[0], e[1]) for e in self.events if e[2] == name), default=None) for name in TEMPLATE[:3]]
-        boosted = None not in at and at[0] < at[1] < at[2]
+        boosted = any(self._matched(ids) >= least for ids, least in s.templates)
         score = min(raw + s.boost, 1.0) if boosted else raw
         best = max((k for k in range(len(FEATURES)) if self.level[k] > 0), key=lambda k: (round(float(self.level[k]), 6), -k), default=None)
         return score, boosted, self.machine.step(wid * s.dt, score), first or (None if best is None else FEATURES[best]), len(now)
