@@ -210,3 +210,115 @@ def test_comparisons_run_at_full_size(spark, sf):
         catalog.queries()["bootstrap_ci"](spark, sf)
         catalog.queries()["random_forest"](spark, sf)
     assert seen == {"rounds": 10_000, "trees": 100, "depth": 10}
+
+
+def test_telemetry_is_compacted_and_dropped_by_day(spark, tmp_path):
+    folder, day = str(tmp_path / "t"), 86_400.0
+    frame = lambda rows: spark.createDataFrame(rows, "ts double, score double").coalesce(1)
+    read = lambda: sorted((r["ts"], r["score"]) for r in telemetry.read(spark, folder, "scores").collect())
+    assert read() == [] and telemetry.compact(spark, folder, "scores") == 0
+    rows = []
+    for k in range(12):
+        part = [(day * (k % 3) + k, k / 10), (day * (k % 3) + k, k / 10)]  # repeated rows stay
+        rows += part
+        telemetry._write(frame(part), "scores", f"{folder}/scores/batch=stream7-{k}", "overwrite")
+    telemetry.append(frame([(5.0, 0.5)]), folder, "scores")
+    before = telemetry.read(spark, folder, "scores")  # a reader that began earlier
+    assert telemetry.compact(spark, folder, "scores") == 13
+    rows.append((5.0, 0.5))
+    assert read() == sorted(rows)
+    telemetry._write(frame(rows[22:24]), "scores", f"{folder}/scores/batch=stream7-11", "overwrite")  # runs again after a failure
+    telemetry.append(frame([(6.0, 0.6)]), folder, "scores")
+    rows.append((6.0, 0.6))
+    assert read() == sorted(rows)
+    _, said = telemetry._manifest(spark, folder, "scores")
+    files_a_day = [len(list(d.glob("*.parquet"))) for d in (tmp_path / "t/scores" / said["compacted"][0]).glob("day=*")]
+    assert files_a_day == [1, 1, 1] and before.schema == telemetry.read(spark, folder, "scores").schema
+    assert telemetry.compact(spark, folder, "scores", most=1) == 1  # merges the first compacted folder too
+    assert read() == sorted(rows) and len(telemetry._manifest(spark, folder, "scores")[1]["compacted"]) == 1
+    telemetry.retain(spark, folder, "scores", "1970-01-02")
+    rows = [r for r in rows if r[0] >= day]
+    assert read() == sorted(rows)
+    telemetry.clean(spark, folder, "scores")
+    assert read() == sorted(rows)
+    assert not list((tmp_path / "t/scores").glob("batch=stream*")) and not list((tmp_path / "t/scores").glob("batch=*/day=1970-01-01"))
+    number, said = telemetry._manifest(spark, folder, "scores")
+    with pytest.raises(RuntimeError, match="was first"):
+        telemetry._publish(spark, folder, "scores", number, said)
+
+
+def test_exact_bootstrap_draws_as_many_as_there_are(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, k, float(x)) for g, n in (("a", 1), ("b", 300), ("c", 41)) for k, x in enumerate(rng.normal(5, 2, n))]
+    df = spark.createDataFrame([*rows, ("b", 999, None)], "g string, k int, x double")
+    for size in (32, 1 << 15):
+        sums = evaluate.bootstrap_sums(df, "x", ["g"], ["k"], 200, size=size).collect()
+        assert len(sums) == 600 and {(r["g"], r["draws"]) for r in sums} == {("a", 1), ("b", 300), ("c", 41)}
+        assert {r["round"] for r in sums} == set(range(200))
+    again = evaluate.bootstrap_sums(df.repartition(5), "x", ["g"], ["k"], 200, size=32).collect()
+    first = evaluate.bootstrap_sums(df, "x", ["g"], ["k"], 200, size=32).collect()
+    key = lambda r: (r["g"], r["round"])
+    np.testing.assert_allclose([r["total"] for r in sorted(again, key=key)], [r["total"] for r in sorted(first, key=key)])
+    got = {r["g"]: r for r in evaluate.bootstrap_exact(df, "x", ["g"], ["k"], rounds=3000, size=64).collect()}
+    for g in ("a", "b", "c"):
+        x = np.array([v for a, _, v in rows if a == g])
+        means = np.random.default_rng(9).choice(x, (3000, len(x))).mean(axis=1)
+        assert abs(got[g]["low"] - np.percentile(means, 2.5)) < 0.1 * x.std() + 1e-9 and abs(got[g]["high"] - np.percentile(means, 97.5)) < 0.1 * x.std() + 1e-9
+
+
+def test_counted_quantiles_equal_sorted_ones(spark):
+    from tidewatch.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(6)
+    data = {"a": rng.normal(0, 50, 500), "b": np.array([3.0]), "c": np.repeat([1.5, -2.0, 1e9], 70), "d": np.array([-1.0, 1.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs] + [("a", None)], "g string, x double")
+    shares = {"q0": 0.0, "q1": 0.25, "q5": 0.5, "q95": 0.95, "q100": 1.0}
+    got = {r["g"]: r for r in quantiles(df, ["g"], "x", shares).collect()}
+    for g, x in data.items():
+        np.testing.assert_allclose([got[g][n] for n in shares], [np.quantile(x, p) for p in shares.values()], rtol=1e-12)
+
+
+@pytest.mark.parametrize("size", [5, 1 << 16])
+def test_asof_join_equals_a_plain_look_up(spark, size):
+    from tidewatch.operators.asof import asof_join
+
+    rng = np.random.default_rng(7)
+    hist = [(int(g), float(t), float(v)) for g, t, v in zip(rng.integers(3, size=120), rng.integers(0, 200, 120), rng.normal(size=120), strict=True)]
+    left = [(k, int(g), float(t)) for k, (g, t) in enumerate(zip(rng.integers(4, size=150), rng.integers(-5, 220, 150), strict=True))] + [(900, None, 5.0), (901, 1, None), (902, 0, 7.0), (902, 0, 7.0)]
+    got = asof_join(spark.createDataFrame(left, "id int, g int, t double").withColumn("value_", F.lit("clash")), spark.createDataFrame([*hist, (None, 1.0, 1.0), (1, None, 1.0)], "g int, t double, v double"), ["g"], "t", ["v"], size).collect()
+    assert len(got) == len(left)
+    for r in got:
+        own = [(t, v) for g, t, v in hist if g == r["g"] and r["t"] is not None and t <= r["t"]]
+        assert (r["matched_t"], r["v"]) == (max(own) if own else (None, None))
+
+
+def test_range_joins_equal_comparing_all(spark):
+    from tidewatch.operators import ranges
+
+    rng = np.random.default_rng(8)
+    table = [(k, int(a), int(a + (n if k % 9 else 5000))) for k, (a, n) in enumerate(zip(rng.integers(-3000, 9000, 200), rng.integers(0, 60, 200), strict=True))] + [(500, 10, 5), (501, None, 3)]
+    points = [(k, int(x)) for k, x in enumerate(rng.integers(-3500, 10000, 300))] + [(900, None)]
+    r = spark.createDataFrame(table, "r int, low long, high long")
+    got = ranges.range_join(spark.createDataFrame(points, "p int, x long"), r, "x", "low", "high").select("p", "r").collect()
+    good = [t for t in table if t[1] is not None and t[1] <= t[2]]
+    assert sorted(map(tuple, got)) == sorted((p, k) for p, x in points if x is not None for k, a, b in good if a <= x <= b)
+    spans = [(k, x, x + int(n)) for (k, x), n in zip(points[:-1], rng.integers(0, 700, 300), strict=True)]
+    both = ranges.overlap_join(spark.createDataFrame(spans, "p int, b long, e long"), r, "b", "e", "low", "high").select("p", "r").collect()
+    assert sorted(map(tuple, both)) == sorted((p, k) for p, b, e in spans for k, low, high in good if b <= high and e >= low)
+    assert ranges.range_join(spark.createDataFrame(points, "p int, x long"), r.limit(0), "x", "low", "high").count() == 0
+    ips = [row[0] for row in spark.createDataFrame([("10.0.0.1",), ("1.2.3",), ("a.b.c.d",), (None,), ("1.2.3.256",)], "ip string").select(ranges.ip_number("ip")).collect()]
+    assert ips == [167772161, None, None, None, None]
+
+
+def test_a_large_table_of_ranges_needs_no_nested_loop(spark):
+    from tidewatch.operators import ranges
+
+    r = spark.range(1_000_000).select(F.col("id").alias("r"), (F.col("id") * 17).alias("low"), (F.col("id") * 17 + F.when(F.col("id") % 1000 == 0, 5000).otherwise(20)).alias("high"))
+    points = spark.range(50_000).select((F.col("id") * 331).alias("x"))
+    found = ranges.range_join(points, r, "x", "low", "high")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    x = np.arange(50_000) * 331
+    k = np.arange(1_000_000)
+    low, high = k * 17, k * 17 + np.where(k % 1000 == 0, 5000, 20)
+    assert found.count() == int((np.searchsorted(low, x, "right") - np.searchsorted(np.sort(high), x, "left")).sum())

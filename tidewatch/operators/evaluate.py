@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators.quantiles import quantiles
+from tidewatch.storage import stored
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -41,10 +46,9 @@ def metrics(runs: DataFrame, by: str | None = "scenario_id") -> DataFrame:
 
 def latency_stats(runs: DataFrame, by: list[str]) -> DataFrame:
     x = F.col("latency")
-    return runs.filter(x.isNotNull()).groupBy(*by).agg(
-        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.95).alias("p95"), F.percentile(x, 0.99).alias("p99"),
-    )
+    rows = runs.filter(x.isNotNull())
+    plain = rows.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return plain.join(quantiles(rows, by, "latency", {"median": 0.5, "p95": 0.95, "p99": 0.99}), by)
 
 
 def roc_points(runs: DataFrame, score: str = "peak_score", truth: str = "detected", by: tuple[str, ...] = ()) -> DataFrame:
@@ -94,6 +98,59 @@ def bootstrap(values: DataFrame, column: str, by: list[str], key: list[str], rou
     return out.join(n, by).select(*by, *[F.when(one, F.col("only_")).otherwise(F.col(c)).alias(c) for c in ("low", "high")], "rounds")
 
 
+#: Rows of a part of bootstrap_exact, and rounds drawn at once.
+PART, ROUNDS_AT_ONCE = 1 << 15, 64
+
+
+def bootstrap_sums(values: DataFrame, column: str, by: list[str], key: list[str], rounds: int, seed: int = 42, size: int = PART) -> DataFrame:
+    """(by, round, draws, total): the number and the sum of what each round draws, with replacement, from its group.
+
+    Exactly as many are drawn as the group has.  Draws are dealt to the parts of a group (by hash of the key) by conditional
+    binomials, a row a part; within a part they fall on its rows by a multinomial, and only sums leave it.  Generators are seeded by group, part
+    and block of rounds and rows are put in order of their key, so reruns agree.
+    """
+    whole = values.filter(F.col(column).isNotNull()).select(*by, F.concat_ws(":", *key).alias("key_"), F.col(column).cast("double").alias("x_"))
+    counts = whole.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts_"))
+    rows = stored(whole.join(counts, by).withColumn("part_", F.pmod(F.xxhash64("key_"), F.col("parts_"))).drop("parts_"), "bootstrap-rows")
+    sizes = rows.groupBy(*by, "part_").agg(F.count(F.lit(1)).alias("n_"))
+    blocks = -(-rounds // ROUNDS_AT_ONCE)
+    named = [rows.schema[b] for b in by]
+    group = F.xxhash64(*by) if by else F.lit(0).cast("long")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part_")
+        n, block = pdf["n_"].to_numpy(np.int64), int(pdf["block_"].iloc[0])
+        rng = np.random.default_rng([seed, int(pdf["group_"].iloc[0]) & (2**63 - 1), block])
+        left, ahead, out = np.full(min(ROUNDS_AT_ONCE, rounds - block * ROUNDS_AT_ONCE), n.sum()), n.sum(), []
+        for k in n.tolist():
+            out.append(rng.binomial(left, k / ahead) if k < ahead else left.copy())
+            left, ahead = left - out[-1], ahead - k
+        return pdf[[*by, "part_", "block_"]].assign(draws_=[d.tolist() for d in out])
+
+    every = sizes.withColumn("group_", group).withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = every.groupBy(*by, "block_").applyInPandas(deal, T.StructType([*named, T.StructField("part_", T.LongType()), T.StructField("block_", T.IntegerType()), T.StructField("draws_", T.ArrayType(T.LongType()))]))
+
+    def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x = left.sort_values(["key_", "x_"])["x_"].to_numpy(float)
+        out = []
+        for part, block, draws, at in zip(right["part_"], right["block_"], right["draws_"], right["group_"], strict=True):
+            rng = np.random.default_rng([seed, int(at) & (2**63 - 1), int(block), int(part) + 1])
+            out.append([float(np.bincount(rng.integers(len(x), size=d), minlength=len(x)) @ x) for d in draws])
+        return right[[*by, "block_", "draws_"]].assign(totals_=out)
+
+    kinds = T.StructType([*named, T.StructField("block_", T.IntegerType()), T.StructField("draws_", T.ArrayType(T.LongType())), T.StructField("totals_", T.ArrayType(T.DoubleType()))])
+    drawn = rows.groupBy(*by, "part_").cogroup(dealt.withColumn("group_", group).groupBy(*by, "part_")).applyInPandas(draw, kinds)
+    each = drawn.select(*by, "block_", F.posexplode(F.arrays_zip("draws_", "totals_")).alias("k_", "z_"))
+    return each.groupBy(*by, (F.col("block_") * ROUNDS_AT_ONCE + F.col("k_")).alias("round")).agg(F.sum("z_.draws_").alias("draws"), F.sum("z_.totals_").alias("total"))
+
+
+def bootstrap_exact(values: DataFrame, column: str, by: list[str], key: list[str], rounds: int = 10_000, level: float = 0.95, seed: int = 42, size: int = PART) -> DataFrame:
+    """(by, low, high, rounds, draws): percentile interval of the mean over rounds that draw exactly n of n; a group of one value has that value as both."""
+    means = bootstrap_sums(values, column, by, key, rounds, seed, size).withColumn("mean", F.col("total") / F.col("draws"))
+    low = (1 - level) / 2
+    return means.groupBy(*by).agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"), F.count(F.lit(1)).alias("rounds"), F.min("draws").alias("least_draws"), F.max("draws").alias("most_draws"))
+
+
 def effectiveness(runs: DataFrame) -> DataFrame:
     """Relative reduction (percent, 0 to 100) of the mean peak by mitigation; rows (mitigated, peak_score)."""
     m = runs.agg(F.avg(F.when(~F.col("mitigated"), F.col("peak_score"))).alias("a"), F.avg(F.when(F.col("mitigated"), F.col("peak_score"))).alias("b"))

@@ -654,6 +654,12 @@ def _(spark, d):
     return _round(evaluate.bootstrap(_runs(spark, d), "peak_score", ["scenario_id"], ["scenario_id", "user_id"], rounds=10_000), "low", "high")
 
 
+@_query("bootstrap_exact")
+def _(spark, d):
+    """Intervals of rounds that draw exactly as many runs as there are."""
+    return evaluate.bootstrap_exact(_runs(spark, d), "peak_score", ["scenario_id"], ["scenario_id", "user_id"])
+
+
 @_query("random_forest")
 def _(spark, d):
     cases = stored(_feats(spark, d).withColumn("label", F.expr(_ATTACK)).withColumn("case", F.col("wid")), "cases")
