@@ -646,6 +646,34 @@ def _(spark, d):
     return _round(evaluate.macro(evaluate.outcome_counts(_wave(spark, d), F.expr(_ATTACK))), "precision", "recall", "specificity", "f1", "latency_windows")
 
 
+#: Files of labelled flows: the injected bursts are attacks (status 0), all else is benign.
+_LABELLED = FLOWS.replace("flows AS", "labelled AS", 1)
+_LABEL = "labels_ AS MATERIALIZED (SELECT * REPLACE (CASE WHEN %s THEN 0 ELSE 200 END AS response_status) FROM labelled)" % _ATTACK
+_BENIGN = f"benign AS MATERIALIZED (WITH flows AS (SELECT * FROM labels_ WHERE response_status = 200), {twins.features(S)} SELECT * FROM feats)"
+_NUMBERED = "flows AS MATERIALIZED (SELECT * REPLACE (dense_rank() OVER (PARTITION BY stream_id ORDER BY wid) AS wid) FROM labels_)"
+_EASED = f"""learnt AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id, feature ORDER BY wid) AS rn FROM ({" UNION ALL ".join(f"SELECT stream_id, wid, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM benign" for f in FEATURES)})),
+easing AS (SELECT stream_id, feature, rn, value AS m, 0.0::DOUBLE AS v FROM learnt WHERE rn = 1
+  UNION ALL SELECT e.stream_id, e.feature, l.rn, {S.alpha} * l.value + {1 - S.alpha} * e.m, {S.alpha} * power(l.value - ({S.alpha} * l.value + {1 - S.alpha} * e.m), 2) + {1 - S.alpha} * e.v FROM easing e JOIN learnt l ON l.stream_id = e.stream_id AND l.feature = e.feature AND l.rn = e.rn + 1 AND l.rn <= {SEED}),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id, feature ORDER BY wid) AS rn FROM long),
+seed AS MATERIALIZED (SELECT stream_id, feature, arg_max(m, rn) AS seed_mean, arg_max(v, rn) AS seed_var FROM easing GROUP BY ALL)"""
+_JUDGED = """truth AS (SELECT stream_id, wid, bool_or(response_status = 0) AS attack FROM flows GROUP BY ALL),
+judged AS (SELECT stream_id, count(*) FILTER (score >= 0.7 AND attack) AS tp, count(*) FILTER (score >= 0.7 AND NOT attack) AS fp, count(*) FILTER (score < 0.7 AND attack) AS fn, count(*) FILTER (score < 0.7 AND NOT attack) AS tn,
+  min(wid) FILTER (score >= 0.7 AND attack) - min(wid) FILTER (attack) AS late FROM scored JOIN truth USING (stream_id, wid) GROUP BY ALL),
+rated AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM judged),
+per_file AS (SELECT stream_id, tp, fp, fn, tn, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f, late * %s::DOUBLE AS late FROM rated)""" % S.dt
+
+
+@_query(
+    "labelled_files",
+    build(_LABELLED, _LABEL, _BENIGN, _NUMBERED, twins.features(S), LONG, _EASED, twins.detected(S, 0), twins.rules(S), twins.spikes(S), RULE_EVENTS, twins.weights(S), "all_events AS MATERIALIZED (SELECT stream_id, wid, feature AS feature_id, ord, least(abs(z) / 5.0::DOUBLE, 1) AS confidence FROM det WHERE accumulator > %s UNION ALL SELECT * FROM rule_events)" % S.theta, twins.scored(S, "all_events"), _JUDGED, recursive=True)
+    + "SELECT stream_id, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, late AS latency_seconds, tp + fp + fn + tn AS windows FROM per_file UNION ALL SELECT NULL, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), CAST(sum(tn) AS BIGINT), round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), avg(late), CAST(sum(tp + fp + fn + tn) AS BIGINT) FROM per_file",
+)
+def _(spark, d):
+    """Evaluation over labelled files: baselines from each file's first benign windows, then every window is a step."""
+    flows = _flows(spark, d).withColumn("response_status", F.when(F.expr(_ATTACK), 0).otherwise(200))
+    return _round(experiments.evaluate_files(flows, S, SEED), "precision", "recall", "f1")
+
+
 _COPIES = " + ".join(f"(u > {c!r}::DOUBLE)::INTEGER" for c in evaluate.POISSON)
 
 
