@@ -187,3 +187,27 @@ def test_rows_older_than_the_replay_are_told(spark, tmp_path):
             q.awaitTermination(300)
     got = spark.read.parquet(str(tmp_path / "out/results"))
     assert {(r["stream_id"], r["wid"]) for r in got.filter("too_late").collect()} == {(r[0], int(r[4] // 5)) for r in early}
+
+
+def test_snapshots_of_live_flows_equal_a_plain_loop(spark, tmp_path):
+    from tidewatch.streaming.snapshots import snapshot_stream, updated
+
+    rng, rows, t = np.random.default_rng(3), [], 1000.0
+    for seq in range(400):
+        t += float(rng.choice([0.05, 0.3, 1.0, 4.0, 30.0], p=[0.4, 0.3, 0.2, 0.08, 0.02]))
+        rows.append((round(t - float(rng.choice([0, 0, 1.5])), 3), seq, f"10.0.0.{rng.integers(4)}", int(rng.integers(3)), "10.9.9.9", 80, 6, int(rng.choice([2, 18, 16, 1, 3, 24])), int(rng.integers(1500))))
+    end = t + 300
+    schema = "ts double, seq long, src_ip string, sport int, dst_ip string, dport int, proto_num int, tcp_flags int, length long"
+    for k, part in enumerate([*(rows[j : j + 100] for j in range(0, 400, 100)), [(end, 1000, "x", 1, "y", 2, 6, 2, 1)], [(end + 60, 1001, "x", 1, "y", 2, 6, 2, 1)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        snapshot_stream(src).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(200)
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).filter("src_ip <> 'x'").collect()}
+    want, table, rest = set(), {}, sorted(rows)
+    for tick in range(int(rows[0][0] // 5), int(end // 5)):
+        while rest and rest[0][0] < tick * 5:
+            ts, _, src, sport, dst, dport, proto, flags, length = rest.pop(0)
+            table[src, sport, dst, dport, proto] = updated(table.get((src, sport, dst, dport, proto)), ts, flags, length)
+        table = {k: v for k, v in table.items() if tick * 5 - v[1] <= 60}
+        want |= {(tick, *k, *v[:6], max(1, v[3] // 3)) for k, v in table.items()}
+    assert got == want and len(want) > 300
