@@ -242,8 +242,8 @@ def _across(inside: DataFrame, threshold: int, limit: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys' buckets that hold several components."""
-    return rows.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(*keys)
+    """The keys' buckets that hold several components; written, so that the join with them is one whose large partitions Spark can split."""
+    return stored(rows.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(*keys), "neardup-mixed")
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -283,7 +283,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
         if buckets.any:
             hot = inside.join(buckets.hot, "band", "left_semi")
             fine = hot.select("doc_id", "component", "n_shingles", "sketch", "shingles", F.explode(F.transform("fine", lambda f: F.xxhash64("band", f))).alias("band"))
-            parted = stored(fine.join(_mixed(fine, ["band"]), "band"), "neardup-fine")
+            parted = stored(fine.join(_mixed(fine.select("band", "component"), ["band"]), "band"), "neardup-fine")
             inside = inside.join(buckets.hot, "band", "left_anti")
         links = links.unionByName(_across(inside.drop("fine"), threshold, limit))
         if parted is not None:
