@@ -172,7 +172,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, threshold=85):
     ids = sorted({i for i, _ in rows if i is not None})
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     parent = {i: i for i in ids}
@@ -184,7 +184,7 @@ def brute_components(rows):
 
     for x, (i, a) in enumerate(sets):
         for j, b in sets[x + 1 :]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= threshold * len(a | b):
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
     return {i: find(i) for i in ids}

@@ -195,3 +195,22 @@ def checked(spark, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("rank")
     both = both.withColumn("before", F.lag("score").over(order)).withColumn("near", near)
     return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.bool_and((F.col("before").isNull()) | (F.col("before") >= F.col("score"))).alias("ranked"), F.bool_and("near").alias("exact"))
+
+
+RECALL_SQL = """WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, string_agg(vec_id, ',' ORDER BY rank) AS nearest, round(min(score), 9) AS least_score, true AS recalled FROM r WHERE rank <= 5 GROUP BY query_id"""
+
+
+def recall(spark, sf_dir: str) -> DataFrame:
+    """The true neighbours of op9's queries, by visiting every file and row, and whether op9's hold nine tenths of them over all queries."""
+    rows, kind, d = packed(load(spark, sf_dir, "embeddings"))
+    rows = stored(rows.filter("vec_id IS NOT NULL AND packed IS NOT NULL").dropDuplicates(["vec_id", "packed"]), "permutation-rows")
+    pivots = fit_pivots(rows, kind, d)
+    true = _visit(rows, rows.filter("vec_id % 50 = 0"), pivots, kind, d, 5, 1.0, len(pivots))
+    hits = true.join(query(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    share = stored(hits.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled")), "permutation-recall", 1)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda r: r["vec_id"].cast("string")), ",")
+    per = true.groupBy("query_id").agg(listed.alias("nearest"), F.round(F.min("score"), 9).alias("least_score"))
+    return per.withColumn("one", F.lit(1)).join(F.broadcast(share.withColumn("one", F.lit(1))), "one").drop("one")

@@ -28,6 +28,7 @@ PARTS = {
     "language_model_base": ("suffixlm", "base", "BASE_SQL"),
     "mixing_targets": ("mixing", "target_query", "TARGETS_SQL"),
     "neighbours_checked": ("permindex", "checked", "CHECKED_SQL"),
+    "neighbours_recall": ("permindex", "recall", "RECALL_SQL"),
 }
 
 
