@@ -16,9 +16,9 @@ from tidewatch.schema import FLOW_COLUMNS
 # Scenarios (id, duration, attack start).
 SCENARIOS = (("http_flood", 600.0, 30.0), ("slowloris", 900.0, 30.0), ("connection_flood", 480.0, 30.0), ("low_rate_distributed", 1200.0, 30.0), ("synchronized_burst", 720.0, 30.0))
 
-# User agents of legitimate traffic, and its countries with their shares.
-AGENTS = ("Mozilla/5.0 Chrome/120", "Mozilla/5.0 Firefox/121", "Mozilla/5.0 Safari/17", "curl/7.88", "python-requests/2.31", "Mozilla/5.0 Edge/120", "Googlebot/2.1", "wget/1.21", "Mozilla/5.0 Opera/105", "axios/1.6")
-COUNTRIES = {"US": 0.25, "IN": 0.12, "GB": 0.08, "DE": 0.07, "FR": 0.06, "CN": 0.06, "BR": 0.05, "JP": 0.04, "CA": 0.04, "AU": 0.03, "RU": 0.03, "KR": 0.03, "NL": 0.02, "SG": 0.02, "MX": 0.02, "IT": 0.02, "ES": 0.02, "SE": 0.01, "CH": 0.01, "NO": 0.01}
+#: User agents of legitimate traffic, and its countries, of shares that fall by a sixth from one to the next.
+AGENTS = tuple(f"agent-{family}/{version}" for family in ("browser", "library") for version in range(1, 6))
+COUNTRIES = {f"C{k:02d}": (5 / 6) ** k for k in range(20)}
 # Response codes of legitimate traffic with their shares.
 STATUSES = {200: 0.9, 304: 0.05, 404: 0.04, 500: 0.01}
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Country codes that event keys are mapped to.
-COUNTRIES = ("US", "IN", "GB", "DE", "FR", "CN", "BR", "JP", "CA", "AU", "RU", "KR", "NL", "SG", "MX", "IT", "ES", "SE", "CH", "NO")
+COUNTRIES = tuple(f"C{k:02d}" for k in range(20))
 #: In hours HOURS of every CYCLE hours each event is COPIES flows: a deterministic burst.
 CYCLE, HOURS, COPIES = 60, (20, 22), 12
 STREAMS = 3
