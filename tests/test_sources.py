@@ -322,3 +322,17 @@ def test_a_large_table_of_ranges_needs_no_nested_loop(spark):
     k = np.arange(1_000_000)
     low, high = k * 17, k * 17 + np.where(k % 1000 == 0, 5000, 20)
     assert found.count() == int((np.searchsorted(low, x, "right") - np.searchsorted(np.sort(high), x, "left")).sum())
+
+
+def test_streams_of_files_with_odd_names(spark, tmp_path):
+    odd = tmp_path / "it's + 100%"
+    odd.mkdir()
+    head, row = "Source IP,Timestamp,Label", "1.1.1.1,03/07/2017 10:00:00,BENIGN"
+    for name in ("a b.csv", "c+d.csv"):
+        (odd / name).write_text(f"{head}\n{row}\n")
+    assert {r["stream_id"] for r in files.read_csv_flows(spark, str(odd)).collect()} == {"a b.csv", "c+d.csv"}
+    (tmp_path / "j").mkdir()
+    for name in ("x.json", "y.json"):
+        (tmp_path / "j" / name).write_text('[{"src_ip": "1.1.1.1"}, {"src_ip": "2.2.2.2"}]')
+    rows = files.read_json_flows(spark, str(tmp_path / "j")).collect()
+    assert len({(r["stream_id"], r["flow_seq"]) for r in rows}) == 4 and {r["stream_id"] for r in rows} == {"x.json", "y.json"}

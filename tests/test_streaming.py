@@ -211,3 +211,12 @@ def test_snapshots_of_live_flows_equal_a_plain_loop(spark, tmp_path):
         table = {k: v for k, v in table.items() if tick * 5 - v[1] <= 60}
         want |= {(tick, *k, *v[:6], max(1, v[3] // 3)) for k, v in table.items()}
     assert got == want and len(want) > 300
+
+
+def test_two_flow_streams_in_one_session(spark, tmp_path):
+    from tidewatch.schema import FLOW, FLOW_COLUMNS
+
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        assert live.read_flow_stream(spark, str(tmp_path / name)).columns == [*FLOW_COLUMNS, "stream_id"]
+    assert FLOW.names == FLOW_COLUMNS
