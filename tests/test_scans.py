@@ -148,3 +148,19 @@ def test_a_long_stream_is_scanned_by_all_tasks(spark):
     np.testing.assert_allclose(out["mean"], mean, rtol=1e-9)
     np.testing.assert_allclose(out["z"], z, rtol=1e-9, atol=1e-9)
     assert prefix.cut(rows, ["key"], "t", 1 << 16).select("block_").distinct().count() == 16
+
+
+def test_detector_scans_long_streams_in_blocks(spark, sf):
+    from tidewatch.operators import features
+    from tidewatch.plans import catalog, detector
+    from tidewatch.storage import stored
+
+    found = stored(features.features(catalog._flows(spark, sf), catalog.S), "features")
+    want = detector.deviations(found, catalog.S, 48).orderBy("stream_id", "feature", "wid").toPandas()
+    got = detector.deviations(found, catalog.S, 48, block_rows=50).orderBy("stream_id", "feature", "wid").toPandas()
+    assert list(got.columns) == list(want.columns) and len(want) > 1000
+    for name in ("stream_id", "wid", "feature", "ord"):
+        assert got[name].tolist() == want[name].tolist()
+    np.testing.assert_allclose(got["variance"], want["variance"], rtol=1e-9, atol=1e-9)
+    near = np.abs(want["variance"]) > 1e-6  # a spread of nothing but rounding has no deviation to speak of
+    np.testing.assert_allclose(got["z"][near], want["z"][near], rtol=1e-6, atol=1e-6)

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.config import Settings
-from tidewatch.operators import correlate, features, mitigate, rules, scan
+from tidewatch.config import FEATURES, Settings
+from tidewatch.operators import baseline, correlate, features, mitigate, prefix, rules, scan
 from tidewatch.storage import stored, together
 
 
@@ -43,10 +43,20 @@ def tables(flows: DataFrame, s: Settings) -> Tables:
     return Tables(sources, stored(features.window_rows(sources, values, s), "windows"))
 
 
-def deviations(found: DataFrame, s: Settings, seed_windows: int) -> DataFrame:
-    """The state scan of every series after its seed windows, in the fixed context (12, 0)."""
-    rows = features.long_form(found).withColumn("hour", F.lit(12)).withColumn("dow", F.lit(0))
-    return rows.groupBy("stream_id", "feature").applyInPandas(scan.detect_scan(s, seed_windows), scan.DETECTED)
+def deviations(found: DataFrame, s: Settings, seed_windows: int, block_rows: int | None = None) -> DataFrame:
+    """The state scan of every series after its seed windows, in the fixed context (12, 0).
+
+    A series is one task, or with block_rows (and seed windows) a task for each so many of its windows: for streams of very many windows."""
+    rows = features.long_form(found)
+    if not block_rows or not seed_windows:
+        return rows.withColumn("hour", F.lit(12)).withColumn("dow", F.lit(0)).groupBy("stream_id", "feature").applyInPandas(scan.detect_scan(s, seed_windows), scan.DETECTED)
+    rows = stored(rows, "series")
+    key = ["stream_id", "feature"]
+    cuts = baseline.first_windows(rows, seed_windows).groupBy(*key).agg(F.max("wid").alias("cut_"))
+    starts = stored(baseline.seed_statistics(rows, seed_windows).select(*key, F.col("seed_mean").alias("mean"), F.col("seed_var").alias("variance")), "series-starts")
+    live = stored(rows.join(cuts, key).filter("wid > cut_").drop("cut_"), "series-live")
+    place = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(FEATURES) for x in (name, k)]), F.col("feature"))
+    return prefix.deviations(live, key, "wid", "value", starts, s, block_rows).withColumn("ord", place).select(*scan.DETECTED_COLUMNS)
 
 
 def detect(got: Tables, s: Settings, seed_windows: int = 120) -> Detection:
