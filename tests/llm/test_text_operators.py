@@ -219,12 +219,36 @@ def test_bands_follow_from_the_threshold():
     for t in range(50, 100):
         bands, rows = neardup.banding(t)
         assert (1 - (t / 100) ** rows) ** bands <= neardup.MISSED or rows == 1
+    assert (neardup.fine_banding(85), neardup.fine_banding(80)) == ((30, 7), (38, 6))
+    for t in range(50, 100):
+        bands, rows = neardup.fine_banding(t)
+        assert bands * rows <= neardup.SAMPLES and (1 - (t / 100) ** rows) ** bands <= neardup.MISSED
 
 
-@pytest.mark.parametrize(("hot", "sent"), [(1000, 400_000), (8, 400_000), (8, 0)])
-def test_near_duplicates_of_hard_rows(spark, monkeypatch, hot, sent):
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_hot_buckets_of_unlinked_texts(spark, monkeypatch, threshold):
+    """Hundreds of texts that share most of a text, yet are linked with few: all links are found, in cells of finer bands."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", 50)
+    monkeypatch.setattr(neardup, "CELL_ROWS", 16)
+    rng = np.random.default_rng(5)
+    shared, texts = [f"s{k}" for k in range(160)], []
+    for k in range(600):
+        own = rng.integers(14, 32)
+        texts.append(" ".join(shared + [f"o{k}_{j}" for j in range(own)]))
+        if k % 20 == 0:  # a partner that shares what is its own too
+            texts.append(texts[-1] + " " + " ".join(f"p{k}_{j}" for j in range(rng.integers(1, 20))))
+    rows = list(enumerate(texts))
+    want = brute_components(rows, threshold)
+    got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), threshold=threshold).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert 30 < len(set(want.values())) < len(rows)
+
+
+@pytest.mark.parametrize(("hot", "sent", "cell"), [(1000, 400_000, 512), (8, 400_000, 512), (8, 0, 2)])
+def test_near_duplicates_of_hard_rows(spark, monkeypatch, hot, sent, cell):
     monkeypatch.setattr(neardup, "HOT_ROWS", hot)
     monkeypatch.setattr(neardup, "SENT_BUCKETS", sent)
+    monkeypatch.setattr(neardup, "CELL_ROWS", cell)
     texts = near_texts()
     rows = list(enumerate(texts)) + [(3, texts[3]), (4, "a text of its own that shares nothing with others here"), (None, texts[0])]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")

@@ -13,12 +13,13 @@ passes is confirmed on full shingle sets (64-bit hashes of shingles, from 62-bit
    look: they are connected already.
 
 Hot buckets (over HOT_ROWS members) are few by their size; their tables of a row a bucket are sent to every task (up to SENT_BUCKETS rows; more
-are joined by shuffles whose large partitions Spark splits), so that no hot bucket is dealt to one task.  Results are the same either way.  In step 2 a hot bucket is parted by finer bands (FINE_BANDS of FINE_ROWS samples): unlike texts that share a
-passage rarely share one, so a hot bucket's pairs are those of its finer ones.
+are joined by shuffles whose large partitions Spark splits), so that no hot bucket is dealt to one task.  Results are the same either way.  In step 2 the members of hot buckets are
+compared in finer bands (fine_banding): unlike texts that share a passage rarely share one.  A finer bucket over CELL_ROWS members is dealt into groups by hash, and
+each two groups are a cell of their own: every pair meets in one cell, and no key holds more than about 2 * CELL_ROWS rows.
 
 No bucket is capped.  Bands follow from the threshold (banding): a pair at 0.85 shares none of 24 bands of 6 rows, a pair at 0.8 none of 29
-of 5, with probability 1.2e-5 at most; none of the finer ones, where hot buckets are all they share, with 4e-5 at 0.85 and
-3e-3 at 0.8; and the sketch, whose estimate has a standard error of 0.023 there, rejects a pair with probability 5e-5.
+of 5, with probability 1.3e-5 at most; the finer ones (30 of 7 and 38 of 6), where hot buckets are all they share, are held to the same
+MISSED; and the sketch, whose estimate has a standard error of 0.023 there, rejects a pair with probability 5e-5.
 
 Contract of ``link``: a text's words are parted by white space after A-Z are lower-cased; its
 set holds distinct runs of SHINGLE words (the whole sequence where there are fewer).  Null and empty texts have
@@ -48,7 +49,8 @@ SKETCH_BITS = 1024
 THRESHOLD = 80
 #: Bands at most, and the largest probability that a pair at the threshold shares none.
 MOST_BANDS, MISSED = 29, 1.3e-5
-FINE_BANDS, FINE_ROWS = 32, 8
+#: Members of a cell's side, about; larger finer buckets are dealt into several.
+CELL_ROWS = 512
 #: Members of a hot bucket, more than; the tables of hot buckets are sent up to this many rows.
 HOT_ROWS, SENT_BUCKETS = 1_000, 400_000
 #: Ids of documents in pairs are sent to every task up to this many (some MB); more are joined by a shuffle.
@@ -70,6 +72,15 @@ def banding(threshold: int = THRESHOLD) -> tuple[int, int]:
     return MOST_BANDS, 1
 
 
+def fine_banding(threshold: int = THRESHOLD) -> tuple[int, int]:
+    """(bands, rows) of hot buckets: the longest rows for which all SAMPLES hold bands enough to miss a pair at the threshold with probability MISSED at most."""
+    for rows in range(8, 1, -1):
+        bands = int(np.ceil(np.log(MISSED) / np.log1p(-((threshold / 100) ** rows)))) if threshold < 100 else 1
+        if bands * rows <= SAMPLES:
+            return bands, rows
+    return SAMPLES, 1
+
+
 def _keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """texts x bands: a key for each run of `rows` samples."""
     n = samples.shape[1]
@@ -176,28 +187,29 @@ def _differing_bits(a: str, b: str) -> Column:
     return total
 
 
-def _sets(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
+def _sets(docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
     """(doc_id, shingles, fine) of each row."""
+    bands, rows = fine_banding(threshold)
 
     @memory.task("neardup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             sets, first = shingle_hashes(words_of(part.column("text")), size)
-            fine = _keys(minhashes(sets, first), FINE_BANDS, FINE_ROWS)
+            fine = _keys(minhashes(sets, first), bands, rows)
             listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed(first, sets), listed(np.arange(part.num_rows + 1) * FINE_BANDS, fine.ravel())], names=["doc_id", "shingles", "fine"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed(first, sets), listed(np.arange(part.num_rows + 1) * bands, fine.ravel())], names=["doc_id", "shingles", "fine"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, "doc_id long, shingles array<long>, fine array<long>")
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
     """(doc_id, shingles, fine) of the documents with these ids; the sets are made again, of those documents only."""
     ids = stored(ids, "neardup-ids")
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
-    return stored(_sets(slim, "text", "doc_id", size), "neardup-sets")
+    return stored(_sets(slim, "text", "doc_id", size, threshold), "neardup-sets")
 
 
 def _alike(threshold: int) -> Column:
@@ -208,7 +220,7 @@ def _alike(threshold: int) -> Column:
 def _confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
     """Those of (a, b) whose full sets pass."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets_of(ids, docs, text, doc_id, size)
+    sets = _sets_of(ids, docs, text, doc_id, size, threshold)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     links = stored(both.filter(_alike(threshold)).select("a", "b"), "neardup-links")
     discard(sets)
@@ -233,12 +245,28 @@ class Buckets:
         return rows.join(self.hot, "band", "left_anti").join(table, "band").unionByName(rows.join(self._small(few), "band"))
 
 
+def _fits(threshold: int, limit: int) -> Column:
+    """Do set sizes, sketches and full sets of two members (na, ka, sa; nb, kb, sb) pass?"""
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit) & _alike(threshold)
+
+
+def _side(rows: DataFrame, x: str, *keys: str | Column) -> DataFrame:
+    return rows.select(*keys, F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("shingles").alias(f"s{x}"))
+
+
 def _across(inside: DataFrame, threshold: int, limit: int) -> DataFrame:
     """Links (a, b) between members of different components of a bucket (band, doc_id, component, n_shingles, sketch, shingles)."""
-    of = lambda x: inside.select("band", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("shingles").alias(f"s{x}"))
-    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)
-    x, y = of("a"), of("b")
-    return x.join(y, (x["band"] == y["band"]) & fits & _alike(threshold)).select("a", "b")
+    x, y = _side(inside, "a", "band"), _side(inside, "b", "band")
+    return x.join(y, (x["band"] == y["band"]) & (F.col("ca") < F.col("cb")) & _fits(threshold, limit)).select("a", "b")
+
+
+def _cells(inside: DataFrame, threshold: int, limit: int) -> DataFrame:
+    """The same of buckets that are dealt into `groups` groups by hash: each pair of groups meets under a key of its own."""
+    dealt = inside.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(11)), "groups").cast("int"))
+    x = _side(dealt, "a", "band", F.col("g").alias("i"), F.explode(F.sequence("g", F.col("groups") - 1)).alias("j"))
+    y = _side(dealt, "b", F.col("band").alias("band_"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("i_"), F.col("g").alias("j_"))
+    apart = (F.col("ca") < F.col("cb")) | ((F.col("i") < F.col("j")) & (F.col("ca") > F.col("cb")))
+    return x.join(y, (F.col("band") == F.col("band_")) & (F.col("i") == F.col("i_")) & (F.col("j") == F.col("j_")) & apart & _fits(threshold, limit)).select("a", "b")
 
 
 def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -278,16 +306,17 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     placed = stored(posted.join(first, posted["doc_id"] == first["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "neardup-placed")
     inside = stored(buckets.join(placed, _mixed(placed, ["band"])).join(slim, "doc_id"), "neardup-across")
     if inside.head(1):
-        sets = _sets_of(inside.select("doc_id").distinct(), docs, text, doc_id, size)
-        inside, parted = inside.join(sets, "doc_id"), None
+        sets = _sets_of(inside.select("doc_id").distinct(), docs, text, doc_id, size, threshold)
         if buckets.any:
-            hot = inside.join(buckets.hot, "band", "left_semi")
-            fine = hot.select("doc_id", "component", "n_shingles", "sketch", "shingles", F.explode(F.transform("fine", lambda f: F.xxhash64("band", f))).alias("band"))
-            parted = stored(fine.join(_mixed(fine.select("band", "component"), ["band"]), "band"), "neardup-fine")
+            # A member of several hot buckets is posted once in its finer bands.
+            hot = inside.join(buckets.hot, "band", "left_semi").select("doc_id", "component").distinct().join(slim, "doc_id").join(sets, "doc_id")
+            fine = stored(hot.select("doc_id", "component", F.explode("fine").alias("band")), "neardup-fine")
+            per = fine.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("groups"))
+            fine = stored(fine.join(stored(per.filter("low <> high").select("band", "groups"), "neardup-mixed-fine"), "band").select("band", "doc_id", "groups"), "neardup-fine-mixed")
+            members = lambda which: fine.filter(which).join(hot.drop("fine"), "doc_id")
+            links = links.unionByName(_across(members("groups = 1"), threshold, limit)).unionByName(_cells(members("groups > 1"), threshold, limit))
             inside = inside.join(buckets.hot, "band", "left_anti")
-        links = links.unionByName(_across(inside.drop("fine"), threshold, limit))
-        if parted is not None:
-            links = links.unionByName(_across(parted, threshold, limit))
+        links = links.unionByName(_across(inside.join(sets.drop("fine"), "doc_id"), threshold, limit))
     # A doc_id on several rows with different sets is one node.
     member = full.join(reps.select(*same, F.col("doc_id").alias("rep"), "copies"), same).select("doc_id", "rep", "copies")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
