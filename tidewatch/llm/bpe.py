@@ -19,6 +19,7 @@ import functools
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -84,6 +85,7 @@ class SpeculativeBpe:
             pattern = pattern.replace(name, _ranges(name))
         self.split = re.compile(pattern)
         self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self.mark = os.path.commonprefix(list(self.added))  # a text without it holds no added token
         self.symbol = _byte_symbols()
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         #: Only pieces that merging can make (or single symbols) may be proposed.
@@ -181,7 +183,7 @@ class SpeculativeBpe:
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is an added token, text), in order."""
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or self.mark not in text:
             yield False, text
             return
         at = 0
