@@ -40,7 +40,8 @@ PREFIX = 64
 SAMPLE = 4_096
 CANDIDATES = 0.5
 LEAST_CANDIDATES = 100
-BLOCK_ROWS = 32_768
+#: Rows of a block; fewer where their vectors, as doubles, would take more than BLOCK_BYTES.
+BLOCK_ROWS, BLOCK_BYTES = 32_768, 32 << 20
 QUERY_ROWS = 8_192
 
 
@@ -143,9 +144,10 @@ def _visit(rows: DataFrame, asked: DataFrame, pivots: np.ndarray, kind: str, d:
     data = rows.mapInArrow(_with_places(pivots, kind, d, POSTED), schema).select("vec_id", "packed", F.posexplode("near").alias("place", "cell"), "near")
     data = stored(data.select("vec_id", "packed", "cell", F.slice("near", F.lit(1), F.col("place")).alias("earlier")), "permutation-posted")
     sent = stored(asked.mapInArrow(_with_places(pivots, kind, d, routed), schema).select("vec_id", "packed", F.explode("near").alias("cell")), "permutation-routed")
+    block = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, d))))
     # A row a pivot, so a bounded table.
     n = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    sizes = F.broadcast(n.join(sent.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell").select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("m") / QUERY_ROWS).cast("int").alias("groups")))
+    sizes = F.broadcast(n.join(sent.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / QUERY_ROWS).cast("int").alias("groups")))
     deal = lambda count, seed: F.pmod(F.xxhash64("vec_id", "packed", F.lit(seed)), F.col(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     data = data.join(sizes, "cell").select("vec_id", "packed", "earlier", "cell", deal("blocks", 1).alias("block"), each("groups").alias("group"))

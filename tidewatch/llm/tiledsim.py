@@ -1,7 +1,7 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
 Vectors are scaled to length 1, equal vectors become one, and all are rotated onto principal axes.  Along the first axis they are cut into
-tiles of bounded size (tile_rows); two tiles are compared only if their ranges on that axis come within the distance that the
+tiles of bounded size (TILE_BYTES, or tile_rows); two tiles are compared only if their ranges on that axis come within the distance that the
 threshold allows.  The table of tiles has a row for some thousand vectors; pairs of tiles come out of it on the executors.  A comparison adds up the leading axes first: leading product + product of the two
 suffix norms bounds the cosine, and a pair is dropped once that bound stays below the threshold.  What is left gets the
 exact cosine in double precision.
@@ -30,8 +30,9 @@ from tidewatch.llm.components import components
 from tidewatch.llm.vectors import cosines, norms, packed, unpack
 
 THRESHOLD = 0.95
-#: Rows of a tile: a TILES-th of all, between these bounds.
-LEAST_ROWS, MOST_ROWS, TILES = 512, 65_536, 24
+#: Rows of a tile: a TILES-th of all, at least LEAST_ROWS; a tile's vectors, as doubles, take TILE_BYTES at most (a task holds two tiles and some
+#: copies of theirs), so tiles aim at half of it.
+LEAST_ROWS, TILES, TILE_BYTES = 512, 24, 32 << 20
 #: Products that are tested at once.
 STRIP_CELLS = 1 << 22
 SAMPLE = 20_000
@@ -128,7 +129,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
     full = rows.filter("vec_id IS NOT NULL AND packed IS NOT NULL")
     alone = stored(full.groupBy("packed").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "tiles-distinct")
     n = alone.count()
-    tile_rows = tile_rows or min(MOST_ROWS, max(LEAST_ROWS, n // TILES))
+    tile_rows = tile_rows or min(max(1, TILE_BYTES // (16 * max(1, d))), max(LEAST_ROWS, n // TILES))
     axes, along = principal_axes(alone, kind, d)
     slabs = max(1, -(-n // tile_rows))
     cuts = along[[len(along) * k // slabs for k in range(1, slabs)]] if len(along) else np.zeros(0)
