@@ -1,6 +1,7 @@
 """Text operators against brute force, libraries, and odd rows."""
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, langid, licenses, mixing, neardup, suffixlm, textvec, tokencount, toxicity
+from tidewatch.llm.common import sample_by
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +110,18 @@ def test_encoding_any_text(text):
     assert b.encode_batch([text])[0][0] == " ".join(map(str, want))
 
 
+def test_added_tokens_of_another_file(tmp_path):
+    with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for token, name in zip(spec["added_tokens"], ("[start]", "{end}"), strict=True):
+        token["content"] = name
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    b = bpe.SpeculativeBpe(str(path))
+    assert list(b.segments("a[start]b {end}")) == [(False, "a"), (True, "[start]"), (False, "b "), (True, "{end}")]
+    assert list(b.segments("<|endoftext|>")) == [(False, "<|endoftext|>")]
+
+
 def test_encoding_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY_WORDS", 8)
     t, b = library(), bpe.SpeculativeBpe(bpe.tokenizer_path())
@@ -411,6 +425,20 @@ def toxic_frames(spark):
     return frame(spark, texts + ODD), spark.createDataFrame([*labels, (0, 1), (None, 1), (7, None)], "doc_id long, toxic int")
 
 
+def test_a_sample_counts_ids_once(spark):
+    rows = [(1, "a")] * 500 + [(k, "a") for k in range(2, 200)] + [(k, "b") for k in range(5)] * 3
+    got = sample_by(spark.createDataFrame(rows, "doc_id long, g string").repartition(4), "g", 20).collect()
+    assert len(got) == len(set(got)) == 25 and sum(r["g"] == "b" for r in got) == 5
+
+
+def test_toxicity_learns_from_an_id_once(spark):
+    df, labels = toxic_frames(spark)
+    df = df.select("doc_id", "text")
+    again = df.unionByName(df.filter("doc_id = 5").select("doc_id", F.concat("text", F.lit(" zz")).alias("text"))).unionByName(df.filter("doc_id < 9"))
+    a, b = toxicity.train(df, labels), toxicity.train(again, labels)
+    assert (a.keys == b.keys).all() and a.scores == pytest.approx(b.scores) and a.slopes == pytest.approx(b.slopes)
+
+
 def test_toxicity_learns_and_takes_odd_rows(spark):
     df, labels = toxic_frames(spark)
     model = toxicity.train(df.select("doc_id", "text"), labels)
@@ -559,6 +587,15 @@ def test_language_of_held_out_and_odd_rows(spark, docs):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_learns_from_an_id_once(spark, docs):
+    docs = docs.select("doc_id", "text", "lang")
+    few = docs.filter("doc_id < 60")
+    nameless = few.withColumn("doc_id", F.lit(None).cast("long"))
+    again = docs.unionByName(few).unionByName(few).unionByName(nameless).unionByName(few.withColumn("text", F.concat("text", F.lit(" zz"))))
+    (a, p), (b, q) = langid.train(docs), langid.train(again)
+    assert a == b and np.allclose(p, q)
+
+
 def test_language_without_training_rows(spark):
     df = frame(spark, ["some words", None]).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.predict(df, langid.train(df)).collect()} == {"und"}
@@ -794,3 +831,10 @@ def test_mixing(spark):
     assert out.columns == df.columns
     assert out.agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
     assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_mixed_rows_of_one_key_agree_in_reruns(spark):
+    rows = [(1, "same text here", "s", k % 5, {"k": k % 3}) for k in range(40)] + [(k, "w " * k, "t", 0, None) for k in range(2, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int, more map<string,int>")
+    order = lambda out: sorted((r["doc_id"], r["other"], str(r["more"])) for r in out.collect())
+    assert order(mixing.mixed(df)) == order(mixing.mixed(df.repartition(7)))

@@ -28,6 +28,13 @@ def plain(df):
     return out
 
 
+def test_tiles_are_bounded_by_bytes(spark, monkeypatch):
+    df = vectors(spark)
+    want = sorted(map(str, tiledsim.near_duplicates(df).collect()))
+    monkeypatch.setattr(tiledsim, "TILE_BYTES", 16 * 16 * 30)
+    assert sorted(map(str, tiledsim.near_duplicates(df).collect())) == want
+
+
 def test_near_duplicates_equal_brute_force(spark):
     df = vectors(spark)
     x = plain(df)

@@ -15,6 +15,8 @@ __all__ = ["discard", "load", "numbered", "remainder", "sample_by", "ship", "sto
 
 #: A table of groups is sent to every task up to this many rows.
 SENT_GROUPS = 10_000
+#: Hash ranges of a key's rows when they are numbered.
+SALTS = 256
 
 #: Rows of an Arrow batch between Spark and Python where the session leaves Spark's default: texts are long, and a batch is held on both sides.
 BATCH_ROWS = 1_000
@@ -53,26 +55,31 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def sample_by(rows: DataFrame, group: str, most: int, doc_id: str = "doc_id") -> DataFrame:
-    """At most `most` rows of each group, those whose hashed ids are smallest (repeated ids count each).
+    """(group, doc_id) of at most `most` ids of each group, those whose hashes are smallest; an id on many rows counts once.
 
-    A threshold on the hash, from the groups' counts, leaves about that many before they are ranked, so that a hot group
-    isn't sorted whole.
+    A threshold on the hash, from the groups' counts of ids, leaves about that many before they are made distinct and ranked, so that
+    neither a hot group nor a hot id is sorted whole.
     """
-    share = rows.groupBy(group).agg((F.lit(1.2 * most + 50) / F.count(F.lit(1))).alias("share_"))
+    share = rows.groupBy(group).agg((F.lit(1.2 * most + 50) / F.approx_count_distinct(doc_id, 0.02)).alias("share_"))
     share = stored(share, "sample-shares", 1)
     if share.count() <= SENT_GROUPS:
         share = F.broadcast(share)
-    hashed = rows.withColumn("u_", F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    near = hashed.join(share, group).filter("u_ <= share_")
+    hashed = rows.select(group, doc_id, (F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("u_"))
+    near = hashed.join(share, group).filter("u_ <= share_").select(group, doc_id, "u_").distinct()
     ranked = near.withColumn("rank_", F.row_number().over(Window.partitionBy(group).orderBy("u_", doc_id)))
-    return ranked.filter(F.col("rank_") <= most).drop("u_", "share_", "rank_")
+    return ranked.filter(F.col("rank_") <= most).select(group, doc_id)
 
 
 def numbered(rows: DataFrame, key: str, name: str = "k_") -> DataFrame:
-    """rows with a running number (from 1, in no order) within their key; a hot key stays spread over its partitions."""
-    placed = stored(rows.withColumn("part_", F.spark_partition_id()), "numbered")
-    per = placed.groupBy(key, "part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select(key, "part_", F.coalesce(before, F.lit(0)).alias("before_"))
-    within = F.row_number().over(Window.partitionBy(key, "part_").orderBy(F.lit(1)))
-    return placed.withColumn(name, within).join(per, [key, "part_"]).withColumn(name, F.col(name) + F.col("before_")).drop("part_", "before_")
+    """rows with a running number (from 1) within their key, in the order of a hash of all their columns: reruns agree but for rows equal
+    in every column, which are alike.  A hot key stays spread: over its partitions, and where numbers are added up over SALTS hash ranges."""
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    placed = stored(rows.withColumn("hash_", whole).withColumn("salt_", F.pmod("hash_", F.lit(SALTS))).withColumn("part_", F.spark_partition_id()), "numbered")
+    per = placed.groupBy(key, "salt_", "hash_", "part_").agg(F.count(F.lit(1)).alias("n_"))
+    upto = lambda w: F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    salts = per.groupBy(key, "salt_").agg(F.sum("n_").alias("n_"))
+    salts = salts.select(key, "salt_", upto(Window.partitionBy(key).orderBy("salt_")).alias("salts_"))
+    per = per.select(key, "salt_", "hash_", "part_", upto(Window.partitionBy(key, "salt_").orderBy("hash_", "part_")).alias("before_"))
+    within = F.row_number().over(Window.partitionBy(key, "hash_", "part_").orderBy(F.lit(1)))
+    out = placed.withColumn(name, within).join(per, [key, "salt_", "hash_", "part_"]).join(salts, [key, "salt_"])
+    return out.withColumn(name, F.col(name) + F.col("before_") + F.col("salts_")).select(*rows.columns, name)

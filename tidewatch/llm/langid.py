@@ -11,7 +11,8 @@ one language in one task; only the fitted probabilities reach the driver, at mos
 
 Contract of ``predict``: one row per input row.  lang_pred is a learned language, or `und` with score 0 for a null text
 or one without letters, and everywhere if nothing could be learned.  Ties go to the language first in code point order.
-Repeated rows give repeated results; whole texts are read; an empty table gives an empty result; other columns are left out.
+Rows with a null doc_id teach nothing; of an id's rows of one
+language the first text in code point order teaches.  Repeated rows give repeated results; whole texts are read; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -205,9 +206,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """(languages, pieces x languages probabilities) from rows of the training folds."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = rows.filter((remainder("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = stored(sample_by(rows.select("doc_id", "lang"), "lang", DOCS_PER_LANGUAGE).select("doc_id").distinct(), "language-sample")
-    texts = rows.join(chosen, "doc_id", "left_semi").select("text", "lang")
+    rows = rows.filter((remainder("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    chosen = stored(sample_by(rows.select("doc_id", "lang"), "lang", DOCS_PER_LANGUAGE), "language-sample")
+    texts = rows.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
     words = texts.mapInArrow(_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     table = words.groupBy("lang").applyInPandas(_fit, "lang string, piece int, p double").toPandas()
     n = len(vocabulary())

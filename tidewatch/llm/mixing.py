@@ -11,7 +11,7 @@ a source is rounded, by keeping the token total as near as it can.
 Contract of ``mix``: one row per input row.  A null text has size 0; a null source is a source of its
 own, last in order.  A source of size 0 has target 0 and takes nothing.  Rows without size
 are taken 0 words.  Repeated rows count each; equal rows are units of their own in the flights, dealt like others, and take
-what they get in no order.
+what they get in the order of a hash of all their columns.
 Results depend on the rows alone, not on their order or partitions, up to equal rows changing places.
 An empty table gives an empty result.  Input columns named like a result are replaced.
 """

@@ -14,7 +14,7 @@ model and its vocabulary, all telling words of those texts, are bounded and may
 
 Contract of ``score``: one row per input row.  Null and empty texts have no words and get the score of no evidence.
 Without training rows of both classes every score is the prior (0 if there are none).  Labels repeated for a doc_id
-count once (the largest).  Repeated rows give repeated results; whole texts are read; an empty table gives an
+count once (the largest); of an id's rows the first text in code point order teaches.  Repeated rows give repeated results; whole texts are read; an empty table gives an
 empty result; other columns are left out.
 """
 
@@ -154,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marked = marked.filter(remainder("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = stored(sample_by(marked, "toxic", LABELLED_ROWS).select("doc_id", "toxic"), "toxicity-labelled", 1)
-    # At most 2 * LABELLED_ROWS ids: a bounded broadcast.
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-texts")
+    # At most 2 * LABELLED_ROWS ids: a bounded broadcast.  Of an id's rows the first text in code point order teaches.
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-texts")
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return Model(level=20.0 if 1 in size else -20.0)
