@@ -140,6 +140,36 @@ def test_bootstrap(spark):
     assert again["a"]["low"] == pytest.approx(got["a"]["low"]) and again["a"]["high"] == pytest.approx(got["a"]["high"])
 
 
+def test_bootstrap_adds_up_in_tasks(spark):
+    """The hash of every key and round, by hashlib: short and long keys, a null part; no row a value and round."""
+    import hashlib
+
+    keys = ["a", "b" * 20, "c" * 45, "d" * 46, "e" * 47, "f" * 48, "g" * 49, "h" * 60, "é" * 61, "i" * 130, None]
+    data = [("x" if k % 3 else "y", keys[k % len(keys)], k, k / 7) for k in range(300)]
+    df = spark.createDataFrame(data, "g string, k string, n long, v double")
+    rounds, want = 450, {}
+    for g, k, n, v in data:
+        text = ":".join(p for p in ("42", k, str(n)) if p is not None)
+        for r in range(rounds):
+            h = hashlib.md5(f"{text}:{r // 4}".encode()).hexdigest()[8 * (r % 4) : 8 * (r % 4) + 8]
+            m = sum(int(h, 16) / 2**32 > c for c in evaluate.POISSON)
+            got = want.setdefault((g, r), [0, 0.0, 0])
+            want[g, r] = [got[0] + m, got[1] + m * v, got[2] + 1]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(evaluate, "HASHED_AT_ONCE", 64)
+        m.setattr(evaluate, "GROUPS_AT_ONCE", 1)
+        for _ in range(2):
+            sums = evaluate.poisson_sums(df, "v", ["g"], ["k", "n"], rounds)
+            rows, found = sums.collect(), {}
+            for r in rows:
+                got = found.setdefault((r["g"], r["round_"]), [0, 0.0, 0])
+                found[r["g"], r["round_"]] = [got[0] + r["draws"], got[1] + r["total"], got[2] + r["n_"]]
+            assert set(found) == set(want) and all(found[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+            m.undo()
+    assert len(rows) <= 2 * rounds * sums.rdd.getNumPartitions() < len(data) * rounds
+
+
+
 def test_forest_tells_classes_apart(spark):
     rng = np.random.default_rng(1)
     rows = [(k, bool(k % 3 == 0), float(rng.normal(4 if k % 3 == 0 else 0)), float(rng.normal())) for k in range(300)]

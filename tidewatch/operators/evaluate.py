@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +79,128 @@ def auc(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
 
 
+#: Elements hashed at once: some arrays of that many numbers stay in a core's cache.  Groups whose sums a task holds at once.
+HASHED_AT_ONCE, GROUPS_AT_ONCE = 32_768, 64
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_CUTS = [np.uint32(int(c * 2**32)) for c in POISSON]
+
+
+def _digests(prefixes: np.ndarray, suffixes: np.ndarray) -> list[np.ndarray]:
+    """The four words of the MD5 of each prefix with each suffix: prefixes x suffixes.  Both are padded messages, in words, whose sums are the messages."""
+    shape = len(prefixes), len(suffixes)
+    state = [np.full(shape, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    f = np.empty(shape, np.uint32)
+    for at in range(0, prefixes.shape[1], 16):
+        words = [prefixes[:, at + j, None] + suffixes[None, :, at + j] if suffixes[:, at + j].any() else prefixes[:, at + j, None] for j in range(16)]
+        a, b, c, d = (x.copy() for x in state)
+        for i in range(64):
+            if i < 16:
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+                j = i
+            elif i < 32:
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+                j = (5 * i + 1) % 16
+            elif i < 48:
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+                j = (3 * i + 5) % 16
+            else:
+                np.invert(d, out=f)
+                f |= b
+                f ^= c
+                j = 7 * i % 16
+            f += a
+            f += words[j]
+            f += np.uint32(_SINES[i])
+            turn = _TURNS[i // 16][i % 4]
+            np.left_shift(f, np.uint32(turn), out=a)
+            f >>= np.uint32(32 - turn)
+            a |= f
+            a += b
+            a, b, c, d = d, a, b, c
+        state = [x + y for x, y in zip(state, (a, b, c, d), strict=True)]
+    return state
+
+
+def _padded(prefix: int, texts: list[bytes], length: int) -> np.ndarray:
+    """The texts from byte `prefix` on in zeroed MD5 messages of `length` bytes, in words; the end mark and the size come with texts that end one."""
+    out = np.zeros((len(texts), -(-(length + 9) // 64) * 64), np.uint8)
+    out[:, prefix : prefix + len(texts[0])] = np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1)
+    if prefix + len(texts[0]) == length:
+        out[:, length] = 0x80
+        out[:, -8:] = np.frombuffer((8 * length).to_bytes(8, "little"), np.uint8)
+    return out.view("<u4")
+
+
+def _poisson_sums(keys: list[bytes], x: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(draws, total) of each round, over values x whose keys have one length."""
+    draws, total = np.zeros((2, -(-rounds // 4) * 4))
+    blocks = [str(b).encode() for b in range(-(-rounds // 4))]
+    for digits in range(1, len(blocks[-1]) + 1):
+        of = [b for b in blocks if len(b) == digits]
+        first, length = int(of[0]), len(keys[0]) + digits
+        suffixes, prefixes = _padded(len(keys[0]), of, length), _padded(0, keys, length)
+        for lo in range(0, len(of), HASHED_AT_ONCE):
+            some = suffixes[lo : lo + HASHED_AT_ONCE]
+            at, step = 4 * (first + lo), max(1, HASHED_AT_ONCE // len(some))
+            for k in range(0, len(keys), step):
+                for j, h in enumerate(_digests(prefixes[k : k + step], some)):
+                    h.byteswap(inplace=True)  # the digest's hexadecimal digits begin with the lowest byte
+                    m, above = np.zeros(h.shape, np.uint8), np.empty(h.shape, bool)
+                    for cut in _CUTS:
+                        m += np.greater(h, cut, out=above)
+                    to = slice(at + j, at + 4 * len(some), 4)
+                    draws[to] += m.sum(axis=0)
+                    total[to] += (m * x[k : k + step, None]).sum(axis=0)
+    return draws[:rounds], total[:rounds]
+
+
+def poisson_sums(values: DataFrame, column: str, by: list[str], key: list[str], rounds: int, seed: int = 42) -> DataFrame:
+    """(by, round_, draws, total, n_, only_): what each round draws of a part of a group; n_ values with only_ among them.
+
+    A task adds up arrays of a number a round and gives these sums alone, so that no row a value and round is made."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], F.lit(""))
+    rows = values.select(*by, text.alias("key_"), F.col(column).cast("double").alias("x_")).filter("x_ IS NOT NULL")
+    schema = T.StructType([*[values.schema[c] for c in by], *[T.StructField(c, t()) for c, t in (("round_", T.LongType), ("draws", T.LongType), ("total", T.DoubleType), ("n_", T.LongType), ("only_", T.DoubleType))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for group, (draws, total, n, only) in held.items():
+                each = [pa.array([v] * rounds, t) for v, t in zip(group, types, strict=True)]
+                numbers = [np.arange(rounds), draws.astype(np.int64), total, np.full(rounds, n), np.full(rounds, only)]
+                yield pa.RecordBatch.from_arrays([*each, *map(pa.array, numbers)], names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            keys, x = [k.encode() for k in batch.column("key_").to_pylist()], batch.column("x_").to_numpy()
+            alike: dict[tuple, list[int]] = {}
+            for i, group in enumerate(zip(*[batch.column(c).to_pylist() for c in by], strict=True) if by else [()] * len(keys)):
+                alike.setdefault((group, len(keys[i])), []).append(i)
+            for (group, _), at in alike.items():
+                draws, total = _poisson_sums([keys[i] for i in at], x[at], rounds)
+                if group in held:
+                    held[group][0] += draws
+                    held[group][1] += total
+                    held[group][2] += len(at)
+                else:
+                    held[group] = [draws, total, len(at), x[at[0]]]
+                if len(held) >= GROUPS_AT_ONCE:
+                    yield from flush()
+        yield from flush()
+
+    # Little data and much work: dealt evenly over all cores, whatever the sizes of the parts it comes in.
+    dealt = rows.repartition(4 * values.sparkSession.sparkContext.defaultParallelism, "key_")
+    return dealt.mapInArrow(run, schema)
+
+
 def bootstrap(values: DataFrame, column: str, by: list[str], key: list[str], rounds: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """(by, low, high, rounds): percentile interval of the mean over resamples; a group of one value has that value as both.
 
@@ -84,18 +208,11 @@ def bootstrap(values: DataFrame, column: str, by: list[str], key: list[str], rou
     rounds are sums over rows without collecting a group (the Poisson bootstrap), and reruns agree.  One hash
     gives four rounds.
     """
-    rows = values.select(*by, *[F.col(k).cast("string").alias(f"key{i}_") for i, k in enumerate(key)], F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[f"key{i}_" for i in range(len(key))], F.col("block_").cast("string")).cast("binary"))
-    drawn = rows.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // 4) - 1)))).withColumn("h_", digest)
-    u = lambda j: F.conv(F.substring("h_", 8 * j + 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    drawn = drawn.select(*by, "x", F.inline(F.array(*[F.struct((F.col("block_") * 4 + j).alias("round_"), u(j).alias("u_")) for j in range(4)]))).filter(F.col("round_") < rounds)
-    m = sum(((F.col("u_") > c).cast("int") for c in POISSON[1:]), (F.col("u_") > POISSON[0]).cast("int"))
-    means = drawn.withColumn("m_", m).groupBy(*by, "round_").agg((F.sum(F.col("m_") * F.col("x")) / F.nullif(F.sum("m_"), F.lit(0))).alias("mean"))
+    sums = poisson_sums(values, column, by, key, rounds, seed).groupBy(*by, "round_").agg(*[F.sum(c).alias(c) for c in ("draws", "total", "n_")], F.max("only_").alias("only_"))
+    mean = F.col("total") / F.nullif(F.col("draws"), F.lit(0))
     low = (1 - level) / 2
-    out = means.groupBy(*by).agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"), F.count(F.lit(1)).alias("rounds"))
-    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), F.first("x").alias("only_"))
-    one = F.col("n_") < 2
-    return out.join(n, by).select(*by, *[F.when(one, F.col("only_")).otherwise(F.col(c)).alias(c) for c in ("low", "high")], "rounds")
+    out = sums.groupBy(*by).agg(F.percentile(mean, low).alias("low"), F.percentile(mean, 1 - low).alias("high"), F.count(F.lit(1)).alias("rounds"), F.max("n_").alias("n_"), F.max("only_").alias("only_"))
+    return out.select(*by, *[F.when(F.col("n_") < 2, F.col("only_")).otherwise(F.col(c)).alias(c) for c in ("low", "high")], "rounds")
 
 
 #: Rows of a part of bootstrap_exact, and rounds drawn at once.
