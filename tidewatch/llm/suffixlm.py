@@ -301,7 +301,7 @@ def _grow(grams: DataFrame, before: DataFrame, n_all: float) -> tuple[DataFrame,
 
 
 def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
-    """(model, counts of all words) from docs (text)."""
+    """(model, counts of all words) from docs (text); with no depth only what the words alone give, which is all that base scores need."""
     ship(docs.sparkSession)
     counts = stored(docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "suffix-words")
     stats = counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
@@ -312,6 +312,8 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
         model.discount = stats[2] / (stats[2] + 2 * stats[3])
     head = counts.filter((F.col("n") >= max(HEAD_LEAST, HEAD_SHARE * model.tokens)) | (F.col("word") == int(END))).toArrow().to_pandas()
     model.keys, model.counts = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
+    if not depth:
+        return model, counts
     # The root's states: words.  Frequent words follow from counts alone, so all levels' keys are hashes of the same kind.
     before = counts.filter(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("key"), "n", ((F.col("n") - model.discount) / float(model.tokens)).alias("p"), F.lit(True).alias("kept"))
     levels, frequent = [], _frequent(docs, before.select("key"), depth)
@@ -447,10 +449,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     )
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def query(spark, sf_dir: str, depth: int = DEPTH) -> DataFrame:
     """op4: base and suffix-tree scores of every document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = train(docs.filter(remainder("doc_id", FOLDS) != HELD_OUT).select("text"))
+    model, counts = train(docs.filter(remainder("doc_id", FOLDS) != HELD_OUT).select("text"), depth)
     out = score(docs, model, counts)
     return out.select("doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -469,5 +471,5 @@ FROM tokens LEFT JOIN counts USING (word), total GROUP BY doc_id, held_out"""
 
 
 def base(spark, sf_dir: str) -> DataFrame:
-    """What SQL can say of op4: everything but the model's own score."""
-    return query(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+    """What SQL can say of op4: everything but the model's own score; so no contexts are counted."""
+    return query(spark, sf_dir, 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
