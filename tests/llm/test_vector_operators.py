@@ -176,3 +176,30 @@ def test_components(spark, seed):
 
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_true_neighbours_are_found_by_blocks(spark, monkeypatch, tmp_path):
+    """neighbours_recall compares all rows by blocks, visits no file for it, and equals brute force: repeated ids, copies and ties too."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(3_000, 8)), 2)
+    x[100:140] = x[7]  # copies
+    ids = np.arange(len(x))
+    ids[2_000:2_200] = 50  # an id on many rows
+    folder = str(tmp_path)
+    spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    monkeypatch.setattr(permindex, "query", lambda spark, d: spark.createDataFrame([(0, 1)], "query_id long, vec_id long"))
+    monkeypatch.setattr(permindex, "_visit", lambda *args: pytest.fail("files were visited"))
+    monkeypatch.setattr(permindex, "LEAST_BLOCK", 300)
+    monkeypatch.setattr(permindex, "QUERY_ROWS", 40)
+    got = {r["query_id"]: r for r in permindex.recall(spark, folder).collect()}
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    near = np.round(unit @ unit.T, 12)
+    assert set(got) == set(ids[ids % 50 == 0].tolist())
+    for q, row in got.items():
+        best = {}
+        for own in np.flatnonzero(ids == q):
+            for i, s in zip(ids.tolist(), near[own].tolist(), strict=True):
+                if i != q:
+                    best[i] = max(best.get(i, -2.0), s)
+        want = sorted(best.items(), key=lambda t: (-t[1], t[0]))[:5]
+        assert row["nearest"] == ",".join(str(i) for i, _ in want) and row["least_score"] == pytest.approx(want[-1][1], abs=2e-9) and not row["recalled"]

@@ -43,6 +43,8 @@ LEAST_CANDIDATES = 100
 #: Rows of a block; fewer where their vectors, as doubles, would take more than BLOCK_BYTES.
 BLOCK_ROWS, BLOCK_BYTES = 32_768, 32 << 20
 QUERY_ROWS = 8_192
+#: Of the exhaustive search: rows of a block at least, queries compared at once, rows of a part whose largest is looked at first.
+LEAST_BLOCK, QUERIES_AT_ONCE, PART_ROWS = 4_096, 64, 32
 
 
 def fit_pivots(rows: DataFrame, kind: str, d: int, pivots: int = PIVOTS) -> np.ndarray:
@@ -137,6 +139,62 @@ def _searcher(pivots: np.ndarray, kind: str, d: int, k: int, share: float, route
     return run
 
 
+def _exhaustive(kind: str, d: int, k: int) -> Callable:
+    """Task: the k nearest of a group of queries in a block of rows, all of which are compared."""
+
+    def run(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, float]] = []
+        if len(data) and len(asked):
+            x, q = unpack(data["packed"], kind, d), unpack(asked["packed"], kind, d)
+            ids, owns = data["vec_id"].to_numpy(np.int64), asked["vec_id"].to_numpy(np.int64)
+            unit, sent = x / norms(x)[:, None], q / norms(q)[:, None]
+            parts, size = len(x) // PART_ROWS, len(x) // PART_ROWS * PART_ROWS
+            for lo in range(0, len(q), QUERIES_AT_ONCE):
+                near = sent[lo : lo + QUERIES_AT_ONCE] @ unit.T
+                near[owns[lo : lo + QUERIES_AT_ONCE, None] == ids[None, :]] = -np.inf
+                # The kth of the parts' largest is no more than the kth of all, so what lies below it is no neighbour.
+                least = np.full(len(near), -np.inf)
+                if parts > k:
+                    least = np.partition(near[:, :size].reshape(len(near), parts, PART_ROWS).max(axis=2), parts - k, axis=1)[:, parts - k]
+                for own, v, line, bound in zip(owns[lo:].tolist(), q[lo:], near, least.tolist(), strict=False):
+                    rows = np.flatnonzero(line >= bound - 1e-9) if bound > -np.inf else np.flatnonzero(ids != own)
+                    if len(np.unique(ids[rows])) < k:
+                        rows = np.flatnonzero(ids != own)  # rows that repeat an id
+                    exact = cosines(x[rows], np.broadcast_to(v, (len(rows), d)))
+                    out += [(own, int(ids[rows[b]]), float(exact[b])) for b in _best(ids[rows], exact, k)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return run
+
+
+def _block(d: int) -> int:
+    return max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, d))))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query among what its tasks found."""
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "permutation-found")
+
+
+def true_neighbours(rows: DataFrame, asked: DataFrame, kind: str, d: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest of every query (vec_id, packed) among all rows, by products of blocks of rows with groups of queries.
+
+    A row is copied once for each QUERY_ROWS queries, a query once for each block; the products are quadratic by nature."""
+    most = rows.sparkSession.sparkContext.defaultParallelism
+    n, groups = rows.count(), max(1, -(-asked.count() // QUERY_ROWS))
+    # Blocks enough for all cores.
+    block = min(_block(d), max(LEAST_BLOCK, -(-n * groups // (4 * most))))
+    blocks = max(1, -(-n // block))
+    deal = lambda count, seed: F.pmod(F.xxhash64("vec_id", "packed", F.lit(seed)), F.lit(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    cell, cells = ["block", "group"], 2 * blocks * groups
+    data = rows.select("vec_id", "packed", deal(blocks, 1).alias("block"), each(groups).alias("group")).repartition(cells, *cell)
+    sent = asked.select("vec_id", "packed", each(blocks).alias("block"), deal(groups, 2).alias("group")).repartition(cells, *cell)
+    return _ranked(data.groupBy(*cell).cogroup(sent.groupBy(*cell)).applyInPandas(_exhaustive(kind, d, k), "query_id long, vec_id long, score double"), k)
+
+
 def _visit(rows: DataFrame, asked: DataFrame, pivots: np.ndarray, kind: str, d: int, k: int, share: float, routed: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of every query (vec_id, packed) among the rows of its files."""
     routed = min(routed, len(pivots))
@@ -144,7 +202,7 @@ def _visit(rows: DataFrame, asked: DataFrame, pivots: np.ndarray, kind: str, d:
     data = rows.mapInArrow(_with_places(pivots, kind, d, POSTED), schema).select("vec_id", "packed", F.posexplode("near").alias("place", "cell"), "near")
     data = stored(data.select("vec_id", "packed", "cell", F.slice("near", F.lit(1), F.col("place")).alias("earlier")), "permutation-posted")
     sent = stored(asked.mapInArrow(_with_places(pivots, kind, d, routed), schema).select("vec_id", "packed", F.explode("near").alias("cell")), "permutation-routed")
-    block = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, d))))
+    block = _block(d)
     # A row a pivot, so a bounded table.
     n = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     sizes = F.broadcast(n.join(sent.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / QUERY_ROWS).cast("int").alias("groups")))
@@ -154,9 +212,7 @@ def _visit(rows: DataFrame, asked: DataFrame, pivots: np.ndarray, kind: str, d:
     sent = sent.join(sizes, "cell").select("vec_id", "packed", "cell", each("blocks").alias("block"), deal("groups", 2).alias("group"))
     file = ["cell", "block", "group"]
     found = data.groupBy(*file).cogroup(sent.groupBy(*file)).applyInPandas(_searcher(pivots, kind, d, k, share, routed), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "permutation-found")
+    return _ranked(found, k)
 
 
 def search(table: DataFrame, is_query: Column, k: int = 5, share: float = CANDIDATES, routed: int = ROUTED, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -206,11 +262,10 @@ SELECT query_id, string_agg(vec_id, ',' ORDER BY rank) AS nearest, round(min(sco
 
 
 def recall(spark, sf_dir: str) -> DataFrame:
-    """The true neighbours of op9's queries, by visiting every file and row, and whether op9's hold nine tenths of them over all queries."""
+    """The true neighbours of op9's queries, by comparing them with every row, and whether op9's hold nine tenths of them over all queries."""
     rows, kind, d = packed(load(spark, sf_dir, "embeddings"))
     rows = stored(rows.filter("vec_id IS NOT NULL AND packed IS NOT NULL").dropDuplicates(["vec_id", "packed"]), "permutation-rows")
-    pivots = fit_pivots(rows, kind, d)
-    true = _visit(rows, rows.filter("vec_id % 50 = 0"), pivots, kind, d, 5, 1.0, len(pivots))
+    true = true_neighbours(rows, rows.filter("vec_id % 50 = 0"), kind, d, 5)
     hits = true.join(query(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
     share = stored(hits.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled")), "permutation-recall", 1)
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda r: r["vec_id"].cast("string")), ",")
