@@ -220,3 +220,21 @@ def test_two_flow_streams_in_one_session(spark, tmp_path):
         (tmp_path / name).mkdir()
         assert live.read_flow_stream(spark, str(tmp_path / name)).columns == [*FLOW_COLUMNS, "stream_id"]
     assert FLOW.names == FLOW_COLUMNS
+
+
+def test_stream_detection_spreads_each_batch(spark, sf):
+    """A micro-batch comes in a file for each core, and its flows are staged by as many tasks."""
+    import glob
+
+    from tidewatch.plans import catalog
+    from tidewatch.storage import shared_folder
+
+    top = shared_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{top}/tidewatch/stream-*"))
+    catalog.queries()["stream_detection"](spark, sf)
+    (folder,) = set(glob.glob(f"{top}/tidewatch/stream-*")) - before
+    cores = spark.sparkContext.defaultParallelism
+    assert len(glob.glob(f"{folder}/in/*.parquet")) == 3 * cores
+    for batch in range(3):
+        assert len(glob.glob(f"{folder}/flows/slot=*/batch={batch}/*.parquet")) >= cores
+    assert not glob.glob(f"{folder}/flows/slot=*/batch=3")

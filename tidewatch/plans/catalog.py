@@ -298,10 +298,16 @@ def _(spark, d):
 
 @_query("stream_detection", build(*STEPS, twins.machine(S, "scored_live"), recursive=True) + "SELECT stream_id, wid, round(score, 5) AS score, CAST(tier AS INTEGER) AS tier FROM fsm WHERE wid < (SELECT max(wid) FROM feats)")
 def _(spark, d):
-    """The streaming detector over flows that come in three files, one a micro-batch; every window but the last closes."""
-    folder = f"{shared_folder(spark)}/tidewatch/stream-{uuid.uuid4().hex}"
-    _flows(spark, d).drop("wid").repartitionByRange(3, "start_time").write.parquet(f"{folder}/in")
-    flows = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    """The streaming detector over flows that come in three parts, one a micro-batch; every window but the last closes.
+
+    A part, a third of the time, is a file for each core, so that what reads it and what it becomes is spread as widely."""
+    folder, files = f"{shared_folder(spark)}/tidewatch/stream-{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism
+    flows = _flows(spark, d).drop("wid")
+    first, last = flows.agg(F.min("start_time"), F.max("start_time")).first()
+    third = F.least(F.floor((F.col("start_time") - first) / ((last - first) / 3 or 1.0)), F.lit(2)) if first is not None else F.lit(0)
+    for k in range(3):
+        flows.filter(third == k).repartition(files, "flow_seq").write.mode("append").parquet(f"{folder}/in")
+    flows = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     for q in online.start(flows, folder, S, f"{folder}/check", late=0.0, seed_windows=SEED, availableNow=True):
         q.awaitTermination()
     found = online.latest(spark.read.parquet(f"{folder}/results"))

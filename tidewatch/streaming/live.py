@@ -199,6 +199,7 @@ def windows_query(flows: DataFrame, folder: str, s: Settings, checkpoint: str, l
         put(spark.createDataFrame([(float(now), closed)], "latest double, upto long"), "progress")
         again = stored(batch.filter(F.lit(upto is not None) & (F.col("wid") <= (upto if upto is not None else 0))).select("stream_id", "wid", "slot").distinct(), "reopened")
         late_slots = sorted(r[0] for r in again.select("slot").distinct().collect())  # slots of one micro-batch
+        earliest, newest = again.agg(F.min("wid"), F.max("wid")).first()
         tails = told("tails", number - 1)
         rows = staged(list(range((upto if upto is not None else closed) // SLOT, closed // SLOT + 1)) if upto is not None else _slots(spark, folder, closed // SLOT))
         found = None
@@ -219,7 +220,8 @@ def windows_query(flows: DataFrame, folder: str, s: Settings, checkpoint: str, l
             put(tails, "tails")
         reopened = staged(late_slots) if late_slots else None
         if reopened is not None:
-            whole = reopened.filter(F.col("batch") <= number).drop("batch", "slot").join(again.drop("slot"), ["stream_id", "wid"], "left_semi")
+            # Between the reopened windows' ends, so that files and row groups of others aren't read.
+            whole = reopened.filter((F.col("batch") <= number) & F.col("wid").between(earliest, newest)).drop("batch", "slot").join(again.drop("slot"), ["stream_id", "wid"], "left_semi")
             whole = features.windows(whole, s)
             found = whole if found is None else found.unionByName(whole)
         if found is not None:
