@@ -228,6 +228,23 @@ def test_near_duplicates_equal_brute_force(spark, sf, docs):
         assert r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]])
 
 
+def test_words_are_proposed_and_merged_together(monkeypatch):
+    """Many pre-tokens at once give what one at a time gives, and only long ones are merged by themselves."""
+    b, rng = bpe.SpeculativeBpe(bpe.tokenizer_path()), np.random.default_rng(3)
+    words = ["".join(rng.choice(list("theaionrsdlé日'"), rng.integers(1, 40))) for _ in range(400)] + ["a", "é", "x" * 64, "x" * 65, "日" * 40]
+    symbols = ["".join(map(b.symbol.__getitem__, w.encode())) for w in words]
+    one = [b.merge([*(b.vocab[c] for c in w[:-1]), b.vocab[w[-1] + b.suffix]]) for w in symbols]
+    short = [w for w, x in zip(words, symbols, strict=True) if len(x) <= bpe.LONGEST_TOGETHER]
+    end = np.cumsum([len(w.encode()) for w in short])
+    ids, sizes = b.propose_many(np.frombuffer("".join(short).encode(), np.uint8), end - [len(w.encode()) for w in short], end)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [b.propose(x) for x in symbols if len(x) <= bpe.LONGEST_TOGETHER]
+    alone, merge = [], b.merge
+    monkeypatch.setattr(b, "merge", lambda ids: alone.append(len(ids)) or merge(ids))
+    ids, sizes = b.encode_words(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == one
+    assert all(n > bpe.LONGEST_TOGETHER for n in alone)
+
+
 def test_bands_follow_from_the_threshold():
     assert (neardup.banding(85), neardup.banding(80)) == ((24, 6), (29, 5))
     for t in range(50, 100):
