@@ -275,6 +275,30 @@ def test_hot_buckets_of_unlinked_texts(spark, monkeypatch, threshold):
     assert 30 < len(set(want.values())) < len(rows)
 
 
+def test_near_duplicates_take_few_tasks(spark, monkeypatch):
+    """However many partitions shuffles have and however small the slices of skewed ones are, small tables take few tasks and pairs are not sliced on both sides."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", 50)
+    monkeypatch.setattr(neardup, "CELL_ROWS", 16)
+    hot = {"shuffle.partitions": "40", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    shared = " ".join(f"s{k}" for k in range(160))
+    rows = [(k, shared + " " + " ".join(f"o{k}_{j}" for j in range(14 + k % 18))) for k in range(300)]
+    df, before = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), {f"spark.sql.{k}": spark.conf.get(f"spark.sql.{k}") for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        spark.sparkContext.setJobGroup("few", "few")
+        got = neardup.link(df).collect()
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
+        tasks = [x.numCompletedTasks for x in stages if x]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, neardup.THRESHOLD)
+    assert max(tasks) <= 120 and sum(tasks) < 2_400
+
+
 @pytest.mark.parametrize(("hot", "sent", "cell"), [(1000, 400_000, 512), (8, 400_000, 512), (8, 0, 2)])
 def test_near_duplicates_of_hard_rows(spark, monkeypatch, hot, sent, cell):
     monkeypatch.setattr(neardup, "HOT_ROWS", hot)

@@ -174,6 +174,21 @@ def test_components(spark, seed):
     assert got == {a: find(a) for a in parent}
 
 
+@pytest.mark.parametrize("sent", [400_000, 0])
+def test_components_of_stars_take_no_round(spark, monkeypatch, sent):
+    from tidewatch.llm import common
+    from tidewatch.llm import components as module
+
+    monkeypatch.setattr(common, "SENT_ROWS", sent)
+    written, stored = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or stored(df, name))
+    stars = [(0, k) for k in range(1, 9)] + [(20, 21)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in range(9)}, 20: 20, 21: 20} and len(written) == 1
+    chain = [(k, k + 1) for k in range(30)]
+    assert {r["component"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()} == {0}
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 

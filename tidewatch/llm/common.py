@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.storage import discard, scratch, stored
 
-__all__ = ["discard", "load", "numbered", "remainder", "sample_by", "ship", "stored"]
+__all__ = ["discard", "few", "load", "numbered", "remainder", "sample_by", "sent", "ship", "stored"]
+
+#: Rows of a task, about, and tasks at least, of a shuffled table whose size is known.
+PART_ROWS, LEAST_PARTS = 5_000, 8
+#: Narrow tables (ids, keys, numbers) are sent to every task up to this many rows (some MB).
+SENT_ROWS = 400_000
 
 #: A table of groups is sent to every task up to this many rows.
 SENT_GROUPS = 10_000
@@ -54,6 +59,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose work is that of about `rows` rows, in few tasks and files if they are few: a session may have any number of shuffle partitions."""
+    return df.coalesce(max(LEAST_PARTS, -(-rows // PART_ROWS)))
+
+
+def sent(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A narrow table to join with, sent to every task if it has `most` (SENT_ROWS) rows at most."""
+    return F.broadcast(table) if table.count() <= (SENT_ROWS if most is None else most) else table
+
+
 def sample_by(rows: DataFrame, group: str, most: int, doc_id: str = "doc_id") -> DataFrame:
     """(group, doc_id) of at most `most` ids of each group, those whose hashes are smallest; an id on many rows counts once.
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import memory
-from tidewatch.llm.common import discard, load, numbered, ship, stored
+from tidewatch.llm.common import discard, few, load, numbered, sent, ship, stored
 from tidewatch.llm.components import components
 from tidewatch.llm.textvec import Words, mix, pieces, words_of
 
@@ -55,6 +55,8 @@ CELL_ROWS = 512
 HOT_ROWS, SENT_BUCKETS = 1_000, 400_000
 #: Ids of documents in pairs are sent to every task up to this many (some MB); more are joined by a shuffle.
 SENT_IDS = 400_000
+#: A row with whole sets counts as so many rows of a task.
+SET_ROWS = 10
 #: A sketch passes a pair if its estimate of the similarity is this much below the threshold at most.
 SKETCH_SLACK = 0.09
 
@@ -205,9 +207,7 @@ def _sets(docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) ->
 
 def _sets_of(ids: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
     """(doc_id, shingles, fine) of the documents with these ids; the sets are made again, of those documents only."""
-    ids = stored(ids, "neardup-ids")
-    if ids.count() <= SENT_IDS:
-        ids = F.broadcast(ids)
+    ids = sent(stored(ids, "neardup-ids"), SENT_IDS)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
     return stored(_sets(slim, "text", "doc_id", size, threshold), "neardup-sets")
 
@@ -219,9 +219,12 @@ def _alike(threshold: int) -> Column:
 
 def _confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, threshold: int) -> DataFrame:
     """Those of (a, b) whose full sets pass."""
+    n = pairs.count()
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets_of(ids, docs, text, doc_id, size, threshold)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    sets = _sets_of(few(ids, n), docs, text, doc_id, size, threshold)
+    # A row holds whole sets: fewer a task.
+    both = few(sent(pairs).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"), SET_ROWS * n)
+    both = few(both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"), SET_ROWS * n)
     links = stored(both.filter(_alike(threshold)).select("a", "b"), "neardup-links")
     discard(sets)
     return links
@@ -254,9 +257,15 @@ def _side(rows: DataFrame, x: str, *keys: str | Column) -> DataFrame:
     return rows.select(*keys, F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("shingles").alias(f"s{x}"))
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by keys, in as many partitions as the session's shuffles have.  Spark doesn't split what is dealt like this: keys are bounded
+    by HOT_ROWS and CELL_ROWS, and slices of both sides of a join would multiply to tasks by the ten thousand."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _across(inside: DataFrame, threshold: int, limit: int) -> DataFrame:
     """Links (a, b) between members of different components of a bucket (band, doc_id, component, n_shingles, sketch, shingles)."""
-    x, y = _side(inside, "a", "band"), _side(inside, "b", "band")
+    x, y = _dealt(_side(inside, "a", "band"), "band"), _dealt(_side(inside, "b", "band"), "band")
     return x.join(y, (x["band"] == y["band"]) & (F.col("ca") < F.col("cb")) & _fits(threshold, limit)).select("a", "b")
 
 
@@ -265,48 +274,61 @@ def _cells(inside: DataFrame, threshold: int, limit: int) -> DataFrame:
     dealt = inside.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(11)), "groups").cast("int"))
     x = _side(dealt, "a", "band", F.col("g").alias("i"), F.explode(F.sequence("g", F.col("groups") - 1)).alias("j"))
     y = _side(dealt, "b", F.col("band").alias("band_"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("i_"), F.col("g").alias("j_"))
+    x, y = _dealt(x, "band", "i", "j"), _dealt(y, "band_", "i_", "j_")
     apart = (F.col("ca") < F.col("cb")) | ((F.col("i") < F.col("j")) & (F.col("ca") > F.col("cb")))
     return x.join(y, (F.col("band") == F.col("band_")) & (F.col("i") == F.col("i_")) & (F.col("j") == F.col("j_")) & apart & _fits(threshold, limit)).select("a", "b")
 
 
-def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys' buckets that hold several components; written, so that the join with them is one whose large partitions Spark can split."""
-    return stored(rows.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(*keys), "neardup-mixed")
+def _mixed(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The keys' buckets of n rows that hold several components; written, so that the join with them is one whose large partitions Spark can split."""
+    return stored(few(rows.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(*keys), n), "neardup-mixed")
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, copies) of every row of docs."""
     rows = stored(signatures(docs, text, doc_id, size, threshold), "neardup-signatures")
+    total = rows.count()
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "digest_a", "digest_b"]
     # Equal sets: the smallest id stands for all.
-    reps = stored(full.groupBy(*same).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"), F.count(F.lit(1)).alias("copies")).select(*same, "copies", "x.doc_id", "x.bands", "x.sketch"), "neardup-representatives")
+    reps = full.groupBy(*same).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"), F.count(F.lit(1)).alias("copies")).select(*same, "copies", "x.doc_id", "x.bands", "x.sketch")
+    reps = stored(few(reps, total), "neardup-representatives")
     posted = reps.select("doc_id", F.explode("bands").alias("band"))
-    sizes = stored(posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "neardup-sizes")
+    sizes = stored(few(posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), total), "neardup-sizes")
     buckets = Buckets(sizes)
-    posted = stored(buckets.join(posted, sizes), "neardup-buckets")
+    posted = stored(buckets.join(posted, sent(sizes, SENT_BUCKETS)), "neardup-buckets")
+    n_posted = posted.count()
     # The most central member leads: its buckets are the fullest, so that most near copies of one text link with it.
-    weight = posted.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weight = sent(stored(few(posted.groupBy("doc_id").agg(F.sum("n").alias("weight")), n_posted), "neardup-weight"), SENT_IDS)
     leaders = posted.join(weight, "doc_id").groupBy("band").agg(F.max(F.struct(F.col("weight"), -F.col("doc_id"))).alias("top")).select("band", (-F.col("top.col2")).alias("leader"))
+    leaders = stored(few(leaders, n_posted), "neardup-leaders")
     posted = posted.select("band", "doc_id")
     slim = reps.select("doc_id", "n_shingles", "sketch")
     limit = sketch_limit(threshold)
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose set sizes and sketches allow a link."""
-        near = pairs.join(slim.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka")), "a")
-        near = near.join(slim.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb")), "b")
+        n = pairs.count()
+        near = few(sent(pairs).join(slim.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka")), "a"), n)
+        near = few(near.join(slim.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb")), "b"), n)
         return near.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (_differing_bits("ka", "kb") <= limit)).select("a", "b")
 
-    stars = stored(near(buckets.join(posted, leaders).filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "neardup-stars")
+    led = buckets.join(posted, sent(leaders, SENT_BUCKETS)).filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    led = stored(few(led, n_posted), "neardup-led")
+    stars = stored(near(led), "neardup-stars")
+    discard(leaders, led)
     links = _confirm(stars, docs, text, doc_id, size, threshold)
-    first = components(links, "a", "b")
+    first = sent(components(links, "a", "b", links.count()), SENT_IDS)
 
     # Buckets of several components: members across components.
-    placed = stored(posted.join(first, posted["doc_id"] == first["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "neardup-placed")
-    inside = stored(buckets.join(placed, _mixed(placed, ["band"])).join(slim, "doc_id"), "neardup-across")
+    placed = posted.join(first, posted["doc_id"] == first["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = stored(few(placed, n_posted), "neardup-placed")
+    mixed = sent(_mixed(placed, ["band"], n_posted), SENT_BUCKETS)
+    inside = stored(few(few(buckets.join(placed, mixed), n_posted).join(slim, "doc_id"), n_posted), "neardup-across")
     if inside.head(1):
-        sets = _sets_of(inside.select("doc_id").distinct(), docs, text, doc_id, size, threshold)
+        n_inside = inside.count()
+        sets = _sets_of(few(inside.select("doc_id").distinct(), n_inside), docs, text, doc_id, size, threshold)
+        crossing = []
         if buckets.any:
             # A member of several hot buckets is posted once in its finer bands.
             hot = inside.join(buckets.hot, "band", "left_semi").select("doc_id", "component").distinct().join(slim, "doc_id").join(sets, "doc_id")
@@ -314,17 +336,22 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
             per = fine.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("groups"))
             fine = stored(fine.join(stored(per.filter("low <> high").select("band", "groups"), "neardup-mixed-fine"), "band").select("band", "doc_id", "groups"), "neardup-fine-mixed")
             members = lambda which: fine.filter(which).join(hot.drop("fine"), "doc_id")
-            links = links.unionByName(_across(members("groups = 1"), threshold, limit)).unionByName(_cells(members("groups > 1"), threshold, limit))
+            crossing += [_across(members("groups = 1"), threshold, limit), _cells(members("groups > 1"), threshold, limit)]
             inside = inside.join(buckets.hot, "band", "left_anti")
-        links = links.unionByName(_across(inside.join(sets.drop("fine"), "doc_id"), threshold, limit))
+        crossing.append(_across(few(inside.join(sets.drop("fine"), "doc_id"), SET_ROWS * n_inside), threshold, limit))
+        # Each is written by itself, before it is made distinct in few tasks.
+        for part in crossing:
+            links = links.unionByName(stored(part, "neardup-crossing"))
     # A doc_id on several rows with different sets is one node.
-    member = full.join(reps.select(*same, F.col("doc_id").alias("rep"), "copies"), same).select("doc_id", "rep", "copies")
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
-    links = links.unionByName(member.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")))
-    final = components(links, "a", "b")
+    again = stored(few(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), total), "neardup-repeated")
+    if again.head(1):
+        member = full.join(sent(again, SENT_IDS), "doc_id", "left_semi").join(reps.select(*same, F.col("doc_id").alias("rep")), same).select("doc_id", "rep")
+        several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
+        links = links.unionByName(stored(member.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")), "neardup-joined"))
+    final = sent(components(links, "a", "b", links.count()), SENT_IDS)
     of = reps.join(final, reps["doc_id"] == final["node"], "left").select(*same, F.coalesce("component", "doc_id").alias("found"), "copies")
     # A null doc_id or an empty set is a component of its own.
-    out = rows.select("doc_id", *same).join(of, same, "left")
+    out = few(rows.select("doc_id", *same).join(of, same, "left"), total)
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
@@ -332,8 +359,9 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One row of each group of near-duplicates, columns unchanged: the row whose id is the group's smallest."""
     found = stored(link(docs, text, doc_id, **options).select("doc_id", "kept"), "neardup-kept")
-    away = stored(found.filter("NOT kept").select("doc_id").distinct(), "neardup-away")
-    again = stored(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "neardup-again")
+    n = found.count()
+    away = stored(few(found.filter("NOT kept").select("doc_id").distinct(), n), "neardup-away")
+    again = stored(few(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), n), "neardup-again")
     small = lambda ids: F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     on = lambda ids: docs[doc_id].cast("long") == ids["doc_id"]
     rest = docs.join(small(away), on(away), "left_anti")
