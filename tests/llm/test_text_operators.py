@@ -79,6 +79,32 @@ def test_hash_index():
     assert (textvec.HashIndex(keys[:0]).find(keys) == -1).all()
 
 
+@pytest.mark.parametrize("keys", [[0, 1, 2, 3, 1 << 63, (1 << 64) - 1], [5, 3, 4, 1 << 40, 2], [7], list(range(1, 300)), list(range(300, 0, -1))])
+def test_hash_index_of_sorted_and_crowded_keys(keys):
+    """Sorted keys are their own order; keys that share a bucket are all found, others in it and beyond none."""
+    keys = np.array(keys, np.uint64)
+    index = textvec.HashIndex(keys)
+    assert index.find(keys[::-1]).tolist() == list(range(len(keys)))[::-1]
+    others = np.setdiff1d(np.array([0, 1, 2, 6, 1000, (1 << 40) + 1, (1 << 63) - 1, (1 << 64) - 2], np.uint64), keys)
+    assert (index.find(others) == -1).all()
+
+
+def test_block_hashes():
+    """Equal for equal words whatever their place, of any size, and different for any others, padding and NULs included."""
+    rng = np.random.default_rng(3)
+    top = textvec.BLOCKED
+    distinct = {bytes(rng.integers(33, 127, n, dtype=np.uint8)) for n in [*range(1, 40), top - 1, top, top + 1, 3 * top] for _ in range(20)}
+    distinct |= {b"a" * n for n in range(1, 200)} | {b"\0" * n for n in range(1, 40)} | {b"a" + b"\0" * n for n in range(20)} | {b"x" * top + b"a", b"x" * top + b"b", b"x" * (top - 1) + b"a"}
+    texts = [w.decode() for w in sorted(distinct) for _ in range(2)]
+    rng.shuffle(texts)
+    words = textvec.words_of(pa.array([" ".join(texts[:300]), "", *texts[300:-1], None, texts[-1]]), lower=False, hashed=False)
+    seen = {}
+    for k, h in enumerate(textvec.block_hashes(words).tolist()):
+        seen.setdefault(words.word(k), set()).add(h)
+    assert len(seen) == len(distinct) and all(len(h) == 1 for h in seen.values()) and len(set().union(*seen.values())) == len(distinct)
+    assert len(textvec.block_hashes(textvec.words_of(pa.array(["", None], pa.string()), hashed=False))) == 0
+
+
 # -- encoding -------------------------------------------------------------------------------------
 
 
@@ -759,6 +785,20 @@ def test_language_model_over_many_partitions(spark):
         assert r["score"] == pytest.approx(plain.score(texts[r["doc_id"]]), rel=1e-9)
 
 
+def test_language_model_hashes_words_by_blocks(monkeypatch):
+    """Each of the seven passes hashes all words again: no word of usual length takes the slow way."""
+    monkeypatch.setattr(textvec.Words, "hash_of", lambda *_: pytest.fail("words are hashed one byte at a time"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(["Two words two", None, "x" * 300])], names=["doc_id", "text"])
+    sieve = np.full(4096, 255, np.uint8)
+    counts = pa.Table.from_batches(suffixlm._count_words([batch])).to_pydict()
+    assert sorted(counts["n"]) == [1, 1, 2, 3]
+    grams = pa.Table.from_batches(suffixlm._count_grams(1, sieve)([batch])).to_pydict()
+    parts = pa.Table.from_batches(suffixlm._find_parts([(sieve, sieve)])([batch])).to_pydict()
+    assert grams["n"] == [1] * 7 and sorted(grams["key"]) == sorted(parts["key"]) and len(set(grams["key"])) == 7
+    scored = pa.Table.from_batches(suffixlm._scorer(suffixlm.Model())([batch])).to_pydict()
+    assert scored["n_tokens"] == [4, 1, 2]
+
+
 def test_states_are_distributions():
     plain = PlainTree(deep_texts())
     unseen = plain.discount * len(plain.c) / plain.n

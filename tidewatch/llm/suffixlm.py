@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import memory
 from tidewatch.llm.common import discard, load, remainder, ship, stored
-from tidewatch.llm.textvec import HashIndex, Words, mix, pieces, sums, words_of
+from tidewatch.llm.textvec import HashIndex, Words, block_hashes, mix, pieces, sums, words_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of the longest context.
@@ -56,6 +56,13 @@ END = np.uint64(0)
 CONTEXT_SALT = np.int64(0x5851F42D4C957F2D)
 
 
+def _words(column: pa.Array) -> Words:
+    """Words of texts, hashed by blocks: every pass over the texts hashes all words again."""
+    words = words_of(column, hashed=False)
+    words.hash = block_hashes(words)
+    return words
+
+
 @memory.task("suffixlm")
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n): counts of a task, merged while they stay below some millions of words."""
@@ -72,7 +79,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     for part in pieces(batches, "text"):
-        words = words_of(part.column("text"))
+        words = _words(part.column("text"))
         k, c = np.unique(words.hash, return_counts=True)
         held.append((np.append(k, END), np.append(c, part.num_rows)))
         # Merging costs a sort of all: only when enough has come together.
@@ -126,9 +133,9 @@ def _spread(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashed key of a context's continuation; as a context itself, that of the longer one."""
-    return mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(word.view(np.uint64) + np.uint64(1))).view(np.int64)
+def _gram(context: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Hashed key of a context's continuation by a word (Grams.mixed); as a context itself, that of the longer one."""
+    return mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed).view(np.int64)
 
 
 class Grams:
@@ -137,12 +144,13 @@ class Grams:
     def __init__(self, words: Words):
         self.seq, self.begin = _spread(words)
         self.since = np.arange(len(self.seq)) - np.repeat(self.begin, np.diff(np.append(self.begin, len(self.seq))))
+        self.mixed = mix(self.seq.view(np.uint64) + np.uint64(1))
         self.ends = [self.seq]  # ends[k]: of k + 1 words; only places with k before them in their text are meant
 
     def of(self, size: int) -> np.ndarray:
         while len(self.ends) < size:
             last, out = self.ends[-1], np.zeros(len(self.seq), np.int64)
-            out[1:] = _gram(last[:-1], self.seq[1:])
+            out[1:] = _gram(last[:-1], self.mixed[1:])
             self.ends.append(out)
         return self.ends[size - 1]
 
@@ -189,16 +197,18 @@ def _count_grams(depth: int, sieve: np.ndarray):
 
         def report() -> pa.RecordBatch:
             key, tag = (np.concatenate([h[k] for h in held]) for k in range(2))
-            key, first, n = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag[first]), pa.array(n)], names=["key", "tag", "n"])
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(tag[order[first]]), pa.array(np.diff(np.append(first, len(key))))], names=["key", "tag", "n"])
 
         for part in pieces(batches, "text"):
-            grams = Grams(words_of(part.column("text")))
+            grams = Grams(_words(part.column("text")))
             short = grams.of(depth)
             at = np.flatnonzero(grams.since >= depth)
             ok = _passes(sieve, short)
             at = at[ok[at] & ok[at - 1]]
-            held.append((_gram(short[at - 1], grams.seq[at]), grams.tags()[at]))
+            held.append((_gram(short[at - 1], grams.mixed[at]), grams.tags()[at]))
             tokens += len(grams.seq)
             if tokens >= PART_TOKENS:
                 yield report()
@@ -226,11 +236,11 @@ def _find_parts(sieves: list[tuple[np.ndarray, np.ndarray]]):
                 found.clear()
 
         for part in pieces(batches, "text"):
-            grams = Grams(words_of(part.column("text")))
+            grams = Grams(_words(part.column("text")))
             tags = grams.tags()
             for level, (keys, with_tags) in enumerate(sieves, 1):
                 short, at = grams.of(level), np.flatnonzero(grams.since >= level)
-                key = _gram(short[at - 1], grams.seq[at])
+                key = grams.of(level + 1)[at]
                 ok = _passes(keys, key)
                 ok[ok] = _passes(with_tags, _tagged(key[ok], tags[at[ok]]))
                 held[level - 1].append((key[ok], short[at[ok] - 1], short[at[ok]]))
@@ -300,6 +310,13 @@ def _grow(grams: DataFrame, before: DataFrame, n_all: float) -> tuple[DataFrame,
     return states, kept.select(F.col("context").bitwiseXOR(F.lit(int(CONTEXT_SALT))).alias("key"), "n", "gain").unionByName(listed)
 
 
+def _by_key(keys, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed keys in order and their values: sorted once, as every task makes an index of them."""
+    keys = keys.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
     """(model, counts of all words) from docs (text); with no depth only what the words alone give, which is all that base scores need."""
     ship(docs.sparkSession)
@@ -311,7 +328,7 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
     if stats[2] and stats[3]:
         model.discount = stats[2] / (stats[2] + 2 * stats[3])
     head = counts.filter((F.col("n") >= max(HEAD_LEAST, HEAD_SHARE * model.tokens)) | (F.col("word") == int(END))).toArrow().to_pandas()
-    model.keys, model.counts = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
+    model.keys, model.counts = _by_key(head["word"], head["n"].to_numpy(np.int64))
     if not depth:
         return model, counts
     # The root's states: words.  Frequent words follow from counts alone, so all levels' keys are hashes of the same kind.
@@ -334,7 +351,7 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
     # Contexts and continuations of one length: at most tokens / n of each occur n times.
     sent = F.lit(True) if few else F.col("n") >= 2.0 * depth * model.tokens / max(SENT_FACTORS, 1e-9)
     head = factors.filter(sent).select("key", "gain").toArrow().to_pandas()
-    model.sent_keys, model.sent_gain = head["key"].to_numpy(np.int64).view(np.uint64), head["gain"].to_numpy(float)
+    model.sent_keys, model.sent_gain = _by_key(head["key"], head["gain"].to_numpy(float))
     if not few:
         model.factors = factors.filter(~sent).select("key", "gain")
         model.sieve = _sieve(model.factors)
@@ -365,7 +382,7 @@ def _gains(model: Model, grams: Grams, sent: HashIndex) -> tuple[np.ndarray, np.
         context = grams.of(d)
         at = at[grams.since[at] >= d]
         at = at[look(context[at - 1] ^ CONTEXT_SALT, at)]
-        look(_gram(context[at - 1], grams.seq[at]), at)
+        look(grams.of(d + 1)[at] if d < model.depth else _gram(context[at - 1], grams.mixed[at]), at)
     if not keys:
         return gain, np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys, places = np.concatenate(keys), np.concatenate(places)
@@ -383,7 +400,7 @@ def _scorer(model: Model):
         end = np.flatnonzero(model.keys == END)
         end_base, end_root = (base[end[0]], root[end[0]]) if len(end) else (model.base(0), 0.0)
         for part in pieces(batches, "text"):
-            words = words_of(part.column("text"))
+            words = _words(part.column("text"))
             n = part.num_rows
             ids = index.find(words.hash)
             head = np.flatnonzero(ids >= 0)

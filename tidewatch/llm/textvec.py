@@ -165,6 +165,32 @@ def _joined(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix((a << np.uint64(31) | b) + size * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Words of up to this many bytes are hashed by blocks of eight bytes in block_hashes.
+BLOCKED = 1 << 10
+#: What is kept of a block, by the number of its bytes in the word; what sizes begin with.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEEDS = mix(mix(np.arange(1, BLOCKED + 2, dtype=np.uint64)))
+
+
+def block_hashes(words: Words) -> np.ndarray:
+    """Hashes of a run's words by eight bytes at a time, mixed after each: equal for equal byte strings, whatever their place.  Not those of
+    Words.hash, but many times faster; longer words' are those."""
+    data = np.append(words.data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(words.data) + 1,), "<u8", data, strides=(1,))
+    size = words.end - words.start
+    out = mix((eight[words.start] & _MASKS[np.minimum(size, 8)]) ^ _SEEDS[np.minimum(size, BLOCKED)])
+    live = np.flatnonzero(size > 8)
+    for k in range(8, BLOCKED, 8):
+        if not len(live):
+            break
+        out[live] = mix(out[live] ^ (eight[words.start[live] + k] & _MASKS[np.minimum(size[live] - k, 8)]))
+        live = live[size[live] > k + 8]
+    long = np.flatnonzero(size > BLOCKED)
+    if len(long):
+        out[long] = words.hash_of(words.start[long], words.end[long])
+    return out
+
+
 def hash_bytes(value: bytes) -> int:
     """The same hash as Words gives, for one byte string."""
     a, b = (sum((c + 1) * pow(point, i, PRIME) for i, c in enumerate(value)) % PRIME for point in POINTS)
@@ -175,32 +201,41 @@ class HashIndex:
     """Positions of 64-bit keys in a sorted key array, by a bucket table on the leading bits."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = np.ascontiguousarray(keys[self.order])
+        # Keys that come sorted are their own order, which saves a look per find.
+        self.order = None if (keys[1:] >= keys[:-1]).all() else np.argsort(keys, kind="stable")
+        self.keys = np.ascontiguousarray(keys if self.order is None else keys[self.order])
         bits = min(24, max(4, int(np.ceil(np.log2(len(keys) + 1))) + 1))
         self.shift = np.uint64(64 - bits)
-        self.begin = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.begin = np.append(0, np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits))).astype(np.int32)
         self.most = int(np.diff(self.begin).max()) if len(keys) else 0
         self.keys = np.append(self.keys, np.zeros(self.most + 1, np.uint64))
-        self.order = np.append(self.order, np.full(self.most + 1, -1))
+        if self.order is not None:
+            self.order = np.append(self.order, np.full(self.most + 1, -1))
         self.n = len(keys)
 
+    def _given(self, at: np.ndarray) -> np.ndarray:
+        return at if self.order is None else self.order[at]
+
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """For each wanted hash its position in the keys given, or -1."""
         if not self.n:
             return np.full(len(wanted), -1, np.int64)
         bucket = (wanted >> self.shift).astype(np.int64)
-        low, size = self.begin[bucket], self.begin[bucket + 1] - self.begin[bucket]
-        found = np.full(len(wanted), -1, np.int64)
-        live = np.flatnonzero(size > 0)
-        for k in range(self.most):
-            if k:
-                live = live[size[live] > k]
+        # An empty bucket begins at another's key, which none of its own equals.
+        at = self.begin[bucket]
+        hit = self.keys[at] == wanted
+        found = np.where(hit, self._given(at), np.int64(-1))
+        live = np.flatnonzero(~hit)
+        at, end = at[live], self.begin[bucket[live] + 1]
+        for _ in range(1, self.most):
+            at = at + 1
+            more = at < end
+            live, at, end = live[more], at[more], end[more]
             if not len(live):
                 break
-            at = low[live] + k
             hit = self.keys[at] == wanted[live]
-            found[live[hit]] = self.order[at[hit]]
+            found[live[hit]] = self._given(at[hit])
+            live, at, end = live[~hit], at[~hit], end[~hit]
         return found
 
 
